@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skein.llm import chat, decontaminate, hnsw, mixing, quality, simhash, tokens, warc
+from skein.llm import chat, decontaminate, hnsw, linededup, mixing, quality, secretscan, simhash, tokens, warc
 from skein.llm.common import table
 
 
@@ -37,6 +37,14 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.report(table(spark, sf_dir, "documents"))
 
 
+def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secretscan.scan(table(spark, sf_dir, "documents"), secretscan.fit(secretscan.labelled(spark)))
+
+
+def op7_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linededup.duplicates(table(spark, sf_dir, "documents"))
+
+
 def op8_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hnsw.near_duplicates(table(spark, sf_dir, "embeddings"))
 
@@ -51,7 +59,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_decontaminate, op2_chat, op3_simhash, op4_tokens, op5_mixing, op8_embeddings, op9_quality, op10_warc)}
+    return {f.__name__: f for f in (op1_decontaminate, op2_chat, op3_simhash, op4_tokens, op5_mixing, op6_secrets, op7_lines, op8_embeddings, op9_quality, op10_warc)}
 
 
 OP1_SQL = """
