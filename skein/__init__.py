@@ -1 +1,10 @@
-"""Skein: a concordance and corpus-analytics engine on PySpark DataFrames."""
+"""Skein: a concordance and corpus-analytics engine on PySpark DataFrames.
+
+Worker functions travel by value, so executors need no copy of this package.
+"""
+
+import sys
+
+from pyspark import cloudpickle
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
