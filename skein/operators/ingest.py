@@ -9,6 +9,7 @@ from collections.abc import Sequence
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType
 
 from skein.functions.text import n_words, page_ref, passage_id, trimmed
 from skein.sources.files import PAGE_MARKER
@@ -25,7 +26,7 @@ MIN_WORDS, LONG_WORDS, TARGET_WORDS = 20, 300, 150
 ALPHA_WORD = r"(?<![\p{L}\p{N}_])[a-zA-Z]++(?![\p{L}\p{N}_])"
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def repair_encoding(texts: pd.Series) -> pd.Series:
     """UTF-8 that was read as Windows-1252 is read again, control characters go, and the rest is composed (NFC)."""
 
@@ -144,7 +145,7 @@ def sentences(text: Column) -> Column:
     return F.split(trimmed(text), r"(?<=[.!?])\s+")
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(ArrayType(StringType()))
 def split_long(texts: pd.Series) -> pd.Series:
     """A paragraph of over 300 words in parts: cut after the sentence that brings the count nearest to 150, the earliest on
     ties, and again while a part is over 300; one sentence alone is cut once, at 150 words."""

@@ -7,6 +7,7 @@ from difflib import SequenceMatcher
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from skein.functions.text import label, slug, status_badge, token_set
 
@@ -35,7 +36,7 @@ def cards(sources: DataFrame) -> DataFrame:
     return sources.select("id", "title", label(F.col("copyright"), "copyright").alias("copyright"), label(F.col("display_mode"), "display_mode").alias("display_mode"), status_badge(F.col("enabled"), F.col("display_mode")).alias("status"))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def name_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     """Gestalt similarity of two names, 0 to 1."""
     return pd.Series([SequenceMatcher(None, x or "", y or "").ratio() for x, y in zip(a, b, strict=True)])

@@ -28,7 +28,7 @@ def json_rows(spark: SparkSession, paths: str | Sequence[str], ddl: str, names:
     """Rows of JSON arrays, or of the array under ``root`` of JSON objects, with columns by our names and file_name."""
     columns = [(c.split()[0], c.split(None, 1)[1]) for c in split_ddl(ddl)]
     fields = ", ".join(f"`{names.get(c, c)}` {t}" for c, t in columns)
-    text = spark.read.option("wholetext", True).text(paths).select("value", F.col("_metadata.file_name").alias("file_name"))
+    text = spark.read.text(paths, wholetext=True).select("value", F.col("_metadata.file_name").alias("file_name"))
     rows = F.from_json("value", f"array<struct<{fields.replace('` ', '`:')}>>")
     if root:
         inside = F.from_json(F.get_json_object("value", f"$.{root}"), f"array<struct<{fields.replace('` ', '`:')}>>")
@@ -83,7 +83,7 @@ def missing_files(sources: DataFrame, names: DataFrame) -> DataFrame:
 
 def text_pages(spark: SparkSession, path: str) -> DataFrame:
     """(source_id, page, text) of text files: lines as written, CRLF as LF; page markers split a file, which begins on page 1."""
-    files = spark.read.option("wholetext", True).text(path).select(F.regexp_replace(F.col("_metadata.file_name"), r"\.[^.]*$", "").alias("source_id"), unix_lines(F.col("value")).alias("value"))
+    files = spark.read.text(path, wholetext=True).select(F.regexp_replace(F.col("_metadata.file_name"), r"\.[^.]*$", "").alias("source_id"), unix_lines(F.col("value")).alias("value"))
     parts = F.concat(F.lit("<<<PAGE 1>>>\n"), "value")
     found = files.select("source_id", F.posexplode(F.arrays_zip(F.regexp_extract_all(parts, F.lit(r"(?m)^<<<PAGE (\d+)>>>$"), F.lit(1)).alias("page"), F.slice(F.split(parts, r"(?m)^<<<PAGE \d+>>>\n?"), 2, 1 << 30).alias("text"))).alias("n", "p"))
     return found.where((F.col("n") > 0) | (F.col("p.text") != "")).select("source_id", F.col("p.page").cast("int").alias("page"), F.coalesce(F.col("p.text"), F.lit("")).alias("text"))
@@ -141,7 +141,7 @@ def words(spark: SparkSession, path: str | None) -> DataFrame:
 
 def synonyms(spark: SparkSession, path: str) -> DataFrame:
     """(term, synonyms) of a JSON object."""
-    text = spark.read.option("wholetext", True).text(path)
+    text = spark.read.text(path, wholetext=True)
     return text.select(F.explode(F.from_json("value", "map<string,array<string>>")).alias("term", "synonyms"))
 
 
