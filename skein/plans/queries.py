@@ -14,6 +14,7 @@ from skein.functions.query import highlight_terms, keywords, phrases
 from skein.operators import daily, index, ingest, registry, search, usage, validate
 from skein.plans import adapters as ad
 from skein.sources import files
+from skein.sources.shared import shared_dir
 from skein.streaming import log as stream
 
 HEADER = "RUNNING HEAD\n42\n"
@@ -299,7 +300,7 @@ def teasers(spark: SparkSession, d: str) -> DataFrame:
 
 def log_stream(spark: SparkSession, d: str) -> DataFrame:
     """Events through the streaming log into the shared folder, and read back."""
-    base = (spark.sparkContext.getConf().get("spark.checkpoint.dir") or "/tmp/skein-streams").rstrip("/") + f"/log-{uuid.uuid4().hex}"
+    base = f"{shared_dir(spark)}/log-{uuid.uuid4().hex}"
     schema = ad.table(spark, d, "events").schema
     rows = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(d)
     posted = rows.select(F.col("event_type").alias("q"), F.floor("value").cast("double").alias("result_count"), F.array(F.concat(F.lit("src"), (F.col("event_id") % 3).cast("string"))).alias("source_filter"), F.col("ts").cast("string").alias("ts"))

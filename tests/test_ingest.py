@@ -94,12 +94,12 @@ def test_html(spark):
 
 
 def test_registry(spark):
-    rows = spark.createDataFrame([("big-book", "Big Book", "BB", 1, True), ("steps", "Steps and Ways", "S", 2, False)], "id string, title string, short_title string, sort_order int, enabled boolean")
-    names = spark.createDataFrame([("Big Book (2nd).pdf",), ("zzz.txt",)], "name string")
+    rows = spark.createDataFrame([("green-book", "Green Book", "GB", 1, True), ("steps", "Steps and Ways", "S", 2, False)], "id string, title string, short_title string, sort_order int, enabled boolean")
+    names = spark.createDataFrame([("Green Book (2nd).pdf",), ("zzz.txt",)], "name string")
     out = {r.name: (r.status, r.suggested_source_id) for r in registry.scan_raw(names, rows).collect()}
-    assert out == {"Big Book (2nd).pdf": ("existing", "big-book"), "zzz.txt": ("new", "zzz")}
-    assert sorted((r.id, r.group_pos) for r in registry.active(rows, ["steps", "?", "big-book", "steps"]).collect()) == [("big-book", 2), ("steps", 0)]
-    assert [r.id for r in registry.active(rows).collect()] == ["big-book"]
+    assert out == {"Green Book (2nd).pdf": ("existing", "green-book"), "zzz.txt": ("new", "zzz")}
+    assert sorted((r.id, r.group_pos) for r in registry.active(rows, ["steps", "?", "green-book", "steps"]).collect()) == [("green-book", 2), ("steps", 0)]
+    assert [r.id for r in registry.active(rows).collect()] == ["green-book"]
     assert registry.toggled(["a"], "a") == ["a"]
     assert registry.toggled(["a"], "b") == ["a", "b"]
 
