@@ -121,7 +121,7 @@ def salvage(data: bytes) -> Iterator[tuple[int, int, dict[str, str] | None, byte
 
     After a failed check the next place that starts a gzip member or a version line, and passes all checks, ends the gap.
     """
-    start_mark = re.compile(rb"\x1f\x8b\x08|(?<![^\n])WARC/")
+    start_mark = re.compile(rb"\x1f\x8b\x08|WARC/\d+\.\d+\r?\n")
     at, gap, why = 0, -1, ""
     while at < len(data):
         found = member(data, at) if data[at : at + 3] == b"\x1f\x8b\x08" else parsed(data, at)
