@@ -3,28 +3,14 @@
 from __future__ import annotations
 
 import pickle
-import tempfile
 import uuid
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``.
-
-    Only where the session names none, as in local tests, a temporary folder is made and set;
-    a cluster without the setting is an error, as its executors could not see such a folder.
-    """
-    sc = spark.sparkContext
-    found = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
-    if found:
-        return found.rstrip("/")
-    if not sc.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    sc.setCheckpointDir(tempfile.mkdtemp(prefix="skein-"))
-    return sc.getCheckpointDir()
+from skein.sources.shared import shared_dir
 
 
 def scratch(spark: SparkSession, name: str) -> str:
@@ -61,6 +47,13 @@ def raw(column: pa.Array) -> list[bytes]:
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
 
 
+def pieces(batches: Iterable[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of at most ``rows`` rows, so that Python copies of texts stay small."""
+    for batch in batches:
+        for begin in range(0, batch.num_rows, rows):
+            yield batch.slice(begin, rows)
+
+
 class Sent:
     """A broadcast object, pickled by value: workers need not have this package."""
 

@@ -18,10 +18,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skein.llm.common import Sent, raw, word_table
+from skein.llm.common import Sent, pieces, raw, word_table
 
 #: Words of a shard, at most, unless one document alone has more.
-SHARD_WORDS = 1 << 20
+SHARD_WORDS = 1 << 19
 #: Bytes of benchmark text in one broadcast block; a larger benchmark takes several passes.
 BLOCK_BYTES = 32 << 20
 
@@ -178,14 +178,16 @@ def shards(batches: Iterator[pa.RecordBatch], column: str, limit: int) -> Iterat
     """Slices of the batches of at most ``limit`` words, with the words of their texts."""
     table = word_table()
     for batch in batches:
-        begin, texts, n = 0, [], 0
-        for i, text in enumerate(raw(batch.column(column))):
-            words = text.translate(table).split()
-            if texts and n + len(words) > limit:
-                yield batch.slice(begin, i - begin), texts
-                begin, texts, n = i, [], 0
-            texts.append(words)
-            n += len(words)
+        begin, end, texts, n = 0, 0, [], 0
+        for part in pieces([batch]):
+            for text in raw(part.column(column)):
+                words = text.translate(table).split()
+                if texts and n + len(words) > limit:
+                    yield batch.slice(begin, end - begin), texts
+                    begin, texts, n = end, [], 0
+                texts.append(words)
+                n += len(words)
+                end += 1
         if texts:
             yield batch.slice(begin), texts
 

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skein.llm.common import Sent, raw
+from skein.llm.common import Sent, pieces, raw
 
 #: Labelled rows that a fit uses, at most; a documented bound on what the driver gathers.
 SAMPLE_ROWS = 12_000
@@ -161,7 +161,7 @@ def sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label
     found = docs.select(F.col(id_col).cast("long").alias("id_"), F.col(text_col).alias("text_")).join(F.broadcast(chosen), "id_").select("text_", "y_")
 
     def run(batches):
-        for batch in batches:
+        for batch in pieces(batches):
             x = statistics(raw(batch.column(0)))
             yield pa.RecordBatch.from_arrays([pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), x.shape[1]).cast(pa.list_(pa.float64())), batch.column(1)], names=["x", "y"])
 
@@ -186,7 +186,7 @@ def scores(docs: DataFrame, trees: Trees, id_col: str = "doc_id", text_col: str
 
     def run(batches):
         model = sent.get()
-        for batch in batches:
+        for batch in pieces(batches):
             score = model.score(statistics(raw(batch.column(1))))
             held = [i is not None and zlib.crc32(str(i).encode()) % 5 == 0 for i in batch.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(held), pa.array(score), pa.array((score >= threshold).astype(np.int32))], names=["doc_id", "held_out", "score", "predicted"])
@@ -200,7 +200,7 @@ def accepted(docs: DataFrame, trees: Trees, text_col: str = "text", threshold: f
 
     def run(batches):
         model = sent.get()
-        for batch in batches:
+        for batch in pieces(batches):
             yield batch.filter(pa.array(model.score(statistics(raw(batch.column(text_col)))) >= threshold))
 
     return docs.mapInArrow(run, docs.schema)

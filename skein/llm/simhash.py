@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skein.llm.common import raw, stored
+from skein.llm.common import pieces, raw, stored
 from skein.llm.components import connected, roots
 
 #: Bits of a half under the code, and its generator polynomial (fixed values of the binary Golay code).
@@ -173,7 +173,7 @@ def fingerprint_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     """(doc_id, fp long) of every row; a null text is empty."""
 
     def run(batches):
-        for batch in batches:
+        for batch in pieces(batches):
             fps = fingerprints(raw(batch.column(1)), shingle)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64))], names=["doc_id", "fp"])
 
