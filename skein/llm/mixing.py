@@ -21,6 +21,8 @@ TOPICS = (
     ("note", "length(text) < 600"),
 )
 OTHER_TOPIC = "prose"
+#: Cells that one task rakes; more are dealt by the margins' values.
+ONE_TASK_CELLS = 200_000
 WORD = r"[^\x09-\x0D\x20]+"
 NONE = "(none)"
 
@@ -42,24 +44,25 @@ def cells(docs: DataFrame, margins: Mapping[str, Column], tokens: Column) -> Dat
 
 
 def rake(of_cells: DataFrame, names: Sequence[str], targets: Mapping[str, Mapping[str, float]] | None, alpha: float, rounds: int) -> DataFrame:
-    """Cells with ``weight``: tokens scaled so that each margin's shares meet its targets.
+    """Cells with ``total`` and ``weight``: tokens scaled so that each margin's shares meet its targets.
 
     A round scales each margin in turn by target over present share.  Targets are shares by value, normalised;
     values without one get 0.  A margin without targets aims at its own shares to the power ``alpha``, normalised
-    (1 keeps the mix, 0 makes values equal).
+    (1 keeps the mix, 0 makes values equal).  Up to ONE_TASK_CELLS cells are raked by one task without a shuffle, more
+    by the margins' values.
     """
-    total = F.sum("tokens").over(Window.partitionBy())
-    out = of_cells.where("tokens > 0").withColumn("total", total.cast("double"))
+    out = of_cells.where("tokens > 0")
+    seen = out.agg(F.count("*").alias("n"), F.sum("tokens").cast("double").alias("total")).first()
+    out = (out.coalesce(1) if seen.n <= ONE_TASK_CELLS else out).withColumn("total", F.lit(seen.total))
     for k in names:
-        own = F.sum("tokens").over(Window.partitionBy(f"m_{k}"))
         if targets and k in targets:
             pairs = [x for v, share in targets[k].items() for x in (F.lit(v), F.lit(float(share)))]
-            goal = F.coalesce(F.create_map(*pairs)[F.col(f"m_{k}")], F.lit(0.0)) / sum(targets[k].values())
-            out = out.withColumn(f"t_{k}", goal)
+            out = out.withColumn(f"t_{k}", F.coalesce(F.create_map(*pairs)[F.col(f"m_{k}")], F.lit(0.0)) / sum(targets[k].values()))
         else:
-            powered = F.pow(own / F.col("total"), F.lit(alpha))
-            out = out.withColumn(f"t_{k}", powered).withColumn("first_", F.row_number().over(Window.partitionBy(f"m_{k}").orderBy(*[f"m_{n}" for n in names])))
-            out = out.withColumn(f"t_{k}", F.col(f"t_{k}") / F.sum(F.when(F.col("first_") == 1, F.col(f"t_{k}"))).over(Window.partitionBy())).drop("first_")
+            powered = F.pow(F.sum("tokens") / F.lit(seen.total), F.lit(alpha))
+            norm = of_cells.where("tokens > 0").groupBy(f"m_{k}").agg(powered.alias("p")).agg(F.sum("p")).first()[0]
+            own = F.sum("tokens").over(Window.partitionBy(f"m_{k}"))
+            out = out.withColumn(f"t_{k}", F.pow(own / F.col("total"), F.lit(alpha)) / F.lit(norm))
     out = out.withColumn("weight", F.col("tokens").cast("double"))
     for _ in range(rounds):
         for k in names:
@@ -73,19 +76,23 @@ def calibrate(raked: DataFrame, keep_share: float | None) -> DataFrame:
 
     Without ``keep_share``, the largest sample whose expected mix is the raked one exactly: weight over tokens,
     divided by its maximum.  With it, about that share of all tokens is kept: probabilities are in proportion to
-    weight over tokens and capped at 1, the factor chosen so that expected tokens come out right.
+    weight over tokens and capped at 1, the factor raised until the expected tokens come out right.
     """
-    out = raked.withColumn("ratio", F.col("weight") / F.col("tokens"))
-    every = Window.partitionBy()
-    if keep_share is None:
-        factor = 1 / F.max("ratio").over(every)
-        return out.withColumn("probability", F.least(F.lit(1.0), F.col("ratio") * factor))
-    order = Window.orderBy(F.desc("ratio"), *[c for c in raked.columns if c.startswith("m_")])
-    capped = F.coalesce(F.sum("tokens").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    rest = F.sum("weight").over(order.rowsBetween(Window.currentRow, Window.unboundedFollowing))
-    out = out.withColumn("factor", (F.col("total") * keep_share - capped) / rest).withColumn("place", F.row_number().over(order))
-    fits = F.min(F.when((F.col("factor") >= 0) & (F.col("factor") * F.col("ratio") <= 1), F.struct("place", "factor"))).over(every)
-    return out.withColumn("probability", F.least(F.lit(1.0), F.coalesce(F.col("ratio") * fits["factor"], F.lit(1.0)))).drop("factor", "place")
+    ratio = F.col("weight") / F.col("tokens")
+    seen = raked.agg(F.max(ratio).alias("most"), F.sum("weight").alias("weight"), F.sum("tokens").alias("tokens")).first()
+    if not seen.most:
+        return raked.withColumn("probability", F.lit(1.0))
+    factor = 1 / seen.most
+    if keep_share is not None:
+        factor = seen.tokens * keep_share / seen.weight
+        while True:
+            capped = F.coalesce(ratio * F.lit(factor) >= 1, F.lit(False))
+            now = raked.agg(F.sum(F.when(capped, F.col("tokens"))).alias("full"), F.sum(F.when(~capped, F.col("weight"))).alias("rest")).first()
+            following = (seen.tokens * keep_share - (now.full or 0)) / now.rest if now.rest else factor
+            if following <= factor:
+                break
+            factor = following
+    return raked.withColumn("probability", F.least(F.lit(1.0), ratio * F.lit(factor)))
 
 
 def uniform(id_col: str, seed: int) -> Column:
@@ -105,8 +112,8 @@ def weighted(docs: DataFrame, targets: Mapping[str, Mapping[str, float]] | None
     (it changes no mix); repeated rows of an id share one decision; an empty table stays empty.
     """
     margins = margins_of(docs, source_col, lang_col, topic_col, text_col)
-    summed = stored(cells(docs, margins, n_tokens(text_col)), "cells").coalesce(1)
-    chances = calibrate(rake(summed, list(margins), targets, alpha, rounds), keep_share)
+    summed = stored(cells(docs, margins, n_tokens(text_col)), "cells")
+    chances = calibrate(stored(rake(summed, list(margins), targets, alpha, rounds), "raked"), keep_share)
     keys = [f"m_{k}" for k in margins]
     known = stored(chances.select(*keys, F.round("probability", 9).alias("probability_")), "chances")
     marked = docs.withColumns({f"m_{k}": F.coalesce(c.cast("string"), F.lit(NONE)) for k, c in margins.items()})
