@@ -16,32 +16,40 @@ import numpy as np
 import pyarrow as pa
 import regex
 from pyspark import TaskContext
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from skein.llm.common import scratch
 
 #: Entries of a worker's caches of encoded pieces; a full cache starts anew.
-CACHE = 700_000
+CACHE = 400_000
+#: Bits that tell whether a piece was seen before; one set by another piece only has a piece kept sooner.
+SIGHT_BITS = 1 << 24
 SCHEMA = "doc_id long, part int, place long, n_tokens long, tokens array<int>"
 
 
 class Cache(dict):
-    """Encoded pieces by text.  A full cache takes no more, as frequent pieces come early, and starts anew once it has
-    missed four times its size."""
+    """Encoded pieces by text, kept from their second sight on, as most pieces come only once.
+
+    A full cache takes no more, since frequent pieces come early, and starts anew once it has missed four times its size.
+    """
 
     def __init__(self, encode):
         super().__init__()
-        self.encode, self.missed = encode, 0
+        self.encode, self.missed, self.seen = encode, 0, bytearray(SIGHT_BITS >> 3)
 
     def keep(self, key: str, value: bytes) -> bytes:
-        if len(self) < CACHE:
+        bit = hash(key) & (SIGHT_BITS - 1)
+        if not self.seen[bit >> 3] >> (bit & 7) & 1:
+            self.seen[bit >> 3] |= 1 << (bit & 7)
+        elif len(self) < CACHE:
             self[key] = value
         else:
             self.missed += 1
             if self.missed > 4 * CACHE:
                 self.clear()
-                self.missed = 0
+                self.missed, self.seen = 0, bytearray(SIGHT_BITS >> 3)
         return value
 
     def __missing__(self, key: str) -> bytes:
@@ -81,10 +89,15 @@ class Encoder:
 
     def atom(self, text: str) -> bytes:
         mapped = text.encode().decode("latin-1").translate(self.letters)
-        return self.atoms.keep(text, np.array([t.id for t in self.model.tokenize(mapped)], "<i4").tobytes())
+        return self.atoms.keep(text, array("i", [t.id for t in self.model.tokenize(mapped)]).tobytes())
 
     def piece(self, text: str) -> bytes:
-        if found := self.word(text):
+        if text.isascii():
+            if text.isalpha():
+                return self.pieces.keep(text, array("i", [t.id for t in self.model.tokenize("\u0120" + text)]).tobytes())
+            if text[-1] in ".," and text[:-1].isalpha():
+                return self.pieces.keep(text, self.pieces[text[:-1]] + self.atoms[text[-1]])
+        elif found := self.word(text):
             word, mark = found.groups()
             if mark:
                 return self.pieces.keep(text, self.pieces[word] + self.atoms[mark])
@@ -125,9 +138,22 @@ def tokenizer_files() -> tuple[str, str]:
     return public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN
 
 
+def dealt_by_range(docs: DataFrame, parts: int) -> DataFrame:
+    """``docs`` in ``parts`` ascending ranges of doc_id, sorted within.  The bounds come from quantiles of the ids alone, so
+    that the texts are read once; equal ids share a part, and null ids are in the first."""
+    cuts = docs.agg(F.percentile_approx("doc_id", F.array(*[F.lit(i / parts) for i in range(1, parts)]), F.lit(100 * parts)).alias("c")).first().c if parts > 1 else None
+    bounds = sorted({float(c) for c in cuts or []})
+    if len(bounds) < 2:
+        return docs.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "text")
+    marked = docs.withColumn("id_", F.coalesce(F.col("doc_id").cast("double"), F.lit(float("-inf"))))
+    marked = Bucketizer(splits=[float("-inf"), *bounds, float("inf")], inputCol="id_", outputCol="range_", handleInvalid="keep").transform(marked)
+    return marked.repartitionById(len(bounds) + 1, F.col("range_").cast("int")).sortWithinPartitions("doc_id", "text").select("doc_id", "text")
+
+
 def encoded(docs: DataFrame, id_col: str, text_col: str, vocabulary: str, pattern: str, end_id: int, parts: int) -> DataFrame:
     """Rows of SCHEMA in ascending doc_id order, part after part; equal ids in the order of their texts."""
-    ordered = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "text")
+    ordered = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    ordered = dealt_by_range(ordered, parts)
 
     def run(batches):
         tool, part, at = encoder(vocabulary, pattern), TaskContext.get().partitionId(), 0
