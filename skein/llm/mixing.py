@@ -105,8 +105,9 @@ def margins_of(docs: DataFrame, source_col: str, lang_col: str, topic_col: str |
     return {"source": F.col(source_col), "lang": F.col(lang_col), "topic": F.col(topic_col) if topic_col else topic(text_col)}
 
 
-def weighted(docs: DataFrame, targets: Mapping[str, Mapping[str, float]] | None = None, alpha: float = 0.7, rounds: int = 8, keep_share: float | None = None, seed: int = 13, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang", topic_col: str | None = None) -> DataFrame:
-    """The documents, all their columns, with topic_, probability_ and sampled_ appended.
+def decided(docs: DataFrame, targets: Mapping[str, Mapping[str, float]] | None = None, alpha: float = 0.7, rounds: int = 8, keep_share: float | None = None, seed: int = 13, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang", topic_col: str | None = None) -> DataFrame:
+    """(doc, topic, probability, sampled): each document as a struct of all its columns, with its margin value, its chance,
+    and whether the sample takes it.
 
     Null source, language or topic is a value of its own; a document whose cell has no tokens gets probability 1
     (it changes no mix); repeated rows of an id share one decision; an empty table stays empty.
@@ -115,30 +116,23 @@ def weighted(docs: DataFrame, targets: Mapping[str, Mapping[str, float]] | None
     summed = stored(cells(docs, margins, n_tokens(text_col)), "cells")
     chances = calibrate(stored(rake(summed, list(margins), targets, alpha, rounds), "raked"), keep_share)
     keys = [f"m_{k}" for k in margins]
-    known = stored(chances.select(*keys, F.round("probability", 9).alias("probability_")), "chances")
-    marked = docs.withColumns({f"m_{k}": F.coalesce(c.cast("string"), F.lit(NONE)) for k, c in margins.items()})
-    return marked.join(known, keys, "left").select(
-        *[docs_column(c) for c in docs.columns], F.col("m_topic").alias("topic_"),
-        F.coalesce("probability_", F.lit(1.0)).alias("probability_"), (uniform(id_col, seed) < F.coalesce("probability_", F.lit(1.0))).alias("sampled_"),
-    )
-
-
-def docs_column(name: str) -> Column:
-    return F.col(f"`{name}`")
+    known = stored(chances.select(*keys, F.round("probability", 9).alias("chance")), "chances")
+    packed = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    marked = docs.select(packed.alias("doc"), uniform(id_col, seed).alias("u"), *[F.coalesce(c.cast("string"), F.lit(NONE)).alias(f"m_{k}") for k, c in margins.items()])
+    chance = F.coalesce("chance", F.lit(1.0))
+    return marked.join(known, keys, "left").select("doc", F.col("m_topic").alias("topic"), chance.alias("probability"), (F.col("u") < chance).alias("sampled"))
 
 
 def sampled(docs: DataFrame, **options) -> DataFrame:
     """The documents, all their columns, that the calibrated sample takes."""
-    return weighted(docs, **options).where("sampled_").select(*[docs_column(c) for c in docs.columns])
+    return decided(docs, **options).where("sampled").select("doc.*")
 
 
 def report(docs: DataFrame, **options) -> DataFrame:
     """One row per document: doc_id, source, lang, topic, n_tokens, probability (6 decimals), sampled."""
-    id_col, text_col = options.get("id_col", "doc_id"), options.get("text_col", "text")
-    return weighted(docs, **options).select(
-        F.col(id_col).alias("doc_id"), F.col(options.get("source_col", "source")).alias("source"), F.col(options.get("lang_col", "lang")).alias("lang"), F.col("topic_").alias("topic"),
-        n_tokens(text_col).alias("n_tokens"), F.round("probability_", 6).alias("probability"), F.col("sampled_").alias("sampled"),
-    )
+    field = lambda name: F.col(f"doc.`{options.get(name + '_col', 'doc_id' if name == 'id' else name)}`")
+    words = F.regexp_count(F.coalesce(field("text"), F.lit("")), F.lit(WORD)).cast("long")
+    return decided(docs, **options).select(field("id").alias("doc_id"), field("source").alias("source"), field("lang").alias("lang"), "topic", words.alias("n_tokens"), F.round("probability", 6).alias("probability"), "sampled")
 
 
 def report_sql(alpha: float = 0.7, rounds: int = 8, seed: int = 13) -> str:

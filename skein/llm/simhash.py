@@ -222,7 +222,7 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Of repeated rows with one id, one stays.  Rows with a null id stay, as nothing names them.
     """
     found = near_duplicates(docs, id_col, text_col, shingle, bits)
-    gone = stored(found.where("doc_id <> component_id").select(F.col("doc_id").alias("gone_")).distinct(), "copies")
-    left = docs.join(gone, docs[id_col] == F.col("gone_"), "left_anti")
+    gone = stored(found.where("doc_id <> component_id").select("doc_id").distinct(), "copies")
+    left = docs.join(gone, docs[id_col] == gone["doc_id"], "left_anti")
     named = left.where(F.col(id_col).isNotNull()).dropDuplicates([id_col])
     return named.unionByName(left.where(F.col(id_col).isNull()))

@@ -47,7 +47,7 @@ def test_chat_escapes_are_reversible():
         assert "\n" not in shape.escape_role(text)
 
 
-DOCS = "doc_id long, text string, lang string, source string, probability int, total int"
+DOCS = "doc_id long, text string, lang string, source string, probability int, m_source int"
 
 
 def mix_docs(spark):
@@ -59,18 +59,18 @@ def mix_docs(spark):
 def test_mixing_meets_targets(spark):
     docs = mix_docs(spark)
     goals = {"source": {"a": 0.3, "b": 0.5, "(none)": 0.2}, "lang": {"en": 0.6, "de": 0.3, "(none)": 0.1}}
-    out = mixing.weighted(docs, goals | {"topic": goals["source"]}, rounds=30, topic_col="source").withColumn("n", mixing.n_tokens("text") * F.col("probability_")).toPandas()
+    out = mixing.decided(docs, goals | {"topic": goals["source"]}, rounds=30, topic_col="source").select("doc.source", "doc.lang", "probability", (mixing.n_tokens("doc.text") * F.col("probability")).alias("n")).toPandas()
     out = out.fillna({"source": "(none)", "lang": "(none)"})
     for margin, shares in goals.items():
         got = out.groupby(margin)["n"].sum() / out["n"].sum()
         assert all(abs(got[k] - v) < 0.02 for k, v in shares.items())
-    assert out["probability_"].max() <= 1
+    assert out["probability"].max() <= 1
 
 
 def test_mixing_keeps_share_and_columns(spark):
     docs = mix_docs(spark)
-    out = mixing.weighted(docs, keep_share=0.7).withColumn("n", mixing.n_tokens("text")).toPandas()
-    assert abs((out["n"] * out["probability_"]).sum() / out["n"].sum() - 0.7) < 0.01
+    out = mixing.decided(docs, keep_share=0.7).select("probability", mixing.n_tokens("doc.text").alias("n")).toPandas()
+    assert abs((out["n"] * out["probability"]).sum() / out["n"].sum() - 0.7) < 0.01
     kept = mixing.sampled(docs, keep_share=0.7)
     assert kept.columns == docs.columns
     assert {r.doc_id for r in kept.collect()} == {r.doc_id for r in mixing.sampled(docs, keep_share=0.7).collect()}
