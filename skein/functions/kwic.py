@@ -26,8 +26,8 @@ def bare(c: Column) -> Column:
 def first_hit(text_words: Column, terms: Column) -> Column:
     """Number from 0 of the first word where a term begins; null if none.  A term's words must be contained, in order, in
     consecutive words, both reduced to ASCII letters, digits and apostrophes."""
-    wanted = F.transform(terms, lambda t: F.transform(F.split(t, r"(?U)\s+"), bare))
-    begins = lambda plain, t, i: F.forall(F.transform(t, lambda x, j: F.struct(x.alias("x"), j.alias("j"))), lambda e: F.coalesce(F.contains(F.get(plain, i + e["j"]), e["x"]), F.lit(False)))
+    wanted = F.transform(terms, lambda t: F.transform(F.split(t, r"(?U)\s+"), lambda x, j: F.struct(bare(x).alias("x"), j.alias("j"))))
+    begins = lambda plain, t, i: F.forall(t, lambda e: F.coalesce(F.contains(F.get(plain, i + e["j"]), e["x"]), F.lit(False)))
     hits = lambda b: F.transform(b["plain"], lambda w, i: F.exists(b["wanted"], lambda t: begins(b["plain"], t, i)))
     at = bound(F.struct(F.transform(text_words, bare).alias("plain"), wanted.alias("wanted")), lambda b: F.array_position(hits(b), True))
     return F.when(at > 0, at.cast("int") - 1)

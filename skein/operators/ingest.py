@@ -20,7 +20,7 @@ COMPOUNDS = (
     "ever-present", "cross-addiction", "step-work", "half-measures", "whole-hearted", "clear-cut", "hard-headed", "open-minded", "all-powerful", "so-called",
 )
 #: A word hyphenated over a paragraph break, and over a line end.
-OVER_PARAGRAPH, OVER_LINE = r"([A-Za-z]+)-\n{2,}[ \t]*([a-z]+)", r"([A-Za-z]+)-\n[ \t]*([A-Za-z]+)"
+OVER_PARAGRAPH, OVER_LINE = r"([A-Za-z]++)-\n{2,}[ \t]*([a-z]+)", r"([A-Za-z]++)-\n[ \t]*([A-Za-z]+)"
 MIN_WORDS, LONG_WORDS, TARGET_WORDS = 20, 300, 150
 #: A word of ASCII letters alone, whatever the regex engine takes for a word boundary.
 ALPHA_WORD = r"(?<![\p{L}\p{N}_])[a-zA-Z]++(?![\p{L}\p{N}_])"
@@ -91,7 +91,7 @@ def joined_lines(rows: DataFrame, key: str, line: str = "kept") -> DataFrame:
 def hyphen_candidates(texts: DataFrame, key: str, pattern: str, text: str = "text") -> DataFrame:
     """(key, place, left, right) of each hyphenated break that a scan from the left finds."""
     pair = F.arrays_zip(F.regexp_extract_all(text, F.lit(pattern), F.lit(1)).alias("left"), F.regexp_extract_all(text, F.lit(pattern), F.lit(2)).alias("right"))
-    return texts.select(key, F.posexplode(pair).alias("place", "p")).select(key, "place", "p.left", "p.right")
+    return texts.where(F.contains(text, F.lit("-\n"))).select(key, F.posexplode(pair).alias("place", "p")).select(key, "place", "p.left", "p.right")
 
 
 def hyphen_decisions(candidates: DataFrame, dictionary: DataFrame | None = None, compounds: Sequence[str] = COMPOUNDS) -> DataFrame:
@@ -122,10 +122,9 @@ def repair_pass(texts: DataFrame, key: str, pattern: str, dictionary: DataFrame
     """(key, text) with each hyphenated break replaced as decided.  Only the candidates are shuffled beside the texts."""
     decided = hyphen_decisions(hyphen_candidates(texts, key, pattern), dictionary)
     told = decided.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("place", "replacement"))).alias("r")).select(key, F.col("r.replacement").alias("replacements"))
-    pieces = F.split("text", pattern, -1)
-    filled = F.zip_with(F.slice(pieces, F.lit(1), F.size(pieces) - 1), F.col("replacements"), lambda a, b: F.concat(a, b))
-    whole = F.concat(F.array_join(filled, ""), F.element_at(pieces, -1))
-    return texts.join(told, key, "left").select(key, F.when(F.col("replacements").isNull(), F.col("text")).otherwise(whole).alias("text"))
+    pieces = F.when(F.col("replacements").isNull(), F.array("text")).otherwise(F.split("text", pattern, -1))
+    filled = F.transform("pieces", lambda p, i: F.concat(p, F.coalesce(F.get("replacements", i), F.lit(""))))
+    return texts.join(told, key, "left").select(key, "replacements", pieces.alias("pieces")).select(key, F.array_join(filled, "").alias("text"))
 
 
 def collapse_lines(text: Column) -> Column:

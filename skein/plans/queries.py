@@ -74,11 +74,11 @@ def benchmark_phrases(spark: SparkSession, d: str) -> DataFrame:
 
 
 def search_phrase_observed(spark: SparkSession, d: str) -> DataFrame:
-    return search.matches(benchmark_phrases(spark, d), ad.passages(spark, d)).select("query_id", "id")
+    return search.matches(benchmark_phrases(spark, d), ad.passages(spark, d), fuzzy=False).select("query_id", "id")
 
 
 def search_phrase_strict(spark: SparkSession, d: str) -> DataFrame:
-    return search.matches(benchmark_phrases(spark, d), ad.passages(spark, d), phrase_mode="strict").select("query_id", "id")
+    return search.matches(benchmark_phrases(spark, d), ad.passages(spark, d), fuzzy=False, phrase_mode="strict").select("query_id", "id")
 
 
 def search_multi_phrase(spark: SparkSession, d: str) -> DataFrame:
