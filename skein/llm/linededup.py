@@ -68,26 +68,26 @@ def texts_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def variants(batches: Iterator[pa.RecordBatch], min_words: int) -> Iterator[pa.RecordBatch]:
-    """(variant, kind, doc_id, line_no, key): kind 0 the line less the word at a place, the place hashed in (equal: a replaced
+    """(variant, kind, doc_id, line_no): kind 0 the line less the word at a place, the place hashed in (equal: a replaced
     word); kind 2 the same without the place and kind 1 the line itself (equal: an inserted or dropped word)."""
-    kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.binary())
+    kinds = (pa.int64(), pa.int8(), pa.int64(), pa.int32())
     hashed = lambda text, seed: signed(xxhash.xxh64_intdigest(text, seed))
     for batch in batches:
         rows = []
 
         def out():
-            columns = zip(*rows, strict=True) if rows else ([], [], [], [], [])  # noqa: B023
-            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["variant", "kind", "doc_id", "line_no", "key"])
+            columns = zip(*rows, strict=True) if rows else ([], [], [], [])  # noqa: B023
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["variant", "kind", "doc_id", "line_no"])
 
-        for key, doc, i, line in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
+        for doc, i, line in zip(*(batch.column(k).to_pylist() for k in range(1, 4)), strict=True):
             words = line.split()
             if len(words) >= min_words - 1:
-                rows.append((hashed(line, 0), 1, doc, i, key))
+                rows.append((hashed(line, 0), 1, doc, i))
             if len(words) >= min_words:
                 for p in range(len(words)):
                     less = b" ".join(words[:p] + words[p + 1 :])
-                    rows.append((hashed(less, p + 1), 0, doc, i, key))
-                    rows.append((hashed(less, 0), 2, doc, i, key))
+                    rows.append((hashed(less, p + 1), 0, doc, i))
+                    rows.append((hashed(less, 0), 2, doc, i))
             if len(rows) > 100_000:
                 yield out()
                 rows.clear()
@@ -124,19 +124,21 @@ def duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     wanted = likely.groupBy(F.col("first.doc_id").alias("doc_id")).agg(F.collect_list(F.struct(F.col("first.line_no").alias("line_no"), "key")).alias("at"))
     texts = named.join(wanted, "doc_id").select("doc_id", "text", F.col("at.line_no"), F.col("at.key"))
     texts = stored(texts.mapInArrow(texts_of, "key binary, doc_id long, line_no int, line binary").dropDuplicates(["key"]), "line_texts")
-    sent = texts.mapInArrow(lambda b: variants(b, min_words), "variant long, kind int, doc_id long, line_no int, key binary").withColumn("at", F.struct("doc_id", "line_no", "key")).select("variant", "kind", "at")
+    sent = texts.mapInArrow(lambda b: variants(b, min_words), "variant long, kind byte, doc_id long, line_no int").withColumn("at", F.struct("doc_id", "line_no")).select("variant", "kind", "at")
     sent = stored(sent, "variants")
     best = sent.groupBy("variant").agg(*[F.min(F.when(F.col("kind") == k, F.col("at"))).alias(f"least{k}") for k in range(3)], F.count("*").alias("n")).where("n > 1").drop("n")
     met = sent.join(best, "variant").select("at", F.when(F.col("kind") == 0, F.col("least0")).when(F.col("kind") == 1, F.col("least2")).otherwise(F.col("least1")).alias("earlier")).where("earlier < at")
-    met = met.groupBy("at").agg(F.min("earlier").alias("earlier")).select(F.col("at.key").alias("key"), F.col("earlier.key").alias("other"), "earlier.doc_id", "earlier.line_no")
+    met = met.groupBy("at").agg(F.min("earlier").alias("earlier")).select("at", "earlier")
 
     def verified(batches):
         for batch in batches:
-            yield batch.filter(pa.array([one_edit(a.split(), b.split()) for a, b in zip(batch.column("line").to_pylist(), batch.column("other_line").to_pylist(), strict=True)], pa.bool_())).select(["key", "doc_id", "line_no"])
+            yield batch.filter(pa.array([one_edit(a.split(), b.split()) for a, b in zip(batch.column("line").to_pylist(), batch.column("other_line").to_pylist(), strict=True)], pa.bool_())).select(["at", "earlier"])
 
-    both = met.join(texts.select("key", "line"), "key").join(texts.select(F.col("key").alias("other"), F.col("line").alias("other_line")), "other")
-    near = both.select("key", "doc_id", "line_no", "line", "other_line").mapInArrow(verified, "key binary, doc_id long, line_no int").select("key", F.struct("doc_id", "line_no").alias("earlier"))
-    targets = distinct.join(near, "key", "left").where("copies > 1 or earlier is not null").select("key", "first", "earlier")
+    place = F.struct("doc_id", "line_no")
+    both = met.join(texts.select(place.alias("at"), "line"), "at").join(texts.select(place.alias("earlier"), F.col("line").alias("other_line")), "earlier")
+    spot = "struct<doc_id:long,line_no:int>"
+    near = both.select("at", "earlier", "line", "other_line").mapInArrow(verified, f"at {spot}, earlier {spot}").select(F.col("at").alias("first"), "earlier").distinct()
+    targets = distinct.join(near, "first", "left").where("copies > 1 or earlier is not null").select("key", "first", "earlier")
     gone = lines.select("key", "doc_id", "line_no", "n_words").join(targets, "key").withColumn("own", F.struct("doc_id", "line_no")).where("own <> first or earlier is not null")
     target = F.coalesce(F.col("earlier"), F.col("first"))
     return gone.select("doc_id", "line_no", "n_words", F.col("earlier").isNotNull().alias("near"), target["doc_id"].alias("earlier_doc_id"), target["line_no"].alias("earlier_line_no"))
@@ -144,9 +146,8 @@ def duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
     """The documents, all their columns, with their duplicate lines taken out of the text."""
-    gone = duplicates(docs, id_col, text_col, min_words).groupBy(F.col("doc_id").alias("gone_id_")).agg(F.collect_set("line_no").alias("gone_lines_"))
-    joined = docs.join(gone, docs[id_col].cast("long") == F.col("gone_id_"), "left")
-    pieces = F.split(F.col(f"`{text_col}`"), "\n", -1)
-    kept = F.filter(F.transform(pieces, lambda line, i: F.struct(line.alias("line"), i.alias("i"))), lambda x: ~F.array_contains(F.col("gone_lines_"), x["i"]))
-    text = F.when(F.col("gone_lines_").isNull(), F.col(f"`{text_col}`")).otherwise(F.array_join(F.transform(kept, lambda x: x["line"]), "\n"))
-    return joined.select(*[text.alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns])
+    gone = duplicates(docs, id_col, text_col, min_words).groupBy("doc_id").agg(F.collect_set("line_no").alias("lines"))
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    kept = F.filter(F.transform(F.split("text", "\n", -1), lambda line, i: F.struct(line.alias("line"), i.alias("i"))), lambda x: ~F.array_contains("lines", x["i"]))
+    text = F.when(F.col("lines").isNull(), F.col("text")).otherwise(F.array_join(F.transform(kept, lambda x: x["line"]), "\n"))
+    return packed.join(gone, "doc_id", "left").withColumn("text", text).select(*[F.col("text").alias(c) if c == text_col else F.col(f"doc.`{c}`") for c in docs.columns])
