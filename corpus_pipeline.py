@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from skein.llm import decontaminate, mixing, quality, simhash, tokens
+from skein.llm import decontaminate, mixing, nearcopies, quality, tokens
 from skein.llm.common import stored, table
 
 #: Share of the tokens that the mixing stage keeps.
@@ -20,8 +20,8 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def no_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates."""
-    return simhash.one_of_each(docs)
+    """One document of each group of near copies: five-word shingles with a Jaccard similarity of 0.8 or more."""
+    return nearcopies.one_of_each(docs)
 
 
 def no_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
