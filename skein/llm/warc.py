@@ -101,30 +101,74 @@ def parsed(data: bytes, at: int) -> tuple[int, dict[str, str], bytes] | str:
     return min(end + len(END), len(data)), head, block
 
 
-def member(data: bytes, at: int) -> tuple[int, dict[str, str], bytes] | str:
-    """The record in the gzip member at ``at``."""
-    tool, plain, end = zlib.decompressobj(31), [], at
+def member(data: bytes, at: int) -> tuple[int, list[tuple[dict[str, str], bytes] | str], str]:
+    """The gzip member at ``at``: its end, its records and why bytes between them are none, and what is wrong with it.
+
+    Of a damaged member, records that inflate before the damage count if they state a digest that holds.
+    """
+    tool, parts, end, wrong = zlib.decompressobj(31), [], at, ""
     try:
         while not tool.eof and end < len(data):
-            plain.append(tool.decompress(data[end : end + (1 << 16)]))
-            end = min(end + (1 << 16), len(data))
+            step = 1 << 16
+            parts.append(tool.decompress(data[end : end + step]))
+            end = min(end + step, len(data))
+    except zlib.error:
+        wrong = "bad gzip member"
+        parts += rest_of(data, at, sum(map(len, parts)))
+    if not tool.eof and not wrong:
+        wrong = "gzip member is cut off"
+    plain, found, place, version = b"".join(parts), [], 0, re.compile(rb"WARC/\d+\.\d+\r?\n")
+    while place < len(plain):
+        one = parsed(plain, place)
+        if not isinstance(one, str) and (not wrong or "warc-block-digest" in one[1]):
+            found.append(one[1:])
+            place = one[0]
+            continue
+        if not found or not isinstance(found[-1], str):
+            found.append(one if isinstance(one, str) else wrong)
+        following = version.search(plain, place + 1)
+        place = following.start() if following else len(plain)
+    return end - len(tool.unused_data), found or ["no version line"], wrong
+
+
+def rest_of(data: bytes, at: int, done: int) -> list[bytes]:
+    """What the damaged member at ``at`` inflates to after ``done`` bytes, fed in small steps up to the damage."""
+    tool, parts, place = zlib.decompressobj(31), [], at
+    try:
+        while not tool.eof and place < len(data):
+            parts.append(tool.decompress(data[place : place + 64]))
+            place += 64
     except zlib.error:
-        return "bad gzip member"
-    if not tool.eof:
-        return "gzip member is cut off"
-    found = parsed(b"".join(plain), 0)
-    return found if isinstance(found, str) else (end - len(tool.unused_data), *found[1:])
+        pass
+    return [b"".join(parts)[done:]]
 
 
 def salvage(data: bytes) -> Iterator[tuple[int, int, dict[str, str] | None, bytes, str]]:
     """Records (start, end, head, block, "") of an archive and quarantined gaps (start, end, None, b"", reason).
 
-    After a failed check the next place that starts a gzip member or a version line, and passes all checks, ends the gap.
+    All records of a gzip member are read, and have the member's place; of a damaged one, those before the damage have its
+    start as start and end, and the member is a gap.  After a failed check the next place that starts a gzip member or a version line, and passes all checks, ends the gap.
     """
     start_mark = re.compile(rb"\x1f\x8b\x08|WARC/\d+\.\d+\r?\n")
     at, gap, why = 0, -1, ""
     while at < len(data):
-        found = member(data, at) if data[at : at + 3] == b"\x1f\x8b\x08" else parsed(data, at)
+        if data[at : at + 3] == b"\x1f\x8b\x08":
+            end, inside, wrong = member(data, at)
+            if any(not isinstance(x, str) for x in inside):
+                if gap >= 0:
+                    yield gap, at, None, b"", why
+                    gap = -1
+                for x in inside:
+                    if not isinstance(x, str):
+                        yield at, at if wrong else end, *x, ""
+                    elif not wrong:
+                        yield at, end, None, b"", x
+                if not wrong:
+                    at = end
+                    continue
+            found = wrong or inside[0]
+        else:
+            found = parsed(data, at)
         if isinstance(found, str):
             if gap < 0:
                 gap, why = at, found
