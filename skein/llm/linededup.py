@@ -157,7 +157,7 @@ def near_lines(named: DataFrame, distinct: DataFrame, min_words: int) -> DataFra
     """
     likely = stored(likely_lines(distinct, min_words), "likely_lines")
     wanted = likely.groupBy("doc_id").agg(F.collect_list(F.struct("line_no", "same", "longer", "shorter")).alias("wanted"))  # a document's lines, beside its text
-    texts = stored(named.join(wanted, "doc_id").select("doc_id", "text", "wanted").mapInArrow(texts_of, TEXTS), "line_texts")
+    texts = stored(named.join(wanted.hint("merge"), "doc_id").select("doc_id", "text", "wanted").mapInArrow(texts_of, TEXTS), "line_texts")
     place = F.struct("doc_id", "line_no")
     sent = stored(texts.mapInArrow(variants, VARIANTS), "variants").select("variant", "less", "own", place.alias("at"))
     best = sent.groupBy("variant").agg(F.min(F.when(~F.col("less"), F.col("at"))).alias("least"), F.min(F.when(F.col("less"), F.col("at"))).alias("least_less"), F.count("*").alias("n")).where("n > 1").drop("n")
