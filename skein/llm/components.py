@@ -2,14 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skein.llm.common import stored
+from skein.llm.common import dropped, spread_join, stored
 
 
 def roots(pairs: np.ndarray) -> np.ndarray:
@@ -34,41 +31,25 @@ def roots(pairs: np.ndarray) -> np.ndarray:
     return np.stack([nodes[moved], nodes[parent[moved]]], axis=1)
 
 
-def star_batches(batches: Iterator[pa.RecordBatch], limit: int = 1 << 20) -> Iterator[pa.RecordBatch]:
-    """Replace the edges of a partition by stars, ``limit`` edges at a time: fewer edges, shorter paths, same components."""
-    held, n = [], 0
-
-    def flush():
-        star = roots(np.concatenate(held)) if held else np.empty((0, 2), np.int64)
-        return pa.RecordBatch.from_arrays([pa.array(star[:, 0]), pa.array(star[:, 1])], names=["u", "v"])
-
-    for batch in batches:
-        held.append(np.stack([batch.column(0).to_numpy(), batch.column(1).to_numpy()], axis=1))
-        n += batch.num_rows
-        if n >= limit:
-            yield flush()
-            held, n = [], 0
-    if held:
-        yield flush()
-
-
 def connected(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """Components of the undirected graph ``edges(u long, v long)``.
 
     Returns (node, component): every node that is not the smallest of its component, with that smallest node.
     A large-star and a small-star step alternate until the edges stop changing; each step is a grouped minimum
-    (combined before the shuffle) and an equi-join, and the edges of each round are written to the shared folder.
-    Loops and repeated edges are allowed; an empty edge table gives no rows.
+    (combined before the shuffle) and an equi-join that deals hubs over many tasks, and the edges of each round are written
+    to the shared folder.  Loops and repeated edges are allowed; an empty edge table gives no rows.
     """
     edges = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct()
     edges, seen = stored(edges, "edges"), None
     for _ in range(max_rounds):
-        sides = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = sides.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = sides.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        # an edge's larger end moves to the smallest neighbour of the smaller end, if that has one below itself
+        below = edges.groupBy(F.col("u").alias("v")).agg(F.min("v").alias("m"))
+        large = stored(spread_join(edges, below, "v", "left").select("u", F.coalesce("m", "v").alias("v")).distinct(), "edges")
+        # then all smaller neighbours of a node move to the smallest of them
         least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e"))
-        edges = stored(small.select("e.u", "e.v").where("u <> v").distinct(), "edges")
+        small = spread_join(large, least, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e"))
+        last, edges = edges, stored(small.select("e.u", "e.v").where("u <> v").distinct(), "edges")
+        dropped(last, large)
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == seen:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("component"))

@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skein.llm.common import pieces, raw, stored
+from skein.llm.common import HOT_SHARE, pieces, raw, spread_join, stored
 from skein.llm.components import connected, roots
 
 #: Bits of a half under the code, and its generator polynomial (fixed values of the binary Golay code).
@@ -26,12 +26,23 @@ CODE_BITS, GENERATOR = 23, 0b101011100011
 HALF_BITS = 32
 #: Fingerprints of an anchor compared all with all; more are first split by bytes of the other half.
 CROWDED = 512
+#: The bits of each byte value.
+BITS = (np.arange(256)[:, None] >> np.arange(8)[None, :] & 1).astype(np.int64)
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The fingerprint of shingle hashes: a bit is 1 if set in over half of them."""
+    split, value = hashes.view(np.uint8).reshape(-1, 8), 0
+    for byte in range(8):
+        ones = np.bincount(split[:, byte], minlength=256) @ BITS
+        for bit in np.flatnonzero(2 * ones > len(hashes)).tolist():
+            value |= 1 << (8 * byte + bit)
+    return value
 
 
 def fingerprints(texts: list[bytes], shingle: int = 3) -> np.ndarray:
     """SimHash of each text: A-Z lower-cased, words between ASCII white space, all ``shingle``-word shingles under
     XXH64 with seed 42; a bit is 1 if set in over half of them.  Fewer words make one shingle, no words give 0."""
-    bits = (np.arange(256)[:, None] >> np.arange(8)[None, :] & 1).astype(np.int64)
     out = np.zeros(len(texts), np.uint64)
     digest, join = xxhash.xxh64_intdigest, b" ".join
     for i, text in enumerate(texts):
@@ -41,15 +52,8 @@ def fingerprints(texts: list[bytes], shingle: int = 3) -> np.ndarray:
         if len(words) <= shingle:
             out[i] = digest(join(words), 42)
             continue
-        n = len(words) - shingle + 1
         grams = map(join, zip(*(words[k:] for k in range(shingle)), strict=False))
-        hashes = np.fromiter((digest(g, 42) for g in grams), np.uint64, n).view(np.uint8).reshape(n, 8)
-        value = 0
-        for byte in range(8):
-            ones = np.bincount(hashes[:, byte], minlength=256) @ bits
-            for bit in np.flatnonzero(2 * ones > n).tolist():
-                value |= 1 << (8 * byte + bit)
-        out[i] = value
+        out[i] = majority(np.fromiter((digest(g, 42) for g in grams), np.uint64, len(words) - shingle + 1))
     return out
 
 
@@ -126,21 +130,18 @@ def links_of_anchor(values: np.ndarray, bits: int, other_shift: int) -> np.ndarr
 
 
 def compare(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.RecordBatch]:
-    """Batches of (key, fp) sorted by key; emits stars (u, v) over fingerprints that link within a key."""
+    """Batches of (key, part, fp) sorted by key and part; emits stars (u, v) over fingerprints that link within both."""
 
     def out(pairs: list[np.ndarray]) -> pa.RecordBatch:
         star = roots(np.concatenate([p.view(np.int64) for p in pairs]))
         return pa.RecordBatch.from_arrays([pa.array(star[:, 0]), pa.array(star[:, 1])], names=["u", "v"])
 
-    carry_key, carry_fp = np.empty(0, np.int64), np.empty(0, np.uint64)
+    now, held = None, []  # the group that may go on in the next batch
     found: list[np.ndarray] = []
 
-    def groups(keys: np.ndarray, fps: np.ndarray) -> None:
-        if not len(keys):
-            return
-        bounds = np.concatenate([[0], np.flatnonzero(np.diff(keys)) + 1, [len(keys)]])
+    def groups(keys: np.ndarray, bounds: np.ndarray, fps: np.ndarray) -> None:
         sizes = np.diff(bounds)
-        small = sizes <= 32  # all these at once: row i against row i + lag of the same key
+        small = sizes <= 32  # all these at once: row i against row i + lag of the same group
         same = np.repeat(np.where(small, np.arange(len(sizes)), -1), sizes)
         lag = 1
         while (pair := (same[lag:] == same[:-lag]) & (same[lag:] >= 0)).any():
@@ -153,18 +154,34 @@ def compare(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.RecordB
             a, b = bounds[g], bounds[g + 1]
             found.append(links_of_anchor(fps[a:b], bits, 32 if keys[a] >> HALF_BITS == 0 else 0))
 
+    def finish() -> None:
+        if held:
+            fps = np.concatenate(held)
+            groups(np.full(len(fps), now[0]), np.array([0, len(fps)]), fps)
+            held.clear()
+
     for batch in batches:
-        keys = np.concatenate([carry_key, batch.column(0).to_numpy()])
-        fps = np.concatenate([carry_fp, batch.column(1).to_numpy().view(np.uint64)])
+        keys, parts, fps = batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(2).to_numpy().view(np.uint64)
         if not len(keys):
             continue
-        last = int(np.searchsorted(keys, keys[-1]))
-        groups(keys[:last], fps[:last])
-        carry_key, carry_fp = keys[last:], fps[last:]
+        bounds = np.concatenate([[0], np.flatnonzero((np.diff(keys) != 0) | (np.diff(parts) != 0)) + 1, [len(keys)]])
+        if (keys[0], parts[0]) != now:
+            finish()
+        first, last = (bounds[1] if held else 0), bounds[-2]
+        if held:
+            held.append(fps[:first])
+            if len(bounds) > 2:
+                finish()
+        if first < len(keys):
+            inner = bounds[(bounds >= first) & (bounds <= last)]
+            if len(inner) > 1:
+                groups(keys[first:last], inner - first, fps[first:last])
+            held.append(fps[last:])
+        now = (keys[-1], parts[-1])
         if sum(map(len, found)) > 1 << 18:
             yield out(found)
             found = []
-    groups(carry_key, carry_fp)
+    finish()
     if found:
         yield out(found)
 
@@ -181,7 +198,10 @@ def fingerprint_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
 
 
 def links(distinct: DataFrame, bits: int = 3) -> DataFrame:
-    """Edges (u, v) that join, into the right components, all fingerprints ``fp`` within ``bits`` <= 3 of each other."""
+    """Edges (u, v) that join, into the right components, all fingerprints ``fp`` within ``bits`` <= 3 of each other.
+
+    A hot anchor is dealt over many tasks by the bytes of the other half, one of which is equal in fingerprints within 3 bits.
+    """
     if not 0 <= bits <= 3:
         raise ValueError("two halves and a threshold of one bit in each cover up to 3 bits")
 
@@ -196,7 +216,12 @@ def links(distinct: DataFrame, bits: int = 3) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array(keys[a : a + (1 << 16)] | k << HALF_BITS), pa.array(fps[rows[a : a + (1 << 16)]])], names=["key", "fp"])
 
     sent = distinct.select("fp").mapInArrow(replicate, "key long, fp long")
-    return sent.repartition("key").sortWithinPartitions("key").mapInArrow(lambda batches: compare(batches, bits), "u long, v long")
+    # a fingerprint has at most 32 anchors, so at most 32 * HOT_SHARE anchors are near more than one in HOT_SHARE of the fingerprints
+    hot = F.broadcast(sent.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") * HOT_SHARE > distinct.count()).select("key", F.lit(True).alias("hot")))
+    other = F.when(F.col("key") < 1 << HALF_BITS, F.shiftrightunsigned("fp", 32)).otherwise(F.col("fp"))
+    by_byte = F.array(*[F.shiftrightunsigned(other, 8 * k).bitwiseAND(F.lit(255)) + F.lit(256 * k) for k in range(4)])
+    dealt = sent.join(hot, "key", "left").select("key", F.explode(F.when(F.col("hot"), by_byte).otherwise(F.array(F.lit(-1).cast("long")))).alias("part"), "fp")
+    return dealt.repartition("key", "part").sortWithinPartitions("key", "part").mapInArrow(lambda batches: compare(batches, bits), "u long, v long")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, bits: int = 3) -> DataFrame:
@@ -205,24 +230,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Fingerprints that differ in ``bits`` or fewer bits are linked; exact copies share one fingerprint and are
     compared once.  Null and empty texts have fingerprint zero and link like any other.  Rows with a null doc_id
     take part and carry the component of their fingerprint, which is null only if no document in it has an id.
-    Repeated rows each get their row.
+    Repeated rows each get their row.  Texts of any length are hashed whole; an empty table gives no rows; other columns may
+    have any names.
     """
     table = stored(fingerprint_table(docs, id_col, text_col, shingle), "simhash")
-    distinct = stored(table.groupBy("fp").agg(F.min("doc_id").alias("least")), "fingerprints")
+    distinct = stored(table.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n_")), "fingerprints")
     nodes = connected(links(distinct, bits))
-    joined = distinct.join(nodes, distinct.fp == nodes.node, "left").select("fp", "least", F.coalesce("component", "fp").alias("component"))
+    joined = stored(distinct.join(nodes, distinct.fp == nodes.node, "left").select("fp", "least", F.coalesce("component", "fp").alias("component")), "joined_fingerprints")
     smallest = joined.groupBy("component").agg(F.min("least").alias("component_id"))
-    of_fp = joined.join(smallest, "component").select("fp", "component_id")
-    return table.join(of_fp, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
-
-
-def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, bits: int = 3) -> DataFrame:
-    """The documents, all their columns, without those that link to one with a smaller id: one of each group stays.
-
-    Of repeated rows with one id, one stays.  Rows with a null id stay, as nothing names them.
-    """
-    found = near_duplicates(docs, id_col, text_col, shingle, bits)
-    gone = stored(found.where("doc_id <> component_id").select("doc_id").distinct(), "copies")
-    left = docs.join(gone, docs[id_col] == gone["doc_id"], "left_anti")
-    named = left.where(F.col(id_col).isNotNull()).dropDuplicates([id_col])
-    return named.unionByName(left.where(F.col(id_col).isNull()))
+    of_fp = spread_join(joined.select("fp", "component"), smallest, "component").select("fp", "component_id")
+    whole = spread_join(table, of_fp, "fp", counts=distinct.select("fp", "n_"))
+    return whole.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

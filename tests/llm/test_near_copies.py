@@ -53,14 +53,29 @@ def test_stage_drops_near_copies(spark):
     assert pipeline.no_near_copies(spark, docs.where("false"), "").count() == 0
 
 
-def test_join_is_exact():
-    texts = near_texts(2, 6, 12)
-    parent = list(range(len(texts)))
-    for i, j in nearcopies.alike([nearcopies.shingles(t.encode()) for t in texts]):
-        assert jaccard(texts[i], texts[j]) >= 0.8
-        a, b = parent[i], parent[j]
-        parent = [min(a, b) if p in (a, b) else p for p in parent]
-    assert parent == groups_of(texts)
+@pytest.mark.parametrize(("pivots", "outer", "members", "many"), [(2, 1024, 4096, 4096), (1, 3, 5, 4096), (1, 3, 5, 0)])
+def test_buckets_are_compared_exactly(spark, monkeypatch, pivots, outer, members, many):
+    """All texts in one bucket, whichever way it is finished: the components of brute force."""
+    for name, value in {"PIVOTS": pivots, "OUTER": outer, "MEMBERS": members, "MANY": many}.items():
+        monkeypatch.setattr(nearcopies, name, value)
+    texts = near_texts(2, 5, 9)
+    boiler = [f"b{i}" for i in range(60)]  # half of each of these is the same
+    texts += [" ".join(boiler + [f"own{k}x{i}" for i in range(60)]) for k in range(6)]
+    held = spark.createDataFrame(list(enumerate(texts)), "node long, text string")
+    buckets = nearcopies.stored(held.selectExpr("7L AS key", "node"), "one")
+    got = {r.node: r.component for r in nearcopies.links(buckets, held, 5, 0.8).collect()}
+    expected = groups_of(texts)
+    assert {i: got.get(i, i) for i in range(len(texts))} == dict(enumerate(expected))
+    assert set(got) == {i for i, c in enumerate(expected) if expected.count(c) > 1}
+
+
+def test_rare_shingles_meet(spark):
+    texts = near_texts(4, 4, 6)
+    held = spark.createDataFrame(list(enumerate(texts)), "node long, text string")
+    keys = {}
+    for r in nearcopies.rare_shingles(held.select("node"), held, 5, 0.8).collect():
+        keys.setdefault(r.node, set()).add(r.key)
+    assert all(keys[i] & keys[j] for i in range(len(texts)) for j in range(i) if jaccard(texts[i], texts[j]) >= 0.8)
 
 
 def test_bands_meet_at_the_bound():

@@ -128,18 +128,13 @@ def test_simhash(spark):
     expected = components(links, range(len(fps)))
     got = {r.doc_id: (r.fingerprint, r.component_id) for r in simhash.near_duplicates(frame(spark, texts).repartition(3)).collect()}
     assert got == {i: (f"{f:016x}", expected[i]) for i, f in enumerate(fps)}
-    kept = simhash.one_of_each(frame(spark, texts))
-    assert kept.columns == ["doc_id", "text", "n_words", "fp", "key"]
-    assert {r.doc_id for r in kept.collect()} == set(expected.values())
 
 
 def test_simhash_ids_and_empty_tables(spark):
     docs = frame(spark, ["a b c d", "a b c d", "a b c d", "z z y", "z z y"], [None, 4, 4, None, None])
     got = sorted(str((r.doc_id, r.component_id)) for r in simhash.near_duplicates(docs).collect())
     assert got == ["(4, 4)", "(4, 4)", "(None, 4)", "(None, None)", "(None, None)"]
-    assert sorted(str(r.doc_id) for r in simhash.one_of_each(docs).collect()) == ["4", "None", "None", "None"]
     assert simhash.near_duplicates(docs.where("false")).count() == 0
-    assert simhash.one_of_each(docs.where("false")).count() == 0
 
 
 def test_anchors_cover():
