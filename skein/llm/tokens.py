@@ -7,10 +7,10 @@ over one row per part, so no task ever sees all documents.
 
 from __future__ import annotations
 
+import json
 import re
 import sys
 import zlib
-from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -22,38 +22,59 @@ from pyspark.sql import functions as F
 
 from skein.llm.common import scratch
 
-#: Entries of a worker's caches of encoded pieces; a full cache starts anew.
-CACHE = 400_000
-#: Bits that tell whether a piece was seen before; one set by another piece only has a piece kept sooner.
-SIGHT_BITS = 1 << 24
+#: Bytes that each of a worker's two caches of encoded pieces may take, about, and misses after which a full one starts anew.
+#: Longer pieces than LONG_PIECE characters aren't kept.  Marks that tell whether a piece was seen before; one set by another
+#: piece only has a piece kept sooner.
+CACHE_BYTES, MISSES, LONG_PIECE, SIGHTS = 48 << 20, 2_000_000, 200, 1 << 22
+#: Bytes of text in a part, about, where the session's number of shuffle partitions gives larger ones; parts whose bounds are
+#: found by quantiles, and parts of any table, at most.
+PART_BYTES, QUANTILES, MOST_PARTS = 128 << 20, 4096, 1 << 20
 SCHEMA = "doc_id long, part int, place long, n_tokens long, tokens array<int>"
 
 
-class Cache(dict):
+class Cache:
     """Encoded pieces by text, kept from their second sight on, as most pieces come only once.
 
-    A full cache takes no more, since frequent pieces come early, and starts anew once it has missed four times its size.
+    A full cache takes no more, since frequent pieces come early, and starts anew once it has missed many.
     """
 
     def __init__(self, encode):
-        super().__init__()
-        self.encode, self.missed, self.seen = encode, 0, bytearray(SIGHT_BITS >> 3)
-
-    def keep(self, key: str, value: bytes) -> bytes:
-        bit = hash(key) & (SIGHT_BITS - 1)
-        if not self.seen[bit >> 3] >> (bit & 7) & 1:
-            self.seen[bit >> 3] |= 1 << (bit & 7)
-        elif len(self) < CACHE:
-            self[key] = value
+        self.held, self.encode, self.room, self.missed, self.seen = {}, encode, CACHE_BYTES, 0, bytearray(SIGHTS)
+
+    def __getitem__(self, key: str) -> bytes:
+        value = self.held.get(key)
+        return self.kept(key, self.encode(key)) if value is None else value
+
+    def kept(self, key: str, value: bytes) -> bytes:
+        at = hash(key) & SIGHTS - 1
+        if not self.seen[at]:
+            self.seen[at] = 1
+        elif self.room > 0:
+            if len(key) <= LONG_PIECE and key not in self.held:
+                self.room -= 180 + 2 * len(key) + len(value)  # objects and their place in the table
+                self.held[key] = value
         else:
             self.missed += 1
-            if self.missed > 4 * CACHE:
-                self.clear()
-                self.missed, self.seen = 0, bytearray(SIGHT_BITS >> 3)
+            if self.missed > MISSES:
+                self.held.clear()
+                self.room, self.missed, self.seen = CACHE_BYTES, 0, bytearray(SIGHTS)
         return value
 
-    def __missing__(self, key: str) -> bytes:
-        return self.encode(key)
+    def all(self, keys: list[str]) -> list[bytes]:
+        """The values of ``keys``, whose usual case is that the cache has them."""
+        out = list(map(self.held.get, keys))
+        if None in out:
+            seen, encode, last = self.seen, self.encode, SIGHTS - 1
+            for i, value in enumerate(out):
+                if value is None:
+                    key = keys[i]
+                    out[i] = value = encode(key)
+                    if seen[hash(key) & last]:
+                        self.kept(key, value)
+                        seen = self.seen
+                    else:
+                        seen[hash(key) & last] = 1
+        return out
 
 
 def byte_letters() -> dict[int, str]:
@@ -65,47 +86,63 @@ def byte_letters() -> dict[int, str]:
 
 
 class Encoder:
-    """Encodes whole texts with a byte-level BPE of the tokenizers library.
-
-    The pre-tokenizer always cuts before a single space that precedes a non-space, so a text's ids are those of its
-    pieces between such places, one after another.  A piece of Latin letters is one pre-token and goes straight to the
-    library's BPE model; one of other common characters is cut by the pre-token pattern first; any other piece, and any
-    text in which a space stands before white space or at the end, is given to the library as a whole.
+    """Encodes whole texts as ``encode(text, add_special_tokens=False)`` of the tokenizers library does.
+
+    With a byte-level BPE, the pre-tokenizer always cuts before a single space that precedes a non-space, and around a single
+    line feed between non-spaces, so a text's ids are those of its pieces between such places, one after another.  A piece of
+    Latin letters is one pre-token and goes straight to the library's BPE model; one of other common characters is cut by the
+    pre-token pattern first; any other piece, any text in which a space or line feed stands beside other white space or at an
+    end, and any text that has the string of an added token, is given to the library as a whole.  So is every text if the
+    file has any other kind of tokenizer.
     """
 
     def __init__(self, path: str, pattern: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self.model, self.letters = self.tokenizer.model, byte_letters()
+        self.by_pieces = byte_level(path)
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.pattern = regex.compile(pattern)
-        self.odd_space = re.compile(r" (?:\s|$)")
+        self.two_spaces = re.compile(r"\s\s")
         latin = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u017f"
         self.word = re.compile(f"([{latin}]+)([.,]?)").fullmatch
         self.common = re.compile(f"[!-~\n{latin}]+").fullmatch
-        self.pieces = Cache(self.piece)  # by piece without its leading space
+        self.four = [i.to_bytes(4, "little") for i in range(1 + max(self.tokenizer.get_vocab().values()))]
+        self.join, self.line_feed = b"".join, self.whole("\n")
+        self.pieces = Cache(self.piece)  # without their leading space, or with their leading line feed
         self.atoms = Cache(self.atom)  # by pre-token
 
+    def modelled(self, mapped: str) -> bytes:
+        four = self.four
+        return self.join([four[t.id] for t in self.model.tokenize(mapped)])
+
     def atom(self, text: str) -> bytes:
-        mapped = text.encode().decode("latin-1").translate(self.letters)
-        return self.atoms.keep(text, array("i", [t.id for t in self.model.tokenize(mapped)]).tobytes())
+        return self.modelled(text if text.isascii() and text.isalpha() else text.encode().decode("latin-1").translate(self.letters))
 
     def piece(self, text: str) -> bytes:
         if text.isascii():
             if text.isalpha():
-                return self.pieces.keep(text, array("i", [t.id for t in self.model.tokenize("\u0120" + text)]).tobytes())
+                four = self.four
+                return self.join([four[t.id] for t in self.model.tokenize("\u0120" + text)])
             if text[-1] in ".," and text[:-1].isalpha():
-                return self.pieces.keep(text, self.pieces[text[:-1]] + self.atoms[text[-1]])
+                return self.pieces[text[:-1]] + self.atoms[text[-1]]
         elif found := self.word(text):
             word, mark = found.groups()
             if mark:
-                return self.pieces.keep(text, self.pieces[word] + self.atoms[mark])
-            mapped = "\u0120" + text.encode().decode("latin-1").translate(self.letters)
-            return self.pieces.keep(text, array("i", [t.id for t in self.model.tokenize(mapped)]).tobytes())
+                return self.pieces[word] + self.atoms[mark]
+            return self.modelled("\u0120" + text.encode().decode("latin-1").translate(self.letters))
+        if text[0] == "\n":
+            return self.line_feed + (self.atoms[text[1:]] if text[1:].isascii() and text[1:].isalpha() else self.begun(text[1:]))
         if self.common(text):
-            return self.pieces.keep(text, b"".join([self.pieces[a[1:]] if a[0] == " " and a[1:] != text else self.atoms[a] for a in self.pattern.findall(" " + text)]))
-        return self.pieces.keep(text, self.whole(" " + text))
+            return self.join([self.pieces[a[1:]] if a[0] == " " and a[1:] != text else self.atoms[a] for a in self.pattern.findall(" " + text)])
+        return self.whole(" " + text)
+
+    def begun(self, text: str) -> bytes:
+        """A piece that begins a text or a line."""
+        if self.common(text):
+            return self.join([self.atoms[a] for a in self.pattern.findall(text)])
+        return self.whole(text)
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<i4").tobytes()
@@ -114,15 +151,26 @@ class Encoder:
         """The ids as little-endian 32-bit integers."""
         if not text:
             return b""
-        if self.odd_space.search(text):
+        odd = not self.by_pieces or text[0] == "\n" or text[-1].isspace() or self.two_spaces.search(text)
+        if odd or any(t in text for t in self.added):
             return self.whole(text)
-        first, *rest = text.split(" ")
-        return (self.whole(first) if first else b"") + b"".join(map(self.pieces.__getitem__, rest))
+        first, *rest = text.replace("\n", " \n").split(" ")
+        return (self.begun(first) if first else b"") + self.join(self.pieces.all(rest))
 
     def batch(self, texts: list[str | None]) -> list[bytes]:
         return [self.text(t) for t in texts]
 
 
+def byte_level(path: str) -> bool:
+    """Whether a tokenizer file has a byte-level BPE whose ids don't depend on what is around a piece."""
+    with open(path, encoding="utf-8") as file:
+        told = json.load(file)
+    cut, model = told["pre_tokenizer"] or {}, told["model"]
+    plain = model["type"] == "BPE" and not any(model.get(k) for k in ("dropout", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback"))
+    whole = not any(told.get(k) for k in ("normalizer", "truncation", "padding", "post_processor"))
+    return plain and whole and cut.get("type") == "ByteLevel" and not cut.get("add_prefix_space") and cut.get("use_regex", True)
+
+
 def encoder(path: str, pattern: str) -> Encoder:
     """One encoder for each worker process, whose caches outlive the task."""
     held = sys.__dict__.setdefault("_skein_encoders", {})
@@ -138,10 +186,19 @@ def tokenizer_files() -> tuple[str, str]:
     return public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN
 
 
+def part_count(docs: DataFrame) -> int:
+    """Parts for all texts: the session's number of shuffle partitions, or more if parts would be larger than PART_BYTES by
+    the planner's figure, which for stored documents is the size of their files."""
+    size = int(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(MOST_PARTS, -(-size // PART_BYTES)))
+
+
 def dealt_by_range(docs: DataFrame, parts: int) -> DataFrame:
     """``docs`` in ``parts`` ascending ranges of doc_id, sorted within.  The bounds come from quantiles of the ids alone, so
-    that the texts are read once; equal ids share a part, and null ids are in the first."""
-    cuts = docs.agg(F.percentile_approx("doc_id", F.array(*[F.lit(i / parts) for i in range(1, parts)]), F.lit(100 * parts)).alias("c")).first().c if parts > 1 else None
+    that the texts are read once, or for very many parts from Spark's own sample; equal ids share a part, and null ids are in
+    the first."""
+    by_quantiles = 1 < parts <= QUANTILES
+    cuts = docs.agg(F.percentile_approx("doc_id", F.array(*[F.lit(i / parts) for i in range(1, parts)]), F.lit(100 * parts)).alias("c")).first().c if by_quantiles else None
     bounds = sorted({float(c) for c in cuts or []})
     if len(bounds) < 2:
         return docs.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "text")
@@ -150,10 +207,10 @@ def dealt_by_range(docs: DataFrame, parts: int) -> DataFrame:
     return marked.repartitionById(len(bounds) + 1, F.col("range_").cast("int")).sortWithinPartitions("doc_id", "text").select("doc_id", "text")
 
 
-def encoded(docs: DataFrame, id_col: str, text_col: str, vocabulary: str, pattern: str, end_id: int, parts: int) -> DataFrame:
+def encoded(docs: DataFrame, id_col: str, text_col: str, vocabulary: str, pattern: str, end_id: int, parts: int | None) -> DataFrame:
     """Rows of SCHEMA in ascending doc_id order, part after part; equal ids in the order of their texts."""
-    ordered = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    ordered = dealt_by_range(ordered, parts)
+    ordered = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
+    ordered = dealt_by_range(ordered, parts or part_count(ordered))
 
     def run(batches):
         tool, part, at = encoder(vocabulary, pattern), TaskContext.get().partitionId(), 0
@@ -174,13 +231,14 @@ def encoded(docs: DataFrame, id_col: str, text_col: str, vocabulary: str, patter
 def write(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", vocabulary: str | None = None, pattern: str | None = None, end_id: int = 0, parts: int | None = None, stripe_bytes: int = 64 << 20, index_stride: int = 1000) -> None:
     """Encode every whole text and write ORC files, ids ascending over the files in the order of ``part``.
 
-    A null text is empty and holds the end id alone; rows with a null doc_id come first, as null sorts; rows with
-    equal ids are all written.  ORC keeps the ids as run-length encoded integers, an index entry with minima and
+    Strings of special tokens in a text become those tokens, as the library does without further settings.  A null text is
+    empty and holds the end id alone; rows with a null doc_id come first, as null sorts; rows with equal ids are all written,
+    in the order of their texts; texts of any length are encoded whole; an empty table gives files without rows; other
+    columns may have any names.  ORC keeps the ids as run-length encoded integers, an index entry with minima and
     maxima for every ``index_stride`` rows, and a Bloom filter of doc_id beside it.
     """
     default = tokenizer_files() if vocabulary is None or pattern is None else (None, None)
-    spark = docs.sparkSession
-    rows = encoded(docs, id_col, text_col, vocabulary or default[0], pattern or default[1], end_id, parts or int(spark.conf.get("spark.sql.shuffle.partitions")))
+    rows = encoded(docs, id_col, text_col, vocabulary or default[0], pattern or default[1], end_id, parts)
     (
         rows.write.option("compression", "zstd").option("orc.create.index", "true").option("orc.row.index.stride", index_stride)
         .option("orc.stripe.size", stripe_bytes).option("orc.bloom.filter.columns", "doc_id").option("orc.bloom.filter.fpp", "0.01").orc(path)

@@ -179,7 +179,6 @@ def test_tokens(spark):
     texts = ["a b", None, "", "two  spaces ", "don't\n\nstop <|endoftext|> é 中文 x y", "long words " * 20000, "a b"]
     ids = [3, 9, 1, None, 7, 5, 3]
     tool = Tokenizer.from_file(tokens.tokenizer_files()[0])
-    tool.encode_special_tokens = True
     rows = sorted(zip(ids, texts, strict=True), key=lambda r: (r[0] is not None, r[0] or 0, r[1] or ""))
     at, expected = 0, []
     for doc, text in rows:
