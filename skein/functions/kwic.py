@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from skein.functions.text import escape_html, escape_regex, words
 
+#: Tags around a hit (fixed format).
 MARK, END_MARK = '<mark><span class="sr-only">highlighted: </span>', "</mark>"
 #: Private-use characters that stand for the tags while the text is escaped.
 OPEN, CLOSE = "\ue000", "\ue001"

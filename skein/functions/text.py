@@ -9,11 +9,14 @@ from pyspark.sql import functions as F
 APOSTROPHES = "'‘’ʼ"
 #: Between tokens: line ends, Unicode spaces and punctuation; tabs and symbols don't separate.
 TOKEN_BREAK = r"[\n\r\p{Z}\p{P}]+"
+#: White space of a client's script (fixed values).
+SCRIPT_SPACE = r"\t\n\x0B\f\r \u00A0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000\uFEFF"
 FUZZINESS, MAX_RADIUS = 0.2, 6
 #: Ligatures and what they stand for, three-letter ones first (fixed values).
 LIGATURES = (("ﬃ", "ffi"), ("ﬄ", "ffl"), ("ﬀ", "ff"), ("ﬁ", "fi"), ("ﬂ", "fl"), ("ﬅ", "st"), ("ﬆ", "st"), ("ǳ", "dz"))
 #: Quotes and the straight ones that replace them (fixed values).
 QUOTES = ("‘’‚‛“”„", "''''" + '"""')
+#: Labels that a source list shows for its codes (fixed values).
 SITE_LABELS = {
     "copyright": {"public-domain": "Public domain", "protected": "Protected", "unknown": "Unknown"},
     "display_mode": {"full-text": "Full text", "concordance-only": "Concordance only", "snippet": "Snippet"},
@@ -25,6 +28,11 @@ def trimmed(c: Column) -> Column:
     return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
 
 
+def unpadded(c: Column) -> Column:
+    """Without the white space of a client's script at both ends."""
+    return F.regexp_replace(c, f"^[{SCRIPT_SPACE}]+|[{SCRIPT_SPACE}]+$", "")
+
+
 def collapsed(c: Column) -> Column:
     """Each run of white space as one space, trimmed."""
     return F.trim(F.regexp_replace(c, r"(?U)\s+", " "))
@@ -145,13 +153,21 @@ def normalize_text(c: Column) -> Column:
     return collapse_blanks(space_dashes(straighten_quotes(expand_ligatures(unix_lines(c)))))
 
 
+def component(c: Column) -> Column:
+    """A text as a component of a URL, as a client's script encodes it."""
+    out = F.url_encode(c)
+    for code, sign in (("+", "%20"), ("%21", "!"), ("%27", "'"), ("%28", "("), ("%29", ")"), ("%7E", "~")):
+        out = F.replace(out, F.lit(code), F.lit(sign))
+    return out
+
+
 def link(template: Column, data: Column) -> Column:
     """``{{name}}`` places of a link template filled from a map, URL-encoded; names without value stay."""
     return F.aggregate(F.map_entries(data), template, lambda t, e: F.replace(t, F.concat(F.lit("{{"), e["key"], F.lit("}}")), F.coalesce(F.url_encode(e["value"]), F.lit(""))))
 
 
 def share_link(base: Column, q: Column) -> Column:
-    return F.concat(base, F.lit("?q="), F.replace(F.url_encode(q), F.lit("+"), F.lit("%20")))
+    return F.concat(base, F.lit("?q="), component(q))
 
 
 def query_of_link(url: Column) -> Column:

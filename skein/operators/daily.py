@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from skein.functions.text import collapsed, date_label, teaser
 
+#: Names of the months, and a line with a month and a day (fixed formats).
 MONTHS = ("JANUARY", "FEBRUARY", "MARCH", "APRIL", "MAY", "JUNE", "JULY", "AUGUST", "SEPTEMBER", "OCTOBER", "NOVEMBER", "DECEMBER")
 DATE_LINE = rf"(?i)^({'|'.join(MONTHS)})\s+(\d{{1,2}})"
 SOURCE_ID = "daily-reflections"
@@ -45,6 +46,11 @@ def by_date(passages: DataFrame, month_day: str) -> DataFrame:
     return passages.where((F.col("source_id") == SOURCE_ID) & (F.col("date") == month_day)).orderBy("sequence", "id").limit(1)
 
 
+def dry_run(calendar: DataFrame) -> DataFrame:
+    """The first date alone: what a trial run fetches."""
+    return calendar.orderBy("date").limit(1)
+
+
 def missing(calendar: DataFrame, existing: DataFrame) -> DataFrame:
     """Dates still to fetch."""
     return calendar.join(existing.select("date"), "date", "left_anti")

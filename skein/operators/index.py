@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skein.functions.text import tokenize
 
 FIELDS = ("text", "title", "chapter_ref")
+#: Ranges that a frequent term's postings are dealt over.
+SPLITS = 16
 
 
 def indexed(passages: DataFrame, sources: DataFrame) -> DataFrame:
@@ -27,9 +31,37 @@ def token_places(passages: DataFrame) -> DataFrame:
     return passages.select("id", "source_id", F.explode(fields).alias("f")).select("id", "source_id", "f.field", F.posexplode("f.tokens").alias("pos", "term"))
 
 
+class Index(NamedTuple):
+    """What a search reads: postings (term, field, id, source_id, tf, places), vocabulary (term, passages) and passages."""
+
+    postings: DataFrame
+    vocabulary: DataFrame
+    passages: DataFrame
+    stored: bool = False
+
+
+def of(passages: DataFrame) -> Index:
+    """The index of passages that aren't stored: computed when it is read."""
+    return Index(postings(passages), vocabulary(passages), passages)
+
+
 def postings(passages: DataFrame) -> DataFrame:
-    """(term, field, id, source_id, tf).  Counts are made per passage before anything is shuffled."""
-    return token_places(passages).groupBy("term", "field", "id", "source_id").agg(F.count("*").alias("tf"))
+    """(term, field, id, source_id, tf, places), sorted by term in ascending ranges of terms.
+
+    One shuffle brings a term's places together; a frequent term is dealt over several ranges by its passages.
+    """
+    rows = token_places(passages).withColumn("split", F.pmod(F.xxhash64("id"), F.lit(SPLITS)).cast("int")).repartitionByRange("term", "split")
+    found = rows.groupBy("term", "split", "field", "id", "source_id").agg(F.array_sort(F.collect_list("pos")).alias("places"))
+    return found.select("term", "field", "id", "source_id", F.size("places").alias("tf"), "places").sortWithinPartitions("term", "field", "id")
+
+
+def term_counts(passages: DataFrame) -> DataFrame:
+    """(term, field, passages, times).  Both numbers are summed up per task before the one shuffle."""
+    fields = F.array(*[F.struct(F.lit(f).alias("field"), tokenize(F.col(f)).alias("tokens")) for f in FIELDS])
+    rows = passages.select(F.explode(fields).alias("f")).select("f.field", "f.tokens")
+    one = lambda tokens, p, t: F.transform(tokens, lambda x: F.struct(x.alias("term"), F.lit(p).alias("p"), F.lit(t).alias("t")))
+    seen = rows.select("field", F.explode(F.concat(one(F.array_distinct("tokens"), 1, 0), one(F.col("tokens"), 0, 1))).alias("x"))
+    return seen.groupBy("x.term", "field").agg(F.sum("x.p").alias("passages"), F.sum("x.t").alias("times"))
 
 
 def vocabulary(passages: DataFrame) -> DataFrame:

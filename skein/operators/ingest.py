@@ -9,9 +9,9 @@ from collections.abc import Sequence
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, StringType
+from pyspark.sql.types import StringType
 
-from skein.functions.text import n_words, page_ref, passage_id, trimmed
+from skein.functions.text import n_words, normalize_text, page_number, page_ref, passage_id, trimmed, words
 from skein.sources.files import PAGE_MARKER
 
 #: Compounds that keep their hyphen (fixed values).
@@ -19,9 +19,15 @@ COMPOUNDS = (
     "self-will", "self-pity", "self-seeking", "self-centered", "self-knowledge", "self-deception", "self-reliance", "well-being", "well-known", "god-given", "god-consciousness",
     "ever-present", "cross-addiction", "step-work", "half-measures", "whole-hearted", "clear-cut", "hard-headed", "open-minded", "all-powerful", "so-called",
 )
-#: A word hyphenated over a paragraph break, and over a line end.
+#: Names of the decisions about a hyphenated break, in the order in which they are tried (fixed values).
+DECISIONS = ("custom compound", "dict match", "dict hyphenated", "no vowel (abbrev)", "default join")
+#: A word hyphenated over a paragraph break, and over a line end (fixed formats; the possessive ``++`` only keeps a long run of
+#: letters from being tried at each of its letters).
 OVER_PARAGRAPH, OVER_LINE = r"([A-Za-z]++)-\n{2,}[ \t]*([a-z]+)", r"([A-Za-z]++)-\n[ \t]*([A-Za-z]+)"
+#: Words that a paragraph must have, from which it is split, and that a part should have (fixed values).
 MIN_WORDS, LONG_WORDS, TARGET_WORDS = 20, 300, 150
+#: Passages that a report names, at most.
+REPORTED = 1000
 #: A word of ASCII letters alone, whatever the regex engine takes for a word boundary.
 ALPHA_WORD = r"(?<![\p{L}\p{N}_])[a-zA-Z]++(?![\p{L}\p{N}_])"
 
@@ -46,34 +52,39 @@ def repair_encoding(texts: pd.Series) -> pd.Series:
     return texts.map(one)
 
 
-def lines(texts: DataFrame, key: str, text: str = "text") -> DataFrame:
-    """(key, line_no, line) from 0."""
-    return texts.select(key, F.posexplode(F.split(text, "\n")).alias("line_no", "line"))
+def listed(key: str | Sequence[str]) -> list[str]:
+    return [key] if isinstance(key, str) else list(key)
 
 
-def boundary_lines(rows: DataFrame, key: str, least: int = 3, longest: int = 40) -> DataFrame:
-    """(key, stripped, times): short lines that stand within two lines of page markers ``least`` times or more.
+def lines(texts: DataFrame, key: str | Sequence[str], text: str = "text") -> DataFrame:
+    """(key, line_no, line) from 0.  A key is a column or several."""
+    return texts.select(*listed(key), F.posexplode(F.split(text, "\n")).alias("line_no", "line"))
+
+
+def boundary_lines(rows: DataFrame, key: str | Sequence[str], least: int = 3, longest: int = 40, of: str | None = None) -> DataFrame:
+    """(of, stripped, times): short lines that stand within two lines of page markers ``least`` times or more in all that
+    agrees in ``of``, which is the key unless given.
 
     A line counts once for each marker near it.  Columns: key, line_no, line.
     """
-    order = Window.partitionBy(key).orderBy("line_no")
+    order = Window.partitionBy(*listed(key)).orderBy("line_no")
     marker = rows.withColumn("stripped", trimmed(F.col("line"))).withColumn("is_marker", F.col("stripped").rlike(PAGE_MARKER).cast("int"))
     near = sum((F.coalesce(F.lag("is_marker", k).over(order), F.lit(0)) + F.coalesce(F.lead("is_marker", k).over(order), F.lit(0)) for k in (1, 2)), F.lit(0))
     seen = marker.withColumn("near", near).where((F.col("near") > 0) & (F.col("stripped") != "") & (F.length("stripped") < longest) & (F.col("is_marker") == 0))
-    return seen.groupBy(key, "stripped").agg(F.sum("near").alias("times")).where(F.col("times") >= least)
+    return seen.groupBy(*listed(of or key), "stripped").agg(F.sum("near").alias("times")).where(F.col("times") >= least)
 
 
-def strip_lines(rows: DataFrame, key: str, patterns: Sequence[str] = (), least: int = 3) -> DataFrame:
+def strip_lines(rows: DataFrame, key: str | Sequence[str], patterns: Sequence[str] = (), least: int = 3, of: str | None = None) -> DataFrame:
     """(key, line_no, line, kept, reason): page markers and blank lines stay; a line goes, and is blank in ``kept``, for a
     pattern, for digits only, or for being a running header or footer anywhere."""
-    auto = boundary_lines(rows, key, least).select(key, "stripped", F.lit(True).alias("auto"))
+    auto = boundary_lines(rows, key, least, of=of).select(*listed(of or key), "stripped", F.lit(True).alias("auto"))
     s = F.col("stripped")
     reason = F.when(s.rlike(PAGE_MARKER) | (s == ""), F.lit(None).cast("string"))
     for p in patterns:
         reason = reason.when(s.rlike(p), F.lit(f"pattern: {p}"))
     reason = reason.when(s.rlike(r"^\d+$"), "digit-only").when(F.col("auto"), "auto header/footer")
-    marked = rows.withColumn("stripped", trimmed(F.col("line"))).join(auto, [key, "stripped"], "left").withColumn("reason", reason)
-    return marked.select(key, "line_no", "line", F.when(F.col("reason").isNull(), F.col("line")).otherwise("").alias("kept"), "reason")
+    marked = rows.withColumn("stripped", trimmed(F.col("line"))).join(auto, [*listed(of or key), "stripped"], "left").withColumn("reason", reason)
+    return marked.select(*listed(key), "line_no", "line", F.when(F.col("reason").isNull(), F.col("line")).otherwise("").alias("kept"), "reason")
 
 
 def frequent_lines(rows: DataFrame, key: str, auto: DataFrame, top: int = 30, least: int = 5, show: int = 20) -> DataFrame:
@@ -83,48 +94,71 @@ def frequent_lines(rows: DataFrame, key: str, auto: DataFrame, top: int = 30, le
     return best.where(F.col("times") >= least).join(auto.select("stripped").distinct(), "stripped", "left_anti").orderBy(F.desc("times"), "first").limit(show).select("stripped", "times")
 
 
-def joined_lines(rows: DataFrame, key: str, line: str = "kept") -> DataFrame:
+def joined_lines(rows: DataFrame, key: str | Sequence[str], line: str = "kept") -> DataFrame:
     """(key, text): a document's lines in order.  One document's lines meet in one row, as they came from one."""
-    return rows.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("line_no", line))).alias("l")).select(key, F.array_join(F.col(f"l.{line}"), "\n").alias("text"))
+    return rows.groupBy(*listed(key)).agg(F.array_sort(F.collect_list(F.struct("line_no", line))).alias("l")).select(*listed(key), F.array_join(F.col(f"l.{line}"), "\n").alias("text"))
 
 
-def hyphen_candidates(texts: DataFrame, key: str, pattern: str, text: str = "text") -> DataFrame:
+def hyphen_candidates(texts: DataFrame, key: str | Sequence[str], pattern: str, text: str = "text") -> DataFrame:
     """(key, place, left, right) of each hyphenated break that a scan from the left finds."""
     pair = F.arrays_zip(F.regexp_extract_all(text, F.lit(pattern), F.lit(1)).alias("left"), F.regexp_extract_all(text, F.lit(pattern), F.lit(2)).alias("right"))
-    return texts.where(F.contains(text, F.lit("-\n"))).select(key, F.posexplode(pair).alias("place", "p")).select(key, "place", "p.left", "p.right")
+    return texts.where(F.contains(text, F.lit("-\n"))).select(*listed(key), F.posexplode(pair).alias("place", "p")).select(*listed(key), "place", "p.left", "p.right")
+
+
+def hyphen_decision(left: Column, right: Column, has_joined: Column | bool = False, has_hyphenated: Column | bool = False, compounds: Sequence[str] = COMPOUNDS) -> Column:
+    """What becomes of a break: listed compounds stay, then the dictionary decides (joined before hyphenated), a part without
+    vowels keeps its hyphen, and anything else is joined."""
+    flag = lambda c: c if isinstance(c, Column) else F.lit(c)
+    voiced = left.rlike("(?i)[aeiou]") & right.rlike("(?i)[aeiou]")
+    known = F.lower(F.concat(left, F.lit("-"), right)).isin(list(compounds))
+    custom, joined, hyphenated, abbreviated, default = DECISIONS
+    return F.when(known, custom).when(flag(has_joined), joined).when(flag(has_hyphenated), hyphenated).when(~voiced, abbreviated).otherwise(default)
+
+
+def replacement(left: Column, right: Column, decision: Column) -> Column:
+    return F.when(decision.isin(DECISIONS[1], DECISIONS[4]), F.concat(left, right)).otherwise(F.concat(left, F.lit("-"), right))
 
 
 def hyphen_decisions(candidates: DataFrame, dictionary: DataFrame | None = None, compounds: Sequence[str] = COMPOUNDS) -> DataFrame:
-    """``candidates`` with decision and replacement: listed compounds stay, then the dictionary decides (joined before
-    hyphenated), a part without vowels keeps its hyphen, and anything else is joined."""
-    joined, hyphenated = F.concat("left", "right"), F.concat("left", F.lit("-"), "right")
-    rows = candidates.withColumns({"j_": F.lower(joined), "h_": F.lower(hyphenated)})
-    if dictionary is not None:
-        rows = rows.join(dictionary.select(F.lower("word").alias("j_")).distinct().withColumn("has_j", F.lit(True)), "j_", "left").join(dictionary.select(F.lower("word").alias("h_")).distinct().withColumn("has_h", F.lit(True)), "h_", "left")
+    """``candidates`` with decision and replacement.  The dictionary is joined to the distinct pairs of parts, which then go
+    back to their places."""
+    left, right = F.col("left"), F.col("right")
+    if dictionary is None:
+        decided = candidates.withColumn("decision", hyphen_decision(left, right, compounds=compounds))
     else:
-        rows = rows.withColumns({"has_j": F.lit(False), "has_h": F.lit(False)})
-    voiced = lambda c: F.col(c).rlike("(?i)[aeiou]")
-    decision = (
-        F.when(F.col("h_").isin(list(compounds)), "custom compound").when(F.coalesce("has_j", F.lit(False)), "dict match").when(F.coalesce("has_h", F.lit(False)), "dict hyphenated")
-        .when(~voiced("left") | ~voiced("right"), "no vowel (abbrev)").otherwise("default join")
-    )
-    out = rows.withColumn("decision", decision).drop("j_", "h_", "has_j", "has_h")
-    return out.withColumn("replacement", F.when(F.col("decision").isin("dict match", "default join"), joined).otherwise(hyphenated))
+        words = dictionary.select(F.lower("word").alias("word")).distinct()
+        pairs = candidates.select("left", "right").distinct().withColumns({"j_": F.lower(F.concat(left, right)), "h_": F.lower(F.concat(left, F.lit("-"), right))})
+        pairs = pairs.join(words.select(F.col("word").alias("j_"), F.lit(True).alias("has_j")), "j_", "left").join(words.select(F.col("word").alias("h_"), F.lit(True).alias("has_h")), "h_", "left")
+        has = lambda c: F.coalesce(F.col(c), F.lit(False))
+        decided = candidates.join(pairs.select("left", "right", hyphen_decision(left, right, has("has_j"), has("has_h"), compounds).alias("decision")), ["left", "right"])
+        decided = decided.select(*candidates.columns, "decision")
+    return decided.withColumn("replacement", replacement(left, right, F.col("decision")))
 
 
 def hyphen_counts(decisions: DataFrame) -> DataFrame:
     """One row: total, joined, kept, defaulted."""
-    d = F.col("decision")
-    return decisions.agg(F.count("*").alias("total"), F.count_if(d.isin("dict match", "default join")).alias("joined"), F.count_if(~d.isin("dict match", "default join")).alias("kept"), F.count_if(d == "default join").alias("defaulted"))
+    joined = F.col("decision").isin(DECISIONS[1], DECISIONS[4])
+    return decisions.agg(F.count("*").alias("total"), F.count_if(joined).alias("joined"), F.count_if(~joined).alias("kept"), F.count_if(F.col("decision") == DECISIONS[4]).alias("defaulted"))
 
 
-def repair_pass(texts: DataFrame, key: str, pattern: str, dictionary: DataFrame | None = None) -> DataFrame:
-    """(key, text) with each hyphenated break replaced as decided.  Only the candidates are shuffled beside the texts."""
+def repaired(text: Column, pattern: str) -> Column:
+    """``text`` with each break replaced as decided without a dictionary: all within the row."""
+    parts = lambda n: F.regexp_extract_all(text, F.lit(pattern), F.lit(n))
+    told = F.zip_with(parts(1), parts(2), lambda x, y: replacement(x, y, hyphen_decision(x, y)))
+    filled = F.zip_with(F.split(text, pattern, -1), told, lambda p, r: F.concat(p, F.coalesce(r, F.lit(""))))
+    return F.when(F.contains(text, F.lit("-\n")), F.array_join(filled, "")).otherwise(text)
+
+
+def repair_pass(texts: DataFrame, key: str | Sequence[str], pattern: str, dictionary: DataFrame | None = None) -> DataFrame:
+    """(key, text) with each hyphenated break replaced as decided.  With a dictionary the candidates are shuffled beside the texts."""
+    if dictionary is None:
+        return texts.select(*listed(key), repaired(F.col("text"), pattern).alias("text"))
+    key = listed(key)
     decided = hyphen_decisions(hyphen_candidates(texts, key, pattern), dictionary)
-    told = decided.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("place", "replacement"))).alias("r")).select(key, F.col("r.replacement").alias("replacements"))
+    told = decided.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("place", "replacement"))).alias("r")).select(*key, F.col("r.replacement").alias("replacements"))
     pieces = F.when(F.col("replacements").isNull(), F.array("text")).otherwise(F.split("text", pattern, -1))
     filled = F.transform("pieces", lambda p, i: F.concat(p, F.coalesce(F.get("replacements", i), F.lit(""))))
-    return texts.join(told, key, "left").select(key, "replacements", pieces.alias("pieces")).select(key, F.array_join(filled, "").alias("text"))
+    return texts.join(told, key, "left").select(*key, "replacements", pieces.alias("pieces")).select(*key, F.array_join(filled, "").alias("text"))
 
 
 def collapse_lines(text: Column) -> Column:
@@ -133,10 +167,10 @@ def collapse_lines(text: Column) -> Column:
     return F.array_join(F.filter(F.transform(F.split(text, r"\n{2,}"), lambda b: one(trimmed(b))), lambda b: b != ""), "\n\n")
 
 
-def repair_hyphens(texts: DataFrame, key: str, dictionary: DataFrame | None = None) -> DataFrame:
+def repair_hyphens(texts: DataFrame, key: str | Sequence[str], dictionary: DataFrame | None = None) -> DataFrame:
     """Breaks over paragraphs, then over lines, then line ends."""
-    first = repair_pass(texts.select(key, "text"), key, OVER_PARAGRAPH, dictionary)
-    return repair_pass(first, key, OVER_LINE, dictionary).select(key, collapse_lines(F.col("text")).alias("text"))
+    first = repair_pass(texts.select(*listed(key), "text"), key, OVER_PARAGRAPH, dictionary)
+    return repair_pass(first, key, OVER_LINE, dictionary).select(*listed(key), collapse_lines(F.col("text")).alias("text"))
 
 
 def sentences(text: Column) -> Column:
@@ -144,58 +178,63 @@ def sentences(text: Column) -> Column:
     return F.split(trimmed(text), r"(?<=[.!?])\s+")
 
 
-@F.pandas_udf(ArrayType(StringType()))
-def split_long(texts: pd.Series) -> pd.Series:
+def split_long(text: Column | str) -> Column:
     """A paragraph of over 300 words in parts: cut after the sentence that brings the count nearest to 150, the earliest on
-    ties, and again while a part is over 300; one sentence alone is cut once, at 150 words."""
-
-    def split(text: str) -> list[str]:
-        out, rest = [], re.split(r"(?<=[.!?])\s+", text.strip())
-        sizes = [len(s.split()) for s in rest]
-        while sum(sizes) > LONG_WORDS:
-            if len(rest) <= 1:
-                words = " ".join(rest).split()
-                return [*out, " ".join(words[:TARGET_WORDS]), " ".join(words[TARGET_WORDS:])]
-            total, best, least = 0, 1, float("inf")
-            for i, n in enumerate(sizes):
-                total += n
-                if abs(total - TARGET_WORDS) < least:
-                    least, best = abs(total - TARGET_WORDS), i + 1
-            first, rest = rest[:best], rest[best:]
-            n, sizes = sum(sizes[:best]), sizes[best:]
-            words = " ".join(first).split()
-            if n > LONG_WORDS and len(first) == 1:
-                out += [" ".join(words[:TARGET_WORDS]), " ".join(words[TARGET_WORDS:])]
-            else:
-                out.append(" ".join(first))
-            if not rest:
-                return out
-        return [*out, " ".join(rest)] if rest else out
-
-    return texts.map(lambda t: [] if t is None else split(t))
-
-
-def blocks(texts: DataFrame, key: str) -> DataFrame:
-    """(key, block_pos, block, page): blocks that aren't blank, with the page of the last marker before them, 1 at first."""
-    rows = texts.select(key, F.posexplode(F.split("text", r"\n{2,}")).alias("block_pos", "block")).withColumn("block", trimmed(F.col("block"))).where("block <> ''")
+    ties, and again while what is left has over 300; one sentence alone is cut once, at 150 words.
+
+    One pass over the sentences: counts only grow, so that the nearest cut is right before or after they reach 150.
+    """
+    text = F.col(text) if isinstance(text, str) else text
+    state = "struct<parts:array<string>,part:string,n:int,left:int>"
+    sized = F.transform(sentences(text), lambda s: F.struct(s.alias("s"), n_words(s).alias("n")))
+    total = F.aggregate(sized, F.lit(0), lambda a, x: a + x["n"])
+    empty, none = F.array().cast("array<string>"), F.lit(None).cast("string")
+    pack = lambda parts, part, n, left: F.struct(parts.alias("parts"), part.alias("part"), n.cast("int").alias("n"), left.cast("int").alias("left")).cast(state)
+    joined = lambda a, b: F.when(a.isNull(), b).otherwise(F.concat(a, F.lit(" "), b))
+
+    def halves(part: Column, n: Column) -> Column:
+        w = words(part)
+        cut = F.array(F.array_join(F.slice(w, 1, TARGET_WORDS), " "), F.array_join(F.slice(w, TARGET_WORDS + 1, F.greatest(n, F.lit(1))), " "))
+        return F.when(n > LONG_WORDS, cut).otherwise(F.array(part))
+
+    def alone(parts: Column, x: Column, left: Column) -> Column:
+        """The first sentence of a part: it is one by itself if it reaches the target and much is left."""
+        own = (left > LONG_WORDS) & (x["n"] >= TARGET_WORDS)
+        return F.when(own, pack(F.concat(parts, halves(x["s"], x["n"])), none, F.lit(0), left - x["n"])).otherwise(pack(parts, x["s"], x["n"], left))
+
+    def step(a: Column, x: Column) -> Column:
+        n = a["n"] + x["n"]
+        before = (n >= TARGET_WORDS) & (F.abs(a["n"] - TARGET_WORDS) <= F.abs(n - TARGET_WORDS))
+        grown = pack(a["parts"], joined(a["part"], x["s"]), n, a["left"])
+        cut_after = pack(F.concat(a["parts"], F.array(joined(a["part"], x["s"]))), none, F.lit(0), a["left"] - n)
+        cut_before = alone(F.concat(a["parts"], F.array(a["part"])), x, a["left"] - a["n"])
+        longer = F.when(a["left"] <= LONG_WORDS, grown).when(before, cut_before).when(n >= TARGET_WORDS, cut_after).otherwise(grown)
+        return F.when(a["part"].isNull(), alone(a["parts"], x, a["left"])).otherwise(longer)
+
+    return F.when(text.isNull(), empty).otherwise(F.aggregate(sized, pack(empty, none, F.lit(0), total), step, lambda a: F.when(a["part"].isNull(), a["parts"]).otherwise(F.concat(a["parts"], F.array(a["part"])))))
+
+
+def blocks(texts: DataFrame, key: str | Sequence[str]) -> DataFrame:
+    """(key, block_pos, block, page_): blocks that aren't blank, with the page of the last marker before them, 1 at first."""
+    rows = texts.select(*listed(key), F.posexplode(F.split("text", r"\n{2,}")).alias("block_pos", "block")).withColumn("block", trimmed(F.col("block"))).where("block <> ''")
     number = F.regexp_extract("block", PAGE_MARKER, 1)
-    so_far = Window.partitionBy(key).orderBy("block_pos").rowsBetween(Window.unboundedPreceding, 0)
-    paged = rows.withColumn("marker", F.when(number != "", number.cast("int"))).withColumn("page", F.coalesce(F.last("marker", ignorenulls=True).over(so_far), F.lit(1)))
+    so_far = Window.partitionBy(*listed(key)).orderBy("block_pos").rowsBetween(Window.unboundedPreceding, 0)
+    paged = rows.withColumn("marker", F.when(number != "", number.cast("int"))).withColumn("page_", F.coalesce(F.last("marker", ignorenulls=True).over(so_far), F.lit(1)))
     return paged.where("marker is null").drop("marker")
 
 
-def segment(texts: DataFrame, key: str, split: bool = True) -> DataFrame:
+def segment(texts: DataFrame, key: str | Sequence[str], split: bool = True) -> DataFrame:
     """(key, seq, page_ref, text): paragraphs of 20 words or more, long ones in parts, numbered from 1 as kept."""
     size = n_words(F.col("block"))
     parts = F.when(size > LONG_WORDS, split_long("block")).otherwise(F.array("block")) if split else F.array("block")
-    rows = blocks(texts, key).where(size >= MIN_WORDS).select(key, "block_pos", "page", F.posexplode(parts).alias("sub_pos", "text")).where(n_words(F.col("text")) >= MIN_WORDS)
-    order = Window.partitionBy(key).orderBy("block_pos", "sub_pos")
-    return rows.select(key, F.row_number().over(order).alias("seq"), page_ref(F.col("page")).alias("page_ref"), "text")
+    rows = blocks(texts, key).where(size >= MIN_WORDS).select(*listed(key), "block_pos", "page_", F.posexplode(parts).alias("sub_pos", "text")).where(n_words(F.col("text")) >= MIN_WORDS)
+    order = Window.partitionBy(*listed(key)).orderBy("block_pos", "sub_pos")
+    return rows.select(*listed(key), F.row_number().over(order).alias("seq"), page_ref(F.col("page_")).alias("page_ref"), "text")
 
 
 def discarded(texts: DataFrame, key: str) -> DataFrame:
     """(key, page_ref, n_words, preview) of blocks under 20 words."""
-    return blocks(texts, key).withColumn("n_words", n_words(F.col("block"))).where(F.col("n_words") < MIN_WORDS).select(key, page_ref(F.col("page")).alias("page_ref"), "n_words", F.left("block", F.lit(120)).alias("preview"))
+    return blocks(texts, key).withColumn("n_words", n_words(F.col("block"))).where(F.col("n_words") < MIN_WORDS).select(key, page_ref(F.col("page_")).alias("page_ref"), "n_words", F.left("block", F.lit(120)).alias("preview"))
 
 
 def assign_chapters(paragraphs: DataFrame, chapters: DataFrame | None, page: Column, *row_key: str) -> DataFrame:
@@ -238,7 +277,9 @@ def unknown_words(passages: DataFrame, dictionary: DataFrame, compounds: Sequenc
     rows = passages.select("id", F.posexplode(F.regexp_extract_all("text", F.lit(ALPHA_WORD), F.lit(0))).alias("pos", "word"))
     odd = rows.where((F.length("word") > 3) & (F.col("word") != F.upper("word")) & ~F.lower("word").isin(list(compounds))).withColumn("low", F.lower("word"))
     odd = odd.join(dictionary.select(F.lower("word").alias("low")).distinct(), "low", "left_anti")
-    return odd.groupBy("id").agg(F.count("*").alias("n_unknown"), F.min_by("word", "pos").alias("w1"), F.array_sort(F.collect_list(F.struct("pos", "word"))).alias("all")).where(F.col("n_unknown") >= least).select("id", "n_unknown", F.slice(F.col("all.word"), 1, 5).alias("first_unknown"))
+    ranked = odd.withColumn("rank", F.row_number().over(Window.partitionBy("id").orderBy("pos")))
+    told = ranked.groupBy("id").agg(F.count("*").alias("n_unknown"), F.array_sort(F.collect_list(F.when(F.col("rank") <= 5, F.struct("pos", "word")))).alias("first"))
+    return told.where(F.col("n_unknown") >= least).select("id", "n_unknown", F.col("first.word").alias("first_unknown"))
 
 
 def audit(passages: DataFrame, dictionary: DataFrame | None = None) -> DataFrame:
@@ -253,15 +294,36 @@ def audit(passages: DataFrame, dictionary: DataFrame | None = None) -> DataFrame
     return rows.withColumn("flag", flag).where("flag is not null").select("id", "flag", "n_words", "non_alpha", "n_chars")
 
 
-def ingest(pages: DataFrame, source_id: str, chapters: DataFrame | None = None, patterns: Sequence[str] = (), dictionary: DataFrame | None = None) -> DataFrame:
-    """Passages of a source's ``pages`` (source_id, page, text): all steps as one plan."""
-    from skein.functions.text import normalize_text
-
-    marked = pages.where(F.col("source_id") == source_id).groupBy("source_id").agg(F.array_sort(F.collect_list(F.struct("page", "text"))).alias("p"))
-    text = F.array_join(F.transform("p", lambda x: F.concat(F.lit("<<<PAGE "), x["page"].cast("string"), F.lit(">>>\n\n"), x["text"])), "\n\n")
-    whole = marked.select("source_id", normalize_text(repair_encoding(text)).alias("text"))
-    stripped = joined_lines(strip_lines(lines(whole, "source_id"), "source_id", patterns), "source_id")
-    rows = segment(repair_hyphens(stripped, "source_id", dictionary), "source_id")
-    from skein.functions.text import page_number
+def ingest(pages: DataFrame, source_id: str | None = None, chapters: DataFrame | None = None, patterns: Sequence[str] = (), dictionary: DataFrame | None = None, split: bool = True) -> DataFrame:
+    """Passages of ``pages`` (source_id, page, text) of one source or all: all steps as one plan.
 
-    return number_passages(assign_chapters(rows, chapters, page_number(F.col("page_ref"))), F.lit(source_id))
+    A page is a row throughout, as no step reaches over a page marker.  Of a whole source only its frequent boundary lines and
+    the numbers of passages on its pages are brought together.
+    """
+    key, end = ["source_id", "page"], "\n\n<<<PAGE 0>>>"
+    rows = pages if source_id is None else pages.where(F.col("source_id") == source_id)
+    marker = F.concat(F.lit("<<<PAGE "), F.col("page").cast("string"), F.lit(">>>\n\n"))
+    last = rows.groupBy("source_id").agg(F.max("page").alias("last"))
+    # a page ends at the marker of the next, near which a running foot stands
+    closed = F.concat(marker, normalize_text(repair_encoding(F.coalesce("text", F.lit("")))), F.when(F.col("page") < F.col("last"), end).otherwise(""))
+    whole = rows.join(last, "source_id").select(*key, closed.alias("text"))
+    stripped = joined_lines(strip_lines(lines(whole, key), key, patterns, of="source_id"), key)
+    stripped = stripped.withColumn("text", F.regexp_replace("text", f"{end}$", ""))
+    parts = segment(repair_hyphens(stripped, key, dictionary), key, split)
+    per_page = parts.groupBy(*key).agg(F.max("seq").alias("n"))
+    before = Window.partitionBy("source_id").orderBy("page").rowsBetween(Window.unboundedPreceding, -1)
+    base = per_page.select(*key, F.coalesce(F.sum("n").over(before), F.lit(0)).cast("int").alias("base"))
+    numbered = parts.join(base, key).withColumn("seq", F.col("seq") + F.col("base")).drop("base", "page")
+    return number_passages(assign_chapters(numbered, chapters, page_number(F.col("page_ref"))), F.col("source_id"))
+
+
+def audit_report(source: str, passages: DataFrame, decisions: DataFrame, dictionary: DataFrame | None = None, top: int = 20, joins: int = 20) -> DataFrame:
+    """(section, pos, line) of the text report on ingested passages: their number, the most frequent words, the passages to look
+    at with the reason, and the first default joins of hyphens."""
+    few = lambda *order: F.row_number().over(Window.orderBy(*order)).cast("int")  # noqa: E731  few rows
+    total = passages.agg(F.count("*").alias("n")).select(F.lit(1).alias("section"), F.lit(1).alias("pos"), F.format_string("Passages of %s: %d", F.lit(source), "n").alias("line"))
+    words_ = top_words(passages, top).withColumn("pos", few(F.desc("times"), "word")).select(F.lit(2).alias("section"), "pos", F.format_string("%6d  %s", "times", "word").alias("line"))
+    flagged = audit(passages, dictionary).orderBy("id").limit(REPORTED).withColumn("pos", few("id")).select(F.lit(3).alias("section"), "pos", F.format_string("%s: %s", "id", "flag").alias("line"))
+    defaults = decisions.where(F.col("decision") == DECISIONS[4]).groupBy("left", "right").agg(F.count("*").alias("times")).orderBy(F.desc("times"), "left", "right").limit(joins)
+    defaults = defaults.withColumn("pos", few(F.desc("times"), "left", "right")).select(F.lit(4).alias("section"), "pos", F.format_string("%s-%s: %d", "left", "right", "times").alias("line"))
+    return total.unionByName(words_).unionByName(flagged).unionByName(defaults)

@@ -1,7 +1,7 @@
 """Batches of queries against passages: phrases, keywords, fuzzy matches and synonyms as one plan.
 
-Query terms are rows; a passage matches a unit (a phrase, or all keywords) if it has every term of it.  Tokens are exploded
-from the passages without a shuffle and joined to the terms first, so that only hits are shuffled.
+Query terms are rows; a passage matches a unit (a phrase, or all keywords) if it has every term of it.  Terms are joined to the
+postings of an index, whose scan reads these terms alone, so that only hits are shuffled.
 """
 
 from __future__ import annotations
@@ -12,9 +12,12 @@ from pyspark.sql import functions as F
 from skein.functions.kwic import citation, kwic
 from skein.functions.query import highlight_terms, keywords, phrases
 from skein.functions.text import fuzzy_radius, normalize_query, tokenize, trimmed
-from skein.operators.index import indexed, passage_tokens, token_places
+from skein.operators import index
+from skein.operators.index import Index, indexed
 
 PHRASE, KEYWORD, SYNONYM = "phrase", "keyword", "synonym"
+#: Terms of a batch that are gathered to filter the postings, at most, and values of one list in that filter.
+MOST_TERMS, IN_LIST = 2000, 10
 
 
 def asked(queries: DataFrame) -> DataFrame:
@@ -58,37 +61,66 @@ def whole_units(hits: DataFrame) -> DataFrame:
     return hits.groupBy("query_id", "kind", "unit", "id").agg(F.countDistinct("term_pos").alias("had"), F.max("n_terms").alias("n_terms")).where("had = n_terms").drop("had", "n_terms")
 
 
-def matches(queries: DataFrame, passages: DataFrame, synonyms: DataFrame | None = None, fuzzy: bool = True, phrase_mode: str = "observed", synonym_combine: str = "or") -> DataFrame:
-    """(query_id, id, by_synonym): which passages match which queries.
+def wanted(terms: DataFrame, postings: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The query terms as local rows, and the postings of these terms alone: the filter reaches the scan, whose files are sorted
+    by term.  A batch of more than MOST_TERMS terms is joined as it is."""
+    rows = terms.limit(MOST_TERMS + 1).collect()
+    if len(rows) > MOST_TERMS:
+        return terms, postings
+    words = sorted({r.term for r in rows})
+    near = F.lit(False)
+    for a in range(0, len(words), IN_LIST):
+        near = near | F.col("term").isin(words[a : a + IN_LIST])
+    return terms.sparkSession.createDataFrame(rows, terms.schema), postings.where(near)
+
+
+def strict_runs(terms: DataFrame, postings: DataFrame) -> DataFrame:
+    """(query_id, kind, unit, id) of passages that have a phrase's tokens next to each other in one field.  Only one row a term
+    and field is shuffled, and places are compared where all terms are."""
+    held = terms.join(postings.select("term", "id", "field", "places"), "term")
+    every = held.groupBy("query_id", "kind", "unit", "id", "field").agg(F.array_sort(F.collect_list(F.struct(F.size("places").alias("n"), "term_pos", "places"))).alias("t"), F.max("n_terms").alias("n_terms"))
+    every = every.where(F.size("t") == F.col("n_terms"))
+    first = F.element_at("t", 1)  # the term with the fewest places
+    begins = F.transform(first["places"], lambda p: p - first["term_pos"])
+    run = F.exists(begins, lambda b: F.forall("t", lambda x: F.array_contains(x["places"], b + x["term_pos"])))
+    return every.where(run).select("query_id", "kind", "unit", "id").distinct()
+
+
+def matches(queries: DataFrame, corpus: DataFrame | Index, synonyms: DataFrame | None = None, fuzzy: bool = True, phrase_mode: str = "observed", synonym_combine: str = "or") -> DataFrame:
+    """(query_id, id, by_synonym): which passages of an index (or of a table of passages) match which queries.
 
     Phrases are united, keywords must all match (within their radius), and with both the two sets are intersected; synonyms
     add passages, marked where nothing else found them.  ``phrase_mode``: "observed" needs a phrase's tokens anywhere in the
     passage, "strict" needs them next to each other in one field.
     """
+    held = corpus if isinstance(corpus, Index) else index.of(corpus)
     parsed = asked(queries)
-    terms, tokens = query_terms(parsed, synonyms, fuzzy, synonym_combine), passage_tokens(passages)
+    terms, postings = query_terms(parsed, synonyms, fuzzy, synonym_combine), held.postings
     if fuzzy:
-        terms = variants(terms, tokens.select("term").distinct())
+        terms = variants(terms, held.vocabulary)
+    else:
+        terms = terms.drop("radius")
+    if held.stored:
+        terms, postings = wanted(terms, postings)
     loose = terms.where(F.col("kind") != PHRASE) if phrase_mode == "strict" else terms
-    units = whole_units(loose.join(tokens.drop("source_id"), "term"))
+    units = whole_units(loose.join(postings.select("term", "id"), "term"))
     if phrase_mode == "strict":
-        places = terms.where(F.col("kind") == PHRASE).join(token_places(passages).drop("source_id"), "term")
-        runs = places.groupBy("query_id", "kind", "unit", "id", "field", (F.col("pos") - F.col("term_pos")).alias("begin")).agg(F.countDistinct("term_pos").alias("had"), F.max("n_terms").alias("n_terms")).where("had = n_terms")
-        units = units.unionByName(runs.select("query_id", "kind", "unit", "id"))
+        units = units.unionByName(strict_runs(terms.where(F.col("kind") == PHRASE), postings))
     flags = units.groupBy("query_id", "id").agg(*[F.bool_or(F.col("kind") == k).alias(k) for k in (PHRASE, KEYWORD, SYNONYM)])
     shape = parsed.select("query_id", (F.size("phrases") > 0).alias("has_phrases"), (F.size("keywords") > 0).alias("has_keywords"))
     direct = (F.col(PHRASE) | ~F.col("has_phrases")) & (F.col(KEYWORD) | ~F.col("has_keywords"))
     return flags.join(shape, "query_id").where(direct | F.col(SYNONYM)).select("query_id", "id", (~direct).alias("by_synonym"))
 
 
-def results(queries: DataFrame, passages: DataFrame, sources: DataFrame, synonyms: DataFrame | None = None, guard: bool = True, **how) -> DataFrame:
+def results(queries: DataFrame, corpus: DataFrame | Index, sources: DataFrame, synonyms: DataFrame | None = None, guard: bool = True, **how) -> DataFrame:
     """Flat results: query_id, group_pos, pos, source_id, passage_id, sequence, kwic, citation, matched_by_synonym.
 
     Sources come in the order of the query's filter, each once, or else in registry order; passages in the order of their
     sequence, ties by id.  Passages of disabled sources aren't indexed.  With ``guard`` only full-text sources are cited whole.
     """
-    present = indexed(passages, sources)
-    found = matches(queries, present, synonyms, **how)
+    held = corpus if isinstance(corpus, Index) else index.of(indexed(corpus, sources))
+    present = indexed(held.passages, sources)
+    found = matches(queries, held, synonyms, **how)
     parsed = asked(queries).select("query_id", highlight_terms(F.col("q")).alias("terms"), F.array_distinct("source_filter").alias("source_filter"))
     known = sources.select(F.col("id").alias("source_id"), F.col("title").alias("source_title"), "display_mode", "context_words", "sort_order")
     rows = present.join(found, "id").join(known, "source_id").join(parsed, "query_id")

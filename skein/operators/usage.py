@@ -5,18 +5,30 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from skein.functions.text import unpadded
+
 MAX_QUERY, MAX_ID, MAX_IDS, QUEUE = 500, 50, 10, 100
 
 
+def asked(rows: DataFrame) -> DataFrame:
+    """Records whose query isn't null or white space alone."""
+    return rows.where(F.coalesce(unpadded(F.col("q")), F.lit("")) != "")
+
+
 def sanitize(records: DataFrame, ts: Column) -> DataFrame:
     """(ts, q, result_count, source_filter) of records (q, result_count double, source_filter array<string>) with a query.
 
-    The query is cut to 500 characters, counts below 0 or absent become 0, ids are cut to 50 characters and the first 10
-    kept, null filters mean all sources; ``ts`` replaces what the client said.
+    The query is cut to 500 characters, counts below 0 or absent become 0 and others stay as they are, ids are cut to 50
+    characters and the first 10 kept, null filters mean all sources; ``ts`` replaces what the client said.
     """
     ids = F.slice(F.transform(F.filter("source_filter", lambda x: x.isNotNull()), lambda x: F.left(x, F.lit(MAX_ID))), 1, MAX_IDS)
-    kept = records.where(F.coalesce(F.regexp_replace("q", r"(?U)\s", ""), F.lit("")) != "")
-    return kept.select(ts.alias("ts"), F.left("q", F.lit(MAX_QUERY)).alias("q"), F.greatest(F.coalesce(F.col("result_count"), F.lit(0.0)), F.lit(0.0)).cast("int").alias("result_count"), ids.alias("source_filter"))
+    count = F.greatest(F.coalesce(F.col("result_count").cast("double"), F.lit(0.0)), F.lit(0.0))
+    return asked(records).select(ts.alias("ts"), F.left("q", F.lit(MAX_QUERY)).alias("q"), count.alias("result_count"), ids.alias("source_filter"))
+
+
+def client_record(rows: DataFrame, key: Column, ts: Column) -> DataFrame:
+    """(key, ts, q, result_count, source_filter) as a client queues it: the query cut, nothing else checked."""
+    return rows.select(key.alias("key"), ts.alias("ts"), F.left("q", F.lit(MAX_QUERY)).alias("q"), F.col("result_count").cast("double").alias("result_count"), "source_filter")
 
 
 def parse_payload(payloads: DataFrame, column: str = "payload") -> DataFrame:
@@ -52,8 +64,8 @@ def delivered(queue: DataFrame, accepted: DataFrame) -> DataFrame:
 
 def query_stats(log: DataFrame) -> DataFrame:
     """(norm, q, count, total_results, last_seen) for each query, ignoring case and surrounding blanks; shown as first seen."""
-    rows = log.where("trim(q) <> ''").withColumn("norm", F.lower(F.trim("q")))
-    return rows.groupBy("norm").agg(F.min_by(F.trim("q"), "key").alias("q"), F.count("*").alias("count"), F.sum(F.coalesce("result_count", F.lit(0))).alias("total_results"), F.max_by("ts", "key").alias("last_seen"))
+    rows = asked(log).withColumn("q", unpadded(F.col("q"))).withColumn("norm", F.lower("q"))
+    return rows.groupBy("norm").agg(F.min_by("q", "key").alias("q"), F.count("*").alias("count"), F.sum(F.coalesce("result_count", F.lit(0.0))).alias("total_results"), F.max_by("ts", "key").alias("last_seen"))
 
 
 def top_queries(log: DataFrame, top: int = 10) -> DataFrame:
@@ -62,18 +74,20 @@ def top_queries(log: DataFrame, top: int = 10) -> DataFrame:
 
 
 def recent_queries(log: DataFrame, top: int = 20) -> DataFrame:
-    return log.where("trim(q) <> ''").orderBy(F.desc("ts"), F.desc("key")).limit(top).select("key", "ts", F.trim("q").alias("q"), "result_count")
+    """The latest queries, those of one time in the order of their keys."""
+    rows = asked(log).orderBy(F.desc("ts"), "key").limit(top)
+    return rows.select("key", "ts", unpadded(F.col("q")).alias("q"), F.coalesce("result_count", F.lit(0.0)).alias("result_count"), "source_filter")
 
 
 def filter_usage(log: DataFrame) -> DataFrame:
     """(source_id, count): how often each source was filtered for; a record that names one twice counts twice."""
-    ids = log.where("trim(q) <> ''").select(F.explode("source_filter").alias("source_id")).where("trim(source_id) <> ''")
+    ids = asked(log).select(F.explode("source_filter").alias("source_id")).where(unpadded(F.col("source_id")) != "")
     return ids.groupBy("source_id").agg(F.count("*").alias("count")).orderBy(F.desc("count"), "source_id")
 
 
 def summary(log: DataFrame) -> DataFrame:
     """One row: total_records, oldest_ts, latest_ts; times are null for an empty log."""
-    return log.where("trim(q) <> ''").agg(F.count("*").alias("total_records"), F.min("ts").alias("oldest_ts"), F.max("ts").alias("latest_ts"))
+    return asked(log).agg(F.count("*").alias("total_records"), F.min("ts").alias("oldest_ts"), F.max("ts").alias("latest_ts"))
 
 
 def dashboard(log: DataFrame) -> DataFrame:

@@ -17,9 +17,12 @@ def violations(rows: DataFrame, row: Column, rules: Mapping[str, Column]) -> Dat
     return rows.select(row.alias("row"), F.explode(F.filter(broken, lambda x: x.isNotNull())).alias("rule"))
 
 
-def repeated(column: str, *order: str) -> Column:
-    """Whether an earlier row has the same non-empty value."""
-    return (F.coalesce(F.col(column), F.lit("")) != "") & (F.row_number().over(Window.partitionBy(column).orderBy(*order)) > 1)
+def repeated(column: str, *order: str, within: tuple[str, ...] = ()) -> Column:
+    """Whether an earlier row, of those that agree in ``within``, has the same non-empty value.  Rows with an empty one are
+    dealt over many windows, as none of them is looked at."""
+    empty = F.coalesce(F.col(column), F.lit("")) == ""
+    apart = F.when(empty, F.pmod(F.xxhash64(*order), F.lit(256)))
+    return ~empty & (F.row_number().over(Window.partitionBy(*within, column, apart).orderBy(*order)) > 1)
 
 
 def registry(sources: DataFrame) -> DataFrame:
@@ -64,8 +67,8 @@ def passages_json(raw: DataFrame) -> DataFrame:
 
 
 def passages(rows: DataFrame, sources: DataFrame | None = None) -> DataFrame:
-    """Errors of typed passages: (row, rule), row the id."""
-    marked = rows.withColumn("again", repeated("id", "source_id", "sequence"))
+    """Errors of typed passages: (row, rule), row the id.  An id may stand once in a source's file; ``corpus`` looks across files."""
+    marked = rows.withColumn("again", repeated("id", "sequence", within=("source_id",)))
     rules = {
         "id must be a non-empty string": F.coalesce(F.col("id"), F.lit("")) == "", "duplicate id": F.col("again"), "title must be a string": F.col("title").isNull(), "sequence must be a number": F.col("sequence").isNull(),
         "text must be a non-empty string": F.coalesce(trimmed(F.col("text")), F.lit("")) == "",

@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from skein.operators.index import Index
+from skein.sources import files, sinks
+from skein.sources.shared import shared_dir
+
 #: Texts are dirtied by these replacements, in this order (fixed values of the fixtures).
 DIRT = (("fi", "ﬁ"), (" of ", " —of— "), (" in ", " ‘in’ "), (" a ", " “a”  "), ("on t", "on\t t"))
 #: And hyphenated over lines by these.
@@ -74,17 +80,41 @@ def batch(spark: SparkSession, *rows: tuple) -> DataFrame:
 
 
 def log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events as log records: kinds as queries, with case and blanks varied, and filters from their properties."""
-    k = F.get_json_object("props", "$.k").cast("int")
+    """Events as log records: kinds as queries, with case, blanks and tabs varied, times to the hour, so that many are the same,
+    some large and broken counts, and filters from their properties."""
+    k, n = F.get_json_object("props", "$.k").cast("int"), F.col("event_id")
     kind = F.col("event_type")
-    q = F.when(F.col("event_id") % 7 == 0, F.initcap(kind)).when(F.col("event_id") % 7 == 1, F.concat(F.lit(" "), kind, F.lit("  "))).when(F.col("event_id") % 50 == 3, "   ").otherwise(kind)
+    q = F.when(n % 7 == 0, F.initcap(kind)).when(n % 7 == 1, F.concat(F.lit(" "), kind, F.lit("  "))).when(n % 7 == 2, F.concat(kind, F.lit("\t"))).when(n % 50 == 3, "   ").when(n % 50 == 4, "\t\n").otherwise(kind)
+    count = F.when(n % 97 == 5, 1e10).when(n % 97 == 6, 2.75).otherwise((F.floor("value") - 5).cast("double"))
     name = lambda m: F.concat(F.lit("src"), (k % m).cast("string"))
     return table(spark, sf_dir, "events").select(
-        F.format_string("%012d", "event_id").alias("key"), F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS").alias("ts"), q.alias("q"), (F.floor("value") - 5).cast("double").alias("result_count"),
-        F.when(k % 4 != 0, F.array(name(5), name(3))).alias("source_filter"),
+        F.format_string("%012d", "event_id").alias("key"), F.date_format("ts", "yyyy-MM-dd'T'HH:00:00").alias("ts"), q.alias("q"), count.alias("result_count"),
+        F.when(k % 4 != 0, F.array(name(5), name(3), F.when(k % 4 == 1, "\t"))).alias("source_filter"),
     )
 
 
+_BUILT: dict[tuple[str, str], str] = {}
+
+
+def registry_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(id, content) of the registry's sources, for the index version."""
+    return sources(spark, sf_dir).select("id", F.concat_ws("|", "title", "display_mode", "copyright").alias("content"))
+
+
+def stored_index(spark: SparkSession, sf_dir: str) -> str:
+    """The path of the index over all passages: written to the shared folder when it is first asked for."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _BUILT:
+        path = f"{shared_dir(spark)}/index-{uuid.uuid4().hex}"
+        sinks.write_index(passages(spark, sf_dir), registry_files(spark, sf_dir), path)
+        _BUILT[key] = path
+    return _BUILT[key]
+
+
+def index(spark: SparkSession, sf_dir: str) -> Index:
+    return files.index(spark, stored_index(spark, sf_dir))
+
+
 # The same in SQL for DuckDB.
 
 
@@ -110,9 +140,13 @@ PASSAGES_SQL = """passages AS (
   SELECT 'doc-' || doc_id AS id, source AS source_id, lang AS title, CAST(doc_id AS INT) AS sequence, 'p.' || doc_id AS page_ref, 'Chapter ' || lang AS chapter_ref, coalesce(text, '') AS text
   FROM documents WHERE source IS NOT NULL AND doc_id IS NOT NULL)"""
 LOG_SQL = """log AS (
-  SELECT printf('%012d', event_id) AS key, strftime(ts, '%Y-%m-%dT%H:%M:%S.%f') AS ts, CASE WHEN event_id % 7 = 0 THEN upper(event_type[1]) || event_type[2:] WHEN event_id % 7 = 1 THEN ' ' || event_type || '  ' WHEN event_id % 50 = 3 THEN '   ' ELSE event_type END AS q,
-         CAST(floor(value) - 5 AS DOUBLE) AS result_count, CASE WHEN k % 4 <> 0 THEN ['src' || (k % 5), 'src' || (k % 3)] END AS source_filter
-  FROM (SELECT *, CAST(json_extract_string(props, '$.k') AS INT) AS k FROM events))"""
+  SELECT printf('%012d', event_id) AS key, strftime(ts, '%Y-%m-%dT%H:00:00') AS ts,
+         CASE WHEN event_id % 7 = 0 THEN upper(event_type[1]) || event_type[2:] WHEN event_id % 7 = 1 THEN ' ' || event_type || '  ' WHEN event_id % 7 = 2 THEN event_type || chr(9)
+              WHEN event_id % 50 = 3 THEN '   ' WHEN event_id % 50 = 4 THEN chr(9) || chr(10) ELSE event_type END AS q,
+         CASE WHEN event_id % 97 = 5 THEN 1e10 WHEN event_id % 97 = 6 THEN 2.75 ELSE CAST(floor(value) - 5 AS DOUBLE) END AS result_count,
+         CASE WHEN k % 4 <> 0 THEN ['src' || (k % 5), 'src' || (k % 3), CASE WHEN k % 4 = 1 THEN chr(9) END] END AS source_filter
+  FROM (SELECT *, CAST(json_extract_string(props, '$.k') AS INT) AS k FROM events)),
+asked AS (SELECT key, ts, trim(q, E' \\t\\n') AS q, result_count, source_filter FROM log WHERE trim(q, E' \\t\\n') <> '')"""
 
 
 def marked_sql(header: str = "") -> str:

@@ -89,7 +89,7 @@ cl AS (SELECT *, CASE WHEN hit IS NULL THEN {escape_sql("array_to_string(w[1:con
 
 GROUPED_Q = batch_sql("erst heon", '"in the" erst', "thion")
 GROUPED_SQL = (
-    matches_sql(GROUPED_Q, synonyms=True, passages=INDEXED)
+    matches_sql(GROUPED_Q, synonyms=True, fuzzy=True, passages=INDEXED)
     + """,
 hl AS (SELECT query_id, list_transform(list_concat(phrases, keywords), lambda x: lower(x)) AS terms FROM p),
 r AS (SELECT m.query_id, s.sort_order AS group_pos, row_number() OVER (PARTITION BY m.query_id, source_id ORDER BY sequence, passages.id) AS pos, source_id, passages.id AS passage_id, sequence, text, terms, context_words AS context,
@@ -155,7 +155,7 @@ DECIDED_SQL = """decided AS (SELECT *, CASE WHEN lower(left_ || '-' || right_) I
 SLUG_SQL = r"regexp_replace(regexp_replace(lower(chapter), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g')"
 CHAPTER_SLUG_SQL = r"regexp_replace(substr(regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower(chapter), '[\s–—-]+', '-', 'g'), '[^a-z0-9-]', '', 'g'), '-{2,}', '-', 'g'), '^-+|-+$', '', 'g'), 1, 30), '-+$', '')"
 FAULTY_SQL = PASSAGES_SQL + """,
-faulty AS (SELECT CASE WHEN sequence % 50 = 7 THEN 'doc-' || (sequence - 7) WHEN sequence % 97 = 5 THEN '' ELSE id END AS id, CASE WHEN sequence % 59 = 1 THEN 'nowhere' ELSE 'src0' END AS source_id, CASE WHEN sequence % 43 = 2 THEN NULL ELSE title END AS title, sequence,
+faulty AS (SELECT CASE WHEN sequence % 50 IN (7, 32) THEN 'doc-' || (sequence - sequence % 50) WHEN sequence % 97 = 5 THEN '' ELSE id END AS id, CASE WHEN sequence % 59 = 1 THEN 'nowhere' WHEN sequence % 50 = 32 THEN 'src2' ELSE 'src0' END AS source_id, CASE WHEN sequence % 43 = 2 THEN NULL ELSE title END AS title, sequence,
   CASE WHEN sequence % 31 = 3 THEN ' ' || chr(10) || ' ' ELSE text END AS text FROM passages)"""
 #: Words of ASCII letters alone.
 WORDS_SQL = r"list_filter(regexp_extract_all(%s, '[\p{L}\p{N}_]+'), lambda x: regexp_full_match(x, '[a-zA-Z]+'))"
@@ -177,22 +177,22 @@ def oracle_sql() -> dict[str, str]:
         "index_version": f"""WITH {PASSAGES_SQL}, h AS (SELECT source_id, count(*) AS passages, sum(CAST(('0x' || substr(sha256(id || chr(1) || coalesce(title, '') || chr(1) || coalesce(chapter_ref, '') || chr(1) || text), 1, 12)) AS BIGINT)) AS s FROM passages GROUP BY source_id)
             SELECT source_id, passages, substr(sha256(passages || ':' || s), 1, 16) AS version FROM h""",
         "registry_version": f"WITH {SOURCES_SQL} SELECT substr(sha256(string_agg(id || ':' || title || '|' || display_mode || '|' || copyright || chr(10), '' ORDER BY id)), 1, 16) AS version FROM sources",
-        "query_parse": f"""WITH q AS (SELECT item_id AS query_id, 'fear "' || substr(text, 1, 9) || '" ' || substr(text, 10, 30) AS q FROM benchmark), {parse_sql()}
+        "query_parse": f"""WITH q AS (SELECT item_id AS query_id, 'fear "' || substr(text, 1, length(text) // 2) || '" ' || substr(text, length(text) // 2 + 1) AS q FROM benchmark), {parse_sql()}
             SELECT query_id AS item_id, array_to_string(phrases, '|') AS phrases, array_to_string(keywords, '|') AS keywords,
             array_to_string(list_transform(list_filter(list_transform(list_concat(phrases, keywords), lambda x, i: {{'x': lower(x), 'i': i}}), lambda e: list_position(list_transform(list_concat(phrases, keywords), lambda y: lower(y)), e.x) = e.i), lambda e: e.x), '|') AS terms FROM p""",
-        "search_keyword_and": pairs(matches_sql(batch_sql("the of", "Chapter thion", "nicht  und"))),
+        "search_keyword_and": pairs(matches_sql(batch_sql("the of", "Chapter thion", "nicht  und"), fuzzy=True)),
         "search_fuzzy": pairs(matches_sql(batch_sql("thionn eree", "queenele", "to"), fuzzy=True)),
         "search_phrase_observed": pairs(observed),
         "search_phrase_strict": pairs(strict),
         "search_multi_phrase": pairs(matches_sql(batch_sql('"nicht ein" "elle de"', '"erst"'))),
-        "search_phrase_and_keyword": pairs(matches_sql(batch_sql('"the of" erst', '" " erst', '"in the" "de la" to'))),
-        "search_synonyms": matches_sql(batch_sql("thion", "Erst the", '"thion"'), synonyms=True) + "\nSELECT query_id, id, by_synonym FROM matches",
+        "search_phrase_and_keyword": pairs(matches_sql(batch_sql('"the of" erst', '" " erst', '"in the" "de la" to'), fuzzy=True)),
+        "search_synonyms": matches_sql(batch_sql("thion", "Erst the", '"thion"'), synonyms=True, fuzzy=True) + "\nSELECT query_id, id, by_synonym FROM matches",
         "search_grouped": GROUPED_SQL,
-        "search_source_filter_order": matches_sql(batch_sql("the erst", "nicht"), passages=INDEXED)
+        "search_source_filter_order": matches_sql(batch_sql("the erst", "nicht"), fuzzy=True, passages=INDEXED)
         + """, f AS (SELECT * FROM (VALUES ('q0', 'src3', 0), ('q0', 'src1', 1), ('q0', 'src9', 2), ('q1', 'src2', 0), ('q1', 'src0', 1)) AS v(query_id, source_id, group_pos))
             SELECT m.query_id, group_pos, row_number() OVER (PARTITION BY m.query_id, passages.source_id ORDER BY sequence, passages.id) AS pos, passages.source_id, passages.id AS passage_id
             FROM matches m JOIN passages ON m.id = passages.id JOIN f ON f.query_id = m.query_id AND f.source_id = passages.source_id""",
-        "search_topics_batch": matches_sql("q AS (SELECT * FROM (VALUES " + ", ".join(f"('{t}', '{t.lower()}')" for t in ad.TOPICS) + ") AS v(query_id, q))") + "\nSELECT query_id, count(*) AS result_count FROM matches GROUP BY query_id",
+        "search_topics_batch": matches_sql("q AS (SELECT * FROM (VALUES " + ", ".join(f"('{t}', '{t.lower()}')" for t in ad.TOPICS) + ") AS v(query_id, q))", fuzzy=True) + "\nSELECT query_id, count(*) AS result_count FROM matches GROUP BY query_id",
         "kwic_clip": f"WITH {PASSAGES_SQL}, {CLIP_INPUT}, {clip_steps('i')} SELECT id, clip AS kwic FROM cl",
         "kwic_full": f"WITH {PASSAGES_SQL} SELECT id, {highlight_sql('text', repr(['in', 'inn.', 'the', 'é', '&']))} AS kwic FROM passages",
         "citations": f"""WITH {PASSAGES_SQL}, {SOURCES_SQL} SELECT passages.id, CASE WHEN display_mode = 'full-text' THEN text || chr(10) || chr(10) || '— ' || s.title || ', ' || chapter_ref || ', ' || page_ref END AS citation FROM passages JOIN sources s ON s.id = source_id""",
@@ -210,7 +210,7 @@ def oracle_sql() -> dict[str, str]:
         "hyphen_counts": f"WITH {CANDIDATES_SQL}, {DECIDED_SQL % (quoted('?'), quoted('?'))} SELECT count(*) AS total, count(*) FILTER (decision = 'default join') AS joined, count(*) FILTER (decision <> 'default join') AS kept, count(*) FILTER (decision = 'default join') AS defaulted FROM decided",
         "hyphen_repair": REPAIR_SQL,
         "passage_ids": f"SELECT doc_id, source || '-' || {CHAPTER_SLUG_SQL} || '-p' || printf('%04d', doc_id) AS id, {SLUG_SQL} AS slug FROM (SELECT *, 'Chapter ' || (doc_id % 9) || ' — How It’s  Done -- in ' || lang AS chapter FROM documents)",
-        "validate_passages": f"""WITH {FAULTY_SQL}, {SOURCES_SQL}, m AS (SELECT *, id <> '' AND row_number() OVER (PARTITION BY id ORDER BY source_id, sequence) > 1 AS again FROM faulty), r AS (
+        "validate_passages": f"""WITH {FAULTY_SQL}, {SOURCES_SQL}, m AS (SELECT *, id <> '' AND row_number() OVER (PARTITION BY source_id, id ORDER BY sequence) > 1 AS again FROM faulty), r AS (
             SELECT id AS row, 'id must be a non-empty string' AS rule FROM m WHERE id = '' UNION ALL SELECT id, 'duplicate id' FROM m WHERE again UNION ALL SELECT id, 'title must be a string' FROM m WHERE title IS NULL
             UNION ALL SELECT id, 'text must be a non-empty string' FROM m WHERE trim(text, E' \\n\\t\\r') = '' UNION ALL SELECT id, 'sourceId must match registry id' FROM m WHERE source_id NOT IN (SELECT id FROM sources)) SELECT row, rule, count(*) AS times FROM r GROUP BY row, rule""",
         "validate_registry": f"""WITH {SOURCES_SQL}, f AS (SELECT CASE WHEN sort_order = 6 THEN 'src5' ELSE id END AS id, sort_order AS n, CASE WHEN sort_order % 5 = 2 THEN NULL ELSE copyright END AS copyright FROM sources), m AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY n) > 1 AS again FROM f)
@@ -235,13 +235,13 @@ def oracle_sql() -> dict[str, str]:
             r AS (SELECT name, regexp_replace(regexp_replace(lower(regexp_replace(name, '\\.[^.]*$', '')), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g') AS raw_slug FROM f), s AS (SELECT id, id AS entry_slug, replace(lower(title), ' ', '-') AS title_slug, id || ' ' || title || ' ' || short_title AS a FROM sources)
             SELECT name, id, raw_slug, entry_slug, title_slug, CAST(len(list_intersect(list_distinct(regexp_extract_all(raw_slug, '[a-z0-9]+')), list_distinct(regexp_extract_all(lower(entry_slug || ' ' || title_slug || ' ' || a), '[a-z0-9]+')))) AS INT) AS overlap FROM r, s""",
         "log_sanitize": f"""WITH {LOG_SQL}, x AS (SELECT ts, CASE WHEN CAST(key AS BIGINT) % 11 = 0 THEN repeat(q, 200) ELSE q END AS q, result_count, source_filter FROM log)
-            SELECT ts, substr(q, 1, 500) AS q, CAST(greatest(result_count, 0) AS INT) AS result_count, coalesce(array_to_string(source_filter, ', '), 'all') AS source_filter FROM x WHERE trim(q) <> ''""",
+            SELECT ts, substr(q, 1, 500) AS q, greatest(result_count, 0) AS result_count, coalesce(array_to_string(list_filter(source_filter, lambda x: x IS NOT NULL), ', '), 'all') AS source_filter FROM x WHERE trim(q, E' \\t\\n') <> ''""",
         "log_fifo": f"WITH {LOG_SQL} SELECT key, ts, q FROM log ORDER BY key DESC LIMIT 100",
-        "stats_queries": f"WITH {LOG_SQL} SELECT lower(trim(q)) AS norm, min_by(trim(q), key) AS q, count(*) AS count, CAST(sum(result_count) AS BIGINT) AS total_results, max_by(ts, key) AS last_seen FROM log WHERE trim(q) <> '' GROUP BY 1",
-        "stats_top_queries": f"WITH {LOG_SQL}, g AS (SELECT lower(trim(q)) AS norm, min_by(trim(q), key) AS q, count(*) AS count, CAST(sum(result_count) AS BIGINT) AS total_results, max_by(ts, key) AS last_seen FROM log WHERE trim(q) <> '' GROUP BY 1) SELECT q, count, total_results, last_seen FROM g ORDER BY count DESC, lower(q) LIMIT 10",
-        "stats_recent": f"WITH {LOG_SQL} SELECT key, ts, trim(q) AS q, result_count FROM log WHERE trim(q) <> '' ORDER BY ts DESC, key DESC LIMIT 20",
-        "stats_filter_usage": f"WITH {LOG_SQL} SELECT source_id, count(*) AS count FROM (SELECT unnest(source_filter) AS source_id FROM log WHERE trim(q) <> '') GROUP BY source_id",
-        "stats_summary": f"WITH {LOG_SQL} SELECT count(*) AS total_records, min(ts) AS oldest_ts, max(ts) AS latest_ts FROM log WHERE trim(q) <> ''",
+        "stats_queries": f"WITH {LOG_SQL} SELECT lower(q) AS norm, min_by(q, key) AS q, count(*) AS count, sum(result_count) AS total_results, max_by(ts, key) AS last_seen FROM asked GROUP BY 1",
+        "stats_top_queries": f"WITH {LOG_SQL}, g AS (SELECT lower(q) AS norm, min_by(q, key) AS q, count(*) AS count, sum(result_count) AS total_results, max_by(ts, key) AS last_seen FROM asked GROUP BY 1) SELECT q, count, total_results, last_seen FROM g ORDER BY count DESC, lower(q) LIMIT 10",
+        "stats_recent": f"WITH {LOG_SQL} SELECT key, ts, q, result_count, coalesce(array_to_string(source_filter, ', '), 'all') AS source_filter FROM asked ORDER BY ts DESC, key LIMIT 20",
+        "stats_filter_usage": f"WITH {LOG_SQL} SELECT source_id, count(*) AS count FROM (SELECT unnest(source_filter) AS source_id FROM asked) WHERE trim(source_id, E' \\t\\n') <> '' GROUP BY source_id",
+        "stats_summary": f"WITH {LOG_SQL} SELECT count(*) AS total_records, min(ts) AS oldest_ts, max(ts) AS latest_ts FROM asked",
         "teasers": rf"""WITH {PASSAGES_SQL}, c AS (SELECT id, text, substr(text, 1, 60) AS cut, regexp_extract(substr(text, 1, 60), '(?s)^(.+) [^ ]*$', 1) AS s FROM passages) SELECT id, CASE WHEN length(text) > 60 THEN CASE WHEN s <> '' THEN s ELSE cut END || '…' ELSE text END AS teaser FROM c""",
-        "log_stream": "SELECT event_type AS q, count(*) AS records, CAST(sum(greatest(floor(value), 0)) AS BIGINT) AS results FROM events WHERE trim(event_type) <> '' GROUP BY event_type",
+        "log_stream": "SELECT event_type AS q, count(*) AS records, sum(greatest(floor(value), 0)) AS results FROM events WHERE trim(event_type) <> '' GROUP BY event_type",
     }

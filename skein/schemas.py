@@ -3,7 +3,7 @@
 SOURCE = "id string, title string, short_title string, description string, copyright string, display_mode string, context_words int, link_template string, official_url string, free_url string, color string, sort_order int, enabled boolean"
 PASSAGE = "id string, source_id string, title string, sequence int, date string, page_ref string, chapter_ref string, text string, link_data map<string,string>"
 QUERY = "query_id string, q string, source_filter array<string>"
-LOG = "key string, ts string, q string, result_count int, source_filter array<string>"
+LOG = "key string, ts string, q string, result_count double, source_filter array<string>"
 CHAPTER = "chapter_ref string, title string, start_page int, end_page int"
 SYNONYM = "term string, synonyms array<string>"
 EXCEPTION = "match array<string>, title string, body string, link struct<label:string,url:string>"

@@ -8,10 +8,11 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from skein.functions.text import unix_lines
+from skein.functions.text import unix_lines, unpadded
+from skein.operators.index import Index
 from skein.schemas import CHAPTER, PASSAGE, PASSAGE_JSON, SOURCE, SOURCE_JSON
 
-#: A page marker line, and a pattern for it.
+#: A pattern for a page marker line (fixed format).
 PAGE_MARKER = r"^<<<PAGE (\d+)>>>$"
 
 
@@ -90,9 +91,10 @@ def text_pages(spark: SparkSession, path: str) -> DataFrame:
 
 
 def form_feed_pages(spark: SparkSession, path: str) -> DataFrame:
-    """(page_pos, text) of files whose pages end in form feeds; bytes that aren't UTF-8 are replaced."""
-    files = spark.read.format("binaryFile").load(path).select(F.make_valid_utf8(F.col("content").cast("string")).alias("value"))
-    return files.select(F.posexplode(F.split("value", "\f")).alias("page_pos", "text"))
+    """(source_id, page_pos, text) of files whose pages end in form feeds; bytes that aren't UTF-8 are replaced."""
+    name = F.regexp_replace(F.col("_metadata.file_name"), r"\.[^.]*$", "")
+    files = spark.read.format("binaryFile").load(path).select(name.alias("source_id"), F.make_valid_utf8(F.col("content").cast("string")).alias("value"))
+    return files.select("source_id", F.posexplode(F.split("value", "\f")).alias("page_pos", "text"))
 
 
 def pdf_pages(spark: SparkSession, path: str) -> DataFrame:
@@ -126,10 +128,9 @@ def chapters(spark: SparkSession, path: str) -> DataFrame:
     return rows.withColumn("chapter_ref", F.when(lacking, F.raise_error(F.lit("chapter lacks a key"))).otherwise(F.col("chapter_ref"))).orderBy("start_page")
 
 
-def strip_patterns(path: str) -> list[str]:
-    """Patterns of a JSON list, on the driver."""
-    with open(path, encoding="utf-8") as f:
-        return json.load(f)
+def strip_patterns(spark: SparkSession, path: str) -> list[str]:
+    """Patterns of a JSON list, a short one, from any file system Spark knows."""
+    return json.loads(spark.read.text(path, wholetext=True).first().value)
 
 
 def words(spark: SparkSession, path: str | None) -> DataFrame:
@@ -152,7 +153,8 @@ def exceptions(spark: SparkSession, path: str) -> DataFrame:
 def log(spark: SparkSession, path: str) -> DataFrame:
     """Log records of JSON lines, with their keys; lines that aren't objects, or without a query, are left out."""
     rows = spark.read.schema("key string, ts string, q string, resultCount double, sourceFilter array<string>, bad string").option("columnNameOfCorruptRecord", "bad").json(path)
-    return rows.where("bad is null and q is not null and trim(q) <> ''").select("key", "ts", "q", F.coalesce(F.col("resultCount"), F.lit(0)).cast("int").alias("result_count"), F.col("sourceFilter").alias("source_filter"))
+    kept = rows.where(F.col("bad").isNull() & (F.coalesce(unpadded(F.col("q")), F.lit("")) != ""))
+    return kept.select("key", "ts", "q", F.coalesce(F.col("resultCount"), F.lit(0.0)).alias("result_count"), F.col("sourceFilter").alias("source_filter"))
 
 
 def calendar(spark: SparkSession) -> DataFrame:
@@ -160,9 +162,14 @@ def calendar(spark: SparkSession) -> DataFrame:
     return spark.sql("SELECT date_format(d, 'MM-dd') AS date FROM (SELECT explode(sequence(date'2000-01-01', date'2000-12-31')) AS d)")
 
 
-def index(spark: SparkSession, path: str) -> dict[str, DataFrame]:
+def index(spark: SparkSession, path: str) -> Index:
     """The stored index: postings, vocabulary and passages."""
-    return {name: spark.read.parquet(f"{path}/{name}") for name in ("postings", "vocabulary", "passages")}
+    return Index(*[spark.read.parquet(f"{path}/{name}") for name in ("postings", "vocabulary", "passages")], stored=True)
+
+
+def index_meta(spark: SparkSession, path: str) -> DataFrame:
+    """One row: version, sources (id, passage_count), built_at."""
+    return spark.read.schema("version string, sources array<struct<id:string,passage_count:long>>, built_at timestamp").json(f"{path}/meta")
 
 
 def topics(spark: SparkSession, names: Sequence[str]) -> DataFrame:

@@ -2,20 +2,58 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import uuid
+from urllib.parse import unquote
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from skein.operators.index import meta, postings, vocabulary
+from skein.schemas import PASSAGE_JSON
 
 
 def write_index(passages: DataFrame, files: DataFrame, path: str) -> None:
-    """Postings by source, vocabulary and passages as Parquet, and one line of metadata."""
-    postings(passages).write.mode("overwrite").partitionBy("source_id").parquet(f"{path}/postings")
+    """Postings in files by ranges of terms, vocabulary sorted by term, and passages, all as Parquet, and one line of metadata."""
+    postings(passages).write.mode("overwrite").parquet(f"{path}/postings")
     vocabulary(passages).write.mode("overwrite").parquet(f"{path}/vocabulary")
-    passages.write.mode("overwrite").partitionBy("source_id").parquet(f"{path}/passages")
+    passages.write.mode("overwrite").parquet(f"{path}/passages")
     meta(passages, files).withColumn("built_at", F.current_timestamp()).write.mode("overwrite").json(f"{path}/meta")
 
 
+def write_text(spark: SparkSession, text: str, path: str) -> None:
+    """A short text as the one file of a folder."""
+    spark.createDataFrame([(text,)], "value string").coalesce(1).write.text(path)
+
+
+def write_named(rows: DataFrame, path: str, name: str, line: str, *order: str, extension: str = "json", line_end: str = "\n") -> None:
+    """A file ``<name>.<extension>`` for each value of the column ``name``, with the lines of its rows in ``order``.
+
+    Spark writes the files, one task for each name; the driver only gives them their names.
+    """
+    spark, staged = rows.sparkSession, f"{path}/_staged-{uuid.uuid4().hex}"
+    dealt = rows.repartition(name).sortWithinPartitions(name, *order).select(F.col(name).alias("name_"), F.col(line).alias("value"))
+    dealt.write.partitionBy("name_").option("lineSep", line_end).text(staged)
+    at = spark._jvm.org.apache.hadoop.fs.Path
+    files = at(staged).getFileSystem(spark._jsc.hadoopConfiguration())
+    for folder in files.listStatus(at(staged)):
+        if folder.isDirectory():
+            called = unquote(folder.getPath().getName().split("=", 1)[1])
+            for part in files.listStatus(folder.getPath()):
+                if part.getPath().getName().startswith("part-"):
+                    files.rename(part.getPath(), at(f"{path}/{called}.{extension}"))
+    files.delete(at(staged), True)
+
+
+def write_passages(passages: DataFrame, path: str) -> None:
+    """A JSON array ``<source id>.json`` for each source, passages by sequence, a passage a line."""
+    fields = [F.col(c).alias(PASSAGE_JSON.get(c, c)) for c in passages.columns]
+    first = F.row_number().over(Window.partitionBy("source_id").orderBy("sequence", "id")) == 1
+    text = F.concat(F.when(first, "[").otherwise(","), F.to_json(F.struct(*fields), {"ignoreNullFields": "false"}))
+    body = passages.select("source_id", F.lit(0).alias("part"), "sequence", "id", text.alias("line"))
+    end = passages.select("source_id").distinct().select("source_id", F.lit(1).alias("part"), F.lit(None).cast("int").alias("sequence"), F.lit("").alias("id"), F.lit("]").alias("line"))
+    write_named(body.union(end), path, "source_id", "line", "part", "sequence", "id")
+
+
 def write_stage(rows: DataFrame, path: str, run: str, stage: str) -> None:
     """A stage's result under its run; an earlier one is never overwritten."""
     rows.write.mode("errorifexists").json(f"{path}/run={run}/{stage}")
@@ -36,6 +74,6 @@ def append_log(records: DataFrame, path: str) -> None:
     out.write.mode("append").option("ignoreNullFields", False).json(path)
 
 
-def report_lines(rows: DataFrame, template: str, *columns: str) -> DataFrame:
-    """Rows as lines of text."""
-    return rows.select(F.format_string(template, *columns).alias("line"))
+def write_report(lines: DataFrame, path: str) -> None:
+    """The lines of an audit report (section, pos, line) in order, in one file: sections are short by construction."""
+    lines.orderBy("section", "pos").coalesce(1).select("line").write.mode("overwrite").text(path)

@@ -166,8 +166,8 @@ def test_index_and_log_sinks(spark, tmp_path):
     rows = queries.ad.passages(spark, "/root/testdata/sf0.001").limit(20)
     sinks.write_index(rows, spark.createDataFrame([("s", "c")], "id string, content string"), str(tmp_path / "ix"))
     stored = files.index(spark, str(tmp_path / "ix"))
-    assert stored["passages"].count() == 20
-    assert stored["vocabulary"].count() > 0
+    assert stored.passages.count() == 20
+    assert stored.vocabulary.count() > 0
     log = spark.createDataFrame([("2024-01-01T00:00:00.000Z", "q", 1, ["s"])], "ts string, q string, result_count int, source_filter array<string>")
     sinks.append_log(log, str(tmp_path / "log"))
     sinks.append_log(log, str(tmp_path / "log"))
