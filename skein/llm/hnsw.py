@@ -1,13 +1,15 @@
 """Embedding near-duplicates with hierarchical navigable small-world graphs.
 
-Distinct vectors are dealt into shards by hash.  Each shard's task builds its graph and then runs every vector against
-it, in blocks that stream by: a beam search finds the way in, and from every hit the graph is followed through all
-vectors near the threshold.  Cosines are verified in double precision.  Before queries run, an audit against brute force widens
-the beam until its recall passes.  Links are counted and reduced to stars where they are found, never sent out as pairs.
+Distinct vectors are dealt into shards by hash; a task builds a shard's graph, audits it against brute force, widening the
+beam until its recall passes, and the graphs are stored.  Then every slice of all vectors meets every group of graphs in a
+task of its own: a beam search finds the way in, and from every hit the graph is followed through all vectors near the
+threshold.  Cosines are verified in double precision.  Links are counted and reduced to stars where they are found, never
+sent out as pairs.
 """
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -16,12 +18,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skein.llm.common import stored
+from skein.llm.common import dropped, spread_join, stored
 from skein.llm.components import connected, roots
 
-#: Vectors of a shard, about; a shard's graph is held by one task.
+#: Vectors of a shard, about, graphs that a task holds, and vectors of a slice that streams past them.
 SHARD_ROWS = 50_000
 MIN_SHARDS = 6
+GRAPHS_PER_TASK, SLICE_ROWS = 2, 32_768
+#: Recall that the beam is widened for, and that a shard must have.
+WANTED_RECALL, LEAST_RECALL = 0.98, 0.9
 #: Neighbours kept on a layer, and candidates looked at to choose them.
 DEGREE, BUILD_BEAM, FIRST_BEAM = 24, 48, 32
 BLOCK = 1024
@@ -178,16 +183,16 @@ class Graph:
             if len(hits):
                 yield i, bottom.nodes[hits]
 
-    def audit(self, threshold: float, probes: int = 128, least: float = 0.98, seed: int = 11) -> float:
+    def audit(self, threshold: float, probes: int = 128, least: float = WANTED_RECALL, seed: int = 11) -> float:
         """Recall on probes against brute force; the beam widens until ``least`` is reached.  Probes are members turned away
-        by a random angle somewhat within the threshold, so that each has at least one true hit."""
+        by a random angle, one half to just within the threshold, one half well within, so that each has a true hit."""
         n, d = self.vectors.shape
         rng = np.random.default_rng(seed)
         base = self.vectors[rng.choice(n, min(n, probes), replace=False)]
         noise = rng.standard_normal(base.shape).astype(np.float32)
         noise -= np.einsum("nd,nd->n", noise, base)[:, None] * base
         noise /= np.maximum(np.linalg.norm(noise, axis=1, keepdims=True), 1e-9)
-        cosine = np.float32((1 + threshold) / 2 if d > 1 else 1)
+        cosine = np.where(np.arange(len(base)) % 2, threshold + 0.002, (1 + threshold) / 2)[:, None].astype(np.float32) if d > 1 else np.ones((len(base), 1), np.float32)
         queries = cosine * base + np.sqrt(1 - cosine**2) * noise
         truth = queries @ self.vectors.T >= threshold
         while True:
@@ -197,6 +202,17 @@ class Graph:
                 return float(recall)
             self.width *= 2
 
+    def packed(self) -> tuple:
+        """What makes the graph again beside its vectors."""
+        return self.width, [(x.nodes.astype(np.int32), x.next.astype(np.int32)) for x in self.layers]
+
+    @classmethod
+    def unpacked(cls, vectors: np.ndarray, packed: tuple) -> Graph:
+        graph = cls.__new__(cls)
+        graph.vectors, (graph.width, layers) = vectors.astype(np.float32), packed
+        graph.layers = [Layer(nodes.astype(np.int64), following.astype(np.int64), graph.vectors[nodes], len(nodes)) for nodes, following in layers]
+        return graph
+
 
 def unit(vectors: np.ndarray) -> np.ndarray:
     scaled = vectors / np.abs(vectors).max(axis=1, keepdims=True)  # squares of very large or small components stay finite
@@ -207,58 +223,116 @@ def matrix(column: pa.ListArray) -> np.ndarray:
     return column.flatten().to_numpy().reshape(len(column), -1)
 
 
-def linked(graph: Graph, own: np.ndarray, own_ids: np.ndarray, copies: np.ndarray, vectors: np.ndarray, ids: np.ndarray, threshold: float):
-    """Links of a block of queries with a shard: (ids, counts of linked rows) and star edges."""
-    some, counts, pairs = [], [], []
-    for i, hits in graph.near(vectors.astype(np.float32), threshold):
-        hits = hits[(own[hits] @ vectors[i] >= threshold) & (own_ids[hits] != ids[i])]
-        if len(hits):
-            some.append(ids[i])
-            counts.append(copies[hits].sum())
-            pairs.append(np.stack([np.full(len(hits), ids[i]), own_ids[hits]], axis=1))
-    return np.array(some, np.int64), np.array(counts, np.int64), roots(np.concatenate(pairs)) if pairs else np.empty((0, 2), np.int64)
-
-
-def search_shards(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa.RecordBatch]:
-    """Rows (shard, dim, other, rep, copies, embedding) sorted by shard, dim, other: a shard's own vectors come first and make
-    its graph, then they and all others are run against it.  Emits (kind, a, b): kind 0 has links of a vector, kind 1 an edge."""
-
-    def out(some, counts, star):
-        kind = np.concatenate([np.zeros(len(some), np.int32), np.ones(len(star), np.int32)])
-        return pa.RecordBatch.from_arrays([pa.array(kind), pa.array(np.concatenate([some, star[:, 0]])), pa.array(np.concatenate([counts, star[:, 1]]))], names=["kind", "a", "b"])
-
-    key, graph, held = None, None, []
+@dataclass
+class Shard:
+    """A graph with its vectors in double precision, their numbers, ids that have each, and whether one of these has others too."""
 
-    def build():
-        nonlocal graph, held
-        own, own_ids, copies = (np.concatenate(x) for x in zip(*held, strict=True))
-        graph, held = (Graph(own), own, own_ids, copies), []
-        graph[0].audit(threshold)
-        for begin in range(0, len(own), BLOCK):
-            yield out(*linked(*graph, own[begin : begin + BLOCK], own_ids[begin : begin + BLOCK], threshold))
+    graph: Graph
+    vectors: np.ndarray
+    numbers: np.ndarray
+    copies: np.ndarray
+    several: np.ndarray
+
+    def linked(self, vectors: np.ndarray, numbers: np.ndarray, several: np.ndarray, threshold: float) -> pa.RecordBatch:
+        """Rows of FOUND for a block of queries: their links with this shard, as sums, stars, and pairs of ``several``."""
+        some, counts, pairs, both = [], [], [], []
+        for i, hits in self.graph.near(vectors.astype(np.float32), threshold):
+            hits = hits[(self.vectors[hits] @ vectors[i] >= threshold) & (self.numbers[hits] != numbers[i])]
+            if len(hits):
+                some.append(numbers[i])
+                counts.append(self.copies[hits].sum())
+                pairs.append(np.stack([np.full(len(hits), numbers[i]), self.numbers[hits]], axis=1))
+                if several[i]:
+                    both.append(pairs[-1][self.several[hits]])
+        star, same = (np.concatenate(x) if x else np.empty((0, 2), np.int64) for x in (pairs, both))
+        star = roots(star)
+        kind = np.repeat(np.arange(3, dtype=np.int32), [len(some), len(star), len(same)])
+        a = np.concatenate([np.array(some, np.int64), star[:, 0], same[:, 0]])
+        b = np.concatenate([np.array(counts, np.int64), star[:, 1], same[:, 1]])
+        return pa.RecordBatch.from_arrays([pa.array(kind), pa.array(a), pa.array(b)], names=["kind", "a", "b"])
+
+
+#: Kind 0: a vector and the number of its links; 1: an edge; 2: a link of two vectors whose ids have several.
+FOUND = "kind int, a long, b long"
+GRAPHS = "shard int, dim int, recall double, graph binary"
+
+
+def build_graphs(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa.RecordBatch]:
+    """Rows (shard, dim, number, copies, several, embedding) sorted by shard and dim: a row of GRAPHS for each of both."""
+    key, held = None, []
+
+    def built() -> pa.RecordBatch:
+        vectors, numbers, copies, several = (np.concatenate(x) for x in zip(*held, strict=True))
+        graph = Graph(vectors)
+        recall = graph.audit(threshold)
+        kept = pickle.dumps((vectors, numbers, copies, several, graph.packed()), protocol=5)
+        held.clear()
+        return pa.RecordBatch.from_arrays([pa.array([key[0]], pa.int32()), pa.array([key[1]], pa.int32()), pa.array([recall]), pa.array([kept], pa.binary())], names=["shard", "dim", "recall", "graph"])
 
     for batch in batches:
-        keys = np.stack([batch.column("shard").to_numpy(), batch.column("dim").to_numpy(), batch.column("other").to_numpy()], axis=1)
+        keys = np.stack([batch.column("shard").to_numpy(), batch.column("dim").to_numpy()], axis=1)
         cuts = [0, *(np.flatnonzero((np.diff(keys, axis=0) != 0).any(axis=1)) + 1).tolist(), len(keys)]
         for a, b in zip(cuts[:-1], cuts[1:], strict=True):
             if a == b:
                 continue
-            part, (shard, dim, other) = batch.slice(a, b - a), keys[a].tolist()
-            if (shard, dim) != key:
-                if held:
-                    yield from build()
-                key, graph = (shard, dim), None
-            vectors, ids = unit(matrix(part.column("embedding"))), part.column("rep").to_numpy()
-            if not other:
-                held.append((vectors, ids, part.column("copies").to_numpy()))
-                continue
-            if held:
-                yield from build()
-            if graph is not None:  # a shard without vectors of this length has nothing to find
-                for begin in range(0, len(vectors), BLOCK):
-                    yield out(*linked(*graph, vectors[begin : begin + BLOCK], ids[begin : begin + BLOCK], threshold))
+            if held and tuple(keys[a].tolist()) != key:
+                yield built()
+            key, part = tuple(keys[a].tolist()), batch.slice(a, b - a)
+            held.append((unit(matrix(part.column("embedding"))), part.column("number").to_numpy(), part.column("copies").to_numpy(), part.column("several").to_numpy(zero_copy_only=False)))
     if held:
-        yield from build()
+        yield built()
+
+
+def search_graphs(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa.RecordBatch]:
+    """Rows (task, dim, number, several, embedding, graph) sorted by task and number: a task's graphs, without number, come
+    first, and the vectors of its slice stream past those of their length."""
+    task, shards = None, {}
+    for batch in batches:
+        keys = batch.column("task").to_numpy()
+        cuts = [0, *(np.flatnonzero(np.diff(keys)) + 1).tolist(), len(keys)]
+        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+            if a == b:
+                continue
+            if keys[a] != task:
+                task, shards = keys[a], {}
+            part = batch.slice(a, b - a)
+            n = part.column("number").null_count
+            for row in part.slice(0, n).select(["dim", "graph"]).to_pylist():
+                vectors, numbers, copies, several, packed = pickle.loads(row["graph"])
+                shards.setdefault(row["dim"], []).append(Shard(Graph.unpacked(vectors, packed), vectors, numbers, copies, several))
+            for begin in range(n, len(part), BLOCK):
+                block = part.slice(begin, BLOCK)
+                dims = block.column("dim").to_numpy()
+                for dim in np.unique(dims).tolist():
+                    some = block.filter(pa.array(dims == dim))
+                    vectors = unit(matrix(some.column("embedding"))) if dim in shards else None
+                    for shard in shards.get(dim, ()):
+                        yield shard.linked(vectors, some.column("number").to_numpy(), some.column("several").to_numpy(zero_copy_only=False), threshold)
+
+
+def all_links(reps: DataFrame, threshold: float, min_shards: int, shard_rows: int) -> DataFrame:
+    """Rows of FOUND, stored, from stored ``reps`` (number, copies, several, embedding): every slice against every graph."""
+    total = reps.count()
+    shards, slices = max(min_shards, -(-total // shard_rows)), max(1, -(-total // SLICE_ROWS))
+    groups = -(-shards // GRAPHS_PER_TASK)
+    dim = F.size("embedding").alias("dim")
+    home = F.pmod(F.xxhash64("embedding"), F.lit(shards)).cast("int").alias("shard")
+    dealt = reps.select(home, dim, "number", "copies", "several", "embedding").repartitionById(shards, "shard").sortWithinPartitions("shard", "dim", "number")
+    graphs = stored(dealt.mapInArrow(lambda b: build_graphs(b, threshold), GRAPHS), "graphs")
+    worst = graphs.agg(F.min("recall")).first()[0]
+    if worst is not None and worst < LEAST_RECALL:
+        raise RuntimeError(f"a graph's recall is {worst:.3f}, below {LEAST_RECALL}")
+    upto = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    task = (F.col("group") * slices + F.col("slice")).cast("int").alias("task")
+    empty = F.lit(None)
+    held = graphs.select(F.floor(F.col("shard") / GRAPHS_PER_TASK).alias("group"), upto(slices).alias("slice"), "dim", "graph")
+    held = held.select(task, "dim", empty.cast("long").alias("number"), empty.cast("boolean").alias("several"), empty.cast("array<double>").alias("embedding"), "graph")
+    asked = reps.select(upto(groups).alias("group"), F.pmod(F.xxhash64("number"), F.lit(slices)).alias("slice"), dim, "number", "several", "embedding")
+    asked = asked.select(task, "dim", "number", "several", "embedding", empty.cast("binary").alias("graph"))
+    rows = held.union(asked).repartitionById(groups * slices, "task").sortWithinPartitions("task", "number")
+    found = stored(rows.mapInArrow(lambda b: search_graphs(b, threshold), FOUND), "links")
+    dropped(graphs)
+    return found
 
 
 def near_duplicates(embeddings: DataFrame, threshold: float = 0.9, id_col: str = "vec_id", vector_col: str = "embedding", min_shards: int = MIN_SHARDS, shard_rows: int = SHARD_ROWS) -> DataFrame:
@@ -266,20 +340,31 @@ def near_duplicates(embeddings: DataFrame, threshold: float = 0.9, id_col: str =
 
     Links are pairs with cosine ``threshold`` or more.  Vectors that are null, empty, zero or hold null or non-finite
     components link with nothing, nor do rows without id or vectors of different lengths; such a row is its own component.
-    Equal vectors are compared once and count as links of each other.  Rows with one id are one vertex.
+    Equal vectors are compared once and link the ids that have them.  Rows that repeat an id and its vector are one vector;
+    n_links counts the vectors of other ids.  An id with several vectors has a row for each, with this one's links, and joins
+    their components.  An empty table gives no rows; other columns may have any names.
     """
     v = F.col("embedding")
-    rows = embeddings.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("embedding"))
+    rows = embeddings.select(F.col(f"`{id_col}`").cast("long").alias("vec_id"), F.col(f"`{vector_col}`").cast("array<double>").alias("embedding"))
     sound = F.col("vec_id").isNotNull() & v.isNotNull() & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(v, lambda x: x != 0)
-    reps = stored(rows.where(sound).groupBy("embedding").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies")), "vectors")
-    shards = max(min_shards, -(-reps.count() // shard_rows))
-    home = F.pmod(F.xxhash64("embedding"), F.lit(shards)).cast("int")
-    dealt = reps.select("rep", "copies", "embedding", F.size("embedding").alias("dim"), home.alias("home"), F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"))
-    dealt = dealt.select("shard", "dim", (F.col("home") != F.col("shard")).cast("int").alias("other"), "rep", "copies", "embedding")
-    found = stored(dealt.repartitionById(shards, "shard").sortWithinPartitions("shard", "dim", "other", "rep").mapInArrow(lambda b: search_shards(b, threshold), "kind int, a long, b long"), "links")
-    counts = found.where("kind = 0").groupBy(F.col("a").alias("rep")).agg(F.sum("b").alias("n"))
-    nodes = connected(found.where("kind = 1").select(F.col("a").alias("u"), F.col("b").alias("v")))
-    known = reps.join(counts, "rep", "left").join(nodes, F.col("rep") == F.col("node"), "left").select("embedding", "rep", (F.col("copies") - 1 + F.coalesce("n", F.lit(0))).alias("n"), F.coalesce("component", "rep").alias("component"))
-    return rows.withColumn("sound", sound).join(known.withColumn("sound", F.lit(True)), ["sound", "embedding"], "left").select(
-        "vec_id", F.coalesce("n", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component", "vec_id").alias("component_id"), (F.col("vec_id") == F.coalesce("component", "vec_id")).alias("kept"),
-    )
+    usable = rows.where(sound)
+    several = stored(usable.select("vec_id", F.xxhash64("embedding").alias("h")).distinct().groupBy("vec_id").agg(F.count("*").alias("n")).where("n > 1").select("vec_id"), "several_ids")
+    marked = usable.join(several.withColumn("several", F.lit(True)), "vec_id", "left")
+    reps = marked.groupBy("embedding").agg(F.min("vec_id").alias("rep"), F.count_distinct("vec_id").alias("copies"), F.count("*").alias("n_"), F.coalesce(F.bool_or("several"), F.lit(False)).alias("several"))
+    reps = stored(reps.withColumn("number", F.monotonically_increasing_id()), "vectors")
+    found = all_links(reps, threshold, min_shards, shard_rows)
+    placed = stored(usable.join(several, "vec_id", "left_semi").join(reps.where("several").select("embedding", "number"), "embedding").select("vec_id", "number").distinct(), "several_places")
+    same_id = placed.join(placed.groupBy("vec_id").agg(F.min("number").alias("v")), "vec_id").select(F.col("number").alias("u"), "v")
+    nodes = connected(found.where("kind = 1").select(F.col("a").alias("u"), F.col("b").alias("v")).union(same_id))
+    counts = found.where("kind = 0").groupBy(F.col("a").alias("number")).agg(F.sum("b").alias("n"))
+    joined = stored(reps.select("number", "rep").join(nodes, F.col("number") == F.col("node"), "left").select("number", "rep", F.coalesce("component", "number").alias("component")), "joined_vectors")
+    named = spread_join(joined.select("number", "component"), joined.groupBy("component").agg(F.min("rep").alias("component_id")), "component")
+    known = reps.select("embedding", "number", "copies", "n_").join(counts, "number", "left").join(named.select("number", "component_id"), "number")
+    known = stored(known.select("embedding", "number", "n_", (F.col("copies") - 1 + F.coalesce("n", F.lit(0))).alias("n"), "component_id"), "known_vectors")
+    # links of an id's vector with its own other vectors
+    own = found.where("kind = 2").join(placed.select(F.col("number").alias("a"), "vec_id"), "a").join(placed.select(F.col("number").alias("b"), F.col("vec_id").alias("other")), "b")
+    own = own.where("vec_id = other").groupBy("vec_id", F.col("a").alias("number")).agg(F.count("*").alias("own"))
+    lone = rows.where(~F.coalesce(sound, F.lit(False))).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
+    met = spread_join(usable, known.drop("n_"), "embedding", counts=known.select("embedding", "n_")).join(own, ["vec_id", "number"], "left")
+    linked = met.select("vec_id", (F.col("n") - F.coalesce("own", F.lit(0))).alias("n_links"), "component_id")
+    return linked.union(lone).select("vec_id", "n_links", "component_id", (F.col("vec_id") == F.col("component_id")).alias("kept"))
