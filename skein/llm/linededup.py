@@ -15,7 +15,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skein.llm.common import dropped, raw, stored
+from skein.llm.common import dropped, raw, spread_join, stored
 
 #: A line must have as many words for one edit to leave it 0.8 similar; shorter lines match exact copies only.
 MIN_WORDS = 5
@@ -143,8 +143,9 @@ def likely_lines(distinct: DataFrame, min_words: int) -> DataFrame:
     long_enough = F.col("n_words") >= min_words
     wide = distinct.where(F.col("n_words") >= min_words - 1).select("first.doc_id", "first.line_no", long_enough.alias("long"), F.explode(F.when(long_enough, F.array(*own, *shorter)).otherwise(F.array(*own))).alias("h"))
     wide = wide.select("doc_id", "line_no", "long", "h.half", "h.less")
-    met = wide.groupBy("half").agg(F.count_if(~F.col("less")).alias("n_own"), F.count_if("less").alias("n_less")).where("n_own > 1 or n_own = 1 and n_less > 0")
-    told = wide.join(met, "half").groupBy("doc_id", "line_no").agg(
+    met = wide.groupBy("half").agg(F.count_if(~F.col("less")).alias("n_own"), F.count_if("less").alias("n_less"), F.count("*").alias("n_")).where("n_own > 1 or n_own = 1 and n_less > 0")
+    met = stored(met, "shared_halves")
+    told = spread_join(wide, met.drop("n_"), "half", counts=met.select("half", "n_"), total=4 * distinct.count()).groupBy("doc_id", "line_no").agg(
         F.bool_or(~F.col("less") & F.col("long") & (F.col("n_own") > 1)).alias("same"), F.bool_or(~F.col("less") & (F.col("n_less") > 0)).alias("longer"), F.bool_or("less").alias("shorter"),
     )
     return told.where("same or longer or shorter")
@@ -160,14 +161,15 @@ def near_lines(named: DataFrame, distinct: DataFrame, min_words: int) -> DataFra
     texts = stored(named.join(wanted.hint("merge"), "doc_id").select("doc_id", "text", "wanted").mapInArrow(texts_of, TEXTS), "line_texts")
     place = F.struct("doc_id", "line_no")
     sent = stored(texts.mapInArrow(variants, VARIANTS), "variants").select("variant", "less", "own", place.alias("at"))
-    best = sent.groupBy("variant").agg(F.min(F.when(~F.col("less"), F.col("at"))).alias("least"), F.min(F.when(F.col("less"), F.col("at"))).alias("least_less"), F.count("*").alias("n")).where("n > 1").drop("n")
-    met = sent.join(best, "variant").select("at", F.when(F.col("own"), F.col("least_less")).otherwise(F.col("least")).alias("earlier")).where("earlier < at")
+    best = sent.groupBy("variant").agg(F.min(F.when(~F.col("less"), F.col("at"))).alias("least"), F.min(F.when(F.col("less"), F.col("at"))).alias("least_less"), F.count("*").alias("n_")).where("n_ > 1")
+    best = stored(best, "shared_variants")
+    met = spread_join(sent, best.drop("n_"), "variant", counts=best.select("variant", "n_")).select("at", F.when(F.col("own"), F.col("least_less")).otherwise(F.col("least")).alias("earlier")).where("earlier < at")
     met = met.groupBy("at").agg(F.min("earlier").alias("earlier"))
     lines = texts.select(place.alias("place"), "line").distinct()
     both = met.join(lines.select(F.col("place").alias("at"), "line"), "at").join(lines.select(F.col("place").alias("earlier"), F.col("line").alias("other_line")), "earlier")
     spot = "struct<doc_id:long,line_no:int>"
     near = stored(both.select("at", "earlier", "line", "other_line").mapInArrow(verified, f"at {spot}, earlier {spot}").select(F.col("at").alias("first"), "earlier").distinct(), "near_lines")
-    dropped(likely, texts, sent)
+    dropped(likely, texts, sent, best)
     return near
 
 
@@ -186,9 +188,9 @@ def duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     halves = ("head", "tail", "head_less", "tail_less")
     distinct = stored(lines.groupBy("key").agg(F.min(F.struct("doc_id", "line_no")).alias("first"), F.max("n_words").alias("n_words"), *[F.max(h).alias(h) for h in halves], F.count("*").alias("copies")), "distinct_lines")
     near = near_lines(named, distinct, min_words)
-    targets = stored(distinct.join(near, "first", "left").where("copies > 1 or earlier is not null").select("key", "first", "earlier"), "line_targets")
+    targets = stored(distinct.join(near, "first", "left").where("copies > 1 or earlier is not null").select("key", "first", "earlier", "copies"), "line_targets")
     dropped(distinct, near)
-    gone = lines.select("key", "doc_id", "line_no", "n_words").join(targets, "key").withColumn("own", F.struct("doc_id", "line_no")).where("own <> first or earlier is not null")
+    gone = spread_join(lines.select("key", "doc_id", "line_no", "n_words"), targets.drop("copies"), "key", counts=targets.select("key", F.col("copies").alias("n_"))).withColumn("own", F.struct("doc_id", "line_no")).where("own <> first or earlier is not null")
     target = F.coalesce(F.col("earlier"), F.col("first"))
     return gone.select("doc_id", "line_no", "n_words", F.col("earlier").isNotNull().alias("near"), target["doc_id"].alias("earlier_doc_id"), target["line_no"].alias("earlier_line_no"))
 
