@@ -18,13 +18,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skein.llm.common import raw, scratch, stored
+from skein.llm.common import raw, scratch, spread_join, stored
 
 END = b"\r\n\r\n"
 HTTP_HEAD = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
-#: Records of one archive, at most; the reader holds one archive at a time.
-RECORDS_PER_FILE = 4000
+#: Records, and bytes of payload, of one archive, at most (or one record); the reader holds one archive at a time.
+RECORDS_PER_FILE, ARCHIVE_BYTES = 4000, 128 << 20
 SCHEMA = "file string, kind string, at long, size long, page_id long, url string, record_type string, payload_bytes long, payload_digest string, refers_to long, payload binary, reason string"
 
 
@@ -46,31 +46,36 @@ def record(page_id: int | None, url: str | None, payload: bytes, refers_to: int
 
 
 def originals(pages: DataFrame, id_col: str, html_col: str, min_bytes: int) -> DataFrame:
-    """(sha1, original) of payloads that several rows share: the largest page_id.  Only digests and ids are shuffled, summed up beforehand."""
-    html = F.coalesce(F.col(html_col), F.lit(""))
+    """(sha1, original, n) of payloads that several rows share: the largest page_id.  Only digests and ids are shuffled, summed up beforehand."""
+    html = F.coalesce(F.col(f"`{html_col}`"), F.lit(""))
     keyed = pages.where(F.octet_length(html) >= min_bytes).select(F.sha1(html.cast("binary")).alias("sha1"), F.col(id_col).cast("long").alias("page"))
-    return keyed.groupBy("sha1").agg(F.max("page").alias("original"), F.count("*").alias("n")).where("n > 1").select("sha1", "original")
+    return keyed.groupBy("sha1").agg(F.max("page").alias("original"), F.count("*").alias("n")).where("n > 1").select("sha1", "original", "n")
 
 
-def write(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", min_bytes: int = 0, date: str = "2024-01-01T00:00:00Z", records_per_file: int = RECORDS_PER_FILE) -> None:
+def write(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", min_bytes: int = 0, date: str = "2024-01-01T00:00:00Z", records_per_file: int = RECORDS_PER_FILE, archive_bytes: int = ARCHIVE_BYTES) -> None:
     """Write one record per row.
 
     A null html is an empty payload.  Of rows with equal payloads of at least ``min_bytes`` bytes, that with the largest
     page_id is the response and the others revisit it (rows that repeat that page_id are responses too; rows without a
     page_id revisit it, and are responses where no equal row has one); shorter payloads are all responses.  A null url
-    has no target line.
+    has no target line.  A record is named by its page_id, so rows that repeat one share their record's name.  Archives have
+    at most ``records_per_file`` records and, by the longest page, ``archive_bytes`` of payload.  An empty table gives no
+    records; other columns may have any names.
     """
     shared = stored(originals(pages, id_col, html_col, min_bytes), "originals")
-    html = F.coalesce(F.col(html_col), F.lit(""))
-    rows = pages.select(F.col(id_col).cast("long").alias("page"), F.col(url_col).alias("url"), html.alias("html"), F.when(F.octet_length(html) >= min_bytes, F.sha1(html.cast("binary"))).alias("sha1"))
-    rows = rows.join(shared, "sha1", "left").select("page", "url", "html", F.when(F.col("page").isNull() | (F.col("page") != F.col("original")), F.col("original")).alias("refers_to"))
+    html = F.coalesce(F.col(f"`{html_col}`"), F.lit(""))
+    seen = pages.agg(F.max(F.octet_length(html)).alias("longest"), F.count("*").alias("n")).first()
+    records = max(1, min(records_per_file, archive_bytes // max(1, seen.longest or 0)))
+    sha1 = F.when(F.octet_length(html) >= min_bytes, F.sha1(html.cast("binary")))
+    rows = pages.select(F.col(f"`{id_col}`").cast("long").alias("page"), F.col(f"`{url_col}`").alias("url"), html.alias("html"), sha1.alias("sha1"))
+    rows = spread_join(rows, shared.select("sha1", "original"), "sha1", "left", counts=shared.select("sha1", F.col("n").alias("n_")), total=seen.n).select("page", "url", "html", F.when(F.col("page").isNull() | (F.col("page") != F.col("original")), F.col("original")).alias("refers_to"))
 
     def run(batches):
         for batch in batches:
             made = [record(i, u, p, r, date) for i, u, p, r in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), raw(batch.column(2)), batch.column(3).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array(made, pa.binary()).cast(pa.string())], names=["value"])
 
-    rows.mapInArrow(run, "value string").write.option("lineSep", END.decode()).option("maxRecordsPerFile", records_per_file).text(path)
+    rows.mapInArrow(run, "value string").write.option("lineSep", END.decode()).option("maxRecordsPerFile", records).text(path)
 
 
 def parsed(data: bytes, at: int) -> tuple[int, dict[str, str], bytes] | str:
@@ -227,10 +232,16 @@ def read(spark: SparkSession, path: str, payloads: bool = True) -> DataFrame:
     return files.mapInArrow(run, SCHEMA)
 
 
+def sound(found: DataFrame) -> DataFrame:
+    """The records of what ``read`` gives; a quarantined gap raises."""
+    lost = F.raise_error(F.concat_ws(" ", F.lit("gap in"), "file", F.lit("at"), F.col("at").cast("string"), "reason"))
+    return found.withColumn("kind", F.when(F.col("kind") == "record", F.col("kind")).otherwise(lost.cast("string"))).where("kind is not null")
+
+
 def round_trip(pages: DataFrame, **options) -> DataFrame:
     """Write the archives to a new path in the shared folder, read them back, one row per record: page_id, payload_bytes,
-    payload_digest, record_type, refers_to."""
+    payload_digest, record_type, refers_to.  A gap in an archive just written is an error."""
     spark = pages.sparkSession
     path = scratch(spark, "warc")
     write(pages, path, **options)
-    return read(spark, path, payloads=False).where("kind = 'record'").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    return sound(read(spark, path, payloads=False)).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
