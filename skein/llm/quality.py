@@ -155,10 +155,12 @@ def remainder(id_col: str):
 
 
 def sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, rows: int) -> tuple[np.ndarray, np.ndarray]:
-    """Statistics and labels of at most ``rows`` labelled documents, chosen by a hash of the id, none held out."""
+    """Statistics and labels of at most ``rows`` labelled documents, chosen by a hash of the id, none held out.  Of rows that
+    repeat an id one is taken, so that ``rows`` bounds what the driver gathers; an id labelled twice has its larger label."""
     usable = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & (remainder(id_col) != 0))
     chosen = usable.groupBy(F.col(id_col).cast("long").alias("id_")).agg(F.max(label_col).cast("int").alias("y_")).orderBy(F.xxhash64("id_", F.lit(7)), "id_").limit(rows)
-    found = docs.select(F.col(id_col).cast("long").alias("id_"), F.col(text_col).alias("text_")).join(F.broadcast(chosen), "id_").select("text_", "y_")
+    found = docs.select(F.col(id_col).cast("long").alias("id_"), F.col(text_col).alias("text_")).join(F.broadcast(chosen), "id_")
+    found = found.groupBy("id_").agg(F.min_by("text_", F.xxhash64("text_")).alias("text_"), F.max("y_").alias("y_")).select("text_", "y_")
 
     def run(batches):
         for batch in pieces(batches):
@@ -180,7 +182,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 def scores(docs: DataFrame, trees: Trees, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.3) -> DataFrame:
     """One row per document: doc_id, held_out, score, predicted.  Null and empty texts score by their zero statistics.
 
-    A null doc_id isn't held out.
+    A null doc_id isn't held out.  Repeated rows each get their row; texts of any length are read whole; an empty table gives no
+    rows; other columns may have any names.
     """
     sent = Sent(docs.sparkSession, trees)
 
