@@ -13,8 +13,9 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: A candidate: twelve or more key-like characters with a digit among the run's first characters up to its end.
-CANDIDATE = r"(?=[A-Za-z0-9+/_=-]{12})[A-Za-z+/_=-]*[0-9][A-Za-z0-9+/_=-]*"
+#: A candidate: a run of twelve or more key-like characters with a digit among them.  It begins where the run does and gives
+#: nothing back, so that a long run is read once.
+CANDIDATE = r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z0-9+/_=-]{12})[A-Za-z+/_=-]*+[0-9][A-Za-z0-9+/_=-]*+"
 #: Keys known by their prefix, with or without a digit.
 PREFIXED = r"(?<![A-Za-z0-9])(?:(?:AKIA|ASIA)[A-Z0-9]{16}|(?:gh[pousr]_|sk[-_]|xox[abp]-|eyJ)[A-Za-z0-9+/_=-]{12,})"
 KEY_LIKE = f"{CANDIDATE}|{PREFIXED}"
@@ -71,16 +72,18 @@ def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     opened = lambda w2, w1: w1.rlike(f"{NAMED}{ASSIGN}$") | w1.rlike(f"^{ASSIGN}$") & w2.rlike(f"{NAMED}$")
     within, begun = f"{NAMED}{ASSIGN}{VALUE}", f"^{ASSIGN}{VALUE}"
     given = lambda w, w2, w1: F.when(w.rlike(within), F.regexp_extract(w, within, 1)).when(w1.rlike(f"{NAMED}$") & w.rlike(begun), F.regexp_extract(w, begun, 1)).when(opened(w2, w1), F.regexp_extract(w, f"^{VALUE}", 1)).otherwise("")
-    numbered = F.transform("words", lambda w, i: F.struct(i.alias("word_no"), w.alias("word"), F.regexp_replace(given(w, at(i - 2), at(i - 1)), r"[,;.)\]}>]+$", "").alias("value")))
+    # a word and its neighbours; only those of candidates leave the row
+    numbered = F.transform("words", lambda w, i: F.struct(i.alias("word_no"), w.alias("word"), F.regexp_replace(given(w, at(i - 2), at(i - 1)), r"[,;.)\]}>]+$", "").alias("value"), at(i - 2).alias("w2"), at(i - 1).alias("w1"), at(i + 1).alias("next")))
     found = F.filter(numbered, lambda x: (F.length(x["value"]) >= 6) | x["word"].rlike(KEY_LIKE))
-    rows = rows.select("doc_id", "words", "path", F.explode(found).alias("x"))
-    rows = rows.select("doc_id", "path", F.col("x.word_no").alias("word_no"), F.col("x.word").alias("word"), F.col("x.value").alias("value"), at(F.col("x.word_no") - 2).alias("w2"), at(F.col("x.word_no") - 1).alias("w1"), at(F.col("x.word_no") + 1).alias("next"))
+    rows = rows.select("doc_id", "path", F.explode(found).alias("x")).select("doc_id", "path", "x.*")
     parts = r"^([A-Za-z_-]+=)(.{8,})$"
     whole = lambda t: F.when(t.rlike(parts), F.regexp_extract(t, parts, 2)).otherwise(t)
     runs = F.regexp_extract_all("word", F.lit(f"({KEY_LIKE})"), F.lit(0))
     more = (F.length("value") >= 6) & ~F.exists(runs, lambda t: (t == F.col("value")) | (whole(t) == F.col("value")))
-    rows = rows.select("*", F.posexplode(F.when(more, F.concat(runs, F.array("value"))).otherwise(runs)).alias("nth", "token"), F.when(more, F.size(runs)).otherwise(-1).alias("last"))
-    place = F.when(F.col("nth") == F.col("last"), F.length("word") - F.instr(F.reverse("word"), F.reverse("token")) - F.length("token") + 2).otherwise(F.instr("word", F.col("token")))
+    # each run stands after the one before it; the value is the last of its kind in the word
+    place = F.aggregate(runs, F.struct(F.lit(1).alias("next"), F.array().cast("array<int>").alias("at")), lambda a, t: F.struct((F.call_function("locate", t, F.col("word"), a["next"]) + F.length(t)).alias("next"), F.concat(a["at"], F.array(F.call_function("locate", t, F.col("word"), a["next"]))).alias("at")), lambda a: a["at"])
+    rows = rows.select("*", place.alias("places"), F.posexplode(F.when(more, F.concat(runs, F.array("value"))).otherwise(runs)).alias("nth", "token"), F.when(more, F.size(runs)).otherwise(-1).alias("last"))
+    place = F.when(F.col("nth") == F.col("last"), F.length("word") - F.instr(F.reverse("word"), F.reverse("token")) - F.length("token") + 2).otherwise(F.get("places", F.col("nth")))
     head, tail = F.substring(F.col("word"), F.lit(1), place - 1), F.substring(F.col("word"), place + F.length("token"), F.length("word"))
     name, value = F.regexp_extract("token", parts, 1), F.regexp_extract("token", parts, 2)
     split_off = (value != "") & (F.col("nth") != F.col("last"))
@@ -139,7 +142,8 @@ def fit(findings: DataFrame, trees: int = 24, depth: int = 8, seed: int = 3) ->
 def scan(docs: DataFrame, model: PipelineModel, threshold: float = 0.5, id_col: str = "doc_id", text_col: str = "text", path_col: str | None = None) -> DataFrame:
     """One row per candidate: doc_id, word_no, nth (in its word), shown (first four characters), n_chars, score, secret.
 
-    Null and empty texts have none; every repeated row, and every place of a repeated secret, gets its row; the secret itself
+    Null and empty texts have none; texts and words of any length are read whole, in time linear in them; rows without id are
+    scanned like others; an empty table gives no rows; other columns may have any names; every repeated row, and every place of a repeated secret, gets its row; the secret itself
     isn't returned.
     """
     found = candidates(docs, id_col, text_col, path_col)
