@@ -23,6 +23,8 @@ TOPICS = (
 OTHER_TOPIC = "prose"
 #: Cells that one task rakes; more are dealt by the margins' values.
 ONE_TASK_CELLS = 200_000
+#: Difference of a share from its target that is good enough, and by what factor some rounds must lessen it to go on.
+TOLERANCE, SETTLED = 1e-4, 0.98
 WORD = r"[^\x09-\x0D\x20]+"
 NONE = "(none)"
 
@@ -43,13 +45,11 @@ def cells(docs: DataFrame, margins: Mapping[str, Column], tokens: Column) -> Dat
     return docs.select(*[F.coalesce(c.cast("string"), F.lit(NONE)).alias(f"m_{k}") for k, c in margins.items()], tokens.alias("tokens")).groupBy(*[f"m_{k}" for k in margins]).agg(F.sum("tokens").alias("tokens"))
 
 
-def rake(of_cells: DataFrame, names: Sequence[str], targets: Mapping[str, Mapping[str, float]] | None, alpha: float, rounds: int) -> DataFrame:
-    """Cells with ``total`` and ``weight``: tokens scaled so that each margin's shares meet its targets.
+def aimed(of_cells: DataFrame, names: Sequence[str], targets: Mapping[str, Mapping[str, float]] | None, alpha: float) -> DataFrame:
+    """Cells that have tokens, with ``total``, a target share ``t_*`` for each margin's value, and ``weight``, their tokens.
 
-    A round scales each margin in turn by target over present share.  Targets are shares by value, normalised;
-    values without one get 0.  A margin without targets aims at its own shares to the power ``alpha``, normalised
-    (1 keeps the mix, 0 makes values equal).  Up to ONE_TASK_CELLS cells are raked by one task without a shuffle, more
-    by the margins' values.
+    Targets are shares by value, normalised; values without one get 0.  A margin without targets aims at its own shares to
+    the power ``alpha``, normalised (1 keeps the mix, 0 makes values equal).
     """
     out = of_cells.where("tokens > 0")
     seen = out.agg(F.count("*").alias("n"), F.sum("tokens").cast("double").alias("total")).first()
@@ -63,7 +63,12 @@ def rake(of_cells: DataFrame, names: Sequence[str], targets: Mapping[str, Mappin
             norm = of_cells.where("tokens > 0").groupBy(f"m_{k}").agg(powered.alias("p")).agg(F.sum("p")).first()[0]
             own = F.sum("tokens").over(Window.partitionBy(f"m_{k}"))
             out = out.withColumn(f"t_{k}", F.pow(own / F.col("total"), F.lit(alpha)) / F.lit(norm))
-    out = out.withColumn("weight", F.col("tokens").cast("double"))
+    return out.withColumn("weight", F.col("tokens").cast("double"))
+
+
+def rounds_of(out: DataFrame, names: Sequence[str], rounds: int) -> DataFrame:
+    """A round scales each margin in turn by target over present share.  Few cells are raked by one task without a shuffle,
+    more by the margins' values."""
     for _ in range(rounds):
         for k in names:
             present = F.sum("weight").over(Window.partitionBy(f"m_{k}"))
@@ -71,6 +76,39 @@ def rake(of_cells: DataFrame, names: Sequence[str], targets: Mapping[str, Mappin
     return out
 
 
+def residuals(raked: DataFrame, names: Sequence[str]) -> DataFrame:
+    """(margin, value, target, share) of raked cells: how far each margin is from its targets."""
+    out = None
+    for k in names:
+        one = raked.groupBy(F.lit(k).alias("margin"), F.col(f"m_{k}").alias("value")).agg(F.max(f"t_{k}").alias("target"), (F.sum("weight") / F.max("total")).alias("share"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def rake(of_cells: DataFrame, names: Sequence[str], targets: Mapping[str, Mapping[str, float]] | None, alpha: float, rounds: int, tolerance: float = TOLERANCE, strict: bool = False) -> DataFrame:
+    """Cells with ``total``, targets and ``weight``, stored: tokens scaled so that each margin's shares meet its targets.
+
+    After every ``rounds`` rounds the largest difference of a share from its target is looked at: raking ends when it is at
+    most ``tolerance``, or no longer falls, as with targets that can't be met together.  With ``strict`` those raise.
+    """
+
+    def off(cells: DataFrame) -> float:
+        return residuals(cells, names).agg(F.max(F.abs(F.col("target") - F.col("share")))).first()[0] or 0.0
+
+    out = stored(rounds_of(aimed(of_cells, names, targets, alpha), names, rounds), "raked")
+    now = off(out)
+    while now > tolerance:
+        few = out.count() <= ONE_TASK_CELLS
+        following = stored(rounds_of(out.coalesce(1) if few else out, names, rounds), "raked")
+        after = off(following)
+        if after > now * SETTLED:
+            break
+        out, now = following, after
+    if strict and now > tolerance:
+        raise ValueError(f"the targets can't be met together: a share is off by {now:.4f}")
+    return out
+
+
 def calibrate(raked: DataFrame, keep_share: float | None) -> DataFrame:
     """Cells with ``probability``.
 
@@ -95,9 +133,10 @@ def calibrate(raked: DataFrame, keep_share: float | None) -> DataFrame:
     return raked.withColumn("probability", F.least(F.lit(1.0), ratio * F.lit(factor)))
 
 
-def uniform(id_col: str, seed: int) -> Column:
-    """A number in [0, 1) from the MD5 of seed and id: the same for the same document in any run."""
-    digest = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(id_col).cast("string"), F.lit(""))).cast("binary"))
+def uniform(id_col: str, seed: int, text_col: str = "text") -> Column:
+    """A number in [0, 1) from the MD5 of seed and id, or text where there is no id: the same for the same document in any run."""
+    told = F.coalesce(F.col(f"`{id_col}`").cast("string"), F.concat(F.lit("text:"), F.col(f"`{text_col}`")), F.lit(""))
+    digest = F.md5(F.concat(F.lit(f"{seed}:"), told).cast("binary"))
     return F.conv(F.substring(digest, 1, 13), 16, 10).cast("double") / F.lit(float(16**13))
 
 
@@ -105,20 +144,21 @@ def margins_of(docs: DataFrame, source_col: str, lang_col: str, topic_col: str |
     return {"source": F.col(source_col), "lang": F.col(lang_col), "topic": F.col(topic_col) if topic_col else topic(text_col)}
 
 
-def decided(docs: DataFrame, targets: Mapping[str, Mapping[str, float]] | None = None, alpha: float = 0.7, rounds: int = 8, keep_share: float | None = None, seed: int = 13, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang", topic_col: str | None = None) -> DataFrame:
+def decided(docs: DataFrame, targets: Mapping[str, Mapping[str, float]] | None = None, alpha: float = 0.7, rounds: int = 8, keep_share: float | None = None, seed: int = 13, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang", topic_col: str | None = None, tolerance: float = TOLERANCE, strict: bool = False) -> DataFrame:
     """(doc, topic, probability, sampled): each document as a struct of all its columns, with its margin value, its chance,
     and whether the sample takes it.
 
     Null source, language or topic is a value of its own; a document whose cell has no tokens gets probability 1
-    (it changes no mix); repeated rows of an id share one decision; an empty table stays empty.
+    (it changes no mix); repeated rows of an id share one decision, and so do rows without id and with equal texts; texts of
+    any length are counted whole; an empty table stays empty.
     """
     margins = margins_of(docs, source_col, lang_col, topic_col, text_col)
     summed = stored(cells(docs, margins, n_tokens(text_col)), "cells")
-    chances = calibrate(stored(rake(summed, list(margins), targets, alpha, rounds), "raked"), keep_share)
+    chances = calibrate(rake(summed, list(margins), targets, alpha, rounds, tolerance, strict), keep_share)
     keys = [f"m_{k}" for k in margins]
     known = stored(chances.select(*keys, F.round("probability", 9).alias("chance")), "chances")
     packed = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
-    marked = docs.select(packed.alias("doc"), uniform(id_col, seed).alias("u"), *[F.coalesce(c.cast("string"), F.lit(NONE)).alias(f"m_{k}") for k, c in margins.items()])
+    marked = docs.select(packed.alias("doc"), uniform(id_col, seed, text_col).alias("u"), *[F.coalesce(c.cast("string"), F.lit(NONE)).alias(f"m_{k}") for k, c in margins.items()])
     chance = F.coalesce("chance", F.lit(1.0))
     return marked.join(known, keys, "left").select("doc", F.col("m_topic").alias("topic"), chance.alias("probability"), (F.col("u") < chance).alias("sampled"))
 
@@ -140,7 +180,7 @@ def report_sql(alpha: float = 0.7, rounds: int = 8, seed: int = 13) -> str:
     cases = " ".join(f"WHEN {rule.replace('text', 't')} THEN '{name}'" for name, rule in TOPICS)
     names = ("source", "lang", "topic")
     steps = [
-        f"d AS (SELECT doc_id, source, lang, coalesce(source, '{NONE}') AS m_source, coalesce(lang, '{NONE}') AS m_lang, CASE {cases} ELSE '{OTHER_TOPIC}' END AS m_topic, "
+        f"d AS (SELECT doc_id, text, source, lang, coalesce(source, '{NONE}') AS m_source, coalesce(lang, '{NONE}') AS m_lang, CASE {cases} ELSE '{OTHER_TOPIC}' END AS m_topic, "
         "CAST(len(regexp_extract_all(t, '[^\\x09-\\x0D\\x20]+')) AS BIGINT) AS n_tokens FROM (SELECT *, coalesce(text, '') AS t FROM documents))",
         "c AS (SELECT m_source, m_lang, m_topic, CAST(sum(n_tokens) AS BIGINT) AS tokens FROM d GROUP BY ALL HAVING sum(n_tokens) > 0)",
         "tot AS (SELECT CAST(sum(tokens) AS DOUBLE) AS total FROM c)",
@@ -155,6 +195,6 @@ def report_sql(alpha: float = 0.7, rounds: int = 8, seed: int = 13) -> str:
     steps.append(f"p AS (SELECT m_source, m_lang, m_topic, round(least(1.0, weight / tokens / max(weight / tokens) OVER ()), 9) AS probability FROM w{rounds * 3})")
     return (
         "WITH " + ",\n".join(steps) + f"\nSELECT doc_id, source, lang, m_topic AS topic, n_tokens, round(coalesce(probability, 1.0), 6) AS probability, "
-        f"CAST(('0x' || substr(md5('{seed}:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 13)) AS BIGINT) / CAST({16**13} AS DOUBLE) < coalesce(probability, 1.0) AS sampled "
+        f"CAST(('0x' || substr(md5('{seed}:' || coalesce(CAST(doc_id AS VARCHAR), 'text:' || text, '')), 1, 13)) AS BIGINT) / CAST({16**13} AS DOUBLE) < coalesce(probability, 1.0) AS sampled "
         "FROM d LEFT JOIN p USING (m_source, m_lang, m_topic)"
     )
