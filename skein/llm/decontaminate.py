@@ -9,21 +9,21 @@ thing sent out is the benchmark, in blocks of a checked size.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Callable, Iterator
-from dataclasses import dataclass
-from itertools import repeat
+from collections.abc import Callable, Iterable, Iterator
+from dataclasses import dataclass, replace
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skein.llm.common import Sent, pieces, raw, word_table
+from skein.llm.common import Sent, pieces, raw, stored, word_table
 
 #: Words of a shard, at most, unless one document alone has more.
 SHARD_WORDS = 1 << 19
-#: Bytes of benchmark text in one broadcast block; a larger benchmark takes several passes.
-BLOCK_BYTES = 32 << 20
+#: Bytes of benchmark text in one block, about an eighth of what its broadcast takes; a larger benchmark takes several passes.
+BLOCK_BYTES = 4 << 20
 
 
 @dataclass
@@ -37,6 +37,7 @@ class Tests:
     left: np.ndarray  # words from here to the item's end
     window: np.ndarray  # window length for windows that start here, 0 where none does
     item_ids: list[int | None]
+    first: int = 0  # number of the block's first item
 
 
 def prepare(items: list[tuple[int | None, str | None]], window: int) -> Tests:
@@ -193,9 +194,10 @@ def shards(batches: Iterator[pa.RecordBatch], column: str, limit: int) -> Iterat
 
 
 def blocks(benchmark: DataFrame, id_col: str, text_col: str, block_bytes: int) -> Iterator[list[tuple[int | None, str | None]]]:
-    """The benchmark's items in blocks of at most ``block_bytes`` of text (or one item), streamed to the driver."""
+    """The benchmark's items in blocks of at most ``block_bytes`` of text (or one item), streamed to the driver: it holds one
+    block and one partition of the benchmark at a time."""
     held, size = [], 0
-    for item, text in benchmark.select(id_col, text_col).distinct().toLocalIterator():
+    for item, text in benchmark.select(F.col(f"`{id_col}`"), F.col(f"`{text_col}`")).distinct().toLocalIterator():
         more = len((text or "").encode())
         if held and size + more > block_bytes:
             yield held
@@ -205,9 +207,7 @@ def blocks(benchmark: DataFrame, id_col: str, text_col: str, block_bytes: int) -
     yield held
 
 
-def scanned(docs: DataFrame, tests: Tests, text_col: str, shard_words: int, emit: Callable, schema: str) -> DataFrame:
-    sent = Sent(docs.sparkSession, tests)
-
+def scanned(docs: DataFrame, sent: Sent, text_col: str, shard_words: int, emit: Callable, schema: str) -> DataFrame:
     def run(batches):
         block = sent.get()
         depth = int(block.left.max(initial=1))
@@ -226,10 +226,11 @@ def digests(docs: DataFrame, benchmark: DataFrame, window: int = 10, id_col: str
     an item without id marks words but is not counted; an empty benchmark hits nothing.  A benchmark of one block,
     the usual case, takes one pass without a shuffle; more blocks are joined by the items and places they hit.
     """
-    narrow = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    parts = list_blocks(benchmark, item_col, item_text_col, block_bytes)
-    if len(parts) > 1:
-        return merged(narrow, parts, window, shard_words)
+    narrow = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
+    parts = blocks(benchmark, item_col, item_text_col, block_bytes)
+    first = next(parts)
+    if (second := next(parts, None)) is not None:
+        return merged(narrow, chain([first, second], parts), window, shard_words)
 
     def emit(rows, shard, block):
         named = [sorted({str(block.item_ids[i]) for i in s if block.item_ids[i] is not None}) for s in shard.items]
@@ -238,15 +239,15 @@ def digests(docs: DataFrame, benchmark: DataFrame, window: int = 10, id_col: str
             names=["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"],
         )
 
-    return scanned(narrow, prepare(parts[0], window), "text", shard_words, emit, "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean")
+    return scanned(narrow, Sent(docs.sparkSession, prepare(first, window)), "text", shard_words, emit, "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean")
 
 
-def list_blocks(benchmark: DataFrame, id_col: str, text_col: str, block_bytes: int) -> list[list]:
-    return list(blocks(benchmark, id_col, text_col, block_bytes))
+HITS = "doc_id long, copy long, places array<long>, items array<string>"
 
 
-def merged(narrow: DataFrame, parts: list[list], window: int, shard_words: int) -> DataFrame:
-    """The digests over several benchmark blocks: per block the hit stretches and items, then merged per document row."""
+def merged(narrow: DataFrame, parts: Iterable[list], window: int, shard_words: int) -> DataFrame:
+    """The digests over several benchmark blocks: the places and items that each block hits, stored block by block so that one
+    broadcast is alive at a time, and then merged per document row."""
 
     def emit(rows, shard, block):
         win_lo, win_hi = shard.found[3], shard.found[4]
@@ -257,64 +258,76 @@ def merged(narrow: DataFrame, parts: list[list], window: int, shard_words: int)
         spans = [set() for _ in shard.items]
         for doc, at, size in zip(docs.tolist(), (places - shard.starts[docs]).tolist(), sizes.tolist(), strict=True):
             spans[doc].update(range(at, at + size))
-        named = [sorted({str(block.item_ids[i]) for i in s if block.item_ids[i] is not None}) for s in shard.items]
-        yield pa.RecordBatch.from_arrays(
-            [rows.column("doc_id"), rows.column("copy"), pa.array(shard.n_words), pa.array([sorted(s) for s in spans], pa.list_(pa.int64())), pa.array(named, pa.list_(pa.string()))],
-            names=["doc_id", "copy", "n_words", "places", "items"],
-        )
+        hit = [i for i, s in enumerate(spans) if s]
+        named = [sorted({str(block.item_ids[i]) for i in shard.items[k] if block.item_ids[i] is not None}) for k in hit]
+        at = pa.array(hit, pa.int64())
+        yield pa.RecordBatch.from_arrays([rows.column("doc_id").take(at), rows.column("copy").take(at), pa.array([sorted(spans[k]) for k in hit], pa.list_(pa.int64())), pa.array(named, pa.list_(pa.string()))], names=["doc_id", "copy", "places", "items"])
 
-    marked = narrow.withColumn("copy", F.xxhash64("text"))
-    every = None
+    spark = narrow.sparkSession
+    marked, every = narrow.withColumn("copy", F.xxhash64("text")), None
     for part in parts:
-        one = scanned(marked, prepare(part, window), "text", shard_words, emit, "doc_id long, copy long, n_words long, places array<long>, items array<string>").withColumn("block", F.lit(0))
+        sent = Sent(spark, prepare(part, window))
+        one = stored(scanned(marked, sent, "text", shard_words, emit, HITS).distinct(), "hits")  # repeated rows hit the same
+        sent.held.destroy()
         every = one if every is None else every.unionByName(one)
-    n_blocks = len(parts)
-    grouped = every.groupBy("doc_id", "copy").agg(
-        F.max("n_words").alias("n_words"), (F.count("*") / n_blocks).cast("int").alias("copies"),
-        F.array_distinct(F.flatten(F.collect_set("places"))).alias("places"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"),
-    )
-    return grouped.select(
-        "doc_id", "n_words", F.size("places").cast("long").alias("n_hit"), F.size("items").cast("long").alias("n_items"),
-        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.size("places") > 0).alias("contaminated"), F.explode(F.sequence(F.lit(1), "copies")).alias("row"),
-    ).drop("row")
+    told = every.groupBy("doc_id", "copy").agg(F.array_distinct(F.flatten(F.collect_list("places"))).alias("places"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+
+    def counted(batches):
+        for rows, texts in shards(batches, "text", shard_words):
+            yield pa.RecordBatch.from_arrays([rows.column("doc_id"), rows.column("copy"), pa.array([len(t) for t in texts], pa.int64())], names=["doc_id", "copy", "n_words"])
+
+    rows = marked.mapInArrow(counted, "doc_id long, copy long, n_words long")
+    same = rows.doc_id.eqNullSafe(told.doc_id) & (rows.copy == told.copy)
+    items = F.coalesce("items", F.array().cast("array<string>"))
+    n_hit = F.coalesce(F.size("places"), F.lit(0)).cast("long")
+    return rows.join(told, same, "left").select(rows.doc_id, "n_words", F.greatest(n_hit, F.lit(0)).alias("n_hit"), F.size(items).cast("long").alias("n_items"), F.sha2(F.array_join(items, ","), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"))
+
+
+MATCHES = "item long, item_id long, item_word long, row long, doc_id long, doc_word long, n_words long"
 
 
 def longest_matches(docs: DataFrame, benchmark: DataFrame, min_words: int = 10, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", shard_words: int = SHARD_WORDS, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """Longest verbatim matches with their places: item_id, item_word, doc_id, doc_word, n_words.
 
-    For each benchmark suffix and shard, the longest match of at least ``min_words`` words at every place that has
-    it; a suffix of a longer match one word earlier at the same place is left out.
+    For each benchmark suffix the longest match of at least ``min_words`` words over all shards, at every place that has it; a
+    suffix of a longer match one word earlier at the same place is left out.  Repeated documents have their matches once.
     """
-    narrow = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    narrow = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text"), F.xxhash64(F.col(f"`{text_col}`")).alias("row"))
 
     def emit(rows, shard, block):
         longest, lo, hi = shard.found[:3]
         used = np.flatnonzero(longest >= min_words)
         slots, which = ranges(lo[used], hi[used])
         places, suffix = shard.sa[slots], used[which]
-        seen = set(zip(places.tolist(), suffix.tolist(), longest[suffix].tolist(), strict=True))
-        keep = np.array([(p - 1, s - 1, n + 1) not in seen for p, s, n in zip(places.tolist(), suffix.tolist(), longest[suffix].tolist(), strict=True)], bool)
-        places, suffix = places[keep], suffix[keep]
         where = np.searchsorted(shard.starts, places, "right") - 1
+        at = pa.array(where)
         yield pa.RecordBatch.from_arrays(
-            [pa.array([block.item_ids[i] for i in block.item_of[suffix].tolist()], pa.int64()), pa.array(block.offset[suffix]), rows.column("doc_id").take(pa.array(where)), pa.array(places - shard.starts[where]), pa.array(longest[suffix])],
-            names=["item_id", "item_word", "doc_id", "doc_word", "n_words"],
+            [pa.array(block.item_of[suffix] + block.first), pa.array([block.item_ids[i] for i in block.item_of[suffix].tolist()], pa.int64()), pa.array(block.offset[suffix]), rows.column("row").take(at), rows.column("doc_id").take(at), pa.array(places - shard.starts[where]), pa.array(longest[suffix])],
+            names=["item", "item_id", "item_word", "row", "doc_id", "doc_word", "n_words"],
         )
 
-    out = None
-    for part in list_blocks(benchmark, item_col, item_text_col, block_bytes):
-        one = scanned(narrow, prepare(part, min_words), "text", shard_words, emit, "item_id long, item_word long, doc_id long, doc_word long, n_words long")
-        out = one if out is None else out.unionByName(one)
-    return out
+    found, first = None, 0
+    for part in blocks(benchmark, item_col, item_text_col, block_bytes):
+        sent = Sent(docs.sparkSession, replace(prepare(part, min_words), first=first))
+        one = stored(scanned(narrow, sent, "text", shard_words, emit, MATCHES).distinct(), "matches")
+        sent.held.destroy()
+        found, first = one if found is None else found.unionByName(one), first + len(part)
+    best = found.join(found.groupBy("item", "item_word").agg(F.max("n_words").alias("n_words")), ["item", "item_word", "n_words"])
+    best = stored(best, "longest_matches")
+    here = lambda c, step: F.col(c) + step
+    longer = best.select("item", here("item_word", 1).alias("item_word"), "row", F.coalesce("doc_id", F.lit(0)).alias("doc"), here("doc_word", 1).alias("doc_word"), here("n_words", -1).alias("n_words"))
+    kept = best.withColumn("doc", F.coalesce("doc_id", F.lit(0))).join(longer, ["item", "item_word", "row", "doc", "doc_word", "n_words"], "left_anti")
+    return kept.select("item_id", "item_word", "doc_id", "doc_word", "n_words")
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, window: int = 10, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", shard_words: int = SHARD_WORDS, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """The documents, all their columns, in which no window of the benchmark occurs.  Rows pass straight through."""
+    """The documents, all their columns, in which no window of the benchmark occurs.  Rows pass straight through, whatever their
+    ids, one block of the benchmark after another; null and empty texts are kept."""
     out = docs
-    for part in list_blocks(benchmark, item_col, item_text_col, block_bytes):
+    for part in blocks(benchmark, item_col, item_text_col, block_bytes):
 
         def emit(rows, shard, block):
             yield rows.filter(pa.array(shard.n_hit == 0))
 
-        out = scanned(out, prepare(part, window), text_col, shard_words, emit, docs.schema)
+        out = scanned(out, Sent(docs.sparkSession, prepare(part, window)), text_col, shard_words, emit, docs.schema)
     return out
