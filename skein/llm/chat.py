@@ -12,6 +12,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -56,32 +57,36 @@ class Template:
         return re.compile(f"{before}([^\n]*?){after}(.*?){re.escape(self.tail)}", re.DOTALL)
 
 
-SEGMENTS = "conv_id long, turn_no long, segment int, text string, loss boolean, in_order boolean, may_end boolean"
+SEGMENTS = "conversation string, conv_id long, turn_no long, segment int, text string, loss boolean, in_order boolean, may_end boolean"
 
 
 def segments(conversations: DataFrame, template: Template | None = None, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
-    """Formatted segments: conv_id, turn_no, segment, text, loss, in_order, may_end.
+    """Formatted segments: conversation, conv_id, turn_no, segment, text, loss, in_order, may_end.
 
     Turns go by ``turn``, ties by role and text; repeated rows are turns of their own.  Null roles and texts are
-    empty; rows without conv_id form one conversation.  Turns out of order are formatted all the same, with in_order
-    false: the state machine goes on from the role it met.  All segments of a conversation are consecutive rows of one
-    partition.
+    empty; a row without conv_id is a conversation of its own, as nothing joins such rows; ``conversation`` names each.
+    Turns out of order are formatted all the same, with in_order false: the state machine goes on from the role it met.  All
+    segments of a conversation are consecutive rows of one partition; a text of any length is one segment; an empty table
+    gives no rows; other columns may have any names.
     """
     shape = template or Template()
-    rows = conversations.select(F.col(conv_col).cast("long").alias("conv_id"), F.col(turn_col).alias("turn"), F.coalesce(F.col(role_col), F.lit("")).alias("role"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    rows = rows.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text").select("conv_id", "role", "text")
+    rows = conversations.select(F.col(f"`{conv_col}`").cast("long").alias("conv_id"), F.col(f"`{turn_col}`").alias("turn"), F.coalesce(F.col(f"`{role_col}`"), F.lit("")).alias("role"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
+    apart = F.when(F.col("conv_id").isNull(), F.xxhash64("turn", "role", "text"))
+    rows = rows.withColumn("apart", apart).repartition("conv_id", "apart").sortWithinPartitions("conv_id", "apart", "turn", "role", "text").select("conv_id", "role", "text")
 
     def run(batches):
-        conv, state, turn = object(), "", 0
+        part, lone = TaskContext.get().partitionId(), 0
+        conv, name, state, turn = object(), "", "", 0
         for batch in batches:
             for begin in range(0, batch.num_rows, 1000):
                 out = []
-                part = batch.slice(begin, 1000)
-                for c, role, text in zip(*(part.column(i).to_pylist() for i in range(3)), strict=True):
-                    if c != conv:
-                        conv, state, turn = c, "", 0
+                some = batch.slice(begin, 1000)
+                for c, role, text in zip(*(some.column(i).to_pylist() for i in range(3)), strict=True):
+                    if c is None or c != conv:
+                        conv, state, turn, lone = c, "", 0, lone + (c is None)
+                        name = f"-{part}-{lone}" if c is None else str(c)
                     fine = role in shape.follows.get(state, ())
-                    out += [(c, turn, k, t, loss, fine, role in shape.final) for k, (t, loss) in enumerate(shape.segments(role, text))]
+                    out += [(name, c, turn, k, t, loss, fine, role in shape.final) for k, (t, loss) in enumerate(shape.segments(role, text))]
                     state, turn = role, turn + 1
                 yield batch_of(out)
 
@@ -89,8 +94,8 @@ def segments(conversations: DataFrame, template: Template | None = None, conv_co
 
 
 def batch_of(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = (pa.int64(), pa.int64(), pa.int32(), pa.string(), pa.bool_(), pa.bool_(), pa.bool_())
-    names = ("conv_id", "turn_no", "segment", "text", "loss", "in_order", "may_end")
+    kinds = (pa.string(), pa.int64(), pa.int64(), pa.int32(), pa.string(), pa.bool_(), pa.bool_(), pa.bool_())
+    names = ("conversation", "conv_id", "turn_no", "segment", "text", "loss", "in_order", "may_end")
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
 
 
@@ -100,13 +105,16 @@ DIGESTS = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, los
 def read_back(formatted: DataFrame, template: Template | None = None) -> DataFrame:
     """Parse formatted segments and sum each conversation up: conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars, valid.
 
-    Only the formatted text and the loss flags are read; ``valid`` comes from the state machine's flags.
+    Segments may lie anywhere, as in a stored table that is read in splits: they are dealt and sorted by conversation first.
+    Only the formatted text and the loss flags are read; ``valid`` comes from the state machine's flags.  Text that the template
+    didn't make raises.
     """
     shape = template or Template()
+    formatted = formatted.repartition("conversation").sortWithinPartitions("conversation", "turn_no", "segment")
 
     def run(batches: Iterator[pa.RecordBatch]):
         pattern, rows = shape.turn_pattern(), []
-        conv, now = object(), None
+        name, conv, now = None, None, None
 
         def start():
             return {"n": 0, "turns": hashlib.sha256(), "loss": hashlib.sha256(), "loss_chars": 0, "chars": 0, "valid": True, "held": "", "may_end": False}
@@ -122,11 +130,11 @@ def read_back(formatted: DataFrame, template: Template | None = None) -> DataFra
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=[f.split()[0] for f in DIGESTS.split(", ")])
 
         for batch in batches:
-            for c, text, loss, fine, may_end in zip(*(batch.column(n).to_pylist() for n in ("conv_id", "text", "loss", "in_order", "may_end")), strict=True):
-                if now is None or c != conv:
+            for this, c, text, loss, fine, may_end in zip(*(batch.column(n).to_pylist() for n in ("conversation", "conv_id", "text", "loss", "in_order", "may_end")), strict=True):
+                if now is None or this != name:
                     if now is not None:
                         rows.append(row())
-                    conv, now = c, start()
+                    name, conv, now = this, c, start()
                 now["chars"] += len(text)
                 now["valid"] &= fine
                 now["may_end"] = may_end
