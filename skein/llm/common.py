@@ -51,12 +51,12 @@ def dropped(*tables: DataFrame) -> None:
 HOT_SHARE, SALTS = 1000, 64
 
 
-def spread_join(left: DataFrame, right: DataFrame, on: str, how: str = "inner", counts: DataFrame | None = None, total: int | None = None) -> DataFrame:
+def spread_join(left: DataFrame, right: DataFrame, on: str, how: str = "inner", counts: DataFrame | None = None, total: int | None = None, hint: str | None = None) -> DataFrame:
     """``left`` joined to ``right`` by the column ``on``, hot keys of ``left`` dealt over many tasks.
 
     ``right`` has one row, or a few, for each key; its rows for hot keys are repeated.  ``counts`` (on, n_) may bring the rows of
     ``left`` for each key, or a lower number, and ``total`` a number not below their sum.  The list of hot keys is broadcast:
-    it has fewer than HOT_SHARE rows, as each has more than that share of all.
+    it has fewer than HOT_SHARE rows, as each has more than that share of all.  ``hint`` may fix how Spark joins.
     """
     counts = left.groupBy(on).agg(F.count("*").alias("n_")) if counts is None else counts
     total = left.count() if total is None else total
@@ -64,7 +64,8 @@ def spread_join(left: DataFrame, right: DataFrame, on: str, how: str = "inner",
     salt = F.when(F.col("hot_"), F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in left.columns]), F.lit(SALTS)).cast("int")).otherwise(0)
     dealt = left.join(hot, on, "left").withColumn("salt_", salt).drop("hot_")
     salts = F.when(F.col("hot_"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
-    return dealt.join(right.join(hot, on, "left").withColumn("salt_", F.explode(salts)).drop("hot_"), [on, "salt_"], how).drop("salt_")
+    repeated = right.join(hot, on, "left").withColumn("salt_", F.explode(salts)).drop("hot_")
+    return dealt.join(repeated.hint(hint) if hint else repeated, [on, "salt_"], how).drop("salt_")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

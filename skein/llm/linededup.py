@@ -145,7 +145,7 @@ def likely_lines(distinct: DataFrame, min_words: int) -> DataFrame:
     wide = wide.select("doc_id", "line_no", "long", "h.half", "h.less")
     met = wide.groupBy("half").agg(F.count_if(~F.col("less")).alias("n_own"), F.count_if("less").alias("n_less"), F.count("*").alias("n_")).where("n_own > 1 or n_own = 1 and n_less > 0")
     met = stored(met, "shared_halves")
-    told = spread_join(wide, met.drop("n_"), "half", counts=met.select("half", "n_"), total=4 * distinct.count()).groupBy("doc_id", "line_no").agg(
+    told = spread_join(wide, met.drop("n_"), "half", counts=met.select("half", "n_"), total=4 * distinct.count(), hint="merge").groupBy("doc_id", "line_no").agg(
         F.bool_or(~F.col("less") & F.col("long") & (F.col("n_own") > 1)).alias("same"), F.bool_or(~F.col("less") & (F.col("n_less") > 0)).alias("longer"), F.bool_or("less").alias("shorter"),
     )
     return told.where("same or longer or shorter")
@@ -163,7 +163,7 @@ def near_lines(named: DataFrame, distinct: DataFrame, min_words: int) -> DataFra
     sent = stored(texts.mapInArrow(variants, VARIANTS), "variants").select("variant", "less", "own", place.alias("at"))
     best = sent.groupBy("variant").agg(F.min(F.when(~F.col("less"), F.col("at"))).alias("least"), F.min(F.when(F.col("less"), F.col("at"))).alias("least_less"), F.count("*").alias("n_")).where("n_ > 1")
     best = stored(best, "shared_variants")
-    met = spread_join(sent, best.drop("n_"), "variant", counts=best.select("variant", "n_")).select("at", F.when(F.col("own"), F.col("least_less")).otherwise(F.col("least")).alias("earlier")).where("earlier < at")
+    met = spread_join(sent, best.drop("n_"), "variant", counts=best.select("variant", "n_"), hint="merge").select("at", F.when(F.col("own"), F.col("least_less")).otherwise(F.col("least")).alias("earlier")).where("earlier < at")
     met = met.groupBy("at").agg(F.min("earlier").alias("earlier"))
     lines = texts.select(place.alias("place"), "line").distinct()
     both = met.join(lines.select(F.col("place").alias("at"), "line"), "at").join(lines.select(F.col("place").alias("earlier"), F.col("line").alias("other_line")), "earlier")
@@ -190,7 +190,7 @@ def duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     near = near_lines(named, distinct, min_words)
     targets = stored(distinct.join(near, "first", "left").where("copies > 1 or earlier is not null").select("key", "first", "earlier", "copies"), "line_targets")
     dropped(distinct, near)
-    gone = spread_join(lines.select("key", "doc_id", "line_no", "n_words"), targets.drop("copies"), "key", counts=targets.select("key", F.col("copies").alias("n_"))).withColumn("own", F.struct("doc_id", "line_no")).where("own <> first or earlier is not null")
+    gone = spread_join(lines.select("key", "doc_id", "line_no", "n_words"), targets.drop("copies"), "key", counts=targets.select("key", F.col("copies").alias("n_")), hint="merge").withColumn("own", F.struct("doc_id", "line_no")).where("own <> first or earlier is not null")
     target = F.coalesce(F.col("earlier"), F.col("first"))
     return gone.select("doc_id", "line_no", "n_words", F.col("earlier").isNotNull().alias("near"), target["doc_id"].alias("earlier_doc_id"), target["line_no"].alias("earlier_line_no"))
 
