@@ -1,4 +1,4 @@
-"""Training-data operators: ten corpus-preparation components and their queries.
+"""Training-data operators: corpus-preparation components and their queries.
 
 Nothing outside this folder imports it.  Worker functions travel by value, so
 executors need the third-party libraries but not this package on their path.

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skein.llm import chat, decontaminate, hnsw, linededup, mixing, quality, secretscan, simhash, tokens, warc
+from skein.llm import bpetree, chat, decontaminate, hnsw, linededup, mixing, quality, secretscan, simhash, tokens, warc
 from skein.llm.common import stored, table
 
 
@@ -58,8 +58,12 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages"))
 
 
+def op11_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpetree.round_trip(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_decontaminate, op2_chat, op3_simhash, op4_tokens, op5_mixing, op6_secrets, op7_lines, op8_embeddings, op9_quality, op10_warc)}
+    return {f.__name__: f for f in (op1_decontaminate, op2_chat, op3_simhash, op4_tokens, op5_mixing, op6_secrets, op7_lines, op8_embeddings, op9_quality, op10_warc, op11_bpe)}
 
 
 OP1_SQL = """
