@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skein.llm import bpetree, chat, decontaminate, hnsw, linededup, mixing, quality, secretscan, simhash, tokens, warc
+from skein.llm import bpetree, chat, decontaminate, hnsw, linededup, mixing, quality, rowmatch, secretscan, simhash, tokens, warc
 from skein.llm.common import stored, table
 
 
@@ -62,8 +62,12 @@ def op11_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpetree.round_trip(table(spark, sf_dir, "documents"))
 
 
+def op12_row_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rowmatch.digests(table(spark, sf_dir, "clicks"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_decontaminate, op2_chat, op3_simhash, op4_tokens, op5_mixing, op6_secrets, op7_lines, op8_embeddings, op9_quality, op10_warc, op11_bpe)}
+    return {f.__name__: f for f in (op1_decontaminate, op2_chat, op3_simhash, op4_tokens, op5_mixing, op6_secrets, op7_lines, op8_embeddings, op9_quality, op10_warc, op11_bpe, op12_row_match)}
 
 
 OP1_SQL = """
@@ -134,6 +138,25 @@ SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = original THEN
 FROM d JOIN o USING (hex)
 """
 
+OP12_SQL = """
+WITH RECURSIVE o AS (
+  SELECT client_id, click_id, kind, c, ts, row_number() OVER w AS i, lag(c) OVER w AS pc, ts - lag(ts) OVER w <= INTERVAL 10 MINUTE AS near
+  FROM (SELECT DISTINCT *, CAST(floor(100 * value + 0.5) AS BIGINT) AS c FROM clicks) WHERE client_id IS NOT NULL AND ts IS NOT NULL
+  WINDOW w AS (PARTITION BY client_id ORDER BY ts, click_id)),
+f AS (
+  SELECT *, coalesce(near AND c <> pc AND kind <> 'error', false) AS du, coalesce(near AND c IS NOT NULL AND kind = 'purchase', false) AS p,
+         sum(CASE WHEN coalesce(near AND c <> pc AND kind <> 'error', false) THEN 0 ELSE 1 END) OVER (PARTITION BY client_id ORDER BY i) AS others FROM o),
+g AS (SELECT *, lag(others) OVER (PARTITION BY client_id ORDER BY i) AS others_before FROM f),
+m AS MATERIALIZED (SELECT a.client_id, a.i, min(g.i) AS e FROM f a JOIN g ON a.client_id = g.client_id AND a.others = g.others_before AND g.i > a.i AND g.p AND g.c >= a.c GROUP BY ALL),
+n AS MATERIALIZED (SELECT a.client_id, a.i, a.e, b.i AS nxt FROM m a ASOF LEFT JOIN m b ON a.client_id = b.client_id AND a.e < b.i),
+ch AS (
+  SELECT client_id, min(i) AS i, CAST(1 AS BIGINT) AS match_no FROM m GROUP BY client_id
+  UNION ALL SELECT ch.client_id, n.nxt, match_no + 1 FROM ch JOIN n ON ch.client_id = n.client_id AND ch.i = n.i WHERE n.nxt IS NOT NULL)
+SELECT ch.client_id, match_no, min_by(click_id, f.i) AS first_id, max_by(click_id, f.i) AS last_id, count(*) AS n_rows, CAST(sum(c) AS BIGINT) AS sum_cents,
+       sha256(string_agg(CASE WHEN f.i = n.i THEN 'A' WHEN f.i = n.e THEN 'P' WHEN c < pc THEN 'D' ELSE 'U' END, '' ORDER BY f.i)) AS labels_sha256
+FROM ch JOIN n ON ch.client_id = n.client_id AND ch.i = n.i JOIN f ON f.client_id = ch.client_id AND f.i BETWEEN n.i AND n.e GROUP BY ch.client_id, match_no
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_decontaminate": OP1_SQL, "op2_chat": OP2_SQL, "op5_mixing": mixing.report_sql(), "op8_embeddings": OP8_SQL, "op10_warc": OP10_SQL}
+    return {"op1_decontaminate": OP1_SQL, "op2_chat": OP2_SQL, "op5_mixing": mixing.report_sql(), "op8_embeddings": OP8_SQL, "op10_warc": OP10_SQL, "op12_row_match": OP12_SQL}
