@@ -386,7 +386,7 @@ def bound_for(rows: DataFrame, machine: Automaton, gap: int) -> DataFrame:
 
     from_right = lambda tables: tables.select((F.col("seq_") - 1).alias("seq_"), F.col("left_").alias("right_"))
     from_left = lambda done: done.where(F.col("kind_") == EXIT).select((F.col("seq_") + 1).alias("seq_"), "walk_")
-    end = spark.range(1).select(F.lit(told["last"] + 1).cast("long").alias("seq_"), F.lit(machine.base).cast("array<long>").alias("left_"))
+    end = spark.range(1).select(F.lit(told["last"] + 1).cast("long").alias("seq_"), F.lit(None).cast("array<long>").alias("left_"))
     tables = stored(lefts(heads.select("*", no_table)).unionByName(end), "range_tables")
     latest, open_ = tables, told["wholes"]
     while open_:

@@ -83,7 +83,7 @@ def made(seed, n, smooth):
 
 @pytest.mark.parametrize("name", sorted(PATTERNS))
 def test_equals_backtracking(spark, name, monkeypatch):
-    for data, ranges in ((made(1, 120, False), 7), (made(2, 60, True), 25)):
+    for data, ranges in ((made(1, 90, False), 5), (made(2, 40, True), 11)):
         monkeypatch.setattr(rowmatch, "range_count", lambda rows, n=ranges: n)
         got = rowmatch.matches(table(spark, data), PATTERNS[name], "key", "at", "id", F.col("value"), 10)
         assert sorted(tuple(r) for r in got.collect()) == by_hand(PATTERNS[name], data), (name, ranges)
@@ -91,10 +91,10 @@ def test_equals_backtracking(spark, name, monkeypatch):
 
 def test_ranges_without_break(spark, monkeypatch):
     """One match over many ranges, and one that never comes to its end."""
-    monkeypatch.setattr(rowmatch, "range_count", lambda rows: 12)
-    rise = [(1, i, i, i, "q") for i in range(60)]
+    monkeypatch.setattr(rowmatch, "range_count", lambda rows: 9)
+    rise = [(1, i, i, i, "q") for i in range(40)]
     for last in ("p", "q"):
-        data = [*rise, (1, 60, 60, 70, last), (1, 61, 61, 71, "p")]
+        data = [*rise, (1, 40, 40, 70, last), (1, 41, 41, 71, "p")]
         got = rowmatch.matches(table(spark, data), PATTERNS["lazy"], "key", "at", "id", F.col("value"), 10).collect()
         assert sorted(tuple(r) for r in got) == by_hand(PATTERNS["lazy"], data)
     got = rowmatch.matches(table(spark, rise), PATTERNS["lazy"], "key", "at", "id", F.col("value"), 10).collect()
