@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skein.llm import bpetree, chat, decontaminate, hnsw, linededup, mixing, quality, rowmatch, secretscan, simhash, tokens, warc
+from skein.llm import bpetree, chat, decontaminate, hnsw, linededup, merkle, mixing, quality, rowmatch, secretscan, simhash, tokens, warc
 from skein.llm.common import stored, table
 
 
@@ -66,8 +66,12 @@ def op12_row_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rowmatch.digests(table(spark, sf_dir, "clicks"))
 
 
+def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.digests(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_decontaminate, op2_chat, op3_simhash, op4_tokens, op5_mixing, op6_secrets, op7_lines, op8_embeddings, op9_quality, op10_warc, op11_bpe, op12_row_match)}
+    return {f.__name__: f for f in (op1_decontaminate, op2_chat, op3_simhash, op4_tokens, op5_mixing, op6_secrets, op7_lines, op8_embeddings, op9_quality, op10_warc, op11_bpe, op12_row_match, op13_merkle)}
 
 
 OP1_SQL = """
@@ -157,6 +161,38 @@ SELECT ch.client_id, match_no, min_by(click_id, f.i) AS first_id, max_by(click_i
 FROM ch JOIN n ON ch.client_id = n.client_id AND ch.i = n.i JOIN f ON f.client_id = ch.client_id AND f.i BETWEEN n.i AND n.e GROUP BY ch.client_id, match_no
 """
 
+OP13_SQL = """
+WITH RECURSIVE f AS (
+  SELECT *, list_reduce(list_prepend(4294967295, list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: CAST(ascii(c) AS BIGINT))),
+            lambda crc, c: list_reduce([xor(crc, c), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, z: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END)) AS crc
+  FROM documents),
+t AS (
+  SELECT doc_id, lang, n_chars, CASE WHEN xor(crc, 4294967295) % 7 = 0 THEN n_chars + 1 ELSE n_chars END AS more, coalesce(strlen(text) || ':' || text, '-') AS tail,
+         coalesce(strlen(CAST(doc_id AS VARCHAR)) || ':' || doc_id, '-') || coalesce(strlen(source) || ':' || source, '-') || coalesce(strlen(lang) || ':' || lang, '-') AS head FROM f),
+lf AS (
+  SELECT *, row_number() OVER () AS r, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS idx, count(*) OVER (PARTITION BY lang) AS n
+  FROM (SELECT doc_id, coalesce('=' || lang, '-') AS lang, sha256(head || coalesce(strlen(CAST(n_chars AS VARCHAR)) || ':' || n_chars, '-') || tail) AS leaf,
+               sha256(head || coalesce(strlen(CAST(more AS VARCHAR)) || ':' || more, '-') || tail) AS now FROM t)),
+lv AS (
+  SELECT lang, 0 AS lvl, idx, leaf AS d, n FROM lf
+  UNION ALL SELECT lang, lvl + 1, idx // 2, sha256(string_agg(d, '' ORDER BY idx)), (n + 1) // 2 FROM lv WHERE n > 1 GROUP BY lang, lvl, idx // 2, n),
+sub AS MATERIALIZED (SELECT lang, d, row_number() OVER (ORDER BY lang) - 1 AS idx, count(*) OVER () AS n FROM lv WHERE n = 1),
+tv AS (
+  SELECT 0 AS lvl, idx, d, n FROM sub
+  UNION ALL SELECT lvl + 1, idx // 2, sha256(string_agg(d, '' ORDER BY idx)), (n + 1) // 2 FROM tv WHERE n > 1 GROUP BY lvl, idx // 2, n),
+st AS MATERIALIZED (
+  SELECT r, row_number() OVER (PARTITION BY r ORDER BY up, lvl) AS k, d, odd FROM (
+    SELECT r, 0 AS up, a.lvl, b.d, a.idx % 2 AS odd FROM lf JOIN lv a ON a.lang = lf.lang AND a.n > 1 AND a.idx = lf.idx >> a.lvl LEFT JOIN lv b ON b.lang = a.lang AND b.lvl = a.lvl AND b.idx = xor(a.idx, 1)
+    UNION ALL
+    SELECT r, 1, a.lvl, b.d, a.idx % 2 FROM lf JOIN sub ON sub.lang = lf.lang JOIN tv a ON a.n > 1 AND a.idx = sub.idx >> a.lvl LEFT JOIN tv b ON b.lvl = a.lvl AND b.idx = xor(a.idx, 1))),
+fo AS (
+  SELECT r, CAST(0 AS BIGINT) AS k, now AS node FROM lf
+  UNION ALL SELECT fo.r, fo.k + 1, sha256(CASE WHEN d IS NULL THEN node WHEN odd = 1 THEN d || node ELSE node || d END) FROM fo JOIN st ON st.r = fo.r AND st.k = fo.k + 1),
+p AS (SELECT r, string_agg(d, '' ORDER BY k) AS proof FROM st GROUP BY r)
+SELECT doc_id, leaf, sub.d AS subroot, (SELECT d FROM tv WHERE n = 1) AS root, sha256(coalesce(proof, '')) AS proof_sha256, node AS folded_root, node = (SELECT d FROM tv WHERE n = 1) AS verified
+FROM lf JOIN sub USING (lang) LEFT JOIN p USING (r) JOIN (SELECT r, max_by(node, k) AS node FROM fo GROUP BY r) USING (r)
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_decontaminate": OP1_SQL, "op2_chat": OP2_SQL, "op5_mixing": mixing.report_sql(), "op8_embeddings": OP8_SQL, "op10_warc": OP10_SQL, "op12_row_match": OP12_SQL}
+    return {"op1_decontaminate": OP1_SQL, "op2_chat": OP2_SQL, "op5_mixing": mixing.report_sql(), "op8_embeddings": OP8_SQL, "op10_warc": OP10_SQL, "op12_row_match": OP12_SQL, "op13_merkle": OP13_SQL}
