@@ -59,3 +59,32 @@ def before(parts: DataFrame, keys: list[str], at: str, value: Column, fold: str
     either = F.coalesce("groups_", "inside_")
     both = F.when(F.col("groups_").isNull() | F.col("inside_").isNull(), either).otherwise(of_two(F.col("groups_"), F.col("inside_")))
     return inside.select(*parts.columns, both.alias("before_"))
+
+
+def ranked(rows: DataFrame, by: list[str], ties: list[str], tiles: int = 100) -> DataFrame:
+    """``rows`` with their exact place among all: row_no from 1, rank (equal ``by`` share one), percent_rank, and tile, one of
+    ``tiles`` groups of nearly equal size.  Nulls come first; rows equal in ``by`` are in order of ``ties``.
+
+    Rows are dealt by ranges of both, so that a frequent value lies over many ranges; a value that goes on from the range
+    before takes its rank from the range where it began, which one row per range tells.
+    """
+    named = [F.col(f"`{c}`") for c in by]
+    held = placed(rows, [*named, *[F.col(f"`{c}`") for c in ties]])
+    counts = stored(held.groupBy("part_").agg(F.count("*").alias("rows_")), "counts")
+    told = counts.agg(F.max("part_").alias("most"), F.sum("rows_").alias("n")).first()
+    n = told["n"] or 0
+    bases = before(counts, [], "part_", F.col("rows_"), most=told["most"] or 0).select("part_", F.coalesce("before_", F.lit(0)).alias("base_"))
+    value = F.struct(*[c.alias(f"v{i}") for i, c in enumerate(named)])
+    numbered = held.join(bases, "part_").withColumn("row_no", F.col("base_") + F.col("place_") + 1).withColumn("by_", value)
+    numbered = stored(numbered.withColumn("first_", F.min("row_no").over(Window.partitionBy("part_", *[f"by_.v{i}" for i in range(len(by))]))), "numbered")
+    edges = stored(numbered.groupBy("part_").agg(F.min_by("by_", "place_").alias("head_"), F.max_by(F.struct("by_", "first_"), "place_").alias("last_")), "edges")
+    begun = edges.select(F.col("last_.by_").alias("value_"), F.col("last_.first_").alias("first_")).groupBy("value_").agg(F.min("first_").alias("begun_"))
+    heads = edges.join(begun, edges.head_.eqNullSafe(begun.value_)).select("part_", "head_", "begun_")
+    out = numbered.join(heads, "part_", "left")
+    rank = F.when(F.col("by_").eqNullSafe(F.col("head_")), F.least("first_", F.col("begun_"))).otherwise(F.col("first_"))
+    size, more = divmod(n, tiles)
+    at = F.col("row_no") - 1
+    tile = F.when(F.col("row_no") <= more * (size + 1), F.floor(at / (size + 1)) + 1).otherwise(more + F.floor((at - more * (size + 1)) / max(size, 1)) + 1)
+    out = out.withColumn("rank", rank)
+    share = (F.col("rank") - 1).cast("double") / F.lit(float(max(n - 1, 1)))
+    return out.select(*[F.col(f"`{c}`") for c in rows.columns], "row_no", "rank", share.alias("percent_rank"), tile.cast("long").alias("tile"))

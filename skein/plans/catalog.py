@@ -6,13 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from skein.plans import oracle, rules, storage
+from skein.plans import oracle, rules, shop, storage
 from skein.plans import queries as main
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (*main.ALL, *storage.ALL, *rules.ALL)}
+    return {f.__name__: f for f in (*main.ALL, *storage.ALL, *rules.ALL, *shop.ALL)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return oracle.oracle_sql() | storage.oracle_sql() | rules.oracle_sql()
+    return oracle.oracle_sql() | storage.oracle_sql() | rules.oracle_sql() | shop.oracle_sql()
