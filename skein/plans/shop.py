@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import uuid
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skein.operators import merge, ranges, temporal
+from skein.operators import merge, ranges, sketches, temporal
 from skein.plans.adapters import table
+from skein.sources.shared import shared_dir, stored
+from skein.streaming import shop as streams
 
 
-def whole_cents(column: str):
+def whole_cents(column: str) -> Column:
     return F.floor(F.col(column) * 100 + 0.5)
 
 
@@ -54,7 +58,67 @@ def clicks_half_hour(spark: SparkSession, d: str) -> DataFrame:
     return out
 
 
-ALL = (asof_changes, client_spans, sale_spans, client_merge, sale_ranks, clicks_half_hour)
+def click_sketches(spark: SparkSession, d: str) -> DataFrame:
+    """Sketches by day, stored and merged by month, held against exact figures."""
+    clicks = table(spark, d, "clicks").where("ts is not null").select(F.date_format("ts", "yyyy-MM").alias("month"), F.to_date("ts").alias("day"), "client_id", "click_id", whole_cents("value").alias("cents"))
+    days = stored(sketches.states(clicks, ["month", "day"], "click_id", "cents", "client_id"), "sketches")
+    told = sketches.audited(clicks, sketches.merged(days, ["month"]), ["month"], "click_id", "cents", "client_id")
+    within = lambda error, bound: F.coalesce(F.col(error), F.lit(0.0)) <= bound
+    return told.select("month", "n_rows", "exact_distinct", within("distinct_error", sketches.DISTINCT_ERROR).alias("distinct_ok"), within("rank_error", sketches.RANK_ERROR).alias("quantiles_ok"), within("count_error", sketches.COUNT_ERROR).alias("items_ok"))
+
+
+LEVELS = [("status", "priority", "month"), ("status", "month"), ("priority",), ()]
+
+
+def sale_levels(spark: SparkSession, d: str) -> DataFrame:
+    """Sales, cents and distinct clients on four levels."""
+    sales = table(spark, d, "sales").select("status", "priority", F.date_format("sold_at", "yyyy-MM").alias("month"), "client_id", whole_cents("total").alias("cents"))
+    return sketches.levels(sales, ["status", "priority", "month"], LEVELS, "client_id", {"cents": F.col("cents")})
+
+
+#: A start of a stream for each of these spans of arrival: before the first bound, and so on.
+ARRIVED = ("2024-02-01", "2024-04-01")
+
+
+def arrivals(rows: DataFrame) -> list[DataFrame]:
+    at = F.col("arrived_at")
+    bounds = [F.lit(x).cast("timestamp_ntz") for x in ARRIVED]
+    return [rows.where(at < bounds[0]), rows.where((at >= bounds[0]) & (at < bounds[1])), rows.where((at >= bounds[1]) | at.isNull())]
+
+
+def click_windows(spark: SparkSession, d: str) -> DataFrame:
+    """Clicks by windows of event time, late ones dropped, as three starts of a stream give them."""
+    clicks, at = table(spark, d, "clicks"), f"{shared_dir(spark)}/windows-{uuid.uuid4().hex}"
+    for part in arrivals(clicks.select("ts", "kind", "value", "arrived_at")):
+        part.drop("arrived_at").write.mode("append").parquet(f"{at}/in")
+        streams.finished(streams.appended(streams.windowed(streams.events(spark, f"{at}/in", part.drop("arrived_at"))), f"{at}/out", f"{at}/state"))
+    return spark.read.parquet(f"{at}/out")
+
+
+def clicks_followed(spark: SparkSession, d: str) -> DataFrame:
+    """Purchases among the clicks with the sales of the hour after, from two streams."""
+    at = f"{shared_dir(spark)}/followed-{uuid.uuid4().hex}"
+    clicks = table(spark, d, "clicks").where("kind = 'purchase'").select("click_id", "client_id", "ts", "arrived_at")
+    sales = table(spark, d, "sales").select("sale_id", "client_id", "sold_at", "arrived_at")
+    for some, others in zip(arrivals(clicks), arrivals(sales), strict=True):
+        some.drop("arrived_at").write.mode("append").parquet(f"{at}/clicks")
+        others.drop("arrived_at").write.mode("append").parquet(f"{at}/sales")
+        met = streams.followed(streams.events(spark, f"{at}/clicks", some.drop("arrived_at")), streams.events(spark, f"{at}/sales", others.drop("arrived_at")))
+        streams.finished(streams.appended(met, f"{at}/out", f"{at}/state"))
+    return spark.read.parquet(f"{at}/out")
+
+
+def click_queues(spark: SparkSession, d: str) -> DataFrame:
+    """The newest hundred clicks of each client, kept as state of a stream over three starts."""
+    at = f"{shared_dir(spark)}/queues-{uuid.uuid4().hex}"
+    for part in arrivals(table(spark, d, "clicks").select("click_id", "client_id", "ts", "arrived_at")):
+        part.drop("arrived_at").write.mode("append").parquet(f"{at}/in")
+        streams.finished(streams.queued(streams.events(spark, f"{at}/in", part.drop("arrived_at")), f"{at}/out", f"{at}/state"))
+    ids = F.col("ids").cast("array<string>")
+    return streams.queues(spark, f"{at}/out").select("client_id", F.size("ids").cast("long").alias("n_kept"), F.sha2(F.array_join(ids, ","), 256).alias("ids_sha256"))
+
+
+ALL = (click_sketches, sale_levels, click_windows, clicks_followed, click_queues, asof_changes, client_spans, sale_spans, client_merge, sale_ranks, clicks_half_hour)
 
 SPANS = """
 h AS (
@@ -98,6 +162,21 @@ SELECT click_id, c.client_id, c.ts, kind, change_id, valid_at, op, x[1] AS segme
         "sale_spans": f"""WITH {SPANS}
 SELECT sale_id, l.client_id, sold_at, arrived_at, status, change_id, segment, valid_at, valid_to FROM sales l JOIN s ON l.client_id = s.client_id AND sold_at <= arrived_at
   AND (sold_at < coalesce(valid_to, TIMESTAMP '2200-01-01') OR sold_at = valid_at) AND (valid_at < arrived_at OR sold_at = valid_at)""",
+        "click_sketches": """
+SELECT strftime(ts, '%Y-%m') AS month, count(*) AS n_rows, count(DISTINCT click_id) AS exact_distinct, true AS distinct_ok, true AS quantiles_ok, true AS items_ok FROM clicks WHERE ts IS NOT NULL GROUP BY ALL""",
+        "sale_levels": """
+SELECT CAST(grouping_id(status, priority, month) AS INTEGER) AS level, status, priority, month, count(DISTINCT client_id) AS n_distinct, count(*) AS n_rows, CAST(sum(CAST(floor(total * 100 + 0.5) AS BIGINT)) AS BIGINT) AS cents
+FROM (SELECT *, strftime(sold_at, '%Y-%m') AS month FROM sales) GROUP BY GROUPING SETS ((status, priority, month), (status, month), (priority), ())""",
+        "click_windows": f"""
+WITH c AS (SELECT *, CASE WHEN arrived_at < TIMESTAMP '{ARRIVED[0]}' THEN 0 WHEN arrived_at < TIMESTAMP '{ARRIVED[1]}' THEN 1 ELSE 2 END AS b, time_bucket(INTERVAL 6 HOURS, ts, TIMESTAMP '1970-01-01') AS start FROM clicks),
+w AS (SELECT b, date_trunc('millisecond', max(max(ts)) OVER (ORDER BY b)) - INTERVAL 1 DAY AS mark FROM c GROUP BY b),
+kept AS (SELECT c.* FROM c LEFT JOIN w ON w.b = c.b - 1 WHERE ts IS NOT NULL AND (mark IS NULL OR start + INTERVAL 6 HOURS > mark))
+SELECT start, kind, count(*) AS n_clicks, CAST(sum(CAST(floor(value * 100 + 0.5) AS BIGINT)) AS BIGINT) AS cents FROM kept WHERE start + INTERVAL 6 HOURS <= (SELECT max(mark) FROM w) GROUP BY ALL""",
+        "clicks_followed": """
+SELECT click_id, sale_id, c.client_id, ts, sold_at FROM clicks c JOIN sales s ON c.client_id = s.client_id AND sold_at >= ts AND sold_at <= ts + INTERVAL 1 HOUR WHERE kind = 'purchase'""",
+        "click_queues": """
+SELECT client_id, count(*) AS n_kept, sha256(string_agg(CAST(click_id AS VARCHAR), ',' ORDER BY n)) AS ids_sha256
+FROM (SELECT client_id, click_id, row_number() OVER (PARTITION BY client_id ORDER BY ts DESC, click_id DESC) AS n FROM (SELECT DISTINCT client_id, ts, click_id FROM clicks WHERE client_id IS NOT NULL AND ts IS NOT NULL)) WHERE n <= 100 GROUP BY client_id""",
         "client_merge": MERGED,
         "sale_ranks": RANKED,
         "clicks_half_hour": """
