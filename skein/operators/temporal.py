@@ -15,8 +15,6 @@ from skein.operators.ranges import before
 HOUR, DAY = 3600, 86400
 #: A time beyond those of any table, in microseconds: how many levels of sums buckets need follows from it.
 FAR = 8_000_000_000_000_000
-#: An interval belongs to the level whose buckets, WIDER times as wide from level to level, are at least as long as it is.
-WIDER, LEVELS = 4, 10
 
 
 def micros(rows: DataFrame, column: str) -> Column:
@@ -81,32 +79,32 @@ def spans(changes: DataFrame, key: str, at: str, ties: list[str], width: int = D
     return out.select(*[F.col(f"row_.`{c}`") for c in changes.columns], F.coalesce("inside_", "later_").alias(end))
 
 
-def overlaps(left: DataFrame, right: DataFrame, key: str, left_span: tuple[str, str], right_span: tuple[str, str], width: int = HOUR, prefix: str = "right_") -> DataFrame:
+def overlaps(left: DataFrame, right: DataFrame, key: str, left_span: tuple[str, str], right_span: tuple[str, str], width: int = DAY, prefix: str = "right_") -> DataFrame:
     """Pairs of rows of one key whose intervals [begin, end) have an instant in common; an interval that ends where it begins
     is that instant, one whose end is null never ends, and rows without key or begin, or that end before they begin, have no pairs.
 
-    An interval belongs to the first level whose buckets are at least as long as it is, and so lies in two of them at most, on
-    that level and above.  A pair meets once: on the level of the longer one, in the bucket where the later one begins.
+    Rows of ``left`` go to all buckets of ``width`` seconds that they touch, up to the last begin on the right; those of ``right``
+    only to the buckets in which their key has rows on the left, however long they are.  A pair is found once, in the bucket
+    where the later one begins.  ``left`` should be the side of shorter intervals; a key's buckets, one list a key, are as
+    many as the time that the table covers has.
     """
 
-    def dealt(rows: DataFrame, span: tuple[str, str], side: str) -> DataFrame:
+    def timed(rows: DataFrame, span: tuple[str, str], side: str) -> DataFrame:
         out = rows.select(packed(rows).alias(f"{side}_row"), F.col(f"`{key}`").alias("key_"), micros(rows, span[0]).alias(f"{side}_low"), F.coalesce(micros(rows, span[1]), F.lit(FAR)).alias(f"{side}_high"))
-        out = out.where(f"key_ is not null and {side}_low is not null and {side}_high >= {side}_low")
-        sizes = [width * 1_000_000 * WIDER**k for k in range(LEVELS)]
-        level = F.coalesce(*[F.when(F.col(f"{side}_high") - F.col(f"{side}_low") <= size, F.lit(k)) for k, size in enumerate(sizes)], F.lit(LEVELS))
-        at = lambda c, k: F.floor(F.col(f"{side}_{c}") / F.lit(sizes[k])).cast("long")
-        on_level = lambda k: F.transform(F.sequence(at("low", k), at("high", k)), lambda b: F.struct(F.lit(k).alias("level_"), b.alias("bucket_")))
-        places = [F.when(F.col(f"{side}_level") <= k, on_level(k)).otherwise(F.array().cast("array<struct<level_:int,bucket_:bigint>>")) for k in range(LEVELS)]
-        top = F.array(F.struct(F.lit(LEVELS).alias("level_"), F.lit(0).cast("long").alias("bucket_")))
-        out = out.withColumn(f"{side}_level", level).withColumn("place_", F.explode(F.concat(*places, top)))
-        return out.select("key_", "place_.level_", "place_.bucket_", f"{side}_level", f"{side}_low", f"{side}_high", f"{side}_row")
-
-    met = dealt(left, left_span, "l").join(dealt(right, right_span, "r"), ["key_", "level_", "bucket_"])
-    longer, later = F.greatest("l_level", "r_level"), F.greatest("l_low", "r_low")
-    sizes = F.element_at(F.array(*[F.lit(width * 1_000_000 * WIDER**k) for k in range(LEVELS)]), F.least(F.col("level_") + 1, F.lit(LEVELS)))
-    here = F.when(F.col("level_") == LEVELS, F.lit(0)).otherwise(F.floor(later / sizes))
-    common = ((F.col("l_low") < F.col("r_high")) | (F.col("l_low") == F.col("r_low"))) & ((F.col("r_low") < F.col("l_high")) | (F.col("l_low") == F.col("r_low")))
-    met = met.where((F.col("level_") == longer) & (F.col("bucket_") == here) & common)
+        return out.where(f"key_ is not null and {side}_low is not null and {side}_high >= {side}_low")
+
+    ones, others = timed(left, left_span, "l"), timed(right, right_span, "r")
+    last = others.agg(F.max("r_low")).first()[0]
+    slot = lambda at: bucket(at, width)
+    up_to = F.least(F.col("l_high"), F.greatest(F.col("l_low"), F.lit(last if last is not None else 0)))
+    ones = ones.withColumn("slot_", F.explode(F.sequence(slot(F.col("l_low")), slot(up_to))))
+    slots = ones.groupBy("key_").agg(F.collect_set("slot_").alias("slots_"))
+    inside = F.filter("slots_", lambda x: x.between(slot(F.col("r_low")), slot(F.col("r_high"))))
+    others = others.join(slots, "key_").withColumn("slot_", F.explode(inside)).drop("slots_")
+    met = ones.join(others, ["key_", "slot_"])
+    same = F.col("l_low") == F.col("r_low")
+    common = (same | (F.col("l_low") < F.col("r_high"))) & (same | (F.col("r_low") < F.col("l_high")))
+    met = met.where((F.col("slot_") == slot(F.greatest("l_low", "r_low"))) & common)
     return met.select(*[F.col(f"l_row.`{c}`") for c in left.columns], *[F.col(f"r_row.`{c}`").alias(prefix + c) for c in right.columns])
 
 
