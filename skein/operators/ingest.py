@@ -26,8 +26,6 @@ DECISIONS = ("custom compound", "dict match", "dict hyphenated", "no vowel (abbr
 OVER_PARAGRAPH, OVER_LINE = r"([A-Za-z]++)-\n{2,}[ \t]*([a-z]+)", r"([A-Za-z]++)-\n[ \t]*([A-Za-z]+)"
 #: Words that a paragraph must have, from which it is split, and that a part should have (fixed values).
 MIN_WORDS, LONG_WORDS, TARGET_WORDS = 20, 300, 150
-#: Passages that a report names, at most.
-REPORTED = 1000
 #: A word of ASCII letters alone, whatever the regex engine takes for a word boundary.
 ALPHA_WORD = r"(?<![\p{L}\p{N}_])[a-zA-Z]++(?![\p{L}\p{N}_])"
 
@@ -282,16 +280,22 @@ def unknown_words(passages: DataFrame, dictionary: DataFrame, compounds: Sequenc
     return told.where(F.col("n_unknown") >= least).select("id", "n_unknown", F.col("first.word").alias("first_unknown"))
 
 
-def audit(passages: DataFrame, dictionary: DataFrame | None = None) -> DataFrame:
-    """(id, flag, n_words, non_alpha, n_chars) of passages to look at: unknown words, else short, else many signs."""
+def looked_at(passages: DataFrame, dictionary: DataFrame | None = None) -> DataFrame:
+    """(id, flag, n_words, non_alpha, n_chars, first_unknown) of passages to look at: unknown words, else short, else many signs."""
     text = F.col("text")
     rows = passages.select("id", F.regexp_count(text, F.lit(ALPHA_WORD)).alias("n_words"), F.regexp_count(text, F.lit(r"(?U)[^a-zA-Z\s]")).alias("non_alpha"), F.length(text).alias("n_chars"))
-    odd = F.lit(False)
-    if dictionary is not None:
-        rows = rows.join(unknown_words(passages, dictionary).select("id", "n_unknown"), "id", "left")
-        odd = F.col("n_unknown").isNotNull()
-    flag = F.when(odd, "unknown words").when(F.col("n_words").between(20, 29), "short").when((F.col("n_chars") > 0) & (F.col("non_alpha") / F.col("n_chars") > 0.05), "non-alpha")
-    return rows.withColumn("flag", flag).where("flag is not null").select("id", "flag", "n_words", "non_alpha", "n_chars")
+    if dictionary is None:
+        rows = rows.withColumn("first_unknown", F.lit(None).cast("array<string>"))
+    else:
+        rows = rows.join(unknown_words(passages, dictionary).select("id", "first_unknown"), "id", "left")
+    signs = (F.col("n_chars") > 0) & (F.col("non_alpha") / F.col("n_chars") > 0.05)
+    flag = F.when(F.col("first_unknown").isNotNull(), "unknown words").when(F.col("n_words").between(20, 29), "short").when(signs, "non-alpha")
+    return rows.withColumn("flag", flag).where("flag is not null")
+
+
+def audit(passages: DataFrame, dictionary: DataFrame | None = None) -> DataFrame:
+    """(id, flag, n_words, non_alpha, n_chars) of passages to look at: unknown words, else short, else many signs."""
+    return looked_at(passages, dictionary).select("id", "flag", "n_words", "non_alpha", "n_chars")
 
 
 def ingest(pages: DataFrame, source_id: str | None = None, chapters: DataFrame | None = None, patterns: Sequence[str] = (), dictionary: DataFrame | None = None, split: bool = True) -> DataFrame:
@@ -317,13 +321,32 @@ def ingest(pages: DataFrame, source_id: str | None = None, chapters: DataFrame |
     return number_passages(assign_chapters(numbered, chapters, page_number(F.col("page_ref"))), F.col("source_id"))
 
 
-def audit_report(source: str, passages: DataFrame, decisions: DataFrame, dictionary: DataFrame | None = None, top: int = 20, joins: int = 20) -> DataFrame:
-    """(section, pos, line) of the text report on ingested passages: their number, the most frequent words, the passages to look
-    at with the reason, and the first default joins of hyphens."""
-    few = lambda *order: F.row_number().over(Window.orderBy(*order)).cast("int")  # noqa: E731  few rows
-    total = passages.agg(F.count("*").alias("n")).select(F.lit(1).alias("section"), F.lit(1).alias("pos"), F.format_string("Passages of %s: %d", F.lit(source), "n").alias("line"))
-    words_ = top_words(passages, top).withColumn("pos", few(F.desc("times"), "word")).select(F.lit(2).alias("section"), "pos", F.format_string("%6d  %s", "times", "word").alias("line"))
-    flagged = audit(passages, dictionary).orderBy("id").limit(REPORTED).withColumn("pos", few("id")).select(F.lit(3).alias("section"), "pos", F.format_string("%s: %s", "id", "flag").alias("line"))
-    defaults = decisions.where(F.col("decision") == DECISIONS[4]).groupBy("left", "right").agg(F.count("*").alias("times")).orderBy(F.desc("times"), "left", "right").limit(joins)
-    defaults = defaults.withColumn("pos", few(F.desc("times"), "left", "right")).select(F.lit(4).alias("section"), "pos", F.format_string("%s-%s: %d", "left", "right", "times").alias("line"))
-    return total.unionByName(words_).unionByName(flagged).unionByName(defaults)
+def reason() -> Column:
+    """Why a passage is looked at, with the figures (fixed formats)."""
+    unknown = F.format_string("Possible OCR errors: ['%s']", F.array_join("first_unknown", "', '"))
+    short = F.format_string("Short passage (%d words)", "n_words")
+    tenths = F.expr("(2000L * non_alpha + n_chars) div (2 * n_chars)")
+    signs = F.format_string("High non-alpha ratio %d.%d%% (%d/%d chars)", F.expr("((2000L * non_alpha + n_chars) div (2 * n_chars)) div 10"), tenths % 10, "non_alpha", "n_chars")
+    return F.when(F.col("flag") == "unknown words", unknown).when(F.col("flag") == "short", short).otherwise(signs)
+
+
+def audit_report(source: str, passages: DataFrame, decisions: DataFrame, stages: DataFrame | None = None, dictionary: DataFrame | None = None, top: int = 20, key: str = "doc_id") -> DataFrame:
+    """(section, name, pos, line) of the text report on ingested passages, to be read in the order of the first three: the number
+    of passages, a line for each of ``stages`` (pos, line), the most frequent words, every passage to look at with the reason and
+    its figures, and every default join of a hyphen (key, place, left, right, decision), each list with its length.
+
+    Lists are as long as they are: their rows stay dealt, and only their order is asked for."""
+
+    def listed_lines(section: int, head: str, rows: DataFrame) -> DataFrame:
+        n = rows.agg(F.count("*").alias("n")).select(F.lit(section).alias("section"), F.lit("").alias("name"), F.lit(-1).alias("pos"), F.format_string(head, "n").alias("line"))
+        return n.unionByName(rows.select(F.lit(section).alias("section"), F.coalesce(F.col("name").cast("string"), F.lit("")).alias("name"), F.col("pos").cast("int").alias("pos"), "line"))
+
+    total = passages.agg(F.count("*").alias("n")).select(F.lit(1).alias("section"), F.lit("").alias("name"), F.lit(0).alias("pos"), F.format_string("Passages of %s: %d", F.lit(source), "n").alias("line"))
+    out = total if stages is None else total.unionByName(stages.select(F.lit(2).alias("section"), F.lit("").alias("name"), F.col("pos").cast("int").alias("pos"), "line"))
+    most = Window.orderBy(F.desc("times"), "word")  # over the ``top`` words only
+    words_ = top_words(passages, top).select(F.lit("").alias("name"), F.row_number().over(most).alias("pos"), F.format_string("%6d  %s", "times", "word").alias("line"))
+    out = out.unionByName(listed_lines(3, "Most frequent words: %d", words_))
+    flagged = looked_at(passages, dictionary).select(F.col("id").alias("name"), F.lit(0).alias("pos"), F.concat("id", F.lit(": "), reason()).alias("line"))
+    out = out.unionByName(listed_lines(4, "Passages to look at: %d", flagged))
+    defaults = decisions.where(F.col("decision") == DECISIONS[4]).select(F.col(key).cast("string").alias("name"), F.col("place").alias("pos"), F.format_string("%s %d: %s-%s > %s%s", F.col(key).cast("string"), "place", "left", "right", "left", "right").alias("line"))
+    return out.unionByName(listed_lines(5, "Default joins of hyphens: %d", defaults))

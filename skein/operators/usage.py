@@ -39,9 +39,9 @@ def parse_payload(payloads: DataFrame, column: str = "payload") -> DataFrame:
     get = lambda f, t="variant": F.try_variant_get("v", f"$.{f}", t)
     rows = payloads.withColumn("v", v).where(kind(F.col("v")).startswith("OBJECT") & (kind(get("q")) == "STRING"))
     count = F.when(kind(get("resultCount")).rlike("^(BIGINT|DECIMAL|DOUBLE)"), get("resultCount", "double"))
-    items = F.from_json(F.to_json(get("sourceFilter")), "array<string>")
-    strings = F.filter(F.transform(F.sequence(F.lit(0), F.greatest(F.size(items), F.lit(1)) - 1), lambda i: F.struct(i.alias("i"), F.get(items, i).alias("x"))), lambda e: F.contains(F.to_json(get("sourceFilter")), F.concat(F.lit('"'), e["x"], F.lit('"'))))
-    return rows.select(get("q", "string").alias("q"), count.alias("result_count"), F.when(items.isNotNull(), F.transform(strings, lambda e: e["x"])).alias("source_filter"))
+    items = get("sourceFilter", "array<variant>")
+    ids = F.transform(F.filter(items, lambda x: kind(x) == "STRING"), lambda x: F.variant_get(x, "$", "string"))
+    return rows.select(get("q", "string").alias("q"), count.alias("result_count"), F.when(kind(get("sourceFilter")).startswith("ARRAY"), ids).alias("source_filter"))
 
 
 def log_key(ts: Column, random: Column) -> Column:

@@ -154,7 +154,9 @@ def log_payloads(spark: SparkSession, d: str) -> DataFrame:
     n = F.col("event_id")
     payload = (
         F.when(n % 9 == 0, F.lit('"text"')).when(n % 9 == 1, F.lit("{broken")).when(n % 9 == 2, F.lit('{"q": 5}')).when(n % 9 == 3, F.concat(F.lit('{"q": "'), "event_type", F.lit('", "resultCount": "7"}')))
-        .when(n % 9 == 4, F.concat(F.lit('{"q": "'), "event_type", F.lit('", "resultCount": -2.5, "sourceFilter": ["a", 1, "b"]}'))).otherwise(F.concat(F.lit('{"q": "'), "event_type", F.lit('", "resultCount": '), n.cast("string"), F.lit("}")))
+        .when(n % 9 == 4, F.concat(F.lit('{"q": "'), "event_type", F.lit('", "resultCount": -2.5, "sourceFilter": ["a", 1, "b"]}')))
+        .when(n % 9 == 5, F.concat(F.lit('{"q": "'), "event_type", F.lit('", "sourceFilter": ["1", 1, null, "a\\"b", "c", "\\\\", {"d": "e"}, ["f"], true]}')))
+        .when(n % 9 == 6, F.concat(F.lit('{"q": "'), "event_type", F.lit('", "sourceFilter": "a"}'))).when(n % 9 == 7, F.concat(F.lit('{"q": "'), "event_type", F.lit('", "sourceFilter": []}'))).otherwise(F.concat(F.lit('{"q": "'), "event_type", F.lit('", "resultCount": '), n.cast("string"), F.lit("}")))
     )
     rows = usage.parse_payload(ad.table(spark, d, "events").select(payload.alias("payload")))
     return usage.sanitize(rows, F.lit("t")).groupBy("q", tx.filter_label(F.col("source_filter")).alias("source_filter")).agg(F.count("*").alias("records"), F.sum("result_count").alias("results"))
@@ -252,7 +254,7 @@ def oracle_sql() -> dict[str, str]:
             r AS (SELECT string_agg(key || ':' || q || ':' || CAST(CAST(result_count AS DECIMAL(20, 2)) AS VARCHAR), '|' ORDER BY ts DESC, key) AS recent_queries FROM (SELECT * FROM asked ORDER BY ts DESC, key LIMIT 20)),
             u AS (SELECT string_agg(source_id || ':' || n, '|' ORDER BY n DESC, source_id) AS source_filter_usage FROM (SELECT source_id, count(*) AS n FROM (SELECT unnest(source_filter) AS source_id FROM asked) WHERE trim(source_id, E' \\t\\n') <> '' GROUP BY source_id)),
             s AS (SELECT count(*) AS total_records, min(ts) AS oldest_ts, max(ts) AS latest_ts FROM asked) SELECT * FROM s, t, r, u""",
-        "log_payloads": """WITH r AS (SELECT event_type AS q, CASE WHEN event_id % 9 = 4 THEN 'a, b' ELSE 'all' END AS source_filter, CASE WHEN event_id % 9 IN (3, 4) THEN 0 ELSE CAST(event_id AS DOUBLE) END AS n FROM events WHERE event_id % 9 > 2)
+        "log_payloads": """WITH r AS (SELECT event_type AS q, CASE event_id % 9 WHEN 4 THEN 'a, b' WHEN 5 THEN '1, a"b, c, \\' WHEN 7 THEN '' ELSE 'all' END AS source_filter, CASE WHEN event_id % 9 IN (3, 4, 5, 6, 7) THEN 0 ELSE CAST(event_id AS DOUBLE) END AS n FROM events WHERE event_id % 9 > 2)
             SELECT q, source_filter, count(*) AS records, sum(n) AS results FROM r GROUP BY q, source_filter""",
         "active_sources": f"WITH {SOURCES_SQL}, a AS (SELECT * FROM (VALUES ('src9', 0), ('src2', 1), ('src0', 3)) AS v(id, group_pos)) SELECT a.id, CASE a.id WHEN 'src0' THEN 3 ELSE a.group_pos END AS group_pos, 'asked' AS name FROM a JOIN sources USING (id) UNION ALL SELECT id, sort_order, 'all' FROM sources WHERE enabled",
         "split_long": SPLIT_SQL,

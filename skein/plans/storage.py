@@ -140,7 +140,8 @@ def report_files(spark: SparkSession, d: str) -> DataFrame:
     at = base(spark)
     rows = ad.dirty(spark, d, ad.BREAKS)
     decisions = ingest.hyphen_decisions(ingest.hyphen_candidates(rows, "doc_id", ingest.OVER_LINE))
-    sinks.write_report(ingest.audit_report("all", ad.passages(spark, d), decisions), at)
+    stages = ad.passages(spark, d).agg(F.count("*").alias("n"), F.count_if(tx.trimmed(F.col("text")) == "").alias("blank")).select(F.posexplode(F.array(F.format_string("read: %d", "n"), F.format_string("blank: %d", "blank"))).alias("pos", "line"))
+    sinks.write_report(ingest.audit_report("all", ad.passages(spark, d), decisions, stages), at)
     return spark.read.text(at).groupBy(F.col("value").alias("line")).agg(F.count("*").alias("times"))
 
 
@@ -203,9 +204,12 @@ def oracle_sql() -> dict[str, str]:
             w AS (SELECT sequence, id, unnest(range(0, len(x))) AS pos, unnest(x) AS word FROM (SELECT sequence, id, {o.WORDS_SQL % 'lower(text)'} AS x FROM passages)),
             t AS (SELECT word, count(*) AS times FROM w GROUP BY word ORDER BY times DESC, min((sequence, id, pos)) LIMIT 20),
             m AS (SELECT id, len({o.WORDS_SQL % 'text'}) AS n_words, len(regexp_extract_all(text, '[^a-zA-Z\\s]')) AS non_alpha, length(text) AS n_chars FROM passages),
-            f AS (SELECT id, CASE WHEN n_words BETWEEN 20 AND 29 THEN 'short' WHEN n_chars > 0 AND non_alpha / n_chars > 0.05 THEN 'non-alpha' END AS flag FROM m),
-            j AS (SELECT left_, right_, count(*) AS times FROM decided WHERE decision = 'default join' GROUP BY left_, right_ ORDER BY times DESC, left_, right_ LIMIT 20),
-            l AS (SELECT 'Passages of all: ' || count(*) AS line FROM passages UNION ALL SELECT printf('%6d  %s', times, word) FROM t UNION ALL SELECT line FROM (SELECT id || ': ' || flag AS line FROM f WHERE flag IS NOT NULL ORDER BY id LIMIT 1000) UNION ALL SELECT left_ || '-' || right_ || ': ' || times FROM j)
+            r AS (SELECT *, (2000 * non_alpha + n_chars) // (2 * n_chars) AS p FROM m WHERE n_chars > 0),
+            f AS (SELECT id || ': ' || CASE WHEN n_words BETWEEN 20 AND 29 THEN printf('Short passage (%d words)', n_words) WHEN non_alpha / n_chars > 0.05 THEN printf('High non-alpha ratio %d.%d%% (%d/%d chars)', p // 10, p % 10, non_alpha, n_chars) END AS line FROM r),
+            j AS (SELECT printf('%s %d: %s-%s > %s%s', CAST(doc_id AS VARCHAR), place, left_, right_, left_, right_) AS line FROM decided WHERE decision = 'default join'),
+            l AS (SELECT 'Passages of all: ' || count(*) AS line FROM passages UNION ALL SELECT 'read: ' || count(*) FROM passages UNION ALL SELECT 'blank: ' || count(*) FILTER (trim(text, E' \\n\\t\\r') = '') FROM passages
+                  UNION ALL SELECT 'Most frequent words: ' || count(*) FROM t UNION ALL SELECT printf('%6d  %s', times, word) FROM t UNION ALL SELECT 'Passages to look at: ' || count(line) FROM f UNION ALL SELECT line FROM f WHERE line IS NOT NULL
+                  UNION ALL SELECT 'Default joins of hyphens: ' || count(*) FROM j UNION ALL SELECT line FROM j)
             SELECT line, count(*) AS times FROM l GROUP BY line""",
         "log_files": f"WITH {LOG_SQL} SELECT substr(l.q, 1, 500) AS q, count(*) AS records, sum(greatest(l.result_count, 0)) AS results, count(*) AS keys FROM log l JOIN asked USING (key) GROUP BY 1",
         "log_delivered": f"WITH {LOG_SQL}, r AS (SELECT key, ts, q, result_count FROM log WHERE key <= '000000000150' ORDER BY key DESC LIMIT 100) SELECT * FROM r WHERE CAST(key AS BIGINT) % 3 <> 0",

@@ -75,5 +75,5 @@ def append_log(records: DataFrame, path: str) -> None:
 
 
 def write_report(lines: DataFrame, path: str) -> None:
-    """The lines of an audit report (section, pos, line) in order, in one file: sections are short by construction."""
-    lines.orderBy("section", "pos").coalesce(1).select("line").write.mode("overwrite").text(path)
+    """The lines of an audit report (section, name, pos, line) in order, over files whose names are in order too."""
+    lines.orderBy("section", "name", "pos").select("line").write.mode("overwrite").text(path)
