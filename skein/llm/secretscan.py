@@ -23,6 +23,8 @@ KEY_LIKE = f"{CANDIDATE}|{PREFIXED}"
 NAMED = r"(?i:password|passwd|passphrase|pwd|secret|token|key|credentials?)[\"']?"
 ASSIGN = r"(?::=|[=:]{1,2})"
 VALUE = r"[\"']?([^\x09-\x0D\x20\"']{6,})"
+#: Characters on either side of a candidate that its features see, and those that a run has at least.
+CONTEXT, LEAST_RUN = 200, 12
 WORD_BREAK = r"[\x09-\x0D\x20]+"
 #: Words whose presence counts as dictionary coverage (fixed values).
 WORDS = (
@@ -60,36 +62,65 @@ def features(token: Column, before: Column, after: Column, path: Column) -> dict
     return dict(zip(FEATURES, values, strict=True))
 
 
+def pieces_of(word: Column, value: Column) -> Column:
+    """The candidates of a word with what is next to them: an array of (token, name, head, tail, given).
+
+    Runs and the gaps between them are taken apart once; what stands before and after a run is put together from the few runs and
+    gaps within CONTEXT characters, so that a word of any length takes time linear in it.  ``value``, what the word assigns,
+    comes last unless a run equals it; it is the last of its kind in the word."""
+    parts = r"^([A-Za-z_-]+=)(.{8,})$"
+    rest = lambda t: F.when(t.rlike(parts), F.regexp_extract(t, parts, 2)).otherwise(t)
+    near = CONTEXT // LEAST_RUN + 1
+
+    def within(x: Column) -> Column:
+        def one(run: Column, i: Column) -> Column:
+            low = F.greatest(i - near, F.lit(0))
+            before = F.arrays_zip(F.slice(x["gaps"], low + 1, i - low).alias("gap"), F.slice(x["runs"], low + 1, i - low).alias("run"))
+            after = F.arrays_zip(F.slice(x["runs"], i + 2, near).alias("run"), F.slice(x["gaps"], i + 3, near).alias("gap"))
+            text = lambda pairs, *names: F.array_join(F.transform(pairs, lambda p: F.concat(*[F.coalesce(p[n], F.lit("")) for n in names])), "")
+            head = F.right(F.concat(text(before, "gap", "run"), F.get(x["gaps"], i)), F.lit(CONTEXT))
+            tail = F.left(F.concat(F.get(x["gaps"], i + 1), text(after, "run", "gap")), F.lit(CONTEXT))
+            split_off = run.rlike(parts)
+            name = F.when(split_off, F.regexp_extract(run, parts, 1)).otherwise("")
+            return F.struct(rest(run).alias("token"), F.concat(head, name).alias("head"), tail.alias("tail"))
+
+        found = F.transform(x["runs"], one)
+        more = (F.length(x["value"]) >= 6) & ~F.exists(x["runs"], lambda t: (t == x["value"]) | (rest(t) == x["value"]))
+        place = F.length(x["word"]) - F.instr(F.reverse(x["word"]), F.reverse(x["value"])) - F.length(x["value"]) + 2
+        begin = F.greatest(place - CONTEXT, F.lit(1))
+        own = F.struct(x["value"].alias("token"), F.substring(x["word"], begin, place - begin).alias("head"), F.substring(x["word"], place + F.length(x["value"]), F.lit(CONTEXT)).alias("tail"))
+        return F.when(more, F.concat(found, F.array(own))).otherwise(found)
+
+    once = F.array(F.struct(word.alias("word"), value.alias("value"), F.regexp_extract_all(word, F.lit(f"({KEY_LIKE})"), F.lit(0)).alias("runs"), F.split(word, KEY_LIKE).alias("gaps")))
+    return F.get(F.transform(once, within), F.lit(0))
+
+
 def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path_col: str | None = None) -> DataFrame:
-    """(doc_id, word_no, token, before, after, path): every run of key-like characters in the text's words, with what
-    precedes it in its word and the two words before, and what follows in its word and the word after.  Keys known by their prefix need no digit; beside the runs, the whole
-    value of six or more characters that is assigned to a password, secret, token or key is one, unless a run equals it."""
+    """(doc_id, word_no, nth, token, before, after, path): every run of key-like characters in the text's words, with what
+    precedes it in its word and the two words before, and what follows in its word and the word after, each cut to the CONTEXT
+    characters next to it.  Keys known by their prefix need no digit; beside the runs, the whole value of six or more
+    characters that is assigned to a password, secret, token or key is one, unless a run equals it."""
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
     space = r"[\x09-\x0D\x20]*"
     some = text.rlike(f"{KEY_LIKE}|{NAMED}{space}{ASSIGN}{space}{VALUE}")
     rows = docs.where(some).select(F.col(f"`{id_col}`").alias("doc_id"), F.split(text, WORD_BREAK).alias("words"), (F.col(f"`{path_col}`") if path_col else F.lit("")).alias("path"))
-    at = lambda i: F.coalesce(F.get("words", i), F.lit(""))
+    before_it = lambda i: F.right(F.coalesce(F.get("words", i), F.lit("")), F.lit(CONTEXT))
     opened = lambda w2, w1: w1.rlike(f"{NAMED}{ASSIGN}$") | w1.rlike(f"^{ASSIGN}$") & w2.rlike(f"{NAMED}$")
     within, begun = f"{NAMED}{ASSIGN}{VALUE}", f"^{ASSIGN}{VALUE}"
     given = lambda w, w2, w1: F.when(w.rlike(within), F.regexp_extract(w, within, 1)).when(w1.rlike(f"{NAMED}$") & w.rlike(begun), F.regexp_extract(w, begun, 1)).when(opened(w2, w1), F.regexp_extract(w, f"^{VALUE}", 1)).otherwise("")
+
+    def numbered(w: Column, i: Column) -> Column:
+        value = F.regexp_replace(given(w, before_it(i - 2), before_it(i - 1)), r"[,;.)\]}>]+$", "")
+        after = F.left(F.coalesce(F.get("words", i + 1), F.lit("")), F.lit(CONTEXT))
+        return F.struct(i.alias("word_no"), w.alias("word"), value.alias("value"), before_it(i - 2).alias("w2"), before_it(i - 1).alias("w1"), after.alias("next"))
+
     # a word and its neighbours; only those of candidates leave the row
-    numbered = F.transform("words", lambda w, i: F.struct(i.alias("word_no"), w.alias("word"), F.regexp_replace(given(w, at(i - 2), at(i - 1)), r"[,;.)\]}>]+$", "").alias("value"), at(i - 2).alias("w2"), at(i - 1).alias("w1"), at(i + 1).alias("next")))
-    found = F.filter(numbered, lambda x: (F.length(x["value"]) >= 6) | x["word"].rlike(KEY_LIKE))
-    rows = rows.select("doc_id", "path", F.explode(found).alias("x")).select("doc_id", "path", "x.*")
-    parts = r"^([A-Za-z_-]+=)(.{8,})$"
-    whole = lambda t: F.when(t.rlike(parts), F.regexp_extract(t, parts, 2)).otherwise(t)
-    runs = F.regexp_extract_all("word", F.lit(f"({KEY_LIKE})"), F.lit(0))
-    more = (F.length("value") >= 6) & ~F.exists(runs, lambda t: (t == F.col("value")) | (whole(t) == F.col("value")))
-    # each run stands after the one before it; the value is the last of its kind in the word
-    place = F.aggregate(runs, F.struct(F.lit(1).alias("next"), F.array().cast("array<int>").alias("at")), lambda a, t: F.struct((F.call_function("locate", t, F.col("word"), a["next"]) + F.length(t)).alias("next"), F.concat(a["at"], F.array(F.call_function("locate", t, F.col("word"), a["next"]))).alias("at")), lambda a: a["at"])
-    rows = rows.select("*", place.alias("places"), F.posexplode(F.when(more, F.concat(runs, F.array("value"))).otherwise(runs)).alias("nth", "token"), F.when(more, F.size(runs)).otherwise(-1).alias("last"))
-    place = F.when(F.col("nth") == F.col("last"), F.length("word") - F.instr(F.reverse("word"), F.reverse("token")) - F.length("token") + 2).otherwise(F.get("places", F.col("nth")))
-    head, tail = F.substring(F.col("word"), F.lit(1), place - 1), F.substring(F.col("word"), place + F.length("token"), F.length("word"))
-    name, value = F.regexp_extract("token", parts, 1), F.regexp_extract("token", parts, 2)
-    split_off = (value != "") & (F.col("nth") != F.col("last"))
+    found = F.filter(F.transform("words", numbered), lambda x: (F.length(x["value"]) >= 6) | x["word"].rlike(KEY_LIKE))
+    rows = rows.select("doc_id", "path", F.explode(found).alias("x"))
+    rows = rows.select("doc_id", "path", "x.word_no", "x.w2", "x.w1", "x.next", F.posexplode(pieces_of(F.col("x.word"), F.col("x.value"))).alias("nth", "c"))
     return rows.select(
-        "doc_id", F.col("word_no").cast("long").alias("word_no"), "nth", F.when(split_off, value).otherwise(F.col("token")).alias("token"),
-        F.concat("w2", F.lit(" "), "w1", F.lit(" "), head, F.when(split_off, name).otherwise(F.lit(""))).alias("before"), F.concat(tail, F.lit(" "), "next").alias("after"), F.coalesce("path", F.lit("")).alias("path"),
+        "doc_id", F.col("word_no").cast("long").alias("word_no"), "nth", "c.token", F.concat("w2", F.lit(" "), "w1", F.lit(" "), "c.head").alias("before"), F.concat("c.tail", F.lit(" "), "next").alias("after"),
+        F.coalesce("path", F.lit("")).alias("path"),
     )
 
 
@@ -142,7 +173,8 @@ def fit(findings: DataFrame, trees: int = 24, depth: int = 8, seed: int = 3) ->
 def scan(docs: DataFrame, model: PipelineModel, threshold: float = 0.5, id_col: str = "doc_id", text_col: str = "text", path_col: str | None = None) -> DataFrame:
     """One row per candidate: doc_id, word_no, nth (in its word), shown (first four characters), n_chars, score, secret.
 
-    Null and empty texts have none; texts and words of any length are read whole, in time linear in them; rows without id are
+    Null and empty texts have none; texts and words of any length are read whole, in time linear in them, and a
+    candidate's features see CONTEXT characters on either side in its word and neighbours; rows without id are
     scanned like others; an empty table gives no rows; other columns may have any names; every repeated row, and every place of a repeated secret, gets its row; the secret itself
     isn't returned.
     """

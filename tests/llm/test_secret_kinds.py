@@ -1,5 +1,10 @@
 """Secrets without a digit, short ones, and those broken by marks."""
 
+import time
+
+import regex
+from pyspark.sql import functions as F
+
 from skein.llm import secretscan
 
 
@@ -16,3 +21,47 @@ def test_whole_value_stands_beside_its_run(spark):
     docs = spark.createDataFrame([(1, "a password=P@ssword-with-a-run9! b"), (2, "a token=0a1b2c3d4e5f6a7b, b")], "doc_id long, text string")
     rows = [(r.doc_id, r.nth, r.token) for r in secretscan.candidates(docs).orderBy("doc_id", "nth").collect()]
     assert rows == [(1, 0, "ssword-with-a-run9"), (1, 1, "P@ssword-with-a-run9!"), (2, 0, "0a1b2c3d4e5f6a7b")]
+
+
+def by_hand(doc_id, text):
+    """The candidates of a text, word by word."""
+    key_like, within, begun = (regex.compile(p) for p in (secretscan.KEY_LIKE, f"{secretscan.NAMED}{secretscan.ASSIGN}{secretscan.VALUE}", f"^{secretscan.ASSIGN}{secretscan.VALUE}"))
+    words, out, n = regex.split(secretscan.WORD_BREAK, text or ""), [], secretscan.CONTEXT
+    at = lambda i: words[i] if 0 <= i < len(words) else ""
+    rest = lambda t: (lambda m: m[2] if m else t)(regex.search("^([A-Za-z_-]+=)(.{8,})$", t))
+    for i, word in enumerate(words):
+        w2, w1 = at(i - 2), at(i - 1)
+        value = ""
+        if m := within.search(word):
+            value = m[1]
+        elif regex.search(f"{secretscan.NAMED}$", w1) and (m := begun.search(word)):
+            value = m[1]
+        elif regex.search(f"{secretscan.NAMED}{secretscan.ASSIGN}$", w1) or (regex.search(f"^{secretscan.ASSIGN}$", w1) and regex.search(f"{secretscan.NAMED}$", w2)):
+            m = regex.search(f"^{secretscan.VALUE}", word)
+            value = m[1] if m else ""
+        value = regex.sub(r"[,;.)\]}>]+$", "", value)
+        found = [(m[0], m.start()) for m in key_like.finditer(word)]
+        rows = [(rest(t), word[max(0, p - n) : p][-n:] + t[: len(t) - len(rest(t))], word[p + len(t) :][:n]) for t, p in found]
+        if len(value) >= 6 and not any(value in (t, rest(t)) for t, _ in found):
+            p = word.rfind(value)
+            rows.append((value, word[max(0, p - n) : p], word[p + len(value) :][:n]))
+        out += [(doc_id, i, k, t, f"{w2[-n:]} {w1[-n:]} {head}", f"{tail} {at(i + 1)[:n]}") for k, (t, head, tail) in enumerate(rows)]
+    return out
+
+
+def test_candidates_of_a_whole_table_equal_a_loop(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    more = [(-1, "a abcdef123456;" + "abcdef123456;" * 40 + "x=1234567890123 password=" + "p@" * 150 + " k"), (-2, None), (-3, "sk-abcdefghijkl/ghp_aaaaaaaaaaaa key= zzzzzz; " + "y" * 500 + " token: " + "qwerty,," * 60)]
+    docs = docs.unionByName(spark.createDataFrame(more, "doc_id long, text string"))
+    got = sorted((r.doc_id, r.word_no, r.nth, r.token, r.before, r.after) for r in secretscan.candidates(docs).collect())
+    assert got == sorted(c for r in docs.collect() for c in by_hand(r.doc_id, r.text))
+    assert len(got) > 50
+
+
+def test_unbroken_words_take_linear_time(spark):
+    """A megabyte without white space, as minified files have: seconds, not hours."""
+    docs = spark.createDataFrame([(1, "abcdef123456;" * 80_000)], "doc_id long, text string")
+    began = time.time()
+    told = secretscan.candidates(docs).agg(F.count("*").alias("n"), F.max(F.length("before")).alias("before"), F.max(F.length("after")).alias("after")).first()
+    assert told.n == 80_000 and max(told.before, told.after) <= 3 * secretscan.CONTEXT + 3
+    assert time.time() - began < 60
