@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skein.llm.common import dropped, raw, spread_join, stored
+from skein.operators.ranges import placed
 
 #: A line must have as many words for one edit to leave it 0.8 similar; shorter lines match exact copies only.
 MIN_WORDS = 5
@@ -164,12 +165,14 @@ def near_lines(named: DataFrame, distinct: DataFrame, min_words: int) -> DataFra
     best = sent.groupBy("variant").agg(F.min(F.when(~F.col("less"), F.col("at"))).alias("least"), F.min(F.when(F.col("less"), F.col("at"))).alias("least_less"), F.count("*").alias("n_")).where("n_ > 1")
     best = stored(best, "shared_variants")
     met = spread_join(sent, best.drop("n_"), "variant", counts=best.select("variant", "n_"), hint="merge").select("at", F.when(F.col("own"), F.col("least_less")).otherwise(F.col("least")).alias("earlier")).where("earlier < at")
-    met = met.groupBy("at").agg(F.min("earlier").alias("earlier"))
+    met = stored(met.groupBy("at").agg(F.min("earlier").alias("earlier")), "met_lines")
     lines = texts.select(place.alias("place"), "line").distinct()
-    both = met.join(lines.select(F.col("place").alias("at"), "line"), "at").join(lines.select(F.col("place").alias("earlier"), F.col("line").alias("other_line")), "earlier")
+    # one line may be the earlier one of very many
+    times = met.groupBy("earlier").agg(F.count("*").alias("n_"))
+    both = spread_join(met.join(lines.select(F.col("place").alias("at"), "line"), "at"), lines.select(F.col("place").alias("earlier"), F.col("line").alias("other_line")), "earlier", counts=times, total=met.count(), hint="merge")
     spot = "struct<doc_id:long,line_no:int>"
     near = stored(both.select("at", "earlier", "line", "other_line").mapInArrow(verified, f"at {spot}, earlier {spot}").select(F.col("at").alias("first"), "earlier").distinct(), "near_lines")
-    dropped(likely, texts, sent, best)
+    dropped(likely, texts, sent, best, met)
     return near
 
 
@@ -180,7 +183,7 @@ def duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     dropped, so null and empty texts have none.  A line goes if an earlier line, by (doc_id, line_no), equals it, or is
     within one word edit where the longer of the two has ``min_words`` or more; the earliest such line is named, whether
     or not it is dropped itself.  Rows without doc_id are left alone, as nothing names their lines; rows that repeat a
-    doc_id share its lines' places and their decisions.  Time and memory are linear in the length of a line, which may be
+    doc_id share its lines' places and their decisions here (``deduplicated`` tells rows apart).  Time and memory are linear in the length of a line, which may be
     the whole of a very long text.  An empty table gives no rows; other columns may have any names.
     """
     named = docs.where(F.col(f"`{id_col}`").isNotNull()).select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
@@ -196,9 +199,16 @@ def duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
-    """The documents, all their columns, with their duplicate lines taken out of the text."""
-    gone = duplicates(docs, id_col, text_col, min_words).groupBy("doc_id").agg(F.collect_set("line_no").alias("lines"))
-    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
+    """The documents, all their columns, with their duplicate lines taken out of the text.
+
+    It is decided by row: rows that repeat a doc_id have lines of their own, the earlier text first, so that no line goes but for
+    an equal or near one that is earlier and stays in its place.  Rows without doc_id are left alone; a text whose lines all go
+    is empty, a null one stays null."""
+    column = lambda c: F.col(f"`{c}`")
+    packed = docs.select(F.struct(*[column(c) for c in docs.columns if c != text_col]).alias("doc"), column(id_col).cast("long").alias("doc_id"), column(text_col).alias("text"))
+    rows = placed(packed.where("doc_id is not null"), [F.col("doc_id"), F.col("text")]).withColumn("row", F.shiftleft("part_", 33) + F.col("place_"))
+    gone = duplicates(rows.select("row", "text"), "row", "text", min_words).groupBy(F.col("doc_id").alias("row")).agg(F.collect_set("line_no").alias("lines"))
     kept = F.filter(F.transform(F.split("text", "\n", -1), lambda line, i: F.struct(line.alias("line"), i.alias("i"))), lambda x: ~F.array_contains("lines", x["i"]))
     text = F.when(F.col("lines").isNull(), F.col("text")).otherwise(F.array_join(F.transform(kept, lambda x: x["line"]), "\n"))
-    return packed.join(gone, "doc_id", "left").withColumn("text", text).select(*[F.col("text").alias(c) if c == text_col else F.col(f"doc.`{c}`") for c in docs.columns])
+    told = rows.join(gone, "row", "left").select("doc", text.alias("text")).unionByName(packed.where("doc_id is null").select("doc", "text"))
+    return told.select(*[F.col("text").alias(c) if c == text_col else F.col(f"doc.`{c}`") for c in docs.columns])

@@ -251,3 +251,20 @@ def test_lines_ids_and_empty_tables(spark):
     assert linededup.duplicates(docs).count() == 0
     assert linededup.duplicates(docs.where("false")).count() == 0
     assert linededup.deduplicated(docs).columns == docs.columns
+
+
+def test_rows_of_one_id_keep_their_lines(spark):
+    texts = ["a b c d e f", "a b c d e f", "only here and nowhere else\nsecond", "last", None]
+    docs = frame(spark, texts, [1, 5, 5, None, None])
+    left = [(r.doc_id, r.text) for r in linededup.deduplicated(docs).collect()]
+    assert sorted(left, key=str) == sorted([(1, "a b c d e f"), (5, ""), (5, "only here and nowhere else\nsecond"), (None, "last"), (None, None)], key=str)
+
+
+def test_one_line_with_many_variants(spark, monkeypatch):
+    """A greeting whose every variant finds the same earlier line: its links are dealt over tasks and all found."""
+    from skein.llm import common
+
+    monkeypatch.setattr(common, "HOT_SHARE", 4)
+    texts = ["good morning to all of you"] + [f"good morning to all of {i}" for i in range(60)]
+    got = {(r.doc_id, r.earlier_doc_id) for r in linededup.duplicates(frame(spark, texts)).collect()}
+    assert got == {(i, 0) for i in range(1, 61)}
