@@ -14,7 +14,7 @@ from math import ceil
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from skein.llm import simhash
@@ -228,15 +228,22 @@ def with_least(found: DataFrame) -> DataFrame:
 
 
 def components(texts: DataFrame, shingle: int = SHINGLE, similar: float = SIMILAR) -> DataFrame:
-    """(node, component) of ``texts(node long, text)``: nodes joined by similarity, all members of components of several."""
+    """(node, component) of ``texts(node long, text)``: nodes joined by similarity, all members of components of several.
+
+    Where different texts have one node, that with the least MD5 digest stands for it."""
     sketched = stored(sketches(texts, shingle), "sketches")
     keyed = sketched.select(F.explode("bands").alias("key"), "node").union(fingerprint_buckets(sketched))
     buckets = shared(keyed)
-    held = stored(texts.dropDuplicates(["node"]).join(buckets.select("node").distinct().hint("merge"), "node", "left_semi"), "candidate_texts")
+    wanted = texts.join(buckets.select("node").distinct().hint("merge"), "node", "left_semi")
+    held = stored(wanted.groupBy("node").agg(F.min_by("text", F.md5("text")).alias("text")), "candidate_texts")
     dropped(sketched)
     return links(buckets, held, shingle, similar)
 
 
+def text_hash(text: Column) -> Column:
+    return F.xxhash64(text)
+
+
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, similar: float = SIMILAR) -> DataFrame:
     """The documents, all their columns, one of each group of near copies: that with the smallest id, one without id last.
 
@@ -244,16 +251,19 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     verified on whole texts of any length; texts without words are alike, and null texts are empty.  It is decided by row:
     rows with one id and different texts are different documents; of rows that agree in text and id one stays, whatever their
     other columns, which may have any names.  An empty table stays empty.
+
+    Texts are the same if their 64-bit hash and their MD5 digest are: 192 bits.  Should two texts share the first alone, the one with
+    the least digest is compared with others and the other one stays.
     """
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
     order = F.struct(F.col(f"`{id_col}`").isNull().alias("no_id"), F.col(f"`{id_col}`").alias("id"))
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), F.xxhash64(text).alias("own"), order.alias("at"))
-    members = components(docs.select(F.xxhash64(text).alias("node"), text.alias("text")), shingle, similar)
-    first = rows.groupBy("own").agg(F.min("at").alias("at"))
-    placed = stored(members.join(first, members.node == first.own).select("node", "component", F.struct("at", "node").alias("place")), "placed")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), text_hash(text).alias("own"), F.unhex(F.md5(text)).alias("digest"), order.alias("at"))
+    members = components(docs.select(text_hash(text).alias("node"), text.alias("text")), shingle, similar)
+    first = rows.groupBy("own").agg(F.min(F.struct("digest", "at")).alias("least"))
+    placed = stored(members.join(first, members.node == first.own).select("node", "component", "least.digest", F.struct("least.at", "node").alias("place")), "placed")
     best = placed.groupBy("component").agg(F.min("place").alias("best"), F.count("*").alias("n_"))
     best = stored(best, "best")
-    gone = spread_join(placed, best.select("component", "best"), "component", counts=best.select("component", "n_")).where("place <> best").select(F.col("node").alias("own"))
+    gone = spread_join(placed, best.select("component", "best"), "component", counts=best.select("component", "n_")).where("place <> best").select(F.col("node").alias("own"), "digest")
     hashed = [F.col(f"doc.`{f.name}`") for f in docs.schema.fields if "map<" not in f.dataType.simpleString()]
-    one = rows.groupBy("own").agg(F.min_by("doc", F.struct("at", F.xxhash64(*hashed))).alias("doc"))
-    return one.join(gone, "own", "left_anti").select(*[F.col(f"doc.`{c}`") for c in docs.columns])
+    one = rows.groupBy("own", "digest").agg(F.min_by("doc", F.struct("at", F.xxhash64(*hashed))).alias("doc"))
+    return one.join(gone, ["own", "digest"], "left_anti").select(*[F.col(f"doc.`{c}`") for c in docs.columns])

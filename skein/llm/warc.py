@@ -59,23 +59,32 @@ def write(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "
     page_id is the response and the others revisit it (rows that repeat that page_id are responses too; rows without a
     page_id revisit it, and are responses where no equal row has one); shorter payloads are all responses.  A null url
     has no target line.  A record is named by its page_id, so rows that repeat one share their record's name.  Archives have
-    at most ``records_per_file`` records and, by the longest page, ``archive_bytes`` of payload.  An empty table gives no
-    records; other columns may have any names.
+    at most ``records_per_file`` records and ``archive_bytes`` of payload: pages are written by classes of length, each four
+    times that of the one before, and a class has as many records in an archive as its longest pages allow, so that a long
+    page has no say in the archives of short ones.  A page beyond ``archive_bytes`` has an archive of its own.  An empty table
+    gives no records; other columns may have any names.
     """
     shared = stored(originals(pages, id_col, html_col, min_bytes), "originals")
     html = F.coalesce(F.col(f"`{html_col}`"), F.lit(""))
-    seen = pages.agg(F.max(F.octet_length(html)).alias("longest"), F.count("*").alias("n")).first()
-    records = max(1, min(records_per_file, archive_bytes // max(1, seen.longest or 0)))
+    # class k: pages of up to 4^k times the length at which as many as ``records_per_file`` fill an archive
+    shortest = max(1, archive_bytes // max(1, records_per_file))
+    bounds = [shortest * 4**k for k in range(17)]
+    kind = F.coalesce(*[F.when(F.octet_length(html) <= bound, F.lit(k)) for k, bound in enumerate(bounds)], F.lit(len(bounds)))
+    kinds = {r.kind: r.n for r in pages.groupBy(kind.alias("kind")).agg(F.count("*").alias("n")).collect()} or {0: 0}
+    total = sum(kinds.values())
     sha1 = F.when(F.octet_length(html) >= min_bytes, F.sha1(html.cast("binary")))
-    rows = pages.select(F.col(f"`{id_col}`").cast("long").alias("page"), F.col(f"`{url_col}`").alias("url"), html.alias("html"), sha1.alias("sha1"))
-    rows = spread_join(rows, shared.select("sha1", "original"), "sha1", "left", counts=shared.select("sha1", F.col("n").alias("n_")), total=seen.n).select("page", "url", "html", F.when(F.col("page").isNull() | (F.col("page") != F.col("original")), F.col("original")).alias("refers_to"))
+    rows = pages.select(F.col(f"`{id_col}`").cast("long").alias("page"), F.col(f"`{url_col}`").alias("url"), html.alias("html"), sha1.alias("sha1"), kind.alias("kind"))
+    rows = spread_join(rows, shared.select("sha1", "original"), "sha1", "left", counts=shared.select("sha1", F.col("n").alias("n_")), total=total).select("kind", "page", "url", "html", F.when(F.col("page").isNull() | (F.col("page") != F.col("original")), F.col("original")).alias("refers_to"))
 
     def run(batches):
         for batch in batches:
             made = [record(i, u, p, r, date) for i, u, p, r in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), raw(batch.column(2)), batch.column(3).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array(made, pa.binary()).cast(pa.string())], names=["value"])
 
-    rows.mapInArrow(run, "value string").write.option("lineSep", END.decode()).option("maxRecordsPerFile", records).text(path)
+    for k in sorted(kinds):
+        records = max(1, min(records_per_file, archive_bytes // bounds[k])) if k < len(bounds) else 1
+        some = rows.where(F.col("kind") == k).drop("kind").mapInArrow(run, "value string")
+        some.write.mode("append").option("lineSep", END.decode()).option("maxRecordsPerFile", records).text(path)
 
 
 def parsed(data: bytes, at: int) -> tuple[int, dict[str, str], bytes] | str:

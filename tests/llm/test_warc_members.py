@@ -33,3 +33,13 @@ def test_records_before_the_damage():
     assert ids(found) == ["0", "1", "2"]
     assert [f[:2] + f[4:] for f in found if not f[2]] == [(0, len(cut), "gzip member is cut off")]
     assert ids(warc.salvage(cut + one))[:3] == ["0", "1", "2"]
+
+
+def test_a_long_page_has_no_say_in_the_archives_of_short_ones(spark, tmp_path):
+    rows = [(i, "http://x", "short") for i in range(400)] + [(400, "http://x", "y" * 50_000)]
+    path = str(tmp_path / "archives")
+    warc.write(spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1), path, records_per_file=150, archive_bytes=50_000)
+    sizes = sorted(len(f.read_bytes()) for f in (tmp_path / "archives").glob("part-*") if f.stat().st_size)
+    assert len(sizes) == 4
+    found = warc.read(spark, path).where("kind = 'record'") if "kind" in warc.SCHEMA else warc.read(spark, path)
+    assert {r.page_id for r in found.select("page_id").collect()} == set(range(401))
