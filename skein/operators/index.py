@@ -25,14 +25,8 @@ def passage_tokens(passages: DataFrame) -> DataFrame:
     return passages.select("id", "source_id", F.explode(every).alias("term"))
 
 
-def token_places(passages: DataFrame) -> DataFrame:
-    """(id, source_id, field, pos, term) for every token."""
-    fields = F.array(*[F.struct(F.lit(f).alias("field"), tokenize(F.col(f)).alias("tokens")) for f in FIELDS])
-    return passages.select("id", "source_id", F.explode(fields).alias("f")).select("id", "source_id", "f.field", F.posexplode("f.tokens").alias("pos", "term"))
-
-
 class Index(NamedTuple):
-    """What a search reads: postings (term, field, id, source_id, tf, places), vocabulary (term, passages) and passages."""
+    """What a search reads: postings (term, field, id, source_id, tf, places, first), vocabulary (term, passages) and passages."""
 
     postings: DataFrame
     vocabulary: DataFrame
@@ -45,14 +39,45 @@ def of(passages: DataFrame) -> Index:
     return Index(postings(passages), vocabulary(passages), passages)
 
 
+def row_postings(passages: DataFrame) -> DataFrame:
+    """(id, source_id, term, field, places, first): each term of each field once, with its places; ``first`` marks the first of the
+    term's fields in the passage.  Within the row: its tokens are sorted by term, field and place, and cut where these change."""
+    tokens = F.concat(*[in_field(f, n) for n, f in enumerate(FIELDS)])
+
+    def cut(x: Column) -> Column:
+        at = lambda i: F.get(x, i)
+        numbers = F.filter(F.sequence(F.lit(0), F.size(x) - 1), lambda i: (i == 0) | (at(i)["t"] != at(i - 1)["t"]) | (at(i)["f"] != at(i - 1)["f"]))
+
+        def runs(begins: Column) -> Column:
+            def one(i: Column, k: Column) -> Column:
+                size = F.coalesce(F.get(begins, k + 1), F.size(x)) - i
+                return F.struct(at(i)["t"].alias("term"), at(i)["f"].alias("f"), F.transform(F.slice(x, i + 1, size), lambda e: e["p"]).alias("places"), ((i == 0) | (at(i)["t"] != at(i - 1)["t"])).alias("first"))
+
+            return F.transform(begins, one)
+
+        return F.when(F.size(x) > 0, F.get(F.transform(F.array(numbers), runs), F.lit(0)))
+
+    found = F.get(F.transform(F.array(F.sort_array(tokens)), cut), F.lit(0))
+    names = F.element_at(F.array(*[F.lit(f) for f in FIELDS]), F.col("x.f") + 1)
+    return passages.select("id", "source_id", F.explode(found).alias("x")).select("id", "source_id", "x.term", names.alias("field"), "x.places", "x.first")
+
+
+def in_field(field: str, n: int) -> Column:
+    return F.transform(tokenize(F.col(field)), lambda t, i: F.struct(t.alias("t"), F.lit(n).alias("f"), i.alias("p")))
+
+
 def postings(passages: DataFrame) -> DataFrame:
-    """(term, field, id, source_id, tf, places), sorted by term in ascending ranges of terms.
+    """(term, field, id, source_id, tf, places, first), sorted by term in ascending ranges of terms.
 
-    One shuffle brings a term's places together; a frequent term is dealt over several ranges by its passages.
+    A passage's places of a term are one row before the one shuffle; a frequent term is dealt over several ranges by its passages.
     """
-    rows = token_places(passages).withColumn("split", F.pmod(F.xxhash64("id"), F.lit(SPLITS)).cast("int")).repartitionByRange("term", "split")
-    found = rows.groupBy("term", "split", "field", "id", "source_id").agg(F.array_sort(F.collect_list("pos")).alias("places"))
-    return found.select("term", "field", "id", "source_id", F.size("places").alias("tf"), "places").sortWithinPartitions("term", "field", "id")
+    rows = row_postings(passages).withColumn("split", F.pmod(F.xxhash64("id"), F.lit(SPLITS)).cast("int")).repartitionByRange("term", "split")
+    return rows.select("term", "field", "id", "source_id", F.size("places").alias("tf"), "places", "first").sortWithinPartitions("term", "field", "id")
+
+
+def counted(found: DataFrame) -> DataFrame:
+    """The vocabulary (term, passages) of postings."""
+    return found.where("first").groupBy("term").agg(F.count("*").alias("passages"))
 
 
 def term_counts(passages: DataFrame) -> DataFrame:

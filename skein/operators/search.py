@@ -18,6 +18,8 @@ from skein.operators.index import Index, indexed
 PHRASE, KEYWORD, SYNONYM = "phrase", "keyword", "synonym"
 #: Terms of a batch that are gathered to filter the postings, at most, and values of one list in that filter.
 MOST_TERMS, IN_LIST = 2000, 10
+#: Places of rarest tokens (query, phrase, passage and field) that are broadcast, at most: some 20 MB.
+MOST_FOUND = 200_000
 
 
 def asked(queries: DataFrame) -> DataFrame:
@@ -74,16 +76,24 @@ def wanted(terms: DataFrame, postings: DataFrame) -> tuple[DataFrame, DataFrame]
     return terms.sparkSession.createDataFrame(rows, terms.schema), postings.where(near)
 
 
-def strict_runs(terms: DataFrame, postings: DataFrame) -> DataFrame:
-    """(query_id, kind, unit, id) of passages that have a phrase's tokens next to each other in one field.  Only one row a term
-    and field is shuffled, and places are compared where all terms are."""
-    held = terms.join(postings.select("term", "id", "field", "places"), "term")
-    every = held.groupBy("query_id", "kind", "unit", "id", "field").agg(F.array_sort(F.collect_list(F.struct(F.size("places").alias("n"), "term_pos", "places"))).alias("t"), F.max("n_terms").alias("n_terms"))
-    every = every.where(F.size("t") == F.col("n_terms"))
-    first = F.element_at("t", 1)  # the term with the fewest places
-    begins = F.transform(first["places"], lambda p: p - first["term_pos"])
-    run = F.exists(begins, lambda b: F.forall("t", lambda x: F.array_contains(x["places"], b + x["term_pos"])))
-    return every.where(run).select("query_id", "kind", "unit", "id").distinct()
+def strict_runs(terms: DataFrame, postings: DataFrame, vocabulary: DataFrame) -> DataFrame:
+    """(query_id, kind, unit, id) of passages that have a phrase's tokens next to each other in one field.
+
+    The phrase's rarest token, by the vocabulary, tells which passages and fields may have it.  Up to MOST_FOUND of those they are
+    sent to where the postings are, so that only these are shuffled; beyond, both sides are.  Places meet as sets, each
+    less its token's place in the phrase.
+    """
+    unit, spot = ["query_id", "kind", "unit"], ["id", "field"]
+    known = F.coalesce("passages", F.lit(0))
+    sized = terms.join(vocabulary.select("term", "passages"), "term", "left")
+    rarest = sized.groupBy(*unit).agg(F.min_by("term", known).alias("term"), F.min(known).alias("least")).where("least > 0")
+    may = rarest.select(*unit, "term").join(postings.select("term", *spot), "term").select(*unit, *spot).distinct()
+    near = F.broadcast(may) if may.limit(MOST_FOUND + 1).count() <= MOST_FOUND else may
+    held = terms.join(postings.select("term", *spot, "places"), "term").join(near, [*unit, *spot], "left_semi")
+    begins = F.transform("places", lambda p: p - F.col("term_pos"))
+    every = held.groupBy(*unit, *spot).agg(F.collect_list(begins).alias("b"), F.max("n_terms").alias("n_terms")).where(F.size("b") == F.col("n_terms"))
+    common = F.aggregate(F.slice("b", F.lit(2), F.size("b")), F.element_at("b", 1), F.array_intersect)
+    return every.where(F.size(common) > 0).select(*unit, "id").distinct()
 
 
 def matches(queries: DataFrame, corpus: DataFrame | Index, synonyms: DataFrame | None = None, fuzzy: bool = True, phrase_mode: str = "observed", synonym_combine: str = "or") -> DataFrame:
@@ -105,7 +115,7 @@ def matches(queries: DataFrame, corpus: DataFrame | Index, synonyms: DataFrame |
     loose = terms.where(F.col("kind") != PHRASE) if phrase_mode == "strict" else terms
     units = whole_units(loose.join(postings.select("term", "id"), "term"))
     if phrase_mode == "strict":
-        units = units.unionByName(strict_runs(terms.where(F.col("kind") == PHRASE), postings))
+        units = units.unionByName(strict_runs(terms.where(F.col("kind") == PHRASE), postings, held.vocabulary))
     flags = units.groupBy("query_id", "id").agg(*[F.bool_or(F.col("kind") == k).alias(k) for k in (PHRASE, KEYWORD, SYNONYM)])
     shape = parsed.select("query_id", (F.size("phrases") > 0).alias("has_phrases"), (F.size("keywords") > 0).alias("has_keywords"))
     direct = (F.col(PHRASE) | ~F.col("has_phrases")) & (F.col(KEYWORD) | ~F.col("has_keywords"))

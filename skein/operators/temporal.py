@@ -85,7 +85,7 @@ def overlaps(left: DataFrame, right: DataFrame, key: str, left_span: tuple[str,
 
     Rows of ``left`` go to all buckets of ``width`` seconds that they touch, up to the last begin on the right; those of ``right``
     only to the buckets in which their key has rows on the left, however long they are.  A pair is found once, in the bucket
-    where the later one begins.  ``left`` should be the side of shorter intervals; a key's buckets, one list a key, are as
+    where the later one begins.  ``right`` is read twice, so store what is costly.  ``left`` should be the side of shorter intervals; a key's buckets, one list a key, are as
     many as the time that the table covers has.
     """
 

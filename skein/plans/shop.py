@@ -34,7 +34,7 @@ def client_spans(spark: SparkSession, d: str) -> DataFrame:
 def sale_spans(spark: SparkSession, d: str) -> DataFrame:
     """Sales, from sold to arrived, with each change of the client that held meanwhile."""
     sales = table(spark, d, "sales").select("sale_id", "client_id", "sold_at", "arrived_at", "status")
-    held = client_spans(spark, d).select("client_id", "valid_at", "valid_to", "change_id", "segment")
+    held = stored(client_spans(spark, d).select("client_id", "valid_at", "valid_to", "change_id", "segment"), "spans")
     out = temporal.overlaps(sales, held, "client_id", ("sold_at", "arrived_at"), ("valid_at", "valid_to"))
     return out.select("sale_id", "client_id", "sold_at", "arrived_at", "status", F.col("right_change_id").alias("change_id"), F.col("right_segment").alias("segment"), F.col("right_valid_at").alias("valid_at"), F.col("right_valid_to").alias("valid_to"))
 

@@ -8,14 +8,14 @@ from urllib.parse import unquote
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from skein.operators.index import meta, postings, vocabulary
+from skein.operators.index import counted, meta, postings
 from skein.schemas import PASSAGE_JSON
 
 
 def write_index(passages: DataFrame, files: DataFrame, path: str) -> None:
-    """Postings in files by ranges of terms, vocabulary sorted by term, and passages, all as Parquet, and one line of metadata."""
+    """Postings in files by ranges of terms, the vocabulary that they have, sorted by term, and passages, all as Parquet, and one line of metadata."""
     postings(passages).write.mode("overwrite").parquet(f"{path}/postings")
-    vocabulary(passages).write.mode("overwrite").parquet(f"{path}/vocabulary")
+    counted(passages.sparkSession.read.parquet(f"{path}/postings")).sort("term").write.mode("overwrite").parquet(f"{path}/vocabulary")
     passages.write.mode("overwrite").parquet(f"{path}/passages")
     meta(passages, files).withColumn("built_at", F.current_timestamp()).write.mode("overwrite").json(f"{path}/meta")
 
