@@ -6,7 +6,9 @@ postings of an index, whose scan reads these terms alone, so that only hits are
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from skein.functions.kwic import citation, kwic
@@ -16,8 +18,9 @@ from skein.operators import index
 from skein.operators.index import Index, indexed
 
 PHRASE, KEYWORD, SYNONYM = "phrase", "keyword", "synonym"
-#: Terms of a batch that are gathered to filter the postings, at most, and values of one list in that filter.
-MOST_TERMS, IN_LIST = 2000, 10
+#: Terms of a batch that are gathered to filter the postings, at most, values of a list that a scan takes as it is, and ranges
+#: that stand for a longer one.
+MOST_TERMS, IN_LIST, RANGES = 2000, 10, 32
 #: Places of rarest tokens (query, phrase, passage and field) that are broadcast, at most: some 20 MB.
 MOST_FOUND = 200_000
 
@@ -70,9 +73,11 @@ def wanted(terms: DataFrame, postings: DataFrame) -> tuple[DataFrame, DataFrame]
     if len(rows) > MOST_TERMS:
         return terms, postings
     words = sorted({r.term for r in rows})
-    near = F.lit(False)
-    for a in range(0, len(words), IN_LIST):
-        near = near | F.col("term").isin(words[a : a + IN_LIST])
+    near = F.col("term").isin(words)
+    if len(words) > IN_LIST:  # a longer list is looked up row by row; what the scan can skip follows from a few ranges of terms
+        step = max(IN_LIST, -(-len(words) // RANGES))
+        ranges = [F.col("term").between(words[a], words[min(a + step, len(words)) - 1]) for a in range(0, len(words), step)]
+        near = near & reduce(Column.__or__, ranges)
     return terms.sparkSession.createDataFrame(rows, terms.schema), postings.where(near)
 
 
