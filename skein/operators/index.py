@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skein.functions.text import tokenize
+from skein.operators import ranges
+from skein.sources.shared import stored
 
 FIELDS = ("text", "title", "chapter_ref")
 #: Ranges that a frequent term's postings are dealt over.
@@ -112,6 +114,24 @@ def version(files: DataFrame, key: str = "id", content: str = "content") -> Data
     return files.agg(digest(files, key, content).alias("version"))
 
 
+def tree_version(rows: DataFrame, order: list[str], content: Column, fan: int = 256) -> DataFrame:
+    """One row: n_rows and the digest of rows of any number in order: the SHA-256 of each row's ``content``, and of each ``fan`` digests
+    in order, and so on until one is left; null for no rows.  Rows equal in ``order`` are in that of their digests.
+
+    No task has more than a range of rows, or ``fan`` digests of a group at a time."""
+    leaves = rows.select(*[F.col(c).alias(f"o{i}") for i, c in enumerate(order)], F.sha2(F.coalesce(content, F.lit("")), 256).alias("digest"))
+    held = ranges.placed(leaves, [*[F.col(f"o{i}") for i in range(len(order))], F.col("digest")])
+    sizes = stored(held.groupBy("part_").agg(F.count("*").alias("n")), "sizes")
+    n = sizes.agg(F.sum("n")).first()[0] or 0
+    bases = ranges.before(sizes, [], "part_", F.col("n")).select("part_", F.coalesce("before_", F.lit(0)).alias("base"))
+    level = held.join(bases, "part_").select((F.col("base") + F.col("place_")).alias("i"), "digest")
+    left = n
+    while left > 1:
+        groups = level.groupBy(F.floor(F.col("i") / fan).alias("i")).agg(F.sort_array(F.collect_list(F.struct("i", "digest"))).alias("d"))
+        level, left = groups.select("i", F.sha2(F.array_join("d.digest", ""), 256).alias("digest")), -(-left // fan)
+    return level.agg(F.lit(n).cast("long").alias("n_rows"), F.max("digest").alias("digest"))
+
+
 def content_version(passages: DataFrame) -> DataFrame:
     """(source_id, version) over passages of any number: each is digested on its own, and digests are summed in a way that
     doesn't depend on order or partitions."""

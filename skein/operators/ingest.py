@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from skein.functions.text import n_words, normalize_text, page_number, page_ref, passage_id, trimmed, words
+from skein.operators.sentences import split as by_model
 from skein.sources.files import PAGE_MARKER
 
 #: Compounds that keep their hyphen (fixed values).
@@ -172,19 +173,20 @@ def repair_hyphens(texts: DataFrame, key: str | Sequence[str], dictionary: DataF
 
 
 def sentences(text: Column) -> Column:
-    """Parts that end in a full stop, question or exclamation mark before white space.  A rule, not a statistical model."""
+    """Parts that end in a full stop, question or exclamation mark before white space: the rule.  ``sentences.split`` has the model."""
     return F.split(trimmed(text), r"(?<=[.!?])\s+")
 
 
-def split_long(text: Column | str) -> Column:
+def split_long(text: Column | str, parts: Column | None = None) -> Column:
     """A paragraph of over 300 words in parts: cut after the sentence that brings the count nearest to 150, the earliest on
     ties, and again while what is left has over 300; one sentence alone is cut once, at 150 words.
 
-    One pass over the sentences: counts only grow, so that the nearest cut is right before or after they reach 150.
+    One pass over the sentences: counts only grow, so that the nearest cut is right before or after they reach 150.  ``parts``
+    may bring the sentences of the text, found in another way than by the rule.
     """
     text = F.col(text) if isinstance(text, str) else text
     state = "struct<parts:array<string>,part:string,n:int,left:int>"
-    sized = F.transform(sentences(text), lambda s: F.struct(s.alias("s"), n_words(s).alias("n")))
+    sized = F.transform(sentences(text) if parts is None else parts, lambda s: F.struct(s.alias("s"), n_words(s).alias("n")))
     total = F.aggregate(sized, F.lit(0), lambda a, x: a + x["n"])
     empty, none = F.array().cast("array<string>"), F.lit(None).cast("string")
     pack = lambda parts, part, n, left: F.struct(parts.alias("parts"), part.alias("part"), n.cast("int").alias("n"), left.cast("int").alias("left")).cast(state)
@@ -221,11 +223,20 @@ def blocks(texts: DataFrame, key: str | Sequence[str]) -> DataFrame:
     return paged.where("marker is null").drop("marker")
 
 
-def segment(texts: DataFrame, key: str | Sequence[str], split: bool = True) -> DataFrame:
-    """(key, seq, page_ref, text): paragraphs of 20 words or more, long ones in parts, numbered from 1 as kept."""
+def segment(texts: DataFrame, key: str | Sequence[str], split: bool = True, abbreviations: DataFrame | None = None) -> DataFrame:
+    """(key, seq, page_ref, text): paragraphs of 20 words or more, long ones in parts, numbered from 1 as kept.
+
+    Long ones are cut between sentences: by a rule, or with ``abbreviations`` (word) by a model that they are part of.
+    """
     size = n_words(F.col("block"))
-    parts = F.when(size > LONG_WORDS, split_long("block")).otherwise(F.array("block")) if split else F.array("block")
-    rows = blocks(texts, key).where(size >= MIN_WORDS).select(*listed(key), "block_pos", "page_", F.posexplode(parts).alias("sub_pos", "text")).where(n_words(F.col("text")) >= MIN_WORDS)
+    held = blocks(texts, key).where(size >= MIN_WORDS)
+    told = None
+    if split and abbreviations is not None:
+        found = by_model(held.where(size > LONG_WORDS), [*listed(key), "block_pos"], abbreviations, "block")
+        told = F.col("told")
+        held = held.join(found.groupBy(*listed(key), "block_pos").agg(F.sort_array(F.collect_list(F.struct("sentence_no", "sentence"))).alias("t")).select(*listed(key), "block_pos", F.col("t.sentence").alias("told")), [*listed(key), "block_pos"], "left")
+    parts = F.when(size > LONG_WORDS, split_long("block", told)).otherwise(F.array("block")) if split else F.array("block")
+    rows = held.select(*listed(key), "block_pos", "page_", F.posexplode(parts).alias("sub_pos", "text")).where(n_words(F.col("text")) >= MIN_WORDS)
     order = Window.partitionBy(*listed(key)).orderBy("block_pos", "sub_pos")
     return rows.select(*listed(key), F.row_number().over(order).alias("seq"), page_ref(F.col("page_")).alias("page_ref"), "text")
 
@@ -298,7 +309,7 @@ def audit(passages: DataFrame, dictionary: DataFrame | None = None) -> DataFrame
     return looked_at(passages, dictionary).select("id", "flag", "n_words", "non_alpha", "n_chars")
 
 
-def ingest(pages: DataFrame, source_id: str | None = None, chapters: DataFrame | None = None, patterns: Sequence[str] = (), dictionary: DataFrame | None = None, split: bool = True) -> DataFrame:
+def ingest(pages: DataFrame, source_id: str | None = None, chapters: DataFrame | None = None, patterns: Sequence[str] = (), dictionary: DataFrame | None = None, split: bool = True, abbreviations: DataFrame | None = None) -> DataFrame:
     """Passages of ``pages`` (source_id, page, text) of one source or all: all steps as one plan.
 
     A page is a row throughout, as no step reaches over a page marker.  Of a whole source only its frequent boundary lines and
@@ -313,7 +324,7 @@ def ingest(pages: DataFrame, source_id: str | None = None, chapters: DataFrame |
     whole = rows.join(last, "source_id").select(*key, closed.alias("text"))
     stripped = joined_lines(strip_lines(lines(whole, key), key, patterns, of="source_id"), key)
     stripped = stripped.withColumn("text", F.regexp_replace("text", f"{end}$", ""))
-    parts = segment(repair_hyphens(stripped, key, dictionary), key, split)
+    parts = segment(repair_hyphens(stripped, key, dictionary), key, split, abbreviations)
     per_page = parts.groupBy(*key).agg(F.max("seq").alias("n"))
     before = Window.partitionBy("source_id").orderBy("page").rowsBetween(Window.unboundedPreceding, -1)
     base = per_page.select(*key, F.coalesce(F.sum("n").over(before), F.lit(0)).cast("int").alias("base"))

@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skein.operators import merge, ranges, sketches, temporal
+from skein.operators import index, merge, ranges, sentences, sketches, temporal
 from skein.plans.adapters import table
 from skein.sources.shared import shared_dir, stored
 from skein.streaming import shop as streams
@@ -118,7 +118,35 @@ def click_queues(spark: SparkSession, d: str) -> DataFrame:
     return streams.queues(spark, f"{at}/out").select("client_id", F.size("ids").cast("long").alias("n_kept"), F.sha2(F.array_join(ids, ","), 256).alias("ids_sha256"))
 
 
-ALL = (click_sketches, sale_levels, click_windows, clicks_followed, click_queues, asof_changes, client_spans, sale_spans, client_merge, sale_ranks, clicks_half_hour)
+def corpus_digest(spark: SparkSession, d: str) -> DataFrame:
+    """One digest of all documents in order, by a tree over ranges."""
+    return index.tree_version(table(spark, d, "documents"), ["doc_id"], F.concat_ws(":", "doc_id", "text"))
+
+
+#: Abbreviations put into the texts (fixed values of the fixture).
+SHORT = ((" of ", " Dr. of "), (" in ", " etc. in "), (" de ", " z.B. de "), (" and ", " No. 5. and "))
+
+
+def shortened(spark: SparkSession, d: str) -> DataFrame:
+    text = F.coalesce("text", F.lit(""))
+    for old, new in SHORT:
+        text = F.replace(text, F.lit(old), F.lit(new))
+    return table(spark, d, "documents").select("doc_id", text.alias("text"))
+
+
+def sentence_model(spark: SparkSession, d: str) -> DataFrame:
+    """Abbreviations that the texts tell, with their scores."""
+    return sentences.abbreviations(shortened(spark, d)).select("word", "with_stop", "without_stop", F.round("score", 3).alias("score"))
+
+
+def sentence_split(spark: SparkSession, d: str) -> DataFrame:
+    """Sentences of the texts by the abbreviations that they tell."""
+    rows = shortened(spark, d)
+    known = stored(sentences.abbreviations(rows).select("word"), "abbreviations")
+    return sentences.split(rows, ["doc_id"], known).select("doc_id", "sentence_no", F.md5("sentence").alias("sentence_md5"))
+
+
+ALL = (corpus_digest, sentence_model, sentence_split, click_sketches, sale_levels, click_windows, clicks_followed, click_queues, asof_changes, client_spans, sale_spans, client_merge, sale_ranks, clicks_half_hour)
 
 SPANS = """
 h AS (
@@ -134,6 +162,18 @@ SELECT sale_id, cents, row_number() OVER (ORDER BY cents NULLS FIRST, sale_id NU
 FROM (SELECT sale_id, CAST(floor(total * 100 + 0.5) AS BIGINT) AS cents FROM sales)
 """
 
+TYPED = r"regexp_replace(regexp_replace(lower(%s), '^[^\p{L}\p{N}]+|[^\p{L}\p{N}.]+$', '', 'g'), '\.{2,}$', '')"
+SHORTENED = "replace(replace(replace(replace(coalesce(text, ''), " + "), ".join(f"'{a}', '{b}'" for a, b in SHORT) + ")"
+MODEL = rf"""x AS (SELECT doc_id, {SHORTENED} AS text FROM documents),
+tok AS (SELECT {TYPED % 'token'} AS t FROM (SELECT unnest(list_filter(regexp_split_to_array(text, '\s+'), lambda t: t <> '')) AS token FROM x)),
+cnt AS (SELECT CASE WHEN ends_with(t, '.') THEN left(t, length(t) - 1) ELSE t END AS word, count(*) AS n, count(*) FILTER (ends_with(t, '.')) AS k FROM tok GROUP BY 1),
+al AS (SELECT sum(n) AS all_n, sum(k) AS all_k FROM cnt),
+sc AS (
+  SELECT word, k, n - k AS without, 2 * (k * ln(0.99) + (n - k) * ln(1 - 0.99) - (k * ln(all_k / all_n) + (n - k) * ln(1 - all_k / all_n))) * exp(-length(replace(word, '.', ''))) * (length(word) - length(replace(word, '.', '')) + 1)
+         * pow(length(replace(word, '.', '')), k - n) AS score
+  FROM cnt, al WHERE k > 0 AND regexp_matches(word, '\p{{L}}') AND all_k < all_n),
+ab AS (SELECT * FROM sc WHERE score >= 0.3)"""
+
 MERGED = """
 WITH c AS (
   SELECT *, row_number() OVER (PARTITION BY client_id ORDER BY seq, change_id) AS n FROM (SELECT DISTINCT * FROM client_changes)
@@ -177,6 +217,18 @@ SELECT click_id, sale_id, c.client_id, ts, sold_at FROM clicks c JOIN sales s ON
         "click_queues": """
 SELECT client_id, count(*) AS n_kept, sha256(string_agg(CAST(click_id AS VARCHAR), ',' ORDER BY n)) AS ids_sha256
 FROM (SELECT client_id, click_id, row_number() OVER (PARTITION BY client_id ORDER BY ts DESC, click_id DESC) AS n FROM (SELECT DISTINCT client_id, ts, click_id FROM clicks WHERE client_id IS NOT NULL AND ts IS NOT NULL)) WHERE n <= 100 GROUP BY client_id""",
+        "corpus_digest": """
+WITH RECURSIVE lv AS (
+  SELECT row_number() OVER (ORDER BY doc_id, d) - 1 AS i, d, count(*) OVER () AS n FROM (SELECT doc_id, sha256(coalesce(concat_ws(':', doc_id, text), '')) AS d FROM documents)
+  UNION ALL SELECT i // 256, sha256(string_agg(d, '' ORDER BY i)), (n + 255) // 256 FROM lv WHERE n > 1 GROUP BY i // 256, n)
+SELECT (SELECT count(*) FROM documents) AS n_rows, d AS digest FROM lv WHERE n = 1""",
+        "sentence_model": f"WITH {MODEL} SELECT word, k AS with_stop, without AS without_stop, round(score, 3) AS score FROM ab",
+        "sentence_split": rf"""WITH {MODEL},
+pt AS (SELECT doc_id, unnest(range(1, len(p) + 1)) AS i, unnest(p) AS part FROM (SELECT doc_id, string_split(regexp_replace(trim(text, E' \t\n\r'), '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)) AS p FROM x WHERE trim(text, E' \t\n\r') <> '')),
+wd AS (SELECT *, {TYPED % "regexp_extract(part, '(\\S+)$', 1)"} AS w, coalesce(lead(part) OVER (PARTITION BY doc_id ORDER BY i), '') AS nxt FROM pt),
+fl AS (SELECT *, ends_with(w, '.') AND (left(w, length(w) - 1) IN (SELECT word FROM ab) OR (regexp_matches(left(w, length(w) - 1), '^\p{{N}}+$') AND regexp_matches(nxt, '^[^\p{{L}}\p{{N}}]*\p{{Ll}}'))) AS on_ FROM wd),
+nm AS (SELECT *, 1 + coalesce(sum(CASE WHEN on_ THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS sentence_no FROM fl)
+SELECT doc_id, CAST(sentence_no AS BIGINT) AS sentence_no, md5(string_agg(part, ' ' ORDER BY i)) AS sentence_md5 FROM nm GROUP BY doc_id, sentence_no""",
         "client_merge": MERGED,
         "sale_ranks": RANKED,
         "clicks_half_hour": """
