@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,7 +18,9 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from skein.operators.temporal import bucket, micros
 
 #: Records that a client's queue keeps, and parts in which a client's records are held, so that a hot client is no hot task.
-QUEUE, SALTS = 100, 16
+QUEUE, SALTS = 100, 8
+#: Parts of all clients whose queues are one state each.
+SHARDS = 256
 
 
 def instants(rows: DataFrame, *columns: str) -> DataFrame:
@@ -68,28 +71,35 @@ def followed(clicks: DataFrame, sales: DataFrame, within: int = 3600, late: str
     return met.select("click_id", "sale_id", "client_id", zoneless(F.col("ts")).alias("ts"), zoneless(F.col("sold_at")).alias("sold_at"))
 
 
-STATE = "at array<long>, id array<long>"
+STATE = "client array<long>, salt array<int>, at array<long>, id array<long>"
 KEPT = "client_id long, salt int, at array<long>, id array<long>"
 
 
 def newest(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """The newest records of a key, those of the state among them; a batch at a time is in memory."""
-    at, ids = state.get if state.exists else ([], [])
-    held = set(zip(map(int, at), map(int, ids), strict=True))
+    """The newest records of each client of a shard, those of the state among them; the shard's queues and a batch are in memory.
+    Queues that got a record are given."""
+    names, unit = ["client", "salt", "at", "id"], ["client", "salt"]
+    held = pd.DataFrame(dict(zip(names, state.get if state.exists else ([], [], [], []), strict=True)), dtype="int64")
+    touched = []
     for batch in batches:
-        held.update(zip(batch["at"].tolist(), batch["id"].tolist(), strict=True))
-        held = set(sorted(held)[-QUEUE:])
-    kept = sorted(held)
-    at, ids = [a for a, _ in kept], [i for _, i in kept]
-    state.update((at, ids))
-    yield pd.DataFrame({"client_id": [key[0]], "salt": [key[1]], "at": [at], "id": [ids]})
+        touched.append(batch[unit].drop_duplicates())
+        held = pd.concat([held, batch[names].astype("int64")]).drop_duplicates().sort_values(names).groupby(unit).tail(QUEUE)
+    state.update(tuple(held[c].tolist() for c in names))
+    told = held.merge(pd.concat(touched).drop_duplicates().astype("int64"), on=unit).sort_values(names)
+    cuts = np.flatnonzero((told[unit].to_numpy()[1:] != told[unit].to_numpy()[:-1]).any(axis=1)) + 1
+    parts = [np.split(told[c].to_numpy(), cuts) for c in names]
+    yield pd.DataFrame({"client_id": [int(c[0]) for c in parts[0]], "salt": [int(c[0]) for c in parts[1]], "at": [c.tolist() for c in parts[2]], "id": [c.tolist() for c in parts[3]]})
 
 
-def queued(clicks: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+def queued(clicks: DataFrame, path: str, checkpoint: str, shards: int = SHARDS) -> StreamingQuery:
     """Keep each client's newest QUEUE clicks, by time and id, as state; what changes in a batch is written to a folder of its number,
-    which a batch that is tried again replaces.  A click that comes twice is kept once; clicks without client or time aren't."""
-    rows = clicks.select(F.col("client_id").alias("client_id"), F.pmod(F.xxhash64("click_id"), F.lit(SALTS)).cast("int").alias("salt"), micros(clicks, "ts").alias("at"), F.col("click_id").alias("id"))
-    rows = rows.where("client_id is not null and at is not null and id is not null").groupBy("client_id", "salt").applyInPandasWithState(newest, KEPT, STATE, "update", GroupStateTimeout.NoTimeout)
+    which a batch that is tried again replaces.  A click that comes twice is kept once; clicks without client or time aren't.
+
+    A state has the queues of a shard of clients, so that few clients a call cost little; choose ``shards`` for some thousands
+    of clients in each.  A client's clicks lie in SALTS queues of different shards, so that a hot client is no hot task."""
+    rows = clicks.select(F.col("client_id").alias("client"), F.pmod(F.xxhash64("click_id"), F.lit(SALTS)).cast("int").alias("salt"), micros(clicks, "ts").alias("at"), F.col("click_id").alias("id"))
+    rows = rows.where("client is not null and at is not null and id is not null").withColumn("shard", F.pmod(F.xxhash64("client", "salt"), F.lit(shards)))
+    rows = rows.groupBy("shard").applyInPandasWithState(newest, KEPT, STATE, "update", GroupStateTimeout.NoTimeout)
 
     def put(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
