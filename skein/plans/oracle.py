@@ -107,6 +107,25 @@ b1 AS (SELECT *, CAST(nullif(regexp_extract(block, '^<<<PAGE (\d+)>>>$', 1), '')
 blocks AS (SELECT doc_id, block_pos, block, page, m FROM (SELECT *, coalesce(last_value(m IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY block_pos ROWS UNBOUNDED PRECEDING), 1) AS page FROM b1) WHERE m IS NULL)"""
 PARAS_SQL = r"paras AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY block_pos) AS seq, page, block AS text FROM blocks WHERE len(list_filter(string_split_regex(block, '\s+'), lambda x: x <> '')) >= 20)"
 CHAPTERS_SQL = "chapters AS (SELECT * FROM (VALUES " + ", ".join(f"('{n}', 'The {n}', {a}, {z})" for n, a, z in ad.CHAPTERS) + ") AS v(name, title, a, z))"
+
+
+def split_ctes(source: str, keys: str, text: str = "text") -> str:
+    """CTEs (of WITH RECURSIVE) that end in parts (keys, part, text): ``text`` of ``source`` cut as long paragraphs are."""
+    return rf"""cut_s AS (SELECT {keys}, string_split(regexp_replace(trim(coalesce({text}, ''), E' \t\n\r'), '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)) AS rest FROM {source}),
+cut_w AS (
+  SELECT {keys}, CAST([] AS VARCHAR[]) AS parts, rest, list_transform(rest, lambda x: len(list_filter(string_split_regex(x, '\s+'), lambda w: w <> ''))) AS sizes, false AS done FROM cut_s
+  UNION ALL
+  SELECT {keys},
+         CASE WHEN total <= 300 THEN list_append(parts, array_to_string(rest, ' ')) WHEN len(rest) = 1 OR best = 1 AND n > 300 THEN list_concat(parts, [array_to_string(words[1:150], ' '), array_to_string(words[151:], ' ')])
+              ELSE list_append(parts, array_to_string(rest[1:best], ' ')) END,
+         CASE WHEN total <= 300 OR len(rest) = 1 THEN [] ELSE rest[best + 1:] END, CASE WHEN total <= 300 OR len(rest) = 1 THEN [] ELSE sizes[best + 1:] END, total <= 300 OR len(rest) <= best
+  FROM (SELECT *, CAST(CASE WHEN len(sizes) = 1 THEN total ELSE list_sum(sizes[1:best]) END AS BIGINT) AS n, list_filter(string_split_regex(rest[1], '\s+'), lambda w: w <> '') AS words
+        FROM (SELECT *, CAST(list_sum(sizes) AS BIGINT) AS total, list_position(far, list_min(far)) AS best
+              FROM (SELECT *, list_transform(range(1, len(sizes) + 1), lambda i: abs(list_sum(sizes[1:i]) - 150)) AS far FROM cut_w WHERE NOT done AND len(rest) > 0)))),
+parts AS (SELECT {keys}, unnest(range(0, len(parts))) AS part, unnest(parts) AS text FROM cut_w WHERE done)"""
+
+
+N_WORDS_SQL = r"len(list_filter(string_split_regex(%s, '\s+'), lambda x: x <> ''))"
 CHAPTERED_SQL = f"""WITH {ad.marked_sql()}, {BLOCKS_SQL}, {PARAS_SQL}, {CHAPTERS_SQL},
 x AS (SELECT doc_id, seq, min_by(name, a) AS name, min_by(title, a) AS title FROM paras LEFT JOIN chapters ON page BETWEEN a AND z GROUP BY doc_id, seq)
 SELECT doc_id, seq, coalesce(name, 'Front Matter') AS chapter_ref, coalesce(title, 'Front Matter') AS chapter_title FROM x"""
@@ -137,9 +156,10 @@ OVER_LINE, OVER_PARAGRAPH = r"([A-Za-z]+)-\n[ \t]*([A-Za-z]+)", r"([A-Za-z]+)-\n
 KEEP = "(lower(x.l || '-' || x.r) IN ('self-will', 'step-work', 'so-called') OR NOT regexp_matches(x.l, '(?i)[aeiou]') OR NOT regexp_matches(x.r, '(?i)[aeiou]'))"
 
 
-def repair_sql(source: str, pattern: str) -> str:
+def repair_sql(source: str, pattern: str, joined: tuple[str, ...] = ()) -> str:
+    unless = f" AND lower(x.l || x.r) NOT IN ({', '.join(map(quoted, joined))})" if joined else ""
     pairs = f"list_transform(range(1, len(l) + 1), lambda i: {{'l': l[i], 'r': r[i]}})"
-    said = f"list_transform({pairs}, lambda x: CASE WHEN {KEEP} THEN x.l || '-' || x.r ELSE x.l || x.r END)"
+    said = f"list_transform({pairs}, lambda x: CASE WHEN {KEEP}{unless} THEN x.l || '-' || x.r ELSE x.l || x.r END)"
     return (
         f"(SELECT doc_id, array_to_string(list_transform(range(1, len(pieces)), lambda i: pieces[i] || said[i]), '') || pieces[len(pieces)] AS t FROM (SELECT doc_id, pieces, {said} AS said FROM "
         f"(SELECT doc_id, string_split_regex(t, '{pattern}') AS pieces, regexp_extract_all(t, '{pattern}', 1) AS l, regexp_extract_all(t, '{pattern}', 2) AS r FROM {source})))"
@@ -201,7 +221,9 @@ def oracle_sql() -> dict[str, str]:
         "adjacent_passages": "SELECT conv_id AS source_id, conv_id || '-' || turn AS id, turn AS sequence, lag(conv_id || '-' || turn) OVER w AS previous_id, lead(conv_id || '-' || turn) OVER w AS next_id FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn, conv_id || '-' || turn)",
         "passage_lookup": f"WITH {PASSAGES_SQL} SELECT id, source_id, sequence, text FROM passages WHERE id = 'doc-7' AND source_id = 'src7'",
         "page_carry_forward": f"WITH {ad.marked_sql()}, {BLOCKS_SQL} SELECT doc_id, block_pos, page, md5(block) AS block FROM blocks",
-        "segment_paragraphs": f"WITH {ad.marked_sql()}, {BLOCKS_SQL}, {PARAS_SQL} SELECT doc_id, seq, 'p.' || page AS page_ref, length(text) AS n_chars FROM paras",
+        "segment_paragraphs": f"""WITH RECURSIVE {ad.marked_sql()}, {BLOCKS_SQL}, {PARAS_SQL}, long AS (SELECT * FROM paras WHERE {N_WORDS_SQL % 'text'} > 300), {split_ctes('long', 'doc_id, seq, page')},
+every AS (SELECT doc_id, seq, page, 0 AS part, text FROM paras WHERE {N_WORDS_SQL % 'text'} <= 300 UNION ALL SELECT doc_id, seq, page, part, text FROM parts WHERE {N_WORDS_SQL % 'text'} >= 20)
+SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY seq, part) AS INT) AS seq, 'p.' || page AS page_ref, md5(text) AS text FROM every""",
         "chapter_assign": CHAPTERED_SQL,
         "chapter_distribution": f"SELECT chapter_ref, count(*) AS passages FROM ({CHAPTERED_SQL}) GROUP BY chapter_ref",
         "strip_headers": STRIP_SQL,

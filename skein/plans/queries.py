@@ -147,12 +147,12 @@ def page_carry_forward(spark: SparkSession, d: str) -> DataFrame:
 
 
 def segment_paragraphs(spark: SparkSession, d: str) -> DataFrame:
-    return ingest.segment(ad.marked(spark, d), "doc_id", split=False).select("doc_id", "seq", "page_ref", F.length("text").alias("n_chars"))
+    return ingest.segment(ad.marked(spark, d), "doc_id").select("doc_id", "seq", "page_ref", F.md5(F.col("text").cast("binary")).alias("text"))
 
 
 def split_long(spark: SparkSession, d: str) -> DataFrame:
     rows = ad.table(spark, d, "documents").select("doc_id", F.posexplode(ingest.split_long(F.coalesce("text", F.lit("")))).alias("part", "text"))
-    return rows.select("doc_id", "part", tx.n_words(F.col("text")).alias("n_words"))
+    return rows.select("doc_id", "part", tx.n_words(F.col("text")).alias("n_words"), F.md5(F.col("text").cast("binary")).alias("text"))
 
 
 def chapter_assign(spark: SparkSession, d: str) -> DataFrame:

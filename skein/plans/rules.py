@@ -95,9 +95,10 @@ def encoding_repair(spark: SparkSession, d: str) -> DataFrame:
 
 
 def ingest_run(spark: SparkSession, d: str) -> DataFrame:
-    """The whole run over all sources: dirty pages with a running head and foot to numbered passages in chapters."""
+    """The whole run over all sources: dirty pages with a running head and foot to numbered passages in chapters, with a
+    dictionary, long paragraphs in parts."""
     rows = ad.table(spark, d, "documents").where("source is not null").select(F.col("source").alias("source_id"), F.col("doc_id").cast("int").alias("page"), F.concat(F.lit("RUNNING HEAD\n"), ad.replaced(F.coalesce("text", F.lit("")), ad.BREAKS), F.lit("\n42")).alias("text"))
-    out = ingest.ingest(rows, None, ad.chapters(spark), ["^Licensed under"], split=False)
+    out = ingest.ingest(rows, None, ad.chapters(spark), ["^Licensed under"], spark.createDataFrame([(w,) for w in JOINED], "word string"))
     return out.select("id", "source_id", "title", "sequence", "page_ref", "chapter_ref", F.md5(F.col("text").cast("binary")).alias("text"))
 
 
@@ -176,34 +177,27 @@ ALL = (
 
 #: The days that have an entry.
 DAYS_SQL = o.DAILY_PAGES_SQL + ", e AS (SELECT 'dr-' || date AS id, 'THE TITLE OF ' || date AS title, date, chapter_ref, 'body one body two' AS text FROM good)"
-SPLIT_SQL = r"""WITH RECURSIVE s AS (
-  SELECT doc_id, list_transform(string_split_regex(regexp_replace(trim(coalesce(text, ''), E' \t\n\r'), '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)), lambda x: len(list_filter(string_split_regex(x, '\s+'), lambda w: w <> ''))) AS sizes FROM documents),
-w AS (
-  SELECT doc_id, CAST([] AS BIGINT[]) AS parts, sizes AS rest, false AS done FROM s
-  UNION ALL
-  SELECT doc_id,
-         CASE WHEN total <= 300 THEN list_append(parts, total) WHEN len(rest) = 1 OR best = 1 AND n > 300 THEN list_concat(parts, [150, n - 150]) ELSE list_append(parts, n) END,
-         CASE WHEN total <= 300 OR len(rest) = 1 THEN [] ELSE rest[best + 1 :] END, total <= 300 OR len(rest) <= best
-  FROM (SELECT *, CAST(CASE WHEN len(rest) = 1 THEN total ELSE list_sum(rest[1 : best]) END AS BIGINT) AS n
-        FROM (SELECT *, CAST(list_sum(rest) AS BIGINT) AS total, list_position(list_transform(range(1, len(rest) + 1), lambda i: abs(list_sum(rest[1 : i]) - 150)), list_min(list_transform(range(1, len(rest) + 1), lambda i: abs(list_sum(rest[1 : i]) - 150)))) AS best
-              FROM (SELECT doc_id, parts, rest, done FROM w WHERE NOT done AND len(rest) > 0)))),
-f AS (SELECT doc_id, parts FROM w WHERE done)
-SELECT doc_id, CAST(unnest(range(0, len(parts))) AS INT) AS part, CAST(unnest(parts) AS INT) AS n_words FROM f"""
+SPLIT_SQL = f"""WITH RECURSIVE {o.split_ctes('documents', 'doc_id')} SELECT doc_id, CAST(part AS INT) AS part, CAST({o.N_WORDS_SQL % 'text'} AS INT) AS n_words, md5(text) AS text FROM parts"""
+#: Words that the dictionary of the whole run has (fixed values of the fixture).
+JOINED = ("pgmstep",)
 
 
 def ingest_sql() -> str:
     marked = f"SELECT doc_id, source, max(doc_id) OVER (PARTITION BY source) AS last, 'RUNNING HEAD' || chr(10) || {o.BROKEN} || chr(10) || '42' AS t FROM documents WHERE source IS NOT NULL"
     normal = r"regexp_replace(regexp_replace(regexp_replace(translate(regexp_replace(t, '\r\n?', chr(10), 'g'), '‘’‚‛“”„', " + quoted("''''" + '"""') + r"), '([0-9_\p{L}\p{M}\p{N}])\s*[–—]\s*([0-9_\p{L}\p{M}\p{N}])', '\1 — \2', 'g'), '[ \t]+', ' ', 'g'), '(?m)[ \t]+$', '', 'g')"
-    return rf"""WITH m AS ({marked}), x AS (SELECT doc_id, source, last, list_concat(list_concat(['<<<PAGE ' || doc_id || '>>>', ''], string_split({normal}, chr(10))), CASE WHEN doc_id < last THEN ['', '<<<PAGE 0>>>'] ELSE [] END) AS l FROM m),
+    return rf"""WITH RECURSIVE m AS ({marked}), x AS (SELECT doc_id, source, last, list_concat(list_concat(['<<<PAGE ' || doc_id || '>>>', ''], string_split({normal}, chr(10))), CASE WHEN doc_id < last THEN ['', '<<<PAGE 0>>>'] ELSE [] END) AS l FROM m),
 ln AS (SELECT doc_id, source, unnest(range(0, len(l))) AS line_no, unnest(l) AS line FROM x),
 mk AS (SELECT *, trim(line, E' \t\n\r') AS s, CAST(regexp_matches(trim(line, E' \t\n\r'), '^<<<PAGE \d+>>>$') AS INT) AS mk FROM ln),
 nr AS (SELECT *, coalesce(lag(mk, 1) OVER w, 0) + coalesce(lag(mk, 2) OVER w, 0) + coalesce(lead(mk, 1) OVER w, 0) + coalesce(lead(mk, 2) OVER w, 0) AS near FROM mk WINDOW w AS (PARTITION BY doc_id ORDER BY line_no)),
 auto AS (SELECT source, s FROM nr WHERE near > 0 AND s <> '' AND length(s) < 40 AND mk = 0 GROUP BY source, s HAVING sum(near) >= 3),
 kept AS (SELECT nr.doc_id, line_no, CASE WHEN mk = 1 OR nr.s = '' THEN line WHEN regexp_matches(nr.s, '^Licensed under') OR regexp_matches(nr.s, '^\d+$') OR auto.s IS NOT NULL THEN '' ELSE line END AS line FROM nr LEFT JOIN auto ON nr.source = auto.source AND nr.s = auto.s),
 d AS (SELECT doc_id, string_agg(line, chr(10) ORDER BY line_no) AS t FROM kept WHERE line <> '<<<PAGE 0>>>' GROUP BY doc_id),
-p1 AS {o.repair_sql('d', o.OVER_PARAGRAPH)}, p2 AS {o.repair_sql('p1', o.OVER_LINE)},
+p1 AS {o.repair_sql('d', o.OVER_PARAGRAPH, JOINED)}, p2 AS {o.repair_sql('p1', o.OVER_LINE, JOINED)},
 b0 AS (SELECT doc_id, unnest(range(0, len(b))) AS pos, unnest(b) AS block FROM (SELECT doc_id, list_transform(string_split_regex(t, '\n{{2,}}'), lambda b: trim(regexp_replace(replace(trim(b, E' \t\n\r'), chr(10), ' '), ' {{2,}}', ' ', 'g'))) AS b FROM p2)),
-n AS (SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY doc_id, pos) AS seq, block FROM b0 JOIN documents USING (doc_id) WHERE NOT regexp_matches(block, '^<<<PAGE (\d+)>>>$') AND len(list_filter(string_split_regex(block, '\s+'), lambda x: x <> '')) >= 20),
+b1 AS (SELECT source, doc_id, pos, block, {o.N_WORDS_SQL % 'block'} AS size FROM b0 JOIN documents USING (doc_id) WHERE NOT regexp_matches(block, '^<<<PAGE (\d+)>>>$')),
+long AS (SELECT * FROM b1 WHERE size > 300), {o.split_ctes('long', 'source, doc_id, pos', 'block')},
+every AS (SELECT source, doc_id, pos, 0 AS part, block FROM b1 WHERE size BETWEEN 20 AND 300 UNION ALL SELECT source, doc_id, pos, part, text FROM parts WHERE {o.N_WORDS_SQL % 'text'} >= 20),
+n AS (SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY doc_id, pos, part) AS seq, block FROM every),
 {o.CHAPTERS_SQL},
 c AS (SELECT source, doc_id, seq, block, coalesce(min_by(name, a), 'Front Matter') AS name, coalesce(min_by(title, a), 'Front Matter') AS title FROM n LEFT JOIN chapters ON doc_id BETWEEN a AND z GROUP BY ALL)
 SELECT source || '-' || lower(replace(name, ' ', '-')) || '-p' || printf('%04d', seq) AS id, source AS source_id, title, CAST(seq AS INT) AS sequence, 'p.' || doc_id AS page_ref, name AS chapter_ref, md5(block) AS text FROM c"""
