@@ -31,9 +31,16 @@ MIN_WORDS, LONG_WORDS, TARGET_WORDS = 20, 300, 150
 ALPHA_WORD = r"(?<![\p{L}\p{N}_])[a-zA-Z]++(?![\p{L}\p{N}_])"
 
 
+#: Texts that repair may change beyond control characters: a letter that begins a UTF-8 sequence when read as Windows-1252, before
+#: another character that isn't ASCII; and any character outside blocks that are composed as they stand.
+MISREAD = "[\u00c2-\u00f4][^\\x00-\\x7f]"
+UNCOMPOSED = "[^\u0000-\u02ff\u2010-\u2027\u20ac\u0400-\u0482\u048a-\u04ff\u4e00-\u9fff]"
+CONTROLS = "[\\x00-\\x08\\x0b\\x0e-\\x1f\\x7f]"
+
+
 @F.pandas_udf(StringType())
-def repair_encoding(texts: pd.Series) -> pd.Series:
-    """UTF-8 that was read as Windows-1252 is read again, control characters go, and the rest is composed (NFC)."""
+def read_again(texts: pd.Series) -> pd.Series:
+    """UTF-8 that was read as Windows-1252 is read again, and the rest is composed (NFC); null for null."""
 
     def one(text: str | None) -> str | None:
         if text is None:
@@ -46,11 +53,20 @@ def repair_encoding(texts: pd.Series) -> pd.Series:
             if again == text:
                 break
             text = again
-        return unicodedata.normalize("NFC", re.sub(r"[\x00-\x08\x0b\x0e-\x1f\x7f]", "", text))
+        return unicodedata.normalize("NFC", re.sub(CONTROLS, "", text))
 
     return texts.map(one)
 
 
+def repair_encoding(text: Column | str) -> Column:
+    """UTF-8 that was read as Windows-1252 is read again, control characters go, and the rest is composed (NFC).
+
+    Only texts in which a pattern finds something to read again or to compose go through Python; others stay in the JVM."""
+    text = F.col(text) if isinstance(text, str) else text
+    odd = text.rlike(f"{MISREAD}|{UNCOMPOSED}")
+    return F.coalesce(read_again(F.when(odd, text)), F.regexp_replace(text, CONTROLS, ""))
+
+
 def listed(key: str | Sequence[str]) -> list[str]:
     return [key] if isinstance(key, str) else list(key)
 

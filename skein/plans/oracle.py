@@ -179,8 +179,10 @@ faulty AS (SELECT CASE WHEN sequence % 50 IN (7, 32) THEN 'doc-' || (sequence -
   CASE WHEN sequence % 31 = 3 THEN ' ' || chr(10) || ' ' ELSE text END AS text FROM passages)"""
 #: Words of ASCII letters alone.
 WORDS_SQL = r"list_filter(regexp_extract_all(%s, '[\p{L}\p{N}_]+'), lambda x: regexp_full_match(x, '[a-zA-Z]+'))"
-DAILY_PAGES_SQL = """cal AS (SELECT CAST(d AS DATE) AS d FROM range(DATE '2000-01-01', DATE '2001-01-01', INTERVAL 1 DAY) AS t(d)),
-good AS (SELECT strftime(d, '%m-%d') AS date, monthname(d) || ' ' || day(d) AS chapter_ref FROM cal WHERE day(d) % 5 <> 0)"""
+DAILY_PAGES_SQL = r"""cal AS (SELECT CAST(d AS DATE) AS d FROM range(DATE '2000-01-01', DATE '2001-01-01', INTERVAL 1 DAY) AS t(d)),
+pg AS (SELECT doc_id, DATE '2000-01-01' + CAST(doc_id % 366 AS INTEGER) AS dt,
+              array_to_string(list_filter(list_transform(regexp_split_to_array(coalesce(text, ''), '\r\n?|[\n\f\v]'), lambda x: trim(regexp_replace(x, '\s+', ' ', 'g'))), lambda x: x <> ''), ' ') AS body FROM documents),
+good AS (SELECT strftime(dt, '%m-%d') AS date, monthname(dt) || ' ' || day(dt) AS chapter_ref, 'THE TITLE OF ' || min(doc_id) AS title, min_by(body, doc_id) AS text FROM pg WHERE day(dt) % 5 <> 0 GROUP BY dt)"""
 CLIP_INPUT = "i AS (SELECT id, text, ['in the', 'tiona', 'der'] AS terms, 8 AS context FROM passages)"
 
 
@@ -216,8 +218,8 @@ def oracle_sql() -> dict[str, str]:
         "kwic_clip": f"WITH {PASSAGES_SQL}, {CLIP_INPUT}, {clip_steps('i')} SELECT id, clip AS kwic FROM cl",
         "kwic_full": f"WITH {PASSAGES_SQL} SELECT id, {highlight_sql('text', repr(['in', 'inn.', 'the', 'é', '&']))} AS kwic FROM passages",
         "citations": f"""WITH {PASSAGES_SQL}, {SOURCES_SQL} SELECT passages.id, CASE WHEN display_mode = 'full-text' THEN text || chr(10) || chr(10) || '— ' || s.title || ', ' || chapter_ref || ', ' || page_ref END AS citation FROM passages JOIN sources s ON s.id = source_id""",
-        "exception_hints": "WITH q AS (SELECT * FROM (VALUES ('q0', 'a'), ('q1', 'thing in the of it'), ('q2', 'acceptance'), ('q3', 'zzz')) AS v(query_id, q)), e AS (SELECT * FROM (VALUES "
-        + ", ".join(f"({quoted(t)}, {quoted(x.lower())})" for t, m in ad.EXCEPTIONS for x in m) + ") AS v(title, m)) SELECT DISTINCT query_id, title, 'About ' || title AS body FROM q JOIN e ON contains(q, m) OR contains(m, q)",
+        "exception_hints": "WITH q AS (SELECT conv_id || '-' || turn AS query_id, lower(trim(array_to_string(string_split(text, ' ')[1:2], ' '), E' \\t\\n\\r')) AS q FROM conversations), e AS (SELECT * FROM (VALUES "
+        + ", ".join(f"({quoted(t)}, {quoted(x.lower())})" for t, m in ad.EXCEPTIONS for x in m) + ") AS v(title, m)) SELECT DISTINCT query_id, title, 'About ' || title AS body FROM q JOIN e ON q <> '' AND (contains(q, m) OR contains(m, q))",
         "adjacent_passages": "SELECT conv_id AS source_id, conv_id || '-' || turn AS id, turn AS sequence, lag(conv_id || '-' || turn) OVER w AS previous_id, lead(conv_id || '-' || turn) OVER w AS next_id FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn, conv_id || '-' || turn)",
         "passage_lookup": f"WITH {PASSAGES_SQL} SELECT id, source_id, sequence, text FROM passages WHERE id = 'doc-7' AND source_id = 'src7'",
         "page_carry_forward": f"WITH {ad.marked_sql()}, {BLOCKS_SQL} SELECT doc_id, block_pos, page, md5(block) AS block FROM blocks",
@@ -250,9 +252,9 @@ SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY seq, part) A
         "html_extract": r"""WITH x AS (SELECT page_id, trim(regexp_replace(regexp_replace(regexp_extract(html, '(?is)<h1[^>]*>(.*?)</h1>', 1), '<[^>]+>', ' ', 'g'), '\s+', ' ', 'g')) AS title,
             trim(regexp_replace(regexp_replace(regexp_extract(html, '(?is)<article[^>]*>(.*?)</article>', 1), '<[^>]+>', ' ', 'g'), '\s+', ' ', 'g')) AS text FROM pages)
             SELECT page_id, coalesce(nullif(title, ''), 'Daily Reflection') AS title, nullif(text, '') AS text FROM x""",
-        "daily_calendar": "SELECT strftime(d, '%m-%d') AS date, monthname(d) || ' ' || day(d) AS label FROM range(DATE '2000-01-01', DATE '2001-01-01', INTERVAL 1 DAY) AS t(d)",
-        "daily_parse": f"WITH {DAILY_PAGES_SQL} SELECT 'dr-' || date AS id, 'THE TITLE OF ' || date AS title, row_number() OVER (ORDER BY date) AS sequence, date, chapter_ref, 'body one body two' AS text FROM good",
-        "resume_missing": f"WITH {DAILY_PAGES_SQL} SELECT strftime(d, '%m-%d') AS date FROM cal WHERE day(d) % 5 = 0",
+        "daily_calendar": f"WITH {DAILY_PAGES_SQL} SELECT strftime(d, '%m-%d') AS date, monthname(d) || ' ' || day(d) AS label, count(doc_id) FILTER (day(d) % 5 <> 0) AS pages FROM cal LEFT JOIN pg ON dt = d GROUP BY d",
+        "daily_parse": f"WITH {DAILY_PAGES_SQL} SELECT 'dr-' || date AS id, title, row_number() OVER (ORDER BY date) AS sequence, date, chapter_ref, md5(text) AS text FROM good",
+        "resume_missing": f"WITH {DAILY_PAGES_SQL} SELECT strftime(d, '%m-%d') AS date FROM cal WHERE strftime(d, '%m-%d') NOT IN (SELECT date FROM good)",
         "raw_overlap": f"""WITH {SOURCES_SQL}, f AS (SELECT * FROM (VALUES ('src1-part.txt'), ('Source 12.pdf'), ('notes.md'), ('SRC3.html'), ('source-seven (final).txt')) AS v(name)),
             r AS (SELECT name, regexp_replace(regexp_replace(lower(regexp_replace(name, '\\.[^.]*$', '')), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g') AS raw_slug FROM f), s AS (SELECT id, id AS entry_slug, replace(lower(title), ' ', '-') AS title_slug, id || ' ' || title || ' ' || short_title AS a FROM sources)
             SELECT name, id, raw_slug, entry_slug, title_slug, CAST(len(list_intersect(list_distinct(regexp_extract_all(raw_slug, '[a-z0-9]+')), list_distinct(regexp_extract_all(lower(entry_slug || ' ' || title_slug || ' ' || a), '[a-z0-9]+')))) AS INT) AS overlap FROM r, s""",

@@ -130,7 +130,9 @@ def citations(spark: SparkSession, d: str) -> DataFrame:
 
 
 def exception_hints(spark: SparkSession, d: str) -> DataFrame:
-    return search.hints(ad.batch(spark, ("a", None), ("Thing in THE OF it", None), ("acceptance", None), ("zzz", None)), ad.exceptions(spark)).select("query_id", "title", "body")
+    """Known exceptions that what people said touches."""
+    said = ad.table(spark, d, "conversations").select(F.concat_ws("-", "conv_id", "turn").alias("query_id"), F.substring_index(F.col("text"), " ", 2).alias("q"))
+    return search.hints(said, ad.exceptions(spark)).select("query_id", "title", "body").distinct()
 
 
 def adjacent_passages(spark: SparkSession, d: str) -> DataFrame:
@@ -238,23 +240,25 @@ def html_extract(spark: SparkSession, d: str) -> DataFrame:
 
 
 def daily_calendar(spark: SparkSession, d: str) -> DataFrame:
-    return files.calendar(spark).select("date", tx.date_label(F.col("date")).alias("label"))
+    """Each day of the calendar with the number of pages that are for it."""
+    pages = daily.parse_pages(daily_texts(spark, d)).groupBy("date").agg(F.count("*").alias("n"))
+    return files.calendar(spark).join(pages, "date", "left").select("date", tx.date_label(F.col("date")).alias("label"), F.coalesce("n", F.lit(0)).alias("pages"))
 
 
-def daily_texts(spark: SparkSession) -> DataFrame:
-    """Pages made from the calendar: each fourth day twice, each fifth without a title."""
-    day = F.to_date(F.concat(F.lit("2000-"), "date"))
-    text = F.concat(F.lit("noise  line\n\n  "), F.upper(F.date_format(day, "MMMM")), F.lit("  "), F.date_format(day, "d"), F.when(F.dayofmonth(day) % 5 == 0, "").otherwise(F.concat(F.lit('\n"THE  TITLE OF '), "date", F.lit('"\nbody one\n\n body  two'))))
-    rows = files.calendar(spark).select(F.dayofyear(day).alias("n"), text.alias("text"), (F.dayofmonth(day) % 4 == 0).alias("twice"))
-    return rows.select(F.col("n").alias("page_pos"), "text").unionByName(rows.where("twice").select((F.col("n") + 1000).alias("page_pos"), F.replace("text", F.lit("TITLE"), F.lit("OTHER")).alias("text")))
+def daily_texts(spark: SparkSession, d: str) -> DataFrame:
+    """A page of each document, for a day that follows from its number; those of each fifth day end with the date."""
+    day = F.date_add(F.lit("2000-01-01").cast("date"), (F.col("doc_id") % 366).cast("int"))
+    told = F.concat(F.lit('\n"THE  TITLE OF '), F.col("doc_id").cast("string"), F.lit('"\n'), F.coalesce("text", F.lit("")))
+    text = F.concat(F.lit("noise  line\n\n  "), F.upper(F.date_format(day, "MMMM")), F.lit("  "), F.date_format(day, "d"), F.when(F.dayofmonth(day) % 5 == 0, "").otherwise(told))
+    return ad.table(spark, d, "documents").select(F.col("doc_id").alias("page_pos"), text.alias("text"))
 
 
 def daily_parse(spark: SparkSession, d: str) -> DataFrame:
-    return daily.entries(daily_texts(spark)).select("id", "title", "sequence", "date", "chapter_ref", "text")
+    return daily.entries(daily_texts(spark, d)).select("id", "title", "sequence", "date", "chapter_ref", F.md5(F.col("text").cast("binary")).alias("text"))
 
 
 def resume_missing(spark: SparkSession, d: str) -> DataFrame:
-    return daily.missing(files.calendar(spark), daily.entries(daily_texts(spark)))
+    return daily.missing(files.calendar(spark), daily.entries(daily_texts(spark, d)))
 
 
 def raw_overlap(spark: SparkSession, d: str) -> DataFrame:

@@ -47,33 +47,34 @@ def links(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("item_id", (tx.query_of_link(link) == F.col("text")).alias("same"), F.length(link).alias("n_chars"), filled.alias("filled"))
 
 
-def daily_rows(spark: SparkSession) -> DataFrame:
-    return daily.entries(q.daily_texts(spark))
+def daily_rows(spark: SparkSession, d: str) -> DataFrame:
+    return daily.entries(q.daily_texts(spark, d))
 
 
 def daily_by_date(spark: SparkSession, d: str) -> DataFrame:
-    found = [daily.by_date(daily_rows(spark), day) for day in ("06-07", "02-29", "06-05")]  # the last has no entry
-    return found[0].unionByName(found[1]).unionByName(found[2]).select("id", "title", "date", "text")
+    found = [daily.by_date(daily_rows(spark, d), day) for day in ("06-07", "02-29", "06-05")]  # the last has no entry
+    return found[0].unionByName(found[1]).unionByName(found[2]).select("id", "title", "date", F.md5(F.col("text").cast("binary")).alias("text"))
 
 
 def daily_checks(spark: SparkSession, d: str) -> DataFrame:
-    few = daily_rows(spark).where("date < '02-01'")
-    return daily.checks(daily_rows(spark)).withColumn("name", F.lit("all")).unionByName(daily.checks(few).withColumn("name", F.lit("few")))
+    few = daily_rows(spark, d).where("date < '02-01'")
+    return daily.checks(daily_rows(spark, d)).withColumn("name", F.lit("all")).unionByName(daily.checks(few).withColumn("name", F.lit("few")))
 
 
 def daily_resumed(spark: SparkSession, d: str) -> DataFrame:
     """A run that goes on: entries that exist are reused, others come from what was fetched."""
-    existing = daily_rows(spark).where("date < '07-01'")
+    existing = daily_rows(spark, d).where("date < '07-01'")
     fetched = files.calendar(spark).where("date > '06-01' and date <> '12-25'").select("date", F.lit("fetched").alias("title"), F.concat(F.lit("text of "), "date").alias("text"))
-    return daily.resumed(files.calendar(spark), existing, fetched)
+    return daily.resumed(files.calendar(spark), existing, fetched).withColumn("text", F.md5(F.col("text").cast("binary")))
 
 
 def daily_dry_run(spark: SparkSession, d: str) -> DataFrame:
-    return daily.dry_run(files.calendar(spark))
+    """The first day that a run would fetch."""
+    return daily.dry_run(daily.missing(files.calendar(spark), daily_rows(spark, d)))
 
 
 def daily_cards(spark: SparkSession, d: str) -> DataFrame:
-    rows = daily_rows(spark).withColumn("chapter_ref", F.when(F.substring("date", 4, 2) == "01", F.lit(None).cast("string")).otherwise(F.col("chapter_ref")))
+    rows = daily_rows(spark, d).withColumn("chapter_ref", F.when(F.substring("date", 4, 2) == "01", F.lit(None).cast("string")).otherwise(F.col("chapter_ref")))
     return daily.card(rows, 12)
 
 
@@ -130,7 +131,7 @@ def validate_build(spark: SparkSession, d: str) -> DataFrame:
 
 def validate_corpus(spark: SparkSession, d: str) -> DataFrame:
     """Checks over all files: an id in two of them, HTML, and a daily source without all days."""
-    days = daily_rows(spark).select("id", "source_id", "date", "text")
+    days = daily_rows(spark, d).select("id", "source_id", "date", "text")
     rows = q.faulty(spark, d).where("id <> ''").select("id", "source_id", "date", F.when(F.col("sequence") % 29 == 0, F.concat("text", F.lit(" <br> "))).otherwise(F.col("text")).alias("text"))
     return validate.corpus(rows.unionByName(days))
 
@@ -176,7 +177,7 @@ ALL = (
 )
 
 #: The days that have an entry.
-DAYS_SQL = o.DAILY_PAGES_SQL + ", e AS (SELECT 'dr-' || date AS id, 'THE TITLE OF ' || date AS title, date, chapter_ref, 'body one body two' AS text FROM good)"
+DAYS_SQL = o.DAILY_PAGES_SQL + ", e AS (SELECT 'dr-' || date AS id, title, date, chapter_ref, text FROM good)"
 SPLIT_SQL = f"""WITH RECURSIVE {o.split_ctes('documents', 'doc_id')} SELECT doc_id, CAST(part AS INT) AS part, CAST({o.N_WORDS_SQL % 'text'} AS INT) AS n_words, md5(text) AS text FROM parts"""
 #: Words that the dictionary of the whole run has (fixed values of the fixture).
 JOINED = ("pgmstep",)
@@ -219,12 +220,13 @@ def oracle_sql() -> dict[str, str]:
         "kwic_no_terms": f"WITH {PASSAGES_SQL} SELECT id, md5({o.escape_sql('text')}) AS whole, md5({o.escape_sql('text')}) AS part FROM passages",
         "logged_filters": f"WITH {SOURCES_SQL}, e AS (SELECT list(id ORDER BY id) AS ids FROM sources WHERE enabled) SELECT 'all' AS name, CAST(NULL AS VARCHAR) AS told UNION ALL SELECT 'two', CASE WHEN len(ids) > 2 THEN array_to_string(ids[1:2], ',') END FROM e UNION ALL SELECT 'one less', array_to_string(ids[2:], ',') FROM e",
         "links": "SELECT item_id, true AS same, CAST(length('https://example.org/?q=' || replace(replace(replace(replace(replace(url_encode(coalesce(text, '')), '%21', '!'), '%27', ''''), '%28', '('), '%29', ')'), '%2A', '*')) AS INT) AS n_chars, 'https://example.org/a+b/' || item_id || '/{{none}}' AS filled FROM benchmark",
-        "daily_by_date": f"WITH {DAYS_SQL} SELECT id, title, date, text FROM e WHERE date IN ('06-07', '02-29', '06-05')",
-        "daily_checks": f"WITH {DAYS_SQL} SELECT 'all' AS name, count(*) AS entries, count(*) >= 300 AS enough, true AS has_leap_day FROM e UNION ALL SELECT 'few', count(*), false, false FROM e WHERE date < '02-01'",
+        "daily_by_date": f"WITH {DAYS_SQL} SELECT id, title, date, md5(text) AS text FROM e WHERE date IN ('06-07', '02-29', '06-05')",
+        "daily_checks": f"WITH {DAYS_SQL} SELECT 'all' AS name, count(*) AS entries, count(*) >= 300 AS enough, coalesce(bool_or(date = '02-29'), false) AS has_leap_day FROM e UNION ALL SELECT 'few', count(*), count(*) >= 300, coalesce(bool_or(date = '02-29'), false) FROM e WHERE date < '02-01'",
         "daily_resumed": f"""WITH {DAYS_SQL}, c AS (SELECT strftime(d, '%m-%d') AS date FROM cal), x AS (SELECT * FROM e WHERE date < '07-01')
-            SELECT c.date, coalesce(x.title, 'fetched') AS title, coalesce(x.text, 'text of ' || c.date) AS text, x.date IS NOT NULL AS reused FROM c LEFT JOIN x ON c.date = x.date WHERE x.date IS NOT NULL OR c.date > '06-01' AND c.date <> '12-25'""",
-        "daily_dry_run": "SELECT '01-01' AS date",
-        "daily_cards": f"WITH {DAYS_SQL} SELECT id, date, chapter_ref AS label, CASE WHEN substr(date, 4, 2) = '01' THEN title ELSE chapter_ref END AS heading, 'body one…' AS teaser FROM e",
+            SELECT c.date, coalesce(x.title, 'fetched') AS title, md5(coalesce(x.text, 'text of ' || c.date)) AS text, x.date IS NOT NULL AS reused FROM c LEFT JOIN x ON c.date = x.date WHERE x.date IS NOT NULL OR c.date > '06-01' AND c.date <> '12-25'""",
+        "daily_dry_run": f"WITH {o.DAILY_PAGES_SQL} SELECT min(strftime(d, '%m-%d')) AS date FROM cal WHERE strftime(d, '%m-%d') NOT IN (SELECT date FROM good)",
+        "daily_cards": rf"""WITH {DAYS_SQL}, c AS (SELECT *, substr(text, 1, 12) AS cut, regexp_extract(substr(text, 1, 12), '(?s)^(.+) [^ ]*$', 1) AS s FROM e)
+            SELECT id, date, chapter_ref AS label, CASE WHEN substr(date, 4, 2) = '01' THEN title ELSE chapter_ref END AS heading, CASE WHEN length(text) > 12 THEN CASE WHEN s <> '' THEN s ELSE cut END || '…' ELSE text END AS teaser FROM c""",
         "frequent_lines": f"""WITH {ad.marked_sql(o.HEADER)}, l AS (SELECT doc_id, unnest(range(0, len(x))) AS line_no, trim(unnest(x), E' \\t\\n\\r') AS s FROM (SELECT doc_id, string_split(text, chr(10)) AS x FROM marked)),
             m AS (SELECT *, CAST(regexp_matches(s, '^<<<PAGE \\d+>>>$') AS INT) AS mk FROM l),
             nr AS (SELECT *, coalesce(lag(mk, 1) OVER w, 0) + coalesce(lag(mk, 2) OVER w, 0) + coalesce(lead(mk, 1) OVER w, 0) + coalesce(lead(mk, 2) OVER w, 0) AS near FROM m WINDOW w AS (PARTITION BY doc_id ORDER BY line_no)),
@@ -241,8 +243,8 @@ def oracle_sql() -> dict[str, str]:
         "validate_json": json_sql(),
         "validate_build": f"""WITH {o.FAULTY_SQL}, f AS (SELECT id, CASE WHEN sequence % 37 = 0 THEN '' ELSE text END AS text, CASE WHEN sequence % 41 = 0 THEN '' ELSE source_id END AS source_id FROM faulty),
             r AS (SELECT id AS row, 'id is empty' AS rule FROM f WHERE id = '' UNION ALL SELECT id, 'text is empty' FROM f WHERE text = '' UNION ALL SELECT id, 'sourceId is empty' FROM f WHERE source_id = '') SELECT row, rule, count(*) AS times FROM r GROUP BY row, rule""",
-        "validate_corpus": f"""WITH {o.FAULTY_SQL}, f AS (SELECT id, CASE WHEN sequence % 29 = 0 THEN text || ' <br> ' ELSE text END AS text FROM faulty WHERE id <> '') SELECT id AS row, 'duplicate id' AS rule FROM f GROUP BY id HAVING count(*) > 1
-            UNION ALL SELECT id, 'text has HTML' FROM f WHERE regexp_matches(text, '<[A-Za-z/][^>]*>') UNION ALL SELECT 'daily-reflections', 'not 366 dates'""",
+        "validate_corpus": f"""WITH {o.FAULTY_SQL}, {DAYS_SQL}, f AS (SELECT id, CASE WHEN sequence % 29 = 0 THEN text || ' <br> ' ELSE text END AS text FROM faulty WHERE id <> '') SELECT id AS row, 'duplicate id' AS rule FROM f GROUP BY id HAVING count(*) > 1
+            UNION ALL SELECT id, 'text has HTML' FROM f WHERE regexp_matches(text, '<[A-Za-z/][^>]*>') UNION ALL SELECT id, 'text has HTML' FROM e WHERE regexp_matches(text, '<[A-Za-z/][^>]*>') UNION ALL SELECT 'daily-reflections', 'not 366 dates'""",
         "validate_strict": f"WITH {SOURCES_SQL} SELECT id, display_mode, sort_order FROM sources",
         "dashboard": f"""WITH {LOG_SQL}, {stats}, t AS (SELECT string_agg(q || ':' || count || ':' || CAST(CAST(total AS DECIMAL(20, 2)) AS VARCHAR) || ':' || last_seen, '|' ORDER BY count DESC, lower(q)) AS top_queries FROM (SELECT * FROM g ORDER BY count DESC, lower(q) LIMIT 10)),
             r AS (SELECT string_agg(key || ':' || q || ':' || CAST(CAST(result_count AS DECIMAL(20, 2)) AS VARCHAR), '|' ORDER BY ts DESC, key) AS recent_queries FROM (SELECT * FROM asked ORDER BY ts DESC, key LIMIT 20)),

@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from skein.functions import text as tx
@@ -73,8 +73,11 @@ def read_form_feeds(spark: SparkSession, d: str) -> DataFrame:
 
 
 def read_chapters(spark: SparkSession, d: str) -> DataFrame:
-    at = base(spark)
-    sinks.write_text(spark, json.dumps([{"chapterRef": n, "title": f"The {n}", "startPage": a, "endPage": z} for n, a, z in reversed(ad.CHAPTERS)]), at)
+    """A chapter map, written as JSON and read back: each source with the range of its documents."""
+    at, page = base(spark), F.col("doc_id")
+    spans = ad.table(spark, d, "documents").where("source is not null").groupBy("source").agg(F.min(page).alias("a"), F.max(page).alias("z"))
+    chapter = F.struct(F.col("z").alias("endPage"), F.col("a").alias("startPage"), F.concat(F.lit("The "), "source").alias("title"), F.col("source").alias("chapterRef"))
+    spans.agg(F.to_json(F.sort_array(F.collect_list(chapter))).alias("value")).coalesce(1).write.text(at)
     return files.chapters(spark, at)
 
 
@@ -93,8 +96,10 @@ def read_words(spark: SparkSession, d: str) -> DataFrame:
 
 
 def read_topics(spark: SparkSession, d: str) -> DataFrame:
-    rows = files.topics(spark, ad.TOPICS).collect()  # a hand-kept list
-    return search.topic_queries(spark.createDataFrame([(r.topic,) for r in rows], "topic string")).withColumn("pos", F.array_position(F.lit([r.topic for r in rows]), F.col("query_id")).cast("int"))
+    """Brands as topics, in alphabetical order, and the queries that they stand for."""
+    rows = files.topics_of(ad.table(spark, d, "items"), "brand")
+    at = F.row_number().over(Window.orderBy(F.lower("topic"), "topic"))  # a list as short as its table of topics
+    return search.topic_queries(rows).join(rows.select(F.col("topic").alias("query_id"), at.alias("pos")), "query_id")
 
 
 def index_vocabulary(spark: SparkSession, d: str) -> DataFrame:
@@ -187,12 +192,12 @@ def oracle_sql() -> dict[str, str]:
         "missing_sources": f"WITH {SOURCES_SQL} SELECT id FROM sources WHERE enabled AND sort_order % 4 = 2",
         "read_text_pages": r"SELECT source AS source_id, CAST(doc_id AS INT) AS page, md5(regexp_replace(coalesce(text, '') || chr(10), '\r\n?', chr(10), 'g')) AS text FROM documents WHERE source IS NOT NULL",
         "read_form_feeds": "SELECT source AS source_id, CAST(row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS INT) AS page_pos, md5(coalesce(text, '')) AS text FROM documents WHERE source IS NOT NULL UNION ALL SELECT source, CAST(count(*) AS INT), md5('') FROM documents WHERE source IS NOT NULL GROUP BY source",
-        "read_chapters": f"WITH {o.CHAPTERS_SQL} SELECT name AS chapter_ref, title, a AS start_page, z AS end_page FROM chapters",
+        "read_chapters": "SELECT source AS chapter_ref, 'The ' || source AS title, CAST(min(doc_id) AS INT) AS start_page, CAST(max(doc_id) AS INT) AS end_page FROM documents WHERE source IS NOT NULL GROUP BY source",
         "strip_from_file": r"""WITH l AS (SELECT doc_id, unnest(range(0, len(x))) AS line_no, trim(unnest(x), E' \t\n\r') AS s FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS x FROM documents))
             SELECT doc_id, CAST(line_no AS INT) AS line_no, CASE WHEN regexp_matches(s, '^Licensed under') THEN 'pattern: ^Licensed under' WHEN regexp_matches(s, '^Contact') THEN 'pattern: ^Contact' ELSE 'digit-only' END AS reason FROM l
             WHERE regexp_matches(s, '^Licensed under') OR regexp_matches(s, '^Contact') OR regexp_matches(s, '^\d+$')""",
         "read_words": "SELECT DISTINCT lower(p_type) AS word FROM part",
-        "read_topics": "SELECT t AS query_id, lower(t) AS q, CAST(row_number() OVER (ORDER BY lower(t)) AS INT) AS pos FROM (VALUES " + ", ".join(f"({quoted(t)})" for t in ad.TOPICS) + ") AS v(t)",
+        "read_topics": "SELECT brand AS query_id, lower(brand) AS q, CAST(row_number() OVER (ORDER BY lower(brand), brand) AS INT) AS pos FROM (SELECT DISTINCT brand FROM items WHERE brand IS NOT NULL)",
         "index_vocabulary": f"WITH {PASSAGES_SQL}, {o.TOKENS_SQL} SELECT term, count(*) AS passages FROM toks GROUP BY term HAVING count(*) >= 3",
         "index_postings": f"WITH {PASSAGES_SQL}, {o.PLACES_SQL} SELECT term, field, p.id, source_id, CAST(count(*) AS INT) AS tf, CAST(min(pos) AS INT) AS first, CAST(max(pos) AS INT) AS last FROM places p JOIN passages USING (id) WHERE term IN ({', '.join(map(quoted, TERMS))}) GROUP BY ALL",
         "index_meta": f"""WITH {SOURCES_SQL}, {PASSAGES_SQL}, v AS (SELECT substr(sha256(string_agg(id || ':' || title || '|' || display_mode || '|' || copyright || chr(10), '' ORDER BY id)), 1, 16) AS version FROM sources)

@@ -176,6 +176,11 @@ def topics(spark: SparkSession, names: Sequence[str]) -> DataFrame:
     return spark.createDataFrame([(n,) for n in names], "topic string").orderBy(F.lower("topic"))
 
 
+def topics_of(rows: DataFrame, column: str) -> DataFrame:
+    """The values of a column as topics, each once, in alphabetical order; nulls are none."""
+    return rows.select(F.col(column).alias("topic")).where("topic is not null").distinct().orderBy(F.lower("topic"), "topic")
+
+
 def with_sequence(rows: DataFrame, key: str, *order: str) -> DataFrame:
     """``sequence`` from 1 within ``key``."""
     return rows.withColumn("sequence", F.row_number().over(Window.partitionBy(key).orderBy(*order)))

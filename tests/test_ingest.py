@@ -84,7 +84,7 @@ def test_daily(spark):
     assert daily.missing(calendar, have).count() == 364
     merged = daily.resumed(calendar, have, spark.createDataFrame([("01-02", "n", "new"), ("02-29", "n", "leap")], "date string, title string, text string"))
     assert sorted((r.date, r.text, r.reused) for r in merged.collect()) == [("01-01", "x", True), ("01-02", "y", True), ("02-29", "leap", False)]
-    assert daily.checks(daily.entries(queries.daily_texts(spark))).first().has_leap_day
+    assert daily.checks(daily.entries(queries.daily_texts(spark, "/root/testdata/sf0.001"))).first().has_leap_day
 
 
 def test_html(spark):
@@ -182,3 +182,29 @@ def test_stream(spark, tmp_path):
     for _ in range(2):  # the checkpoint keeps the second run from writing again
         stream.write_log(stream.posted(spark, str(tmp_path / "in")), str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
     assert [(r.q, r.result_count) for r in spark.read.parquet(str(tmp_path / "out")).collect()] == [("a", 0)]
+
+
+def test_encoding_repair_sends_only_what_it_must(spark):
+    """What stays in the JVM is what Python would leave alone."""
+    import random
+    import re
+    import unicodedata
+
+    rng = random.Random(8)
+    pools = ["abc é ñ ü\x07\n", "Ã©â€™Â ", "éÅ豈가", "“x” – €…", "日本語йЖй", "\x00\x1f\x7fz"]
+    made = ["".join(rng.choice(rng.choice(pools)) for _ in range(rng.randrange(9))) for _ in range(400)]
+    made += ["naïve café".encode().decode("cp1252"), "naïve".encode().decode("cp1252").encode().decode("cp1252"), "plain é", ""]
+
+    def by_hand(text):
+        for _ in range(2):
+            try:
+                again = text.encode("cp1252").decode("utf-8")
+            except (UnicodeEncodeError, UnicodeDecodeError):
+                break
+            text = again
+        return unicodedata.normalize("NFC", re.sub(ingest.CONTROLS, "", text))
+
+    rows = spark.createDataFrame([*enumerate(made), (-1, None)], "i long, text string")
+    got = {r.i: r.t for r in rows.select("i", ingest.repair_encoding("text").alias("t")).collect()}
+    assert got.pop(-1) is None
+    assert got == {i: by_hand(t) for i, t in enumerate(made)}
