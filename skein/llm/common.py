@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
 import pickle
+import threading
 import uuid
 from collections.abc import Iterable, Iterator
 
@@ -29,15 +31,31 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     The shuffle files of the write are removed when it ends, as nothing reads them again.
     """
     spark, path = df.sparkSession, scratch(df.sparkSession, name)
-    before = spark.conf.get(CLEANUP, "false")
-    spark.conf.set(CLEANUP, "true")
-    try:
+    with cleaning(spark):
         df.write.parquet(path)
-    finally:
-        spark.conf.set(CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
+WRITES, LOCK = {"open": 0, "before": "false"}, threading.Lock()
+
+
+@contextlib.contextmanager
+def cleaning(spark: SparkSession) -> Iterator[None]:
+    """CLEANUP is on while any thread writes, and what it was before once none does."""
+    with LOCK:
+        if not WRITES["open"]:
+            WRITES["before"] = spark.conf.get(CLEANUP, "false")
+            spark.conf.set(CLEANUP, "true")
+        WRITES["open"] += 1
+    try:
+        yield
+    finally:
+        with LOCK:
+            WRITES["open"] -= 1
+            if not WRITES["open"]:
+                spark.conf.set(CLEANUP, WRITES["before"])
+
+
 def dropped(*tables: DataFrame) -> None:
     """Delete the files of stored tables that nothing reads any more, through the file system that holds them."""
     for df in tables:

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skein.llm.common import Sent, pieces, raw, stored, word_table
+from skein.llm.common import Sent, dropped, pieces, raw, stored, word_table
 
 #: Words of a shard, at most, unless one document alone has more.
 SHARD_WORDS = 1 << 19
@@ -322,12 +322,20 @@ def longest_matches(docs: DataFrame, benchmark: DataFrame, min_words: int = 10,
 
 def clean(docs: DataFrame, benchmark: DataFrame, window: int = 10, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", shard_words: int = SHARD_WORDS, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """The documents, all their columns, in which no window of the benchmark occurs.  Rows pass straight through, whatever their
-    ids, one block of the benchmark after another; null and empty texts are kept."""
-    out = docs
+    ids, one block of the benchmark after another: what a block leaves is stored before the next one is broadcast.  Null and empty
+    texts are kept, whatever the other columns are called; texts of any length are searched whole."""
+    out, sent, held = docs, None, None
     for part in blocks(benchmark, item_col, item_text_col, block_bytes):
+        if sent is not None:
+            out = stored(out, "clean")
+            sent.held.destroy()
+            if held is not None:
+                dropped(held)
+            held = out
 
         def emit(rows, shard, block):
             yield rows.filter(pa.array(shard.n_hit == 0))
 
-        out = scanned(out, Sent(docs.sparkSession, prepare(part, window)), text_col, shard_words, emit, docs.schema)
+        sent = Sent(docs.sparkSession, prepare(part, window))
+        out = scanned(out, sent, text_col, shard_words, emit, docs.schema)
     return out

@@ -83,10 +83,10 @@ def made(seed, n, smooth):
 
 @pytest.mark.parametrize("name", sorted(PATTERNS))
 def test_equals_backtracking(spark, name, monkeypatch):
-    for data, ranges in ((made(1, 90, False), 5), (made(2, 40, True), 11)):
-        monkeypatch.setattr(rowmatch, "range_count", lambda rows, n=ranges: n)
-        got = rowmatch.matches(table(spark, data), PATTERNS[name], "key", "at", "id", F.col("value"), 10)
-        assert sorted(tuple(r) for r in got.collect()) == by_hand(PATTERNS[name], data), (name, ranges)
+    data = made(1, 80, False) + [(k if k is None else k + 10, m, i + 1000, v, x) for k, m, i, v, x in made(2, 40, True)]
+    monkeypatch.setattr(rowmatch, "range_count", lambda rows: 9)
+    got = rowmatch.matches(table(spark, data), PATTERNS[name], "key", "at", "id", F.col("value"), 10)
+    assert sorted(tuple(r) for r in got.collect()) == by_hand(PATTERNS[name], data)
 
 
 def test_ranges_without_break(spark, monkeypatch):
