@@ -370,7 +370,8 @@ def bound_for(rows: DataFrame, machine: Automaton, gap: int) -> DataFrame:
     if told["last"] is None:
         return found.where(F.col("kind_") == MATCH).select(*MATCHED)
     prev = ends.select((F.col("seq_") + 1).alias("seq_"), *[F.col(f"end_.{c}").alias(f"prev_{c}") for c in ("key_", "at_", "id_", "value_", "bits_")])
-    pieces = waiting.join(ends.select("part_", "seq_"), "part_").join(prev, "seq_", "left")
+    # one row a range grows with the input: nothing is broadcast
+    pieces = waiting.join(ends.select("part_", "seq_").hint("merge"), "part_").join(prev.hint("merge"), "seq_", "left")
     heads, tails, wholes = (pieces.where(F.col("kind_") == k) for k in (HEAD, TAIL, WHOLE))
 
     left_kinds = "seq_ long, left_ array<long>"
@@ -384,8 +385,8 @@ def bound_for(rows: DataFrame, machine: Automaton, gap: int) -> DataFrame:
     def walked(some: DataFrame) -> DataFrame:
         return some.groupBy("seq_").applyInArrow(one_range(machine, gap, arrow(out_kinds), "right"), out_kinds)
 
-    from_right = lambda tables: tables.select((F.col("seq_") - 1).alias("seq_"), F.col("left_").alias("right_"))
-    from_left = lambda done: done.where(F.col("kind_") == EXIT).select((F.col("seq_") + 1).alias("seq_"), "walk_")
+    from_right = lambda tables: tables.select((F.col("seq_") - 1).alias("seq_"), F.col("left_").alias("right_")).hint("merge")
+    from_left = lambda done: done.where(F.col("kind_") == EXIT).select((F.col("seq_") + 1).alias("seq_"), "walk_").hint("merge")
     end = spark.range(1).select(F.lit(told["last"] + 1).cast("long").alias("seq_"), F.lit(None).cast("array<long>").alias("left_"))
     tables = stored(lefts(heads.select("*", no_table)).unionByName(end), "range_tables")
     latest, open_ = tables, told["wholes"]
@@ -424,7 +425,7 @@ def matches(rows: DataFrame, pattern: Part | Letter, key: str, at: str, id_col:
     found = stored(bound_for(narrow.distinct(), machine, round(gap_seconds * 1_000_000)), "row_matches")
     counts = before(found.groupBy("key_", "part_").agg(F.count("*").alias("n_")), ["key_"], "part_", F.col("n_")).select("key_", "part_", F.coalesce("before_", F.lit(0)).alias("before_"))
     inside = F.row_number().over(Window.partitionBy("key_", "part_").orderBy("place_"))
-    out = found.withColumn("inside_", inside).join(counts, ["key_", "part_"])
+    out = found.withColumn("inside_", inside).join(counts.hint("merge"), ["key_", "part_"])
     return out.select(F.col("key_").alias(key), (F.col("before_") + F.col("inside_")).cast("long").alias("match_no"), F.col("id_").alias("first_id"), F.col("last_").alias("last_id"), F.col("rows_").alias("n_rows"), F.col("total_").alias("total"), F.col("labels_").alias("labels"))
 
 
