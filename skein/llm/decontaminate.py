@@ -224,7 +224,9 @@ def digests(docs: DataFrame, benchmark: DataFrame, window: int = 10, id_col: str
     words (a shorter item is one window); a document word inside any window's occurrence is hit.  Null and empty
     texts have no words and are clean; repeated documents each get their row; repeated items count once per id;
     an item without id marks words but is not counted; an empty benchmark hits nothing.  A benchmark of one block,
-    the usual case, takes one pass without a shuffle; more blocks are joined by the items and places they hit.
+    the usual case, takes one pass without a shuffle; more blocks are joined by the items and places they hit.  Rows without
+    id are told like others, texts of any length are searched whole, an empty table gives no rows, and other columns may have
+    any names.
     """
     narrow = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
     parts = blocks(benchmark, item_col, item_text_col, block_bytes)
@@ -290,7 +292,9 @@ def longest_matches(docs: DataFrame, benchmark: DataFrame, min_words: int = 10,
     """Longest verbatim matches with their places: item_id, item_word, doc_id, doc_word, n_words.
 
     For each benchmark suffix the longest match of at least ``min_words`` words over all shards, at every place that has it; a
-    suffix of a longer match one word earlier at the same place is left out.  Repeated documents have their matches once.
+    suffix of a longer match one word earlier at the same place is left out.  Repeated documents have their matches once; null and
+    empty texts have none, texts of any length are searched whole; an empty table or benchmark gives no rows; other columns may
+    have any names.
     """
     narrow = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text"), F.xxhash64(F.col(f"`{text_col}`")).alias("row"))
 

@@ -150,7 +150,7 @@ def decided(docs: DataFrame, targets: Mapping[str, Mapping[str, float]] | None =
 
     Null source, language or topic is a value of its own; a document whose cell has no tokens gets probability 1
     (it changes no mix); repeated rows of an id share one decision, and so do rows without id and with equal texts; texts of
-    any length are counted whole; an empty table stays empty.
+    any length are counted whole; an empty table stays empty; other columns may have any names.
     """
     margins = margins_of(docs, source_col, lang_col, topic_col, text_col)
     summed = stored(cells(docs, margins, n_tokens(text_col)), "cells")

@@ -175,7 +175,12 @@ def sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", rows: int = SAMPLE_ROWS) -> Trees:
-    """Fit on labelled documents that aren't held out.  At most ``rows`` ids are broadcast and gathered."""
+    """Fit on labelled documents that aren't held out.  At most ``rows`` ids are broadcast and gathered.
+
+    Rows without id or label don't count, of rows that repeat an id one is taken, and an id labelled twice has its larger label.
+    A null text has the statistics of an empty one, texts of any length are read whole.  Without labelled rows, or with one label
+    only, every text scores the base rate (0.5 without rows); other columns may have any names.
+    """
     return fit(*sample(docs, labels, id_col, text_col, label_col, rows))
 
 
@@ -198,7 +203,9 @@ def scores(docs: DataFrame, trees: Trees, id_col: str = "doc_id", text_col: str
 
 
 def accepted(docs: DataFrame, trees: Trees, text_col: str = "text", threshold: float = 0.3) -> DataFrame:
-    """The documents, all their columns, that score ``threshold`` or more.  Rows pass straight through."""
+    """The documents, all their columns, that score ``threshold`` or more.  Rows pass straight through, whatever their ids, repeated
+    ones each; null and empty texts score by their zero statistics, texts of any length are read whole; an empty table stays
+    empty; other columns may have any names."""
     sent = Sent(docs.sparkSession, trees)
 
     def run(batches):
