@@ -17,9 +17,20 @@ FAN = 1000
 RANGE_BYTES, MOST_RANGES = 64 << 20, 1 << 20
 
 
+#: From here on a size is the planner's word for "unknown".
+UNKNOWN_BYTES = 1 << 60
+
+
 def range_count(rows: DataFrame) -> int:
-    """Ranges for ``rows``: the session's number of shuffle partitions, or more by the planner's figure of their size."""
-    size = int(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    """Ranges for ``rows``: the session's number of shuffle partitions, or more by their size.
+
+    That is the planner's figure, or what it reads from if that is less, as it takes a join for the product of its sides; rows
+    of which it knows nothing are counted."""
+    plan = rows._jdf.queryExecution().optimizedPlan()
+    leaves = plan.collectLeaves()
+    size = min(int(plan.stats().sizeInBytes()), sum(int(leaves.apply(i).stats().sizeInBytes()) for i in range(leaves.size())))
+    if size >= UNKNOWN_BYTES:
+        size = rows.count() * rows._jdf.schema().defaultSize()
     return max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(MOST_RANGES, -(-size // RANGE_BYTES)))
 
 

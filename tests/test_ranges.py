@@ -21,3 +21,10 @@ def test_places_ascend(spark):
     order = [(r.v is not None, r.v or 0, r.i) for r in got]
     assert order == sorted(order) and len(got) == 501
     assert len({r.part_ for r in got}) > 1
+
+
+def test_ranges_follow_the_size_that_is_read(spark):
+    """Neither a join, which the planner takes for a product, nor rows without statistics make very many ranges."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    for rows in (docs, docs.join(docs.select("doc_id"), "doc_id"), spark.createDataFrame([(1, "x")], "a int, b string")):
+        assert ranges.range_count(rows) == int(spark.conf.get("spark.sql.shuffle.partitions"))
