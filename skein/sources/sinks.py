@@ -40,18 +40,20 @@ def write_named(rows: DataFrame, path: str, name: str, line: str, *order: str, e
             called = unquote(folder.getPath().getName().split("=", 1)[1])
             for part in files.listStatus(folder.getPath()):
                 if part.getPath().getName().startswith("part-"):
-                    files.rename(part.getPath(), at(f"{path}/{called}.{extension}"))
+                    if not files.rename(part.getPath(), at(f"{path}/{called}.{extension}")):
+                        raise FileExistsError(f"{path}/{called}.{extension}")
     files.delete(at(staged), True)
 
 
 def write_passages(passages: DataFrame, path: str) -> None:
-    """A JSON array ``<source id>.json`` for each source, passages by sequence, a passage a line."""
+    """A JSON array ``<source id>.json`` for each source, passages by sequence, a passage a line.
+
+    The brackets stand in the lines of a source's first and last passage, so that all of a file comes from one set of rows."""
     fields = [F.col(c).alias(PASSAGE_JSON.get(c, c)) for c in passages.columns]
-    first = F.row_number().over(Window.partitionBy("source_id").orderBy("sequence", "id")) == 1
-    text = F.concat(F.when(first, "[").otherwise(","), F.to_json(F.struct(*fields), {"ignoreNullFields": "false"}))
-    body = passages.select("source_id", F.lit(0).alias("part"), "sequence", "id", text.alias("line"))
-    end = passages.select("source_id").distinct().select("source_id", F.lit(1).alias("part"), F.lit(None).cast("int").alias("sequence"), F.lit("").alias("id"), F.lit("]").alias("line"))
-    write_named(body.union(end), path, "source_id", "line", "part", "sequence", "id")
+    order = Window.partitionBy("source_id").orderBy("sequence", "id")
+    place, last = F.row_number().over(order), F.lead(F.lit(True)).over(order).isNull()
+    text = F.concat(F.when(place == 1, "[").otherwise(","), F.to_json(F.struct(*fields), {"ignoreNullFields": "false"}), F.when(last, "\n]").otherwise(""))
+    write_named(passages.select("source_id", "sequence", "id", place.alias("place"), text.alias("line")), path, "source_id", "line", "sequence", "id", "place")
 
 
 def write_stage(rows: DataFrame, path: str, run: str, stage: str) -> None:
