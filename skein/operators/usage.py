@@ -92,8 +92,16 @@ def summary(log: DataFrame) -> DataFrame:
 
 def dashboard(log: DataFrame) -> DataFrame:
     """One row with the summary and the three lists, which are short by construction."""
-    packed = lambda df, name: df.agg(F.collect_list(F.struct(*df.columns)).alias(name))
-    return summary(log).crossJoin(packed(top_queries(log), "top_queries")).crossJoin(packed(recent_queries(log), "recent_queries")).crossJoin(packed(filter_usage(log), "source_filter_usage"))
+
+    def packed(df: DataFrame, name: str, *order: Column | str) -> DataFrame:
+        """The rows of a short list as one array in ``order``, in whatever order parts of it arrive."""
+        at = F.row_number().over(Window.orderBy(*order))
+        rows = F.sort_array(F.collect_list(F.struct("at_", F.struct(*df.columns).alias("row_"))))
+        return df.withColumn("at_", at).agg(rows.alias(name)).select(F.col(f"{name}.row_").alias(name))
+
+    top = packed(top_queries(log), "top_queries", F.desc("count"), F.collate("q", "UNICODE"), F.lower("q"))
+    recent = packed(recent_queries(log), "recent_queries", F.desc("ts"), "key")
+    return summary(log).crossJoin(top).crossJoin(recent).crossJoin(packed(filter_usage(log), "source_filter_usage", F.desc("count"), "source_id"))
 
 
 def trend(log: DataFrame, every: str = "1 day") -> DataFrame:

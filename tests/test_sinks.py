@@ -3,10 +3,12 @@
 import json
 from pathlib import Path
 
+import duckdb
 from pyspark.sql import functions as F
 
 from skein.operators import usage
 from skein.plans import adapters as ad
+from skein.plans import rules
 from skein.sources import files, sinks
 
 SF = "/root/testdata/sf0.001"
@@ -41,3 +43,9 @@ def test_lists_of_the_dashboard_are_in_order_however_parts_arrive(spark, monkeyp
     assert usage.dashboard(log).first().asDict(recursive=True) == right
     assert [x["source_id"] for x in right["source_filter_usage"]] == ["src0", "src1", "src2", "src3", "src4"]
     assert [x["key"] for x in right["recent_queries"]][:2] == ["000000000008", "000000000017"]
+
+
+def test_cents_are_as_in_sql(spark):
+    values = [121830050806266.75, 118730051296852.25, 119980050738354.75, 123300050871646.5, 2.75, 1e10, 0.0, 0.125, 17.0]
+    made = [r[0] for r in spark.createDataFrame([(v,) for v in values], "v double").select(rules.cents(F.col("v"))).collect()]
+    assert made == [duckdb.execute("SELECT CAST(CAST(? AS DOUBLE)::DECIMAL(20, 2) AS VARCHAR)", [v]).fetchone()[0] for v in values]
