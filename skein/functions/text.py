@@ -53,7 +53,7 @@ def normalize_query(c: Column) -> Column:
 
 def tokenize(c: Column) -> Column:
     """Lower-case tokens of a text or query, apostrophes dropped first; null has none."""
-    return F.filter(F.split(F.lower(normalize_query(F.coalesce(c, F.lit("")))), TOKEN_BREAK), lambda t: t != "")
+    return F.array_remove(F.split(F.lower(normalize_query(F.coalesce(c, F.lit("")))), TOKEN_BREAK), "")
 
 
 def fuzzy_radius(term: Column) -> Column:

@@ -7,6 +7,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from skein.functions.kwic import bound
 from skein.functions.text import tokenize
 from skein.operators import ranges
 from skein.sources.shared import stored
@@ -14,6 +15,8 @@ from skein.sources.shared import stored
 FIELDS = ("text", "title", "chapter_ref")
 #: Ranges that a frequent term's postings are dealt over.
 SPLITS = 16
+#: Passages, about, and their occurrences, at most, from which the bounds of ranges follow.
+SAMPLE, MOST_BOUNDED = 2000, 100_000
 
 
 def indexed(passages: DataFrame, sources: DataFrame) -> DataFrame:
@@ -47,14 +50,62 @@ def of(passages: DataFrame) -> Index:
     return Index(postings(passages), vocabulary(passages), passages)
 
 
+def gathered(tokens: Column) -> Column:
+    """[(term, places)] of a field's tokens, places from 0 in order: tokens are sorted within the row, and each term is a slice of them."""
+
+    def slices(s: Column) -> Column:
+        new = F.filter(F.slice(F.sequence(F.lit(1), F.size(s) + 1), 1, F.size(s)), lambda i: (i == 1) | (F.get(s, i - 1)["term"] != F.get(s, i - 2)["term"]))
+        part = lambda b, a, k: F.slice(s, a, F.coalesce(F.get(b, k + 1), F.size(s) + 1) - a)
+        return bound(new, lambda b: F.transform(b, lambda a, k: F.struct(F.get(s, a - 1)["term"].alias("term"), F.transform(part(b, a, k), lambda x: x["pos"]).alias("places"))))
+
+    placed = F.transform(tokens, lambda t, i: F.struct(t.alias("term"), i.alias("pos")))
+    return bound(F.sort_array(placed), slices)
+
+
 def postings(passages: DataFrame) -> DataFrame:
     """(term, field, id, source_id, tf, places), sorted by term in ascending ranges of terms.
 
-    One shuffle brings a term's places together; a frequent term is dealt over several ranges by its passages.
+    A passage's places of a term are brought together within its row, so that the one shuffle has a row for each term of a
+    passage, not for each token; a frequent term is dealt over several ranges by its passages.  The bounds of the ranges come
+    from the terms of some passages, as those of all would take their texts apart twice.
     """
-    rows = token_places(passages).withColumn("split", F.pmod(F.xxhash64("id"), F.lit(SPLITS)).cast("int")).repartitionByRange("term", "split")
-    found = rows.groupBy("term", "split", "field", "id", "source_id").agg(F.array_sort(F.collect_list("pos")).alias("places"))
-    return found.select("term", "field", "id", "source_id", F.size("places").alias("tf"), "places").sortWithinPartitions("term", "field", "id")
+    count = ranges.range_count(passages)
+    rows = occurrences(passages)
+    dealt = rows.withColumn("part_", part_of(bounds(passages, count))).repartitionById(count, "part_")
+    return dealt.drop("split", "part_").sortWithinPartitions("term", "field", "id")
+
+
+def occurrences(passages: DataFrame) -> DataFrame:
+    """(term, field, id, source_id, tf, places, split): each term of a field of a passage once.  Narrow: no shuffle."""
+    fields = F.array(*[F.struct(F.lit(f).alias("field"), gathered(tokenize(F.col(f))).alias("found")) for f in FIELDS])
+    rows = passages.select("id", "source_id", F.explode(fields).alias("f")).select("id", "source_id", "f.field", F.explode("f.found").alias("x"))
+    return rows.select("x.term", "field", "id", "source_id", F.size("x.places").alias("tf"), "x.places", F.pmod(F.xxhash64("id"), F.lit(SPLITS)).cast("int").alias("split"))
+
+
+def bounds(passages: DataFrame, count: int) -> list[tuple[str, int]]:
+    """Bounds (term, split) of up to ``count`` ranges with about as many occurrences each, ascending.
+
+    They only tell where a row is stored, none is left out by them: some SAMPLE passages, chosen by their ids, give at most
+    MOST_BOUNDED occurrences to the driver."""
+    few = passages.where(F.pmod(F.xxhash64("id", F.lit(1)), F.lit(max(1, passages.count() // SAMPLE))) == 0)
+    seen = occurrences(few).where(F.pmod(F.xxhash64("term", "id", "field"), F.lit(8)) == 0).select("term", "split").limit(MOST_BOUNDED)
+    found = sorted((r.term.encode(), r.split, r.term) for r in seen.collect())  # in the order of bytes, as Spark compares texts
+    told = {found[len(found) * k // count] for k in range(1, count)} if found else set()
+    return [(term, split) for _, split, term in sorted(told)]
+
+
+def part_of(cuts: list[tuple[str, int]]) -> Column:
+    """The number of ``cuts`` that aren't above a row's (term, split), by halves."""
+    term, split = F.col("term"), F.col("split")
+
+    def within(a: int, b: int) -> Column:
+        if a == b:
+            return F.lit(a)
+        mid = (a + b) // 2
+        low = (term < cuts[mid][0]) | ((term == cuts[mid][0]) & (split < cuts[mid][1]))
+        return F.when(low, within(a, mid)).otherwise(within(mid + 1, b))
+
+    return within(0, len(cuts))
 
 
 def term_counts(passages: DataFrame) -> DataFrame:

@@ -24,6 +24,14 @@ def test_search_reads_wanted_terms(spark):
     assert "documents.parquet" not in told
 
 
+def test_parts_of_the_index_are_written_as_they_are_asked_for(spark, monkeypatch):
+    monkeypatch.setattr(ad, "_BUILT", {})
+    made, write = [], sinks.write_index
+    monkeypatch.setattr(sinks, "write_index", lambda rows, registry, path, parts: (made.append(list(parts)), write(rows, registry, path, parts)))
+    assert ad.index_meta(spark, SF).count() == 1 and ad.vocabulary(spark, SF).count() > 0 and made == [["meta"], ["vocabulary"]]
+    assert ad.index(spark, SF).vocabulary.count() == ad.vocabulary(spark, SF).count() and made[2:] == [["postings", "passages"]]
+
+
 def test_many_terms_are_joined(spark, monkeypatch):
     monkeypatch.setattr(search, "MOST_TERMS", 1)
     held = ad.index(spark, SF)
@@ -43,6 +51,22 @@ def test_postings_have_all_places(spark):
     assert {(r.term, r.field): (r.passages, r.times) for r in index.term_counts(rows).collect()}[("x", "text")] == (1, 2)
 
 
+def test_postings_shuffle_a_row_for_each_term_of_a_passage(spark):
+    """Once, without gathering what arrives; ranges ascend and keep every row, whatever the bounds."""
+    rows = ad.passages(spark, SF)
+    made = index.postings(rows)
+    told = plan(made)
+    assert told.count("Exchange") == 1 and "Aggregate" not in told
+    want = index.token_places(rows).groupBy("term", "field", "id").agg(F.count("*").alias("tf"), F.sort_array(F.collect_list("pos")).alias("places"))
+    assert made.select("term", "field", "id", F.col("tf").cast("long"), "places").exceptAll(want.select("term", "field", "id", "tf", "places")).isEmpty() and made.count() == want.count()
+    ends = made.withColumn("p", F.spark_partition_id()).groupBy("p").agg(F.min("term").alias("a"), F.max("term").alias("z")).orderBy("p").collect()
+    assert len(ends) > 1 and all(x.z <= y.a for x, y in zip(ends, ends[1:]))
+    cuts = [("b", 3), ("b", 9), ("ü", 0)]
+    cases = [("a", 15, 0), ("b", 2, 0), ("b", 3, 1), ("b", 9, 2), ("c", 0, 2), ("ü", 0, 3), ("𝛂", 1, 3)]
+    got = spark.createDataFrame(cases, "term string, split int, want int").select("want", index.part_of(cuts).alias("got")).collect()
+    assert all(r.want == r.got for r in got)
+
+
 def parts_by_loop(text):
     """Parts of a paragraph by the rule, step by step."""
     out, rest = [], re.split(r"(?<=[.!?])\s+", text.strip())
