@@ -103,7 +103,7 @@ def read_topics(spark: SparkSession, d: str) -> DataFrame:
 
 
 def index_vocabulary(spark: SparkSession, d: str) -> DataFrame:
-    return ad.index(spark, d).vocabulary.where("passages >= 3")
+    return ad.vocabulary(spark, d).where("passages >= 3")
 
 
 def index_postings(spark: SparkSession, d: str) -> DataFrame:
@@ -112,12 +112,12 @@ def index_postings(spark: SparkSession, d: str) -> DataFrame:
 
 
 def index_meta(spark: SparkSession, d: str) -> DataFrame:
-    return files.index_meta(spark, ad.stored_index(spark, d)).select("version", F.inline("sources")).select("version", F.col("id").alias("source_id"), "passage_count")
+    return ad.index_meta(spark, d).select("version", F.inline("sources")).select("version", F.col("id").alias("source_id"), "passage_count")
 
 
 def version_change(spark: SparkSession, d: str) -> DataFrame:
     """Whether a client with some version is told of another."""
-    now = files.index_meta(spark, ad.stored_index(spark, d)).select(F.col("version").alias("now"))
+    now = ad.index_meta(spark, d).select(F.col("version").alias("now"))
     case = lambda name, current, latest: F.struct(F.lit(name).alias("name"), current.alias("current"), latest.alias("latest"))
     known, none = F.col("now"), F.lit(None).cast("string")
     cases = now.select(F.explode(F.array(case("same", known, known), case("older", F.lit("x"), known), case("none yet", none, known), case("unknown", known, F.lit("")))).alias("c"))

@@ -167,6 +167,10 @@ def index(spark: SparkSession, path: str) -> Index:
     return Index(*[spark.read.parquet(f"{path}/{name}") for name in ("postings", "vocabulary", "passages")], stored=True)
 
 
+def vocabulary(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.parquet(f"{path}/vocabulary")
+
+
 def index_meta(spark: SparkSession, path: str) -> DataFrame:
     """One row: version, sources (id, passage_count), built_at."""
     return spark.read.schema("version string, sources array<struct<id:string,passage_count:long>>, built_at timestamp").json(f"{path}/meta")

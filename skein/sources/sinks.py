@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Sequence
 from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -12,12 +13,21 @@ from skein.operators.index import meta, postings, vocabulary
 from skein.schemas import PASSAGE_JSON
 
 
-def write_index(passages: DataFrame, files: DataFrame, path: str) -> None:
-    """Postings in files by ranges of terms, vocabulary sorted by term, and passages, all as Parquet, and one line of metadata."""
-    postings(passages).write.mode("overwrite").parquet(f"{path}/postings")
-    vocabulary(passages).write.mode("overwrite").parquet(f"{path}/vocabulary")
-    passages.write.mode("overwrite").parquet(f"{path}/passages")
-    meta(passages, files).withColumn("built_at", F.current_timestamp()).write.mode("overwrite").json(f"{path}/meta")
+#: What an index consists of.
+PARTS = ("postings", "vocabulary", "passages", "meta")
+
+
+def write_index(passages: DataFrame, files: DataFrame, path: str, parts: Sequence[str] = PARTS) -> None:
+    """Postings in files by ranges of terms, vocabulary sorted by term, and passages, all as Parquet, and one line of metadata; or some of
+    these, each of which follows from the passages alone."""
+    if "postings" in parts:
+        postings(passages).write.mode("overwrite").parquet(f"{path}/postings")
+    if "vocabulary" in parts:
+        vocabulary(passages).write.mode("overwrite").parquet(f"{path}/vocabulary")
+    if "passages" in parts:
+        passages.write.mode("overwrite").parquet(f"{path}/passages")
+    if "meta" in parts:
+        meta(passages, files).withColumn("built_at", F.current_timestamp()).write.mode("overwrite").json(f"{path}/meta")
 
 
 def write_text(spark: SparkSession, text: str, path: str) -> None:
