@@ -172,3 +172,15 @@ def test_hot_keys_are_spread(spark):
     got = spread_join(left, right, "k").groupBy("name").count().collect()
     assert {r.name: r["count"] for r in got} == {"a": 2000, "b": 1}
     assert spread_join(left, right, "k", "left").count() == 3000
+
+
+def test_rows_of_hot_keys_are_told_apart_without_a_join(spark):
+    """As a join of all rows with the list of hot keys, whose rows grow with them, where there are any."""
+    left = spark.range(3000).select(F.when(F.col("id") < 2000, 0).when(F.col("id") < 2900, F.col("id")).alias("k"), "id")
+    right = spark.createDataFrame([(0, "a"), (2500, "b"), (9999, "c"), (None, "d")], "k long, name string")
+    met = spread_join(left, right, "k")
+    told = met._jdf.queryExecution().optimizedPlan().toString()
+    assert told.count("Join ") == 1 and "LeftOuter" not in told
+    assert {r.name: r["count"] for r in met.groupBy("name").count().collect()} == {"a": 2000, "b": 1}
+    texts = spread_join(left.select(F.col("k").cast("string"), "id"), right.select(F.col("k").cast("string"), "name"), "k")
+    assert {r.name: r["count"] for r in texts.groupBy("name").count().collect()} == {"a": 2000, "b": 1}
