@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -11,6 +13,8 @@ APOSTROPHES = "'‘’ʼ"
 TOKEN_BREAK = r"[\n\r\p{Z}\p{P}]+"
 #: White space of a client's script (fixed values).
 SCRIPT_SPACE = r"\t\n\x0B\f\r \u00A0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000\uFEFF"
+#: White space of any script: what ``(?U)\\s`` stands for in a pattern (fixed values).
+WHITE = "\t\n\x0b\x0c\r \u0085\u00a0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
 FUZZINESS, MAX_RADIUS = 0.2, 6
 #: Ligatures and what they stand for, three-letter ones first (fixed values).
 LIGATURES = (("ﬃ", "ffi"), ("ﬄ", "ffl"), ("ﬀ", "ff"), ("ﬁ", "fi"), ("ﬂ", "fl"), ("ﬅ", "st"), ("ﬆ", "st"), ("ǳ", "dz"))
@@ -23,9 +27,14 @@ SITE_LABELS = {
 }
 
 
+def bound(value: Column, of: Callable[[Column], Column]) -> Column:
+    """``of(value)``, with ``value`` worked out once however often it is used, also within other lambdas."""
+    return F.get(F.transform(F.array(value), of), F.lit(0))
+
+
 def trimmed(c: Column) -> Column:
     """Without white space of any script at both ends."""
-    return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+    return F.btrim(c, F.lit(WHITE))
 
 
 def unpadded(c: Column) -> Column:
@@ -136,7 +145,8 @@ def straighten_quotes(c: Column) -> Column:
 
 def space_dashes(c: Column) -> Column:
     """A spaced em dash for each en or em dash between word characters, ranges of numbers included."""
-    return F.regexp_replace(c, r"(?U)(\w)\s*[–—]\s*(\w)", "$1 — $2")
+    spaced = F.regexp_replace(c, r"(?U)(\w)\s*[–—]\s*(\w)", "$1 — $2")
+    return F.when(F.contains(c, F.lit("–")) | F.contains(c, F.lit("—")), spaced).otherwise(c)
 
 
 def unix_lines(c: Column) -> Column:
@@ -145,12 +155,13 @@ def unix_lines(c: Column) -> Column:
 
 def collapse_blanks(c: Column) -> Column:
     """Runs of spaces and tabs as one space, none at line ends."""
-    return F.regexp_replace(F.regexp_replace(c, r"[ \t]+", " "), r"(?m)[ \t]+$", "")
+    return F.regexp_replace(F.regexp_replace(c, r"[ \t]{2,}|\t", " "), r"(?m) $", "")
 
 
 def normalize_text(c: Column) -> Column:
     """All steps of text normalisation that need no repair of encodings."""
-    return collapse_blanks(space_dashes(straighten_quotes(expand_ligatures(unix_lines(c)))))
+    plain = bound(straighten_quotes(expand_ligatures(unix_lines(c))), space_dashes)
+    return collapse_blanks(plain)
 
 
 def component(c: Column) -> Column:
