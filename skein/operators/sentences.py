@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from skein.functions.text import trimmed
+from skein.functions.text import bound, trimmed
 from skein.sources.shared import stored
 
 #: The least score of an abbreviation, and how likely one is to have its full stop (fixed values of the method).
@@ -27,11 +27,12 @@ def typed(token: Column) -> Column:
 def abbreviations(texts: DataFrame, text: str = "text", least: float = LEAST_SCORE) -> DataFrame:
     """(word, with_stop, without_stop, score): words that are abbreviations, their last full stop apart.
 
-    Each word's counts are summed up per task before the one shuffle and stored; the corpus's own two counts are sums of theirs.  Null and
-    empty texts have no words; a corpus without full stops has no abbreviations."""
-    words = texts.select(F.explode(F.filter(F.split(F.coalesce(text, F.lit("")), r"\s+"), lambda t: t != "")).alias("token")).select(typed(F.col("token")).alias("t"))
+    Tokens are counted as they stand, per task before a shuffle, and only distinct ones are made words, whose counts are stored; the
+    corpus's own two counts are sums of theirs.  Null and empty texts have no words; a corpus without full stops has no abbreviations."""
+    tokens = texts.select(F.explode(F.split(F.coalesce(text, F.lit("")), r"\s+")).alias("token")).where("token <> ''").groupBy("token").agg(F.count("*").alias("n"))
+    words = tokens.select(typed(F.col("token")).alias("t"), "n")
     stop = F.col("t").endswith(".")
-    counted = words.groupBy(F.when(stop, F.expr("left(t, length(t) - 1)")).otherwise(F.col("t")).alias("word")).agg(F.count("*").alias("n"), F.count_if(stop).alias("k"))
+    counted = words.groupBy(F.when(stop, F.expr("left(t, length(t) - 1)")).otherwise(F.col("t")).alias("word")).agg(F.sum("n").alias("n"), F.sum(F.when(stop, F.col("n")).otherwise(0)).alias("k"))
     counted = stored(counted, "word_counts")
     whole = counted.agg(F.sum("n").alias("n"), F.sum("k").alias("k")).first()
     told = counted.where((F.col("k") > 0) & F.col("word").rlike(r"\p{L}") & F.lit((whole["k"] or 0) < (whole["n"] or 0)))
@@ -50,9 +51,11 @@ def split(texts: DataFrame, key: list[str], known: DataFrame, text: str = "text"
 
     The words are joined to what stands before each stop; a text's parts meet again in its own group, as they came from one
     row.  ``key`` names one row; null and blank texts have no sentences."""
-    parts = texts.where(trimmed(F.col(text)) != "").select(*key, F.posexplode(F.split(trimmed(F.col(text)), BREAK)).alias("i", "part"))
-    last = typed(F.regexp_extract("part", r"(\S+)$", 1))
-    parts = parts.withColumn("word", F.when(last.endswith("."), F.regexp_replace(last, r"\.$", "")))
+    parts = texts.select(*key, F.posexplode(F.split(trimmed(F.col(text)), BREAK)).alias("i", "part")).where("i > 0 or part <> ''")
+    last = F.col("part")
+    for space in " \n\t\r\x0b\f":
+        last = F.substring_index(last, space, -1)
+    parts = parts.withColumn("word", bound(typed(last), lambda w: F.when(w.endswith("."), F.left(w, F.length(w) - 1))))
     parts = parts.join(known.select("word", F.lit(True).alias("known_")).distinct(), "word", "left")
     order = Window.partitionBy(*key).orderBy("i")
     small = F.coalesce(F.lead("part").over(order), F.lit("")).rlike(r"^[^\p{L}\p{N}]*\p{Ll}")
