@@ -6,7 +6,7 @@ stop, scaled by the word's length, the full stops within it, and how often it st
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skein.functions.text import bound, trimmed
@@ -49,19 +49,30 @@ def split(texts: DataFrame, key: list[str], known: DataFrame, text: str = "text"
     """(key, sentence_no from 1, sentence) of each text.  A full stop, question or exclamation mark before white space ends a sentence,
     but for a full stop after one of the words ``known``, and one after a number that a small letter follows.
 
-    The words are joined to what stands before each stop; a text's parts meet again in its own group, as they came from one
-    row.  ``key`` names one row; null and blank texts have no sentences."""
-    parts = texts.select(*key, F.posexplode(F.split(trimmed(F.col(text)), BREAK)).alias("i", "part")).where("i > 0 or part <> ''")
-    last = F.col("part")
-    for space in " \n\t\r\x0b\f":
-        last = F.substring_index(last, space, -1)
-    parts = parts.withColumn("word", bound(typed(last), lambda w: F.when(w.endswith("."), F.left(w, F.length(w) - 1))))
-    parts = parts.join(known.select("word", F.lit(True).alias("known_")).distinct(), "word", "left")
-    order = Window.partitionBy(*key).orderBy("i")
-    small = F.coalesce(F.lead("part").over(order), F.lit("")).rlike(r"^[^\p{L}\p{N}]*\p{Ll}")
-    goes_on = F.coalesce(F.col("known_"), F.lit(False)) | (F.coalesce(F.col("word"), F.lit("")).rlike(r"^\p{N}+$") & small)
-    ended = parts.withColumn("ends", (~goes_on).cast("int"))
-    number = F.coalesce(F.sum("ends").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) + 1
-    numbered = ended.withColumn("sentence_no", number)
-    whole = numbered.groupBy(*key, "sentence_no").agg(F.sort_array(F.collect_list(F.struct("i", "part"))).alias("p"))
-    return whole.select(*key, F.col("sentence_no").cast("long").alias("sentence_no"), F.array_join("p.part", " ").alias("sentence"))
+    The words are joined to what stands before each stop, and only the places of stops that end nothing come back to a text, whose
+    parts stay within its row.  ``key`` names one row; null and blank texts have no sentences."""
+    rows = texts.select(*key, trimmed(F.col(text)).alias("text_")).where("text_ <> ''").withColumn("id_", F.struct(*key))
+    cut = lambda: F.split("text_", BREAK)
+
+    def last(part: Column) -> Column:
+        for space in " \n\t\r\x0b\f":
+            part = F.substring_index(part, space, -1)
+        return part
+
+    follows = lambda parts, i: F.coalesce(F.get(parts, i + 1), F.lit("")).rlike(r"^[^\p{L}\p{N}]*\p{Ll}")
+    stops = F.inline(bound(cut(), lambda parts: F.transform(parts, lambda p, i: F.struct(i.alias("i"), last(p).alias("last"), follows(parts, i).alias("small")))))
+    stops = rows.select("id_", stops).select("id_", "i", "small", bound(typed(F.col("last")), lambda w: F.when(w.endswith("."), F.left(w, F.length(w) - 1))).alias("word")).where("word is not null")
+    stops = stops.join(known.select("word", F.lit(True).alias("known_")).distinct(), "word", "left").where(F.col("known_") | (F.col("word").rlike(r"^\p{N}+$") & F.col("small")))
+    told = stops.groupBy("id_").agg(F.sort_array(F.collect_list("i")).alias("on")).withColumnRenamed("id_", "of_")
+
+    def joined(parts: Column, on: Column) -> Column:
+        """Sentences from the places of parts that go on: stretches of such parts and the one after them, and all others alone."""
+        n = F.size(parts)
+        whole = bound(F.concat(F.array(F.lit(-1)), on, F.array(n)), lambda x: F.flatten(F.zip_with(x, F.slice(x, 2, n + 1), lambda a, b: F.when(b > a + 1, F.sequence(a + 1, b - 1)).otherwise(F.array().cast("array<int>")))))
+        ends = lambda w: F.when(F.element_at(on, -1) == n - 1, F.concat(w, F.array(n - 1))).otherwise(w)
+        first = lambda e: F.concat(F.array(F.lit(-1)), F.slice(e, 1, F.size(e) - 1))
+        return bound(bound(whole, ends), lambda e: F.zip_with(first(e), e, lambda a, b: F.when(b == a + 1, F.get(parts, b)).otherwise(F.array_join(F.slice(parts, a + 2, b - a), " "))))
+
+    told = rows.join(told, F.col("id_").eqNullSafe(F.col("of_")), "left")
+    whole = bound(cut(), lambda parts: F.when(F.col("on").isNull(), parts).otherwise(joined(parts, F.col("on"))))
+    return told.select(*key, F.posexplode(whole).alias("no_", "sentence")).select(*key, (F.col("no_") + 1).cast("long").alias("sentence_no"), "sentence")
