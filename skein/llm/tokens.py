@@ -11,72 +11,29 @@ import json
 import re
 import sys
 import zlib
+from collections.abc import Iterable, Iterator
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
-import regex
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from skein.llm.common import pieces as slices
 from skein.llm.common import scratch
 
-#: Bytes that each of a worker's two caches of encoded pieces may take, about, and misses after which a full one starts anew.
-#: Longer pieces than LONG_PIECE characters aren't kept.  Marks that tell whether a piece was seen before; one set by another
-#: piece only has a piece kept sooner.
-CACHE_BYTES, MISSES, LONG_PIECE, SIGHTS = 48 << 20, 2_000_000, 200, 1 << 22
+#: Bytes that a worker's encoded pieces may take from batch to batch; bytes of text in a batch and of pieces in a
+#: call of the library, about.
+CACHE_BYTES, BATCH_BYTES, CALL_BYTES = 24 << 20, 16 << 20, 256 << 10
 #: Bytes of text in a part, about, where the session's number of shuffle partitions gives larger ones; parts whose bounds are
 #: found by quantiles, and parts of any table, at most.
 PART_BYTES, QUANTILES, MOST_PARTS = 128 << 20, 4096, 1 << 20
 SCHEMA = "doc_id long, part int, place long, n_tokens long, tokens array<int>"
 
 
-class Cache:
-    """Encoded pieces by text, kept from their second sight on, as most pieces come only once.
-
-    A full cache takes no more, since frequent pieces come early, and starts anew once it has missed many.
-    """
-
-    def __init__(self, encode):
-        self.held, self.encode, self.room, self.missed, self.seen = {}, encode, CACHE_BYTES, 0, bytearray(SIGHTS)
-
-    def __getitem__(self, key: str) -> bytes:
-        value = self.held.get(key)
-        return self.kept(key, self.encode(key)) if value is None else value
-
-    def kept(self, key: str, value: bytes) -> bytes:
-        at = hash(key) & SIGHTS - 1
-        if not self.seen[at]:
-            self.seen[at] = 1
-        elif self.room > 0:
-            if len(key) <= LONG_PIECE and key not in self.held:
-                self.room -= 180 + 2 * len(key) + len(value)  # objects and their place in the table
-                self.held[key] = value
-        else:
-            self.missed += 1
-            if self.missed > MISSES:
-                self.held.clear()
-                self.room, self.missed, self.seen = CACHE_BYTES, 0, bytearray(SIGHTS)
-        return value
-
-    def all(self, keys: list[str]) -> list[bytes]:
-        """The values of ``keys``, whose usual case is that the cache has them."""
-        out = list(map(self.held.get, keys))
-        if None in out:
-            seen, encode, last = self.seen, self.encode, SIGHTS - 1
-            for i, value in enumerate(out):
-                if value is None:
-                    key = keys[i]
-                    out[i] = value = encode(key)
-                    if seen[hash(key) & last]:
-                        self.kept(key, value)
-                        seen = self.seen
-                    else:
-                        seen[hash(key) & last] = 1
-        return out
-
-
 def byte_letters() -> dict[int, str]:
     """The letter that stands for each byte in a byte-level vocabulary: printable Latin-1 as it is, the others in
     ascending order from U+0100."""
@@ -85,80 +42,127 @@ def byte_letters() -> dict[int, str]:
     return {b: chr(b) if b in plain else chr(0x100 + others.index(b)) for b in range(256)}
 
 
+#: White space as Python and the library see it, for Arrow's patterns, and letters that the pre-token pattern never cuts between.
+SPACE = r"[\t-\r\x{1c}-\x{20}\x{85}\x{a0}\x{1680}\x{180e}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+LETTER = r"[A-Za-z\x{c0}-\x{d6}\x{d8}-\x{f6}\x{f8}-\x{17f}]"
+
+
 class Encoder:
     """Encodes whole texts as ``encode(text, add_special_tokens=False)`` of the tokenizers library does.
 
     With a byte-level BPE, the pre-tokenizer always cuts before a single space that precedes a non-space, and around a single
-    line feed between non-spaces, so a text's ids are those of its pieces between such places, one after another.  A piece of
-    Latin letters is one pre-token and goes straight to the library's BPE model; one of other common characters is cut by the
-    pre-token pattern first; any other piece, any text in which a space or line feed stands beside other white space or at an
+    line feed between non-spaces, so a text's ids are those of its pieces between such places, one after another.  Each distinct
+    piece of a batch of texts is encoded once, many to a call: those of Latin letters and a last mark, whose pre-tokens are plain,
+    by the library's BPE model alone, all others by the library as it is, joined as in a text.  Tokens that begin with a space or
+    are a line feed tell where a piece begins.  Any text in which a space or line feed stands beside other white space or at an
     end, and any text that has the string of an added token, is given to the library as a whole.  So is every text if the
-    file has any other kind of tokenizer.
+    file has any other kind of tokenizer.  ``pattern`` isn't needed, as the library cuts by the file's own.
     """
 
-    def __init__(self, path: str, pattern: str):
-        from tokenizers import Tokenizer
+    def __init__(self, path: str, pattern: str | None = None):
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.model, self.letters = self.tokenizer.model, byte_letters()
-        self.by_pieces = byte_level(path)
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.pattern = regex.compile(pattern)
-        self.two_spaces = re.compile(r"\s\s")
-        latin = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u017f"
-        self.word = re.compile(f"([{latin}]+)([.,]?)").fullmatch
-        self.common = re.compile(f"[!-~\n{latin}]+").fullmatch
-        self.four = [i.to_bytes(4, "little") for i in range(1 + max(self.tokenizer.get_vocab().values()))]
-        self.join, self.line_feed = b"".join, self.whole("\n")
-        self.pieces = Cache(self.piece)  # without their leading space, or with their leading line feed
-        self.atoms = Cache(self.atom)  # by pre-token
-
-    def modelled(self, mapped: str) -> bytes:
-        four = self.four
-        return self.join([four[t.id] for t in self.model.tokenize(mapped)])
-
-    def atom(self, text: str) -> bytes:
-        return self.modelled(text if text.isascii() and text.isalpha() else text.encode().decode("latin-1").translate(self.letters))
-
-    def piece(self, text: str) -> bytes:
-        if text.isascii():
-            if text.isalpha():
-                four = self.four
-                return self.join([four[t.id] for t in self.model.tokenize("\u0120" + text)])
-            if text[-1] in ".," and text[:-1].isalpha():
-                return self.pieces[text[:-1]] + self.atoms[text[-1]]
-        elif found := self.word(text):
-            word, mark = found.groups()
-            if mark:
-                return self.pieces[word] + self.atoms[mark]
-            return self.modelled("\u0120" + text.encode().decode("latin-1").translate(self.letters))
-        if text[0] == "\n":
-            return self.line_feed + (self.atoms[text[1:]] if text[1:].isascii() and text[1:].isalpha() else self.begun(text[1:]))
-        if self.common(text):
-            return self.join([self.pieces[a[1:]] if a[0] == " " and a[1:] != text else self.atoms[a] for a in self.pattern.findall(" " + text)])
-        return self.whole(" " + text)
-
-    def begun(self, text: str) -> bytes:
-        """A piece that begins a text or a line."""
-        if self.common(text):
-            return self.join([self.atoms[a] for a in self.pattern.findall(text)])
-        return self.whole(text)
-
-    def whole(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<i4").tobytes()
+        letters, vocabulary = byte_letters(), self.tokenizer.get_vocab()
+        self.by_pieces = byte_level(path) and vocabulary.keys() >= set(letters.values()) and not any(re.search(r"\s|^$", t) for t in self.added)
+        if not self.by_pieces:
+            return
+        self.model = Tokenizer(self.tokenizer.model)  # of pre-tokens in byte letters, a zero between two
+        self.model.pre_tokenizer = pre_tokenizers.Split("\0", "removed")
+        self.letters = np.array([0, *(ord(letters[b]) for b in range(1, 256))], "<u4")
+        self.begins = np.zeros(1 + max(vocabulary.values()), bool)  # whether a token begins a piece
+        self.begins[[i for t, i in vocabulary.items() if t[0] in (letters[0x20], letters[0x0A])]] = True
+        self.forget()
+
+    def forget(self) -> None:
+        self.known, self.known_ids = pa.array([], pa.string()), pa.array([], pa.list_(pa.int32()))
+
+    def whole(self, text: str) -> list[int]:
+        return self.tokenizer.encode(text, add_special_tokens=False).ids
+
+    def joined(self, pieces: pa.Array) -> bytes:
+        """The pieces as in a text: a line feed is before its piece already, before any other comes a space."""
+        one_list = pa.ListArray.from_arrays(pa.array([0, len(pieces)], pa.int32()), pieces)
+        return (b" " + pc.binary_join(one_list, " ")[0].as_buffer().to_pybytes()).replace(b" \n", b"\n")
+
+    def called(self, pieces: pa.Array, plain: bool) -> pa.Array:
+        """The ids of each of some pieces by one call of the library."""
+        text = self.joined(pieces)
+        if plain:
+            for cut, by in ((b" ", b"\0 "), (b".", b"\0."), (b",", b"\0,"), (b"\n", b"\0\n\0")):
+                text = text.replace(cut, by)
+            told = self.model.encode_batch_fast([self.letters[np.frombuffer(text, np.uint8)].tobytes().decode("utf-32-le")], add_special_tokens=False)
+        else:
+            told = self.tokenizer.encode_batch_fast([text.decode()], add_special_tokens=False)
+        ids = np.array(told[0].ids, np.int32)
+        begins = np.flatnonzero(self.begins[ids])
+        if len(begins) != len(pieces):
+            raise ValueError(f"{len(pieces)} pieces gave the tokens of {len(begins)}")
+        return pa.ListArray.from_arrays(pa.array(np.append(begins, len(ids)).astype(np.int32)), pa.array(ids))
+
+    def encoded(self, pieces: pa.Array) -> pa.Array:
+        """The ids of each of some distinct pieces, as a list."""
+        odd = pc.match_substring_regex(pieces, rf"^\n?$|^\n{SPACE}")
+        plain = pc.match_substring_regex(pieces, rf"^\n?{LETTER}+[.,]?$")
+        kinds = pc.if_else(odd, 2, pc.if_else(plain, 0, 1)).to_numpy(zero_copy_only=False)
+        order, out = [], [pa.array([], pa.list_(pa.int32()))]
+        for kind in (0, 1):
+            at = np.flatnonzero(kinds == kind)
+            of_kind = pieces.take(pa.array(at))
+            calls = np.cumsum(pc.binary_length(of_kind).to_numpy(), dtype=np.int64) // CALL_BYTES
+            cuts = [0, *np.flatnonzero(np.diff(calls)) + 1, len(at)] if len(at) else []
+            order.append(at)
+            out += [self.called(of_kind.slice(a, b - a), kind == 0) for a, b in pairwise(cuts)]
+        at = np.flatnonzero(kinds == 2)  # nothing, or a line feed and what begins a text with white space or is nothing
+        order.append(at)
+        out.append(pa.array([self.whole("\n") + self.whole(p[1:]) if p else [] for p in pieces.take(pa.array(at)).to_pylist()], pa.list_(pa.int32())))
+        return pa.concat_arrays(out).take(pa.array(np.argsort(np.concatenate(order))))
+
+    def looked_up(self, pieces: pa.Array) -> pa.Array:
+        """``encoded``, but what earlier batches had is kept, up to CACHE_BYTES; beyond, the last batch's alone."""
+        places = pc.index_in(pieces, self.known)
+        new = pieces.filter(pc.is_null(places))
+        ids = self.encoded(new)
+        found = places.fill_null(-1).to_numpy()
+        from_new = found < 0
+        at = np.where(from_new, len(self.known) + np.cumsum(from_new) - 1, found)
+        self.known, self.known_ids = pa.concat_arrays([self.known, new]), pa.concat_arrays([self.known_ids, ids])
+        out = self.known_ids.take(pa.array(at))
+        if self.known.nbytes + self.known_ids.nbytes > CACHE_BYTES:
+            self.forget()
+            if pieces.nbytes + out.nbytes <= CACHE_BYTES:
+                self.known, self.known_ids = pieces, out
+        return out
 
-    def text(self, text: str | None) -> bytes:
-        """The ids as little-endian 32-bit integers."""
-        if not text:
-            return b""
-        odd = not self.by_pieces or text[0] == "\n" or text[-1].isspace() or self.two_spaces.search(text)
-        if odd or any(t in text for t in self.added):
-            return self.whole(text)
-        first, *rest = text.replace("\n", " \n").split(" ")
-        return (self.begun(first) if first else b"") + self.join(self.pieces.all(rest))
+    def batch(self, texts: pa.Array, end_id: int) -> pa.Array:
+        """The ids of each text and the end id, as a list."""
+        texts = texts.cast(pa.string()).fill_null("")
+        if not self.by_pieces:
+            return pa.array([[*self.whole(t), end_id] for t in texts.to_pylist()], pa.list_(pa.int32()))
+        odd = pc.match_substring_regex(texts, rf"{SPACE}{SPACE}|^\n|{SPACE}$")
+        for t in self.added:
+            odd = pc.or_(odd, pc.match_substring(texts, t))
+        odd_at = np.flatnonzero(odd.to_numpy(zero_copy_only=False))
+        # A line feed goes before each text, so that first pieces are those of a line; its id gives way to the end id of the text before.
+        split = pc.split_pattern(pc.replace_substring(pc.binary_join_element_wise("\n", pc.if_else(odd, "", texts), ""), "\n", " \n"), " ")
+        pieces = split.flatten().dictionary_encode()
+        ids = self.looked_up(pieces.dictionary)
+        sizes = np.diff(ids.offsets.to_numpy())[pieces.indices.to_numpy()]
+        ends = np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)])[split.offsets.to_numpy() - split.offsets[0].as_py()]
+        values = np.append(ids.take(pieces.indices).flatten().to_numpy(), np.int32(end_id))
+        values[ends[:-1]] = end_id
+        out = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(values[1:]))
+        if len(odd_at):
+            wholes = pa.array([[*self.whole(t), end_id] for t in texts.take(pa.array(odd_at)).to_pylist()], pa.list_(pa.int32()))
+            order = np.arange(len(texts))
+            order[odd_at] = len(texts) + np.arange(len(odd_at))
+            out = pa.concat_arrays([out, wholes]).take(pa.array(order))
+        return out
 
-    def batch(self, texts: list[str | None]) -> list[bytes]:
-        return [self.text(t) for t in texts]
+    def text(self, text: str | None) -> bytes:
+        """The ids of one text as little-endian 32-bit integers."""
+        return self.batch(pa.array([text], pa.string()), 0).flatten().to_numpy()[:-1].astype("<i4").tobytes()
 
 
 def byte_level(path: str) -> bool:
@@ -207,6 +211,19 @@ def dealt_by_range(docs: DataFrame, parts: int) -> DataFrame:
     return marked.repartitionById(len(bounds) + 1, F.col("range_").cast("int")).sortWithinPartitions("doc_id", "text").select("doc_id", "text")
 
 
+def sized(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of BATCH_BYTES, about: small ones are joined, as pieces come again in them, large ones are cut."""
+    held, size = [], 0
+    for batch in batches:
+        for rows in slices([batch], max(1, batch.num_rows * BATCH_BYTES // max(1, batch.nbytes))):
+            held, size = [*held, rows], size + rows.nbytes
+            if size >= BATCH_BYTES // 2:
+                yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+                held, size = [], 0
+    if held:
+        yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+
+
 def encoded(docs: DataFrame, id_col: str, text_col: str, vocabulary: str, pattern: str, end_id: int, parts: int | None) -> DataFrame:
     """Rows of SCHEMA in ascending doc_id order, part after part; equal ids in the order of their texts."""
     ordered = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
@@ -214,16 +231,13 @@ def encoded(docs: DataFrame, id_col: str, text_col: str, vocabulary: str, patter
 
     def run(batches):
         tool, part, at = encoder(vocabulary, pattern), TaskContext.get().partitionId(), 0
-        end = np.array([end_id], "<i4").tobytes()
-        for batch in batches:
-            for begin in range(0, batch.num_rows, 512):
-                rows = batch.slice(begin, 512)
-                ids = [x + end for x in tool.batch(rows.column("text").to_pylist())]
-                sizes = np.array([len(x) // 4 for x in ids], np.int64)
-                ends = np.cumsum(sizes)
-                tokens = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), pa.array(np.frombuffer(b"".join(ids), "<i4")))
-                yield pa.RecordBatch.from_arrays([rows.column("doc_id"), pa.array(np.full(len(ids), part, np.int32)), pa.array(at + ends - sizes), pa.array(sizes), tokens], names=["doc_id", "part", "place", "n_tokens", "tokens"])
-                at += int(sizes.sum())
+        for rows in sized(batches):
+            tokens = tool.batch(rows.column("text"), end_id)
+            offsets = tokens.offsets.to_numpy().astype(np.int64)
+            sizes, places = np.diff(offsets), at + offsets[:-1] - offsets[0]
+            out = pa.RecordBatch.from_arrays([rows.column("doc_id"), pa.array(np.full(len(tokens), part, np.int32)), pa.array(places), pa.array(sizes), tokens], names=["doc_id", "part", "place", "n_tokens", "tokens"])
+            yield from slices([out], 512)
+            at += int(sizes.sum())
 
     return ordered.mapInArrow(run, SCHEMA)
 
