@@ -27,7 +27,7 @@ from skein.llm.common import scratch
 
 #: Bytes that a worker's encoded pieces may take from batch to batch; bytes of text in a batch and of pieces in a
 #: call of the library, about.
-CACHE_BYTES, BATCH_BYTES, CALL_BYTES = 24 << 20, 16 << 20, 256 << 10
+CACHE_BYTES, BATCH_BYTES, CALL_BYTES = 12 << 20, 8 << 20, 256 << 10
 #: Bytes of text in a part, about, where the session's number of shuffle partitions gives larger ones; parts whose bounds are
 #: found by quantiles, and parts of any table, at most.
 PART_BYTES, QUANTILES, MOST_PARTS = 128 << 20, 4096, 1 << 20
