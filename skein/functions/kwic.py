@@ -21,17 +21,29 @@ def bound(value: Column, use: Callable[[Column], Column]) -> Column:
 
 
 def bare(c: Column) -> Column:
-    return F.regexp_replace(F.lower(c), "[^a-z0-9']", "")
+    """Words between spaces, each reduced to ASCII letters, digits and apostrophes."""
+    return F.regexp_replace(F.lower(c), "[^a-z0-9' ]", "")
+
+
+def hit_pattern(term: Column) -> Column:
+    """What finds a term among bare words: a word within a word, or from the start of a word on a word within each of several, in time
+    linear in the words."""
+    wanted = F.transform(F.split(term, r"(?U)\s+"), bare)
+    within = F.array_join(F.transform(wanted, lambda x: F.concat(F.lit("(?>[^ ]*?"), x, F.lit(")"))), "[^ ]*+ ")
+    return F.when(F.size(wanted) == 1, wanted[0]).otherwise(F.concat(F.lit("(?<![^ ])"), within))
 
 
 def first_hit(text_words: Column, terms: Column) -> Column:
     """Number from 0 of the first word where a term begins; null if none.  A term's words must be contained, in order, in
     consecutive words, both reduced to ASCII letters, digits and apostrophes."""
-    wanted = F.transform(terms, lambda t: F.transform(F.split(t, r"(?U)\s+"), lambda x, j: F.struct(bare(x).alias("x"), j.alias("j"))))
-    begins = lambda plain, t, i: F.forall(t, lambda e: F.coalesce(F.contains(F.get(plain, i + e["j"]), e["x"]), F.lit(False)))
-    hits = lambda b: F.transform(b["plain"], lambda w, i: F.exists(b["wanted"], lambda t: begins(b["plain"], t, i)))
-    at = bound(F.struct(F.transform(text_words, bare).alias("plain"), wanted.alias("wanted")), lambda b: F.array_position(hits(b), True))
-    return F.when(at > 0, at.cast("int") - 1)
+    plain, pattern = bare(F.array_join(text_words, " ")), F.array_join(F.transform(terms, hit_pattern), "|")
+
+    def spaces_before(b: Column) -> Column:
+        before = F.substring(b["plain"], F.lit(1), b["at"] - 1)
+        return F.when(b["at"] > 0, F.length(before) - F.length(F.replace(before, F.lit(" "), F.lit(""))))
+
+    found = bound(plain, lambda p: bound(F.struct(p.alias("plain"), F.regexp_instr(p, pattern).alias("at")), spaces_before))
+    return F.when((F.size(text_words) > 0) & (F.size(terms) > 0), found)
 
 
 def highlight(text: Column, terms: Column) -> Column:

@@ -49,7 +49,7 @@ def collapsed(c: Column) -> Column:
 
 def words(c: Column) -> Column:
     """Parts between white space."""
-    return F.filter(F.split(c, r"(?U)\s+"), lambda w: w != "")
+    return F.array_remove(F.split(c, r"(?U)\s+"), "")
 
 
 def n_words(c: Column) -> Column:
@@ -57,7 +57,9 @@ def n_words(c: Column) -> Column:
 
 
 def normalize_query(c: Column) -> Column:
-    return F.translate(c, APOSTROPHES, "")
+    for sign in APOSTROPHES:
+        c = F.replace(c, F.lit(sign), F.lit(""))
+    return c
 
 
 def tokenize(c: Column) -> Column:
@@ -65,6 +67,11 @@ def tokenize(c: Column) -> Column:
     return F.array_remove(F.split(F.lower(normalize_query(F.coalesce(c, F.lit("")))), TOKEN_BREAK), "")
 
 
+def token_lines(c: Column) -> Column:
+    """The tokens as lines of a text, as none has a line feed; empty without tokens."""
+    return F.btrim(F.regexp_replace(F.lower(normalize_query(F.coalesce(c, F.lit("")))), TOKEN_BREAK, "\n"), F.lit("\n"))
+
+
 def fuzzy_radius(term: Column) -> Column:
     """Edit distance that a keyword's token allows: a fifth of its length, rounded, at most six."""
     return F.least(F.lit(MAX_RADIUS), F.round(F.length(term) * FUZZINESS).cast("int"))

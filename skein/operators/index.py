@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+from itertools import pairwise
 from typing import NamedTuple
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from skein.functions.kwic import bound
-from skein.functions.text import tokenize
+from skein.functions.text import token_lines, tokenize
 from skein.operators import ranges
 from skein.sources.shared import stored
 
@@ -17,6 +21,9 @@ FIELDS = ("text", "title", "chapter_ref")
 SPLITS = 16
 #: Passages, about, and their occurrences, at most, from which the bounds of ranges follow.
 SAMPLE, MOST_BOUNDED = 2000, 100_000
+#: Bytes of tokens and number of passages in a segment, at most, about, and hits in a batch of its rows.
+SEGMENT_BYTES, SEGMENT_ROWS, SENT_HITS = 16 << 20, 20_000, 20_000
+SEGMENT = "term string, field string, passages int, hits array<struct<id:string,source_id:string,tf:int,places:array<int>>>"
 
 
 def indexed(passages: DataFrame, sources: DataFrame) -> DataFrame:
@@ -50,16 +57,77 @@ def of(passages: DataFrame) -> Index:
     return Index(postings(passages), vocabulary(passages), passages)
 
 
-def gathered(tokens: Column) -> Column:
-    """[(term, places)] of a field's tokens, places from 0 in order: tokens are sorted within the row, and each term is a slice of them."""
+def segments(passages: DataFrame) -> DataFrame:
+    """Rows of SEGMENT: a row for each term of a field of a segment of passages, with its hits in the order of the passages, sorted by
+    term within the segment.
 
-    def slices(s: Column) -> Column:
-        new = F.filter(F.slice(F.sequence(F.lit(1), F.size(s) + 1), 1, F.size(s)), lambda i: (i == 1) | (F.get(s, i - 1)["term"] != F.get(s, i - 2)["term"]))
-        part = lambda b, a, k: F.slice(s, a, F.coalesce(F.get(b, k + 1), F.size(s) + 1) - a)
-        return bound(new, lambda b: F.transform(b, lambda a, k: F.struct(F.get(s, a - 1)["term"].alias("term"), F.transform(part(b, a, k), lambda x: x["pos"]).alias("places"))))
-
-    placed = F.transform(tokens, lambda t, i: F.struct(t.alias("term"), i.alias("pos")))
-    return bound(F.sort_array(placed), slices)
+    ``passages`` counts the hits' passages but those that an earlier field's row of the term has, so that its sums over all rows are
+    the vocabulary.  Narrow: no shuffle, and a worker holds a segment at a time.
+    """
+    lines = [token_lines(F.col(f)).alias(f"{f}_tokens") for f in FIELDS]
+    return passages.select("id", "source_id", *lines).mapInArrow(segments_of, SEGMENT)
+
+
+def segments_of(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows of each segment: batches are cut and joined to about SEGMENT_BYTES."""
+    held, size, rows = [], 0, 0
+    for batch in batches:
+        step = min(SEGMENT_ROWS, max(1, batch.num_rows * SEGMENT_BYTES // max(1, batch.nbytes)))
+        for begin in range(0, batch.num_rows, step):
+            part = batch.slice(begin, step)
+            if held and (size + part.nbytes > SEGMENT_BYTES or rows + part.num_rows > SEGMENT_ROWS):
+                yield from segment(pa.Table.from_batches(held))
+                held, size, rows = [], 0, 0
+            held, size, rows = [*held, part], size + part.nbytes, rows + part.num_rows
+    if held:
+        yield from segment(pa.Table.from_batches(held))
+
+
+def segment(passages: pa.Table) -> Iterator[pa.RecordBatch]:
+    """One segment's rows, about SENT_HITS hits a batch.  Tokens are sorted by term, field and passage as one number each."""
+    n, words, rows, fields, places = passages.num_rows, [], [], [], []
+    for number, name in enumerate(FIELDS):
+        text = pa.concat_arrays([pa.array([], pa.string()), *passages.column(f"{name}_tokens").cast(pa.string()).chunks])
+        sizes = np.where(pc.binary_length(text).to_numpy() > 0, pc.list_value_length(split := pc.split_pattern(text, "\n")).to_numpy(), 0)
+        words.append(split.filter(pa.array(sizes > 0)).flatten())
+        rows.append(np.repeat(np.arange(n), sizes))
+        fields.append(np.full(len(rows[-1]), number))
+        places.append(np.arange(len(rows[-1])) - np.repeat(np.cumsum(sizes) - sizes, sizes))
+    told = pa.concat_arrays(words).dictionary_encode()
+    if not len(told):
+        return
+    in_order = pc.sort_indices(told.dictionary).to_numpy()  # in the order of bytes, as Spark compares texts
+    rank = np.empty(len(in_order), np.int64)
+    rank[in_order] = np.arange(len(in_order))
+    key = (rank[told.indices.to_numpy()] * len(FIELDS) + np.concatenate(fields)) * n + np.concatenate(rows)
+    by_key = np.argsort(key, kind="stable")
+    key, place = key[by_key], np.concatenate(places)[by_key].astype(np.int32)
+    begins = lambda x: np.flatnonzero(np.append(True, x[1:] != x[:-1]))
+    hit = begins(key)
+    line_of, row = np.divmod(key[hit], n)
+    line = begins(line_of)
+    term, field = np.divmod(line_of[line], len(FIELDS))
+    new = np.zeros(len(hit), np.int64)
+    new[np.unique(line_of // len(FIELDS) * n + row, return_index=True)[1]] = 1
+    hit_ends, line_ends = np.append(hit, len(key)), np.append(line, len(hit))
+    columns = [passages.column(c).cast(pa.string()).combine_chunks().take(pa.array(row)) for c in ("id", "source_id")]
+    columns += [pa.array(np.diff(hit_ends).astype(np.int32)), pa.ListArray.from_arrays(pa.array(hit_ends.astype(np.int32)), pa.array(place))]
+    hits = pa.ListArray.from_arrays(pa.array(line_ends.astype(np.int32)), pa.StructArray.from_arrays(columns, ["id", "source_id", "tf", "places"]))
+    of_term = told.dictionary.take(pa.array(in_order)).take(pa.array(term))
+    counts = pa.array(np.add.reduceat(new, line).astype(np.int32))
+    out = pa.RecordBatch.from_arrays([of_term, pa.array(FIELDS).take(pa.array(field)), counts, hits], names=["term", "field", "passages", "hits"])
+    for a, b in pairwise([0, *np.flatnonzero(np.diff(line_ends[1:] // SENT_HITS)) + 1, len(line)]):
+        yield out.slice(a, b - a)
+
+
+def hits_of(segments: DataFrame) -> DataFrame:
+    """(term, field, id, source_id, tf, places) of rows of SEGMENT."""
+    return segments.select("term", "field", F.explode("hits").alias("h")).select("term", "field", "h.id", "h.source_id", "h.tf", "h.places")
+
+
+def vocabulary_of(segments: DataFrame) -> DataFrame:
+    """The vocabulary, from rows of SEGMENT."""
+    return segments.groupBy("term").agg(F.sum("passages").alias("passages"))
 
 
 def postings(passages: DataFrame) -> DataFrame:
@@ -77,9 +145,7 @@ def postings(passages: DataFrame) -> DataFrame:
 
 def occurrences(passages: DataFrame) -> DataFrame:
     """(term, field, id, source_id, tf, places, split): each term of a field of a passage once.  Narrow: no shuffle."""
-    fields = F.array(*[F.struct(F.lit(f).alias("field"), gathered(tokenize(F.col(f))).alias("found")) for f in FIELDS])
-    rows = passages.select("id", "source_id", F.explode(fields).alias("f")).select("id", "source_id", "f.field", F.explode("f.found").alias("x"))
-    return rows.select("x.term", "field", "id", "source_id", F.size("x.places").alias("tf"), "x.places", F.pmod(F.xxhash64("id"), F.lit(SPLITS)).cast("int").alias("split"))
+    return hits_of(segments(passages)).withColumn("split", F.pmod(F.xxhash64("id"), F.lit(SPLITS)).cast("int"))
 
 
 def bounds(passages: DataFrame, count: int) -> list[tuple[str, int]]:
@@ -117,6 +183,11 @@ def term_counts(passages: DataFrame) -> DataFrame:
     return seen.groupBy("x.term", "field").agg(F.sum("x.p").alias("passages"), F.sum("x.t").alias("times"))
 
 
+def numbered(passages: DataFrame) -> DataFrame:
+    """``passages`` with ``row_``, a number of its own for each row, ids that come again included: stored, as they must stay the same."""
+    return passages if "row_" in passages.columns else stored(passages.withColumn("row_", F.monotonically_increasing_id()), "passages")
+
+
 def vocabulary(passages: DataFrame) -> DataFrame:
     """(term, passages): in how many passages each term occurs."""
     return passage_tokens(passages).groupBy("term").agg(F.count("*").alias("passages"))

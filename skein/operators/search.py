@@ -132,21 +132,25 @@ def results(queries: DataFrame, corpus: DataFrame | Index, sources: DataFrame, s
 
     Sources come in the order of the query's filter, each once, or else in registry order; passages in the order of their
     sequence, ties by id.  Passages of disabled sources aren't indexed.  With ``guard`` only full-text sources are cited whole.
+
+    Rows are placed without their texts, which are shuffled once, to be shown and cited.
     """
     held = corpus if isinstance(corpus, Index) else index.of(indexed(corpus, sources))
-    present = indexed(held.passages, sources)
+    passages = index.numbered(held.passages)
     found = matches(queries, held, synonyms, **how)
     parsed = asked(queries).select("query_id", highlight_terms(F.col("q")).alias("terms"), F.array_distinct("source_filter").alias("source_filter"))
     known = sources.select(F.col("id").alias("source_id"), F.col("title").alias("source_title"), "display_mode", "context_words", "sort_order")
-    rows = present.join(found, "id").join(known, "source_id").join(parsed, "query_id")
-    rows = rows.where(F.col("source_filter").isNull() | F.array_contains("source_filter", F.col("source_id")))
-    shown = kwic(F.col("text"), F.col("terms"), F.col("display_mode"), F.col("context_words"))
-    cited = citation(F.col("text"), F.col("source_title"), F.col("chapter_ref"), F.col("page_ref"), F.col("display_mode"), guard)
+    places = indexed(passages.select("row_", "id", "source_id", "sequence"), sources).join(found, "id").join(known, "source_id").join(parsed, "query_id")
+    places = places.where(F.col("source_filter").isNull() | F.array_contains("source_filter", F.col("source_id")))
     order = Window.partitionBy("query_id", "source_id").orderBy("sequence", "id")
-    return rows.select(
-        "query_id", F.when(F.col("source_filter").isNull(), F.col("sort_order")).otherwise(F.array_position("source_filter", F.col("source_id")).cast("int") - 1).alias("group_pos"),
-        F.row_number().over(order).alias("pos"), "source_id", F.col("id").alias("passage_id"), "sequence", shown.alias("kwic"), cited.alias("citation"), F.col("by_synonym").alias("matched_by_synonym"),
+    placed = places.select(
+        "row_", "query_id", F.when(F.col("source_filter").isNull(), F.col("sort_order")).otherwise(F.array_position("source_filter", F.col("source_id")).cast("int") - 1).alias("group_pos"),
+        F.row_number().over(order).alias("pos"), "source_id", F.col("id").alias("passage_id"), "sequence", "by_synonym", "terms", "source_title", "display_mode", "context_words",
     )
+    rows = passages.select("row_", "text", "chapter_ref", "page_ref").join(placed, "row_")
+    shown = kwic(F.col("text"), F.col("terms"), F.col("display_mode"), F.col("context_words"))
+    cited = citation(F.col("text"), F.col("source_title"), F.col("chapter_ref"), F.col("page_ref"), F.col("display_mode"), guard)
+    return rows.select("query_id", "group_pos", "pos", "source_id", "passage_id", "sequence", shown.alias("kwic"), cited.alias("citation"), F.col("by_synonym").alias("matched_by_synonym"))
 
 
 def grouped(found: DataFrame) -> DataFrame:

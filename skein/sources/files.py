@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from skein.functions.text import unix_lines, unpadded
-from skein.operators.index import Index
+from skein.operators.index import Index, hits_of
 from skein.schemas import CHAPTER, PASSAGE, PASSAGE_JSON, SOURCE, SOURCE_JSON
 
 #: A pattern for a page marker line (fixed format).
@@ -164,7 +164,8 @@ def calendar(spark: SparkSession) -> DataFrame:
 
 def index(spark: SparkSession, path: str) -> Index:
     """The stored index: postings, vocabulary and passages."""
-    return Index(*[spark.read.parquet(f"{path}/{name}") for name in ("postings", "vocabulary", "passages")], stored=True)
+    held = [spark.read.parquet(f"{path}/{name}") for name in ("postings", "vocabulary", "passages")]
+    return Index(hits_of(held[0]), *held[1:], stored=True)
 
 
 def vocabulary(spark: SparkSession, path: str) -> DataFrame:

@@ -9,25 +9,33 @@ from urllib.parse import unquote
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from skein.operators.index import meta, postings, vocabulary
+from skein.operators.index import meta, segments, vocabulary, vocabulary_of
 from skein.schemas import PASSAGE_JSON
-
+from skein.sources.shared import cleaned
 
 #: What an index consists of.
 PARTS = ("postings", "vocabulary", "passages", "meta")
+#: Rows of a page of its files, at most: the least that a search of a term reads.
+PAGE_ROWS = 1000
 
 
 def write_index(passages: DataFrame, files: DataFrame, path: str, parts: Sequence[str] = PARTS) -> None:
-    """Postings in files by ranges of terms, vocabulary sorted by term, and passages, all as Parquet, and one line of metadata; or some of
-    these, each of which follows from the passages alone."""
-    if "postings" in parts:
-        postings(passages).write.mode("overwrite").parquet(f"{path}/postings")
-    if "vocabulary" in parts:
-        vocabulary(passages).write.mode("overwrite").parquet(f"{path}/vocabulary")
-    if "passages" in parts:
-        passages.write.mode("overwrite").parquet(f"{path}/passages")
-    if "meta" in parts:
-        meta(passages, files).withColumn("built_at", F.current_timestamp()).write.mode("overwrite").json(f"{path}/meta")
+    """Postings in segments sorted by term, vocabulary, and passages with a number ``row_`` each, all as Parquet, and one line of metadata; or
+    some of these, each of which follows from the passages alone.
+
+    A segment is written by the task that reads its passages, so that postings are never shuffled; its pages are short, so that a
+    search skips those without its terms."""
+    spark = passages.sparkSession
+    parquet = lambda rows, part: rows.write.mode("overwrite").option("compression", "zstd").option("parquet.page.row.count.limit", PAGE_ROWS).parquet(f"{path}/{part}")
+    with cleaned(spark):
+        if "postings" in parts:
+            parquet(segments(passages), "postings")
+        if "vocabulary" in parts:
+            parquet(vocabulary_of(spark.read.parquet(f"{path}/postings")) if "postings" in parts else vocabulary(passages), "vocabulary")
+        if "passages" in parts:
+            parquet(passages.withColumn("row_", F.monotonically_increasing_id()), "passages")
+        if "meta" in parts:
+            meta(passages, files).withColumn("built_at", F.current_timestamp()).write.mode("overwrite").json(f"{path}/meta")
 
 
 def write_text(spark: SparkSession, text: str, path: str) -> None:
