@@ -78,9 +78,14 @@ class Encoder:
     def forget(self) -> None:
         self.known, self.known_ids = pa.array([], pa.string()), pa.array([], pa.list_(pa.int32()))
 
-    def whole(self, text: str) -> list[int]:
+    def ids_of(self, text: str) -> list[int]:
+        """The ids of a text by a plain call of the library."""
         return self.tokenizer.encode(text, add_special_tokens=False).ids
 
+    def whole(self, text: str) -> bytes:
+        """``ids_of`` as little-endian 32-bit integers."""
+        return np.array(self.ids_of(text), "<i4").tobytes()
+
     def joined(self, pieces: pa.Array) -> bytes:
         """The pieces as in a text: a line feed is before its piece already, before any other comes a space."""
         one_list = pa.ListArray.from_arrays(pa.array([0, len(pieces)], pa.int32()), pieces)
@@ -116,7 +121,7 @@ class Encoder:
             out += [self.called(of_kind.slice(a, b - a), kind == 0) for a, b in pairwise(cuts)]
         at = np.flatnonzero(kinds == 2)  # nothing, or a line feed and what begins a text with white space or is nothing
         order.append(at)
-        out.append(pa.array([self.whole("\n") + self.whole(p[1:]) if p else [] for p in pieces.take(pa.array(at)).to_pylist()], pa.list_(pa.int32())))
+        out.append(pa.array([self.ids_of("\n") + self.ids_of(p[1:]) if p else [] for p in pieces.take(pa.array(at)).to_pylist()], pa.list_(pa.int32())))
         return pa.concat_arrays(out).take(pa.array(np.argsort(np.concatenate(order))))
 
     def looked_up(self, pieces: pa.Array) -> pa.Array:
@@ -139,7 +144,7 @@ class Encoder:
         """The ids of each text and the end id, as a list."""
         texts = texts.cast(pa.string()).fill_null("")
         if not self.by_pieces:
-            return pa.array([[*self.whole(t), end_id] for t in texts.to_pylist()], pa.list_(pa.int32()))
+            return pa.array([[*self.ids_of(t), end_id] for t in texts.to_pylist()], pa.list_(pa.int32()))
         odd = pc.match_substring_regex(texts, rf"{SPACE}{SPACE}|^\n|{SPACE}$")
         for t in self.added:
             odd = pc.or_(odd, pc.match_substring(texts, t))
@@ -154,7 +159,7 @@ class Encoder:
         values[ends[:-1]] = end_id
         out = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(values[1:]))
         if len(odd_at):
-            wholes = pa.array([[*self.whole(t), end_id] for t in texts.take(pa.array(odd_at)).to_pylist()], pa.list_(pa.int32()))
+            wholes = pa.array([[*self.ids_of(t), end_id] for t in texts.take(pa.array(odd_at)).to_pylist()], pa.list_(pa.int32()))
             order = np.arange(len(texts))
             order[odd_at] = len(texts) + np.arange(len(odd_at))
             out = pa.concat_arrays([out, wholes]).take(pa.array(order))
