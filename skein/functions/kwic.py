@@ -22,7 +22,7 @@ def bound(value: Column, use: Callable[[Column], Column]) -> Column:
 
 def bare(c: Column) -> Column:
     """Words between spaces, each reduced to ASCII letters, digits and apostrophes."""
-    return F.regexp_replace(F.lower(c), "[^a-z0-9' ]", "")
+    return F.regexp_replace(F.lower(c), r"[^\p{Alnum}' ]", "")
 
 
 def hit_pattern(term: Column) -> Column:

@@ -22,7 +22,7 @@ SPLITS = 16
 #: Passages, about, and their occurrences, at most, from which the bounds of ranges follow.
 SAMPLE, MOST_BOUNDED = 2000, 100_000
 #: Bytes of tokens and number of passages in a segment, at most, about, and hits in a batch of its rows.
-SEGMENT_BYTES, SEGMENT_ROWS, SENT_HITS = 16 << 20, 20_000, 20_000
+SEGMENT_BYTES, SEGMENT_ROWS, SENT_HITS = 8 << 20, 20_000, 20_000
 SEGMENT = "term string, field string, passages int, hits array<struct<id:string,source_id:string,tf:int,places:array<int>>>"
 
 
@@ -90,18 +90,23 @@ def segment(passages: pa.Table) -> Iterator[pa.RecordBatch]:
         text = pa.concat_arrays([pa.array([], pa.string()), *passages.column(f"{name}_tokens").cast(pa.string()).chunks])
         sizes = np.where(pc.binary_length(text).to_numpy() > 0, pc.list_value_length(split := pc.split_pattern(text, "\n")).to_numpy(), 0)
         words.append(split.filter(pa.array(sizes > 0)).flatten())
-        rows.append(np.repeat(np.arange(n), sizes))
-        fields.append(np.full(len(rows[-1]), number))
-        places.append(np.arange(len(rows[-1])) - np.repeat(np.cumsum(sizes) - sizes, sizes))
+        rows.append(np.repeat(np.arange(n, dtype=np.int32), sizes))
+        fields.append(np.full(len(rows[-1]), number, np.int8))
+        places.append(np.arange(len(rows[-1]), dtype=np.int32) - np.repeat((np.cumsum(sizes) - sizes).astype(np.int32), sizes))
     told = pa.concat_arrays(words).dictionary_encode()
     if not len(told):
         return
     in_order = pc.sort_indices(told.dictionary).to_numpy()  # in the order of bytes, as Spark compares texts
     rank = np.empty(len(in_order), np.int64)
     rank[in_order] = np.arange(len(in_order))
-    key = (rank[told.indices.to_numpy()] * len(FIELDS) + np.concatenate(fields)) * n + np.concatenate(rows)
+    key = rank[told.indices.to_numpy()]
+    key *= len(FIELDS)
+    key += np.concatenate(fields)
+    key *= n
+    key += np.concatenate(rows)
     by_key = np.argsort(key, kind="stable")
-    key, place = key[by_key], np.concatenate(places)[by_key].astype(np.int32)
+    key, place = key[by_key], np.concatenate(places)[by_key]
+    del by_key, words, rows, fields, places
     begins = lambda x: np.flatnonzero(np.append(True, x[1:] != x[:-1]))
     hit = begins(key)
     line_of, row = np.divmod(key[hit], n)
